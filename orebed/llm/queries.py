@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, toxicity
+from . import crosspolytope, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scoring(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_suffix_dedup, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op7_mixing": mixing.SQL}
