@@ -59,22 +59,23 @@ def targets(sizes: DataFrame, weights=WEIGHTS, ramps=RAMPS, total: float = TOTAL
 
 
 def plan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), bucket_digits: int = 2, **settings) -> DataFrame:
-    """The columns ``keep`` of every document with size, source_size, target, ramp, before (words of its source before it)."""
+    """Of every document: row (a struct of the columns ``keep``), id, size, source_size, target, ramp, before (words of its source before it)."""
     rows = documents.select(
-        *keep,
-        *([] if "source" in keep else ["source"]),
-        F.concat(F.lit("s"), F.col("source")).alias("named"),
+        F.struct(*keep).alias("row"),
+        F.col("doc_id").alias("id"),
+        "source",
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"),
     )
-    rows = rows.withColumn("source_key", F.coalesce("named", F.lit("n"))).withColumn("bucket", F.substring("place", 1, bucket_digits)).drop("named")
+    rows = rows.withColumn("bucket", F.substring("place", 1, bucket_digits))
     totals = rows.groupBy("source_key", "bucket").agg(F.min("source").alias("source"), F.sum("size").alias("size"))
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     goals = targets(totals, **settings)
     starts = totals.select("source_key", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("bucket_start")).join(goals, "source_key")
-    inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("through", F.sum("size").over(inside)).join(starts, ["source_key", "bucket"])
-    return rows.withColumn("before", F.col("bucket_start") + F.col("through") - F.col("size")).select(*keep, "size", "source_size", "target", "ramp", "before")
+    return rows.withColumn("before", F.col("bucket_start") + F.col("through") - F.col("size")).select("row", "id", "size", "source_size", "target", "ramp", "before")
 
 
 def goal() -> Column:
@@ -100,7 +101,7 @@ def mixing(documents: DataFrame, repeats: int = REPEATS, **settings) -> DataFram
         words = words + taken(turn)
     rows = rows.withColumn("taken", words.cast("long"))
     first = F.when(F.col("taken") > 0, F.round(position(0), 9))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(documents: DataFrame, repeats: int = REPEATS, **settings) -> DataFrame:
@@ -109,7 +110,7 @@ def mixed_documents(documents: DataFrame, repeats: int = REPEATS, **settings) ->
     rows = plan(documents, keep=tuple(columns), repeats=repeats, **settings)
     turns = F.filter(F.array(*(F.struct(F.lit(k).alias("turn"), taken(k).cast("long").alias("words")) for k in range(repeats))), lambda t: t["words"] > 0)
     rows = rows.withColumn("turn", F.explode(turns)).withColumn("position", position(F.col("turn")["turn"])).withColumn("words", F.col("turn")["words"])
-    rows = rows.orderBy("position", "doc_id").select(*columns, "words", "size")
+    rows = rows.orderBy("position", "id").select("row", "words", "size")
     schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes)
     return rows.mapInArrow(lambda batches: _cut(batches, columns), schema)
 
@@ -117,9 +118,10 @@ def mixed_documents(documents: DataFrame, repeats: int = REPEATS, **settings) ->
 def _cut(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     """Texts of which fewer words are taken than they have end with the last one taken; n_chars follows."""
     for batch in batches:
-        text, words, size = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "words", "size"))
+        row, words, size = (batch.column(batch.schema.get_field_index(c)) for c in ("row", "words", "size"))
+        out = dict(zip(columns, row.flatten()))
+        text = out["text"]
         partial = [i for i, (w, s) in enumerate(zip(words.to_pylist(), size.to_pylist())) if w < s]
-        out = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
         if partial:
             texts = text.to_pylist()
             for i in partial:

@@ -120,6 +120,7 @@ def one_of_each(documents: DataFrame, radius: int = RADIUS, words: int = WORDS)
     """
     found = near_duplicates(documents, radius, words).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     stay = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("stay_id"))
-    rows = documents.join(stay, documents["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
-    turn = Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns))
-    return rows.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(*documents.columns).alias("hash"))
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
+    turn = Window.partitionBy("id").orderBy("hash")
+    return rows.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")

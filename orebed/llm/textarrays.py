@@ -83,11 +83,12 @@ def lines(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     r"""Start, end and document of every \n-split line that is not empty."""
     breaks = np.flatnonzero(buffer == 10)
     starts = np.union1d(offsets[:-1], breaks + 1)
-    ends = np.union1d(offsets[1:], breaks)
     starts = starts[starts < len(buffer)]
-    ends = ends[np.searchsorted(ends, starts)] if len(starts) else starts
+    doc = document_of(starts, offsets)
+    stop = np.append(breaks, len(buffer))[np.searchsorted(breaks, starts)] if len(starts) else starts
+    ends = np.minimum(stop, offsets[1:][doc])
     full = ends > starts
-    return starts[full], ends[full], document_of(starts[full], offsets)
+    return starts[full], ends[full], doc[full]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
