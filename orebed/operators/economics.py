@@ -108,7 +108,7 @@ def ultimate_pit(blocks: DataFrame, edges: DataFrame, group: str, value: str = "
     ``edges`` has block, above. A group must fit a task; sectors bound it.
     """
     nodes = blocks.select(group, F.col(block).alias("block"), F.col(value).alias("value"))
-    arcs = edges.join(nodes.select("block", group), "block").select(group, "block", "above")
+    arcs = edges.join(nodes.select("block", F.col(group).alias("_group")), "block").select("_group", "block", "above")
 
     def closure(key, part: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         index = {b: i for i, b in enumerate(part["block"])}
@@ -162,7 +162,7 @@ def ultimate_pit(blocks: DataFrame, edges: DataFrame, group: str, value: str = "
                     graph[e[0]][e[2]][1] += flow
 
     schema = f"{group} {nodes.schema[group].dataType.simpleString()}, block {nodes.schema['block'].dataType.simpleString()}"
-    return nodes.groupBy(group).cogroup(arcs.groupBy(group)).applyInPandas(closure, schema)
+    return nodes.groupBy(group).cogroup(arcs.groupBy("_group")).applyInPandas(closure, schema)
 
 
 def blended(records: DataFrame, by: list[str], tonnes: str = "tonnes", grades: str = "grades") -> DataFrame:

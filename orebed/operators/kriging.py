@@ -68,7 +68,7 @@ def krige(targets: DataFrame, samples: DataFrame, value: str, model: dict, k: in
     """
     extra = [error] if error else []
     fine = samples.where(F.col(value).isNotNull()).select(sample_id, *AXES, value, *extra).withColumns({f"s{a}": F.col(a) for a in AXES})
-    near = nearest(targets, fine, k + int(leave_out), start_radius or model["range"] / 4, target_id, sample_id, [value, *extra, *(f"s{a}" for a in AXES)], max_radius)
+    near = nearest(targets, fine, k + int(leave_out), start_radius, target_id, sample_id, [value, *extra, *(f"s{a}" for a in AXES)], max_radius, spread="points")
     if leave_out:
         near = near.where(F.col("target") != F.col("point")).where(F.col("rank") <= k + 1)
     item = F.struct("distance", "point", *(f"s{a}" for a in AXES), F.col(value).alias("v"), *(F.col(error).alias("e") for _ in extra))

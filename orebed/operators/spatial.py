@@ -27,14 +27,15 @@ def _around(df: DataFrame, size: float, axes=AXES) -> DataFrame:
     return out
 
 
-def within(targets: DataFrame, points: DataFrame, radius: float, target_id: str, point_id: str, values: list[str] = (), axes=AXES) -> DataFrame:
+def within(targets: DataFrame, points: DataFrame, radius: float, target_id: str, point_id: str, values: list[str] = (), axes=AXES, spread: str = "targets") -> DataFrame:
     """target, point, distance (and the point's values) of all pairs within ``radius``.
 
-    The targets are spread over the cells around theirs; the points are not
-    copied.  Select the points with care for which side is smaller.
+    ``spread`` says which side is copied to the cells around its own: the one
+    with fewer rows should be.
     """
-    left = _around(targets.select(F.col(target_id).alias("target"), *axes), radius, axes).withColumnsRenamed({a: f"t_{a}" for a in axes})
-    right = _cells(points.select(F.col(point_id).alias("point"), *axes, *values), radius, axes)
+    left, right = targets.select(F.col(target_id).alias("target"), *axes), points.select(F.col(point_id).alias("point"), *axes, *values)
+    left, right = (_around(left, radius, axes), _cells(right, radius, axes)) if spread == "targets" else (_cells(left, radius, axes), _around(right, radius, axes))
+    left = left.withColumnsRenamed({a: f"t_{a}" for a in axes})
     distance = F.sqrt(reduce(lambda p, q: p + q, ((F.col(f"t_{a}") - F.col(a)) * (F.col(f"t_{a}") - F.col(a)) for a in axes)))
     return left.join(right, [f"_{a}" for a in axes]).withColumn("distance", distance).where(F.col("distance") <= radius).select("target", "point", "distance", *values)
 
@@ -49,23 +50,37 @@ def pairs(points: DataFrame, radius: float, point_id: str, values: list[str] = (
     return both.withColumn("distance", distance).where(F.col("distance") <= radius).select("i", "j", *(f"d_{a}" for a in axes), "distance", *(f"{v}_{s}" for v in values for s in "ij"))
 
 
-def nearest(targets: DataFrame, points: DataFrame, k: int, start_radius: float, target_id: str, point_id: str, values: list[str] = (), max_radius: float | None = None, rounds: int = 12, axes=AXES) -> DataFrame:
+def reach_of(points: DataFrame, k: int, axes=AXES) -> float:
+    """A radius that holds about 2 k of the points where they are spread evenly over their extent."""
+    row = points.agg(F.count(F.lit(1)), *(F.max(a) - F.min(a) for a in axes)).first()
+    sides = [float(v) for v in row[1:] if v]
+    if not row[0] or not sides:
+        return 1.0
+    volume = reduce(lambda p, q: p * q, sides)
+    unit_ball = {1: 2.0, 2: 3.14159, 3: 4.18879}[len(sides)]
+    return max((2 * k * volume / row[0] / unit_ball) ** (1 / len(sides)), 1e-6)
+
+
+def nearest(targets: DataFrame, points: DataFrame, k: int, start_radius: float | None, target_id: str, point_id: str, values: list[str] = (), max_radius: float | None = None, rounds: int = 12, axes=AXES, spread: str = "targets") -> DataFrame:
     """The k nearest points of every target with their rank (ties by point id).
 
     Targets with fewer than k points within ``max_radius`` get those they have.
+    The radius doubles for the targets that are left; a round's hits are kept
+    (and recomputed where they are lost), so that no round runs twice.
     """
     order = Window.partitionBy("target").orderBy("distance", "point")
-    left, found, radius = targets.select(target_id, *axes), [], start_radius
+    left, found, radius = targets.select(target_id, *axes), [], start_radius or reach_of(points, k, axes)
     for step in range(rounds):
         radius = min(radius, max_radius) if max_radius else radius
-        hits = within(left, points, radius, target_id, point_id, values, axes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        hits = within(left, points, radius, target_id, point_id, values, axes, spread).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         last = step == rounds - 1 or (max_radius is not None and radius >= max_radius)
         if last:
             found.append(hits)
             break
+        hits = hits.persist()
         done = hits.where(F.col("rank") == k).select(F.col("target").alias(target_id))
         found.append(hits.join(done.withColumnRenamed(target_id, "target"), "target", "left_semi"))
-        left = left.join(done, target_id, "left_anti")
+        left = left.join(done, target_id, "left_anti").persist()
         if left.isEmpty():
             break
         radius *= 2

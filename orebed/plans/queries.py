@@ -251,12 +251,12 @@ _DIST = "sqrt((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z
 
 @query(f"WITH {V.TARGETS}, {V.SAMPLES}, d AS (SELECT block_id AS target, sample_id AS point, {_DIST} AS distance, row_number() OVER (PARTITION BY block_id ORDER BY {_DIST}, sample_id) AS rank FROM targets t, samples s) SELECT target, point, {r('distance', 'distance')}, rank::INT AS rank FROM d WHERE rank <= 8")
 def nearest_samples(spark, sf_dir):
-    return rounded(spatial.nearest(V.targets(spark, sf_dir), V.samples(spark, sf_dir), 8, 60.0, "block_id", "sample_id").select("target", "point", "distance", "rank"))
+    return rounded(spatial.nearest(V.targets(spark, sf_dir), V.samples(spark, sf_dir), 8, None, "block_id", "sample_id").select("target", "point", "distance", "rank"))
 
 
 @query(f"WITH {V.TARGETS}, {V.SAMPLES}, d AS (SELECT block_id AS target, value, {_DIST} AS distance, row_number() OVER (PARTITION BY block_id ORDER BY {_DIST}, sample_id) AS rank FROM targets t, samples s) SELECT target, {r('sum(value * pow(greatest(distance, 1e-10), -2)) / sum(pow(greatest(distance, 1e-10), -2))', 'estimate')}, count(*) AS n, {r('min(distance)', 'nearest')} FROM d WHERE rank <= 8 GROUP BY target")
 def inverse_distance_estimates(spark, sf_dir):
-    near = spatial.nearest(V.targets(spark, sf_dir), V.samples(spark, sf_dir), 8, 60.0, "block_id", "sample_id", ["value"])
+    near = spatial.nearest(V.targets(spark, sf_dir), V.samples(spark, sf_dir), 8, None, "block_id", "sample_id", ["value"])
     return rounded(spatial.inverse_distance(near, "value"))
 
 
