@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import economics, geometry, rock, variogram
-from ..operators import aggregates, economics as money, intervals, kriging, selection, simulation, spatial, structural, survey, timeseries, validation, variograms
+from ..operators import aggregates, clustering, economics as money, intervals, kriging, processes, selection, simulation, spatial, structural, survey, timeseries, validation, variograms
 from . import tables as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -491,3 +491,42 @@ def rock_mass(spark, sf_dir):
 @query(f"WITH {V.BLOCKS} SELECT block_id, {r('tonnes * grade * 0.9 * 55 - tonnes * (3.5 + 12)', 'worth')} FROM blocks")
 def block_values(spark, sf_dir):
     return rounded(V.blocks(spark, sf_dir).select("block_id", economics.block_value(F.col("tonnes"), F.col("grade"), 55.0, 3.5, 12.0, 0.9).alias("worth")))
+
+
+# --- processes and clusters -----------------------------------------------------
+
+
+@query(f"WITH {V.BLOCKS}, p AS (SELECT period, sum(tonnes) AS tonnes FROM blocks GROUP BY 1), h AS (SELECT period, sum(tonnes) AS t FROM blocks WHERE grade >= 3 GROUP BY 1), a AS (SELECT period, sum(tonnes) AS t FROM blocks WHERE grade2 >= 5 AND period <> 4 GROUP BY 1) SELECT period, {r('tonnes', 'planned')}, {r('coalesce(h.t, 0)', 'hauled')}, {r('coalesce(a.t, 0)', 'actual')}, {r('100 * (coalesce(h.t, 0) - tonnes) / tonnes', 'hauled_variance')}, {r('100 * (coalesce(a.t, 0) - tonnes) / tonnes', 'actual_variance')} FROM p LEFT JOIN h USING (period) LEFT JOIN a USING (period)")
+def production_alignment(spark, sf_dir):
+    blocks = V.blocks(spark, sf_dir)
+    per = lambda rows: rows.groupBy("period").agg(F.sum("tonnes").alias("tonnes"))
+    return rounded(processes.aligned(per(blocks), per(blocks.where("grade >= 3")), per(blocks.where("grade2 >= 5 and period != 4"))))
+
+
+@query(f"WITH {V.BLOCKS}, p AS (SELECT period, sum(tonnes) AS tonnes, avg(grade) AS risk FROM blocks GROUP BY 1) SELECT count(*) FILTER (risk >= 5) AS periods, {r('coalesce(sum(tonnes) FILTER (risk >= 5), 0)', 'tonnes')}, arg_max(period, risk) AS worst_period, {r('max(risk)', 'worst')} FROM p")
+def risk_exposure(spark, sf_dir):
+    profile = V.blocks(spark, sf_dir).groupBy("period").agg(F.sum("tonnes").alias("tonnes"), F.avg("grade").alias("risk"))
+    return rounded(processes.exposure(profile, "risk", 5.0))
+
+
+@query(f"WITH RECURSIVE {V.BLOCKS}, f AS (SELECT domain AS node, period, sum(tonnes) AS i, sum(value) / 2000 AS o FROM blocks GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY period) AS k FROM f), w AS (SELECT node, period, k, least(greatest(500 + i - o, 0), 2000) AS s, greatest(greatest(500 + i - o, 0) - 2000, 0) AS spill FROM k WHERE k = 1 UNION ALL SELECT k.node, k.period, k.k, least(greatest(w.s + i - o, 0), 2000), greatest(greatest(w.s + i - o, 0) - 2000, 0) FROM w JOIN k ON k.node = w.node AND k.k = w.k + 1) SELECT node, period, {r('s', 'stored')}, {r('spill', 'spill')} FROM w")
+def water_balance(spark, sf_dir):
+    flows = V.blocks(spark, sf_dir).groupBy(F.col("domain").alias("node"), "period").agg(F.sum("tonnes").alias("inflow"), (F.sum("value") / 2000).alias("outflow"))
+    return rounded(processes.water_balance(flows, 500.0, 2000.0))
+
+
+@query(f"WITH {V.SAMPLES} SELECT floor(x / 50)::BIGINT AS ix, min(sample_id) AS sample_id FROM samples GROUP BY floor(x / 50), floor(y / 50), floor(z / 50)")
+def thinned_points(spark, sf_dir):
+    rows = clustering.first_of_cell(V.samples(spark, sf_dir), "sample_id", 50.0)
+    return rows.select(F.floor(F.col("x") / 50).alias("ix"), "sample_id")
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    return clustering.density_clusters(V.samples(spark, sf_dir), "sample_id", 25.0, 4)
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    rows = clustering.kmeans(V.samples(spark, sf_dir), ["x", "y", "value"], 5)
+    return rounded(clustering.cluster_quality(rows, ["x", "y", "value"]))
