@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or, where it is unset (local runs), one of our own for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="orebed-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        if name not in _own_folders:
+            _own_folders[name] = "file://" + tempfile.mkdtemp(prefix="orebed-")
+        folder = _own_folders[name]
     return folder.rstrip("/")
 
 
