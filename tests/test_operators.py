@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebed.functions import economics, geometry, rock, variogram
-from orebed.operators import aggregates, economics as money, intervals, kriging, selection, simulation, spatial, structural, survey, timeseries, validation, variograms
+from orebed.operators import aggregates, clustering, economics as money, intervals, kriging, processes, selection, simulation, spatial, structural, survey, timeseries, validation, variograms
 from orebed.plans.jobs import Jobs
 from orebed.sources import blockmodels
 from orebed.streaming import monitors
@@ -225,3 +225,26 @@ def test_streamed_rate(spark, tmp_path):
     run.awaitTermination(120)
     found = {r["start"]: r["n"] for r in spark.table("rates").collect()}
     assert found == {r["d"]: r["n"] for r in source.groupBy(F.date_trunc("day", "ts").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def test_clusters(spark):
+    data = [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 2.0, 0.0), (3, 3.5, 0.0), (4, 50.0, 0.0), (5, 51.0, 0.0), (6, 52.0, 0.0), (7, 200.0, 0.0)]
+    points = spark.createDataFrame([(i, x, y, 0.0) for i, x, y in data], "id long, x double, y double, z double")
+    assert rows(clustering.density_clusters(points, "id", 1.5, 3), "id", "cluster") == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 5), (5, 5), (6, 5), (7, -1)]
+    path = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    assert {r["component"] for r in clustering.connected(path).collect()} == {0}
+    scored = clustering.cluster_quality(spark.createDataFrame([(0, 0.0), (0, 1.0), (1, 10.0), (1, 11.0)], "cluster int, v double"), ["v"]).first()
+    assert (scored["between"], scored["within"], scored["score"]) == (100.0, 1.0, 200.0)
+    assert clustering.first_of_cell(points, "id", 10.0).count() == 3
+    assert rows(clustering.ranked_cells(points.where("id < 2"), 1.0), "cell") == [(0,), (1,)]
+
+
+def test_processes(spark):
+    flows = spark.createDataFrame([("a", 1, 5.0, 0.0), ("a", 2, 9.0, 2.0), ("a", 3, 0.0, 50.0)], "node string, period int, inflow double, outflow double")
+    assert rows(processes.water_balance(flows, 1.0, 10.0), "period", "stored", "spill") == [(1, 6.0, 0.0), (2, 10.0, 3.0), (3, 0.0, 0.0)]
+    cave = spark.createDataFrame([("d", 25.0)], "id string, tonnes double")
+    assert rows(processes.cave_draw(cave, 5, 10.0), "period", "drawn") == [(1, 10.0), (2, 10.0), (3, 5.0)]
+    a, b = (spark.createDataFrame(v, "period int, volume double") for v in ([(1, 5.0), (2, 4.0)], [(2, 6.0)]))
+    assert rows(processes.void_series(a, b), "period", "void") == [(1, 5.0), (2, 3.0)]
+    shells = spark.createDataFrame([(i, float(i)) for i in range(5)], "shell int, depth double")
+    assert rows(processes.pushbacks_by_depth(shells, 2), "shell", "pushback") == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 2)]
