@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,35 +51,70 @@ _LOW = np.uint64((1 << 40) - 1)
 # --- minimisers ---------------------------------------------------------------
 
 
-def minimisers(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimisers of all strings of ``length`` bytes inside one document each."""
-    n = len(prefix) - 1
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - gram + 1)
-    hashes = T.span_hashes(prefix, at, at + gram)
-    window, least, reach = length - gram + 1, hashes, 1
-    while 2 * reach <= window:
-        least = np.minimum(least[:-reach], least[reach:])
-        reach *= 2
-    if reach < window:
-        least = np.minimum(least[: len(least) - (window - reach)], least[window - reach :])
-    inside = np.zeros(n + 1, np.int64)  # starts of strings that lie in one document
-    ends = np.maximum(offsets[1:] - length + 1, offsets[:-1])
+def gram_hashes(buffer: np.ndarray, gram: int) -> np.ndarray:
+    """Mixed polynomial hashes of all grams, from differences of prefix hashes."""
+    up, down = T.powers(len(buffer))
+    prefix = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up, out=prefix[1:])
+    out = prefix[gram:] - prefix[:-gram]
+    out *= down[: len(out)]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def minimisers(buffer: np.ndarray, offsets: np.ndarray, length: int, gram: int, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position, hash, first and last string of every minimiser: the strings of ``length`` bytes inside one document whose leftmost gram of least hash it is.
+
+    Works block by block (with the bytes that the last strings reach into), so
+    that the arrays stay in a core's cache.
+    """
+    n, window, out = len(buffer), length - gram + 1, []
+    inside = np.zeros(n + 1, np.int32)  # starts of strings that lie in one document
     np.add.at(inside, offsets[:-1], 1)
-    np.add.at(inside, ends, -1)
-    valid = np.cumsum(inside)[: len(least)] > 0
-    # A position is a minimiser if its hash is the least of a valid string around it: the greatest of those strings' least hashes.
-    most, reach = np.where(valid, least, np.uint64(0)), 1
-    pad = np.zeros(window - 1, np.uint64)
-    most = np.concatenate([pad, most, pad])
-    while 2 * reach <= window:
-        most = np.maximum(most[:-reach], most[reach:])
-        reach *= 2
-    if reach < window:
-        most = np.maximum(most[: len(most) - (window - reach)], most[window - reach :])
-    found = np.flatnonzero(hashes <= most)
-    return found, hashes[found]
+    np.add.at(inside, np.maximum(offsets[1:] - length + 1, offsets[:-1]), -1)
+    inside = np.cumsum(inside) > 0
+    for begin in range(0, n - length + 1, block):
+        end = min(begin + block, n - length + 1)  # strings begin:end
+        hashes = gram_hashes(buffer[begin : end + length - 1], gram)
+        least, reach = hashes, 1
+        while 2 * reach <= window:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        if reach < window:
+            least = np.minimum(least[: len(least) - (window - reach)], least[window - reach :])
+        starts = np.flatnonzero(inside[begin:end])
+        if not len(starts):
+            continue
+        wanted = least[starts]
+        # Runs of strings of equal least hash share a minimiser as long as it lies in them.
+        at, open_ = starts.copy(), np.arange(len(starts))
+        new = np.ones(len(starts), bool)
+        new[1:] = (wanted[1:] != wanted[:-1]) | (starts[1:] != starts[:-1] + 1)
+        open_ = np.flatnonzero(new)
+        head = open_
+        while len(open_):
+            missed = hashes[at[open_]] != wanted[open_]
+            open_ = open_[missed]
+            at[open_] += 1
+        at = at[head][np.cumsum(new) - 1]
+        while True:  # a string that begins after it takes the next gram of the same hash
+            late = np.flatnonzero(at < starts)
+            if not len(late):
+                break
+            at[late] = starts[late]
+            while True:
+                late = late[hashes[at[late]] != wanted[late]]
+                if not len(late):
+                    break
+                at[late] += 1
+        cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+        last = np.append(cut[1:], len(at)) - 1
+        out.append((at[cut] + begin, hashes[at[cut]], starts[cut] + begin, starts[last] + begin))
+    if not out:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -113,9 +149,9 @@ def _candidates(documents: DataFrame, n_buckets: int, length: int, gram: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buffer, offsets in T.chunks(batches):
             ids, texts = (np.asarray(rows.column(rows.schema.get_field_index(c))) for c in ("doc_id", "th"))
-            position, hashes = minimisers(T.prefix_hashes(buffer), offsets, length, gram)
+            position, hashes, _, _ = minimisers(buffer, offsets, length, gram)
             doc = T.document_of(position, offsets)
-            order = np.lexsort((doc, hashes))
+            order = np.argsort(hashes, kind="stable")  # positions, so documents too, ascend
             hashes, doc = hashes[order], doc[order]
             kept = np.ones(len(hashes), bool)
             kept[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
@@ -135,7 +171,7 @@ def _candidates(documents: DataFrame, n_buckets: int, length: int, gram: int) ->
                     part = part[np.argsort(doc[part], kind="stable")]
                     names, of = np.unique(doc[part], return_inverse=True)
                     counts = np.where(apart[group[part]], count[group[part]], 0)
-                    out.append({"bucket": b, "direct": direct, "hashes": _short(hashes[part]).tobytes(), "of": of.astype("<u4").tobytes(), "counts": b"" if direct else counts.astype("<u4").tobytes(), "doc_ids": ids[names].astype("<i8").tobytes(), "texts": texts[names].astype("<i8").tobytes()})
+                    out.append({"bucket": b, "direct": direct, "hashes": _short(hashes[part]).tobytes(), "of": of.astype("<u4").tobytes(), "counts": b"" if direct else counts.astype("<u4").tobytes(), "doc_ids": ids[names].astype("<i8").tobytes(), "texts": texts[names].astype("<i4").tobytes()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, _schema(_CANDIDATES))
 
@@ -163,15 +199,36 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-_SHARED = "doc_id long, th long, keys binary, key long, count long"
+_SHARED = "bucket int, data binary, hot binary"
+# th, a 31-bit hash of the text, tells rows of one id apart.
+
+
+def _by_bucket(records: np.ndarray, n_buckets: int) -> list[dict]:
+    """Records (id, th, ...) packed by the bucket of their document."""
+    return [{"bucket": b, "data": records[part].astype("<i8").tobytes()} for b, part in _groups(records[:, 0] % n_buckets)] if len(records) else []
+
+
+def _by_document(packed: DataFrame, width: int, name: str) -> DataFrame:
+    """A row a document: doc_id, th and its records' other columns, packed and sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_buckets(batches):
+            records = _joined(table.column("data"), "<i8").reshape(-1, width)
+            records = records[np.lexsort((records[:, 2], records[:, 1], records[:, 0]))]
+            cuts = np.concatenate([[0], np.flatnonzero((records[1:, :2] != records[:-1, :2]).any(1)) + 1, [len(records)]])
+            first = cuts[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(records[first, 0]), pa.array(records[first, 1]), pa.array([records[a:b, 2:].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["doc_id", "th", name])
+
+    rows = packed.where("data is not null").select("bucket", "data").repartition(shards(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(run, f"doc_id long, th long, {name} binary")
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _shared(candidates: DataFrame) -> DataFrame:
-    """Rows of a document's shared minimisers (bucket and low bits), and rows of a minimiser with how many documents hold it, if many."""
+def _shared(candidates: DataFrame, n_buckets: int) -> DataFrame:
+    """Records (id, th, bucket and low bits) of documents' shared minimisers, packed by document; and minimisers that many documents hold, with how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
@@ -182,7 +239,7 @@ def _shared(candidates: DataFrame) -> DataFrame:
                 of = np.frombuffer(row["of"], "<u4")
                 keys.append(_long(row["hashes"]) | bucket)
                 ids.append(np.frombuffer(row["doc_ids"], "<i8")[of])
-                texts.append(np.frombuffer(row["texts"], "<i8")[of])
+                texts.append(np.frombuffer(row["texts"], "<i4")[of].astype(np.int64))
                 counts.append(np.zeros(len(of), np.int64) if passes else np.frombuffer(row["counts"], "<u4").astype(np.int64))
                 straight.append(np.full(len(of), passes))
             keys, ids, texts, counts, straight = map(np.concatenate, (keys, ids, texts, counts, straight))
@@ -195,17 +252,12 @@ def _shared(candidates: DataFrame) -> DataFrame:
             shared[group[(counts[order] > 0) | (texts[order] != texts[order][begin][group])]] = True
             held = np.bincount(group, np.maximum(counts[order], 1), len(begin)).astype(np.int64) if len(order) else np.zeros(0, np.int64)
             report = np.concatenate([order[shared[group] & (counts[order] == 0)], np.flatnonzero(straight)]) if len(order) else np.flatnonzero(straight)
-            out: dict[str, list] = {c: [] for c in ("doc_id", "th", "keys", "key", "count")}
-            at = report[np.lexsort((texts[report], ids[report]))]
-            if len(at):
-                new = np.flatnonzero((np.diff(ids[at]) != 0) | (np.diff(texts[at]) != 0)) + 1
-                for part in np.split(at, new):
-                    for c, v in zip(out, (int(ids[part[0]]), int(texts[part[0]]), keys[part].astype("<u8").tobytes(), None, None)):
-                        out[c].append(v)
-            for k in np.flatnonzero(held >= HOT_LEAST):
-                for c, v in zip(out, (None, None, None, int(keys[order[begin[k]]].view(np.int64)), int(held[k]))):
-                    out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, _schema(_SHARED))
+            out = [row | {"hot": None} for row in _by_bucket(np.column_stack([ids[report], texts[report], keys[report].view(np.int64)]), n_buckets)]
+            many = np.flatnonzero(held >= HOT_LEAST)
+            if len(many):
+                out.append({"bucket": 0, "data": None, "hot": np.column_stack([keys[order[begin[many]]].view(np.int64), held[many]]).astype("<i8").tobytes()})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _schema(_SHARED))
 
     dealt = candidates.repartition(shards(candidates.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, _SHARED)
@@ -214,6 +266,18 @@ def _shared(candidates: DataFrame) -> DataFrame:
 # --- suffixes -----------------------------------------------------------------
 
 
+def _hot(shared: DataFrame) -> np.ndarray:
+    """The most frequent minimisers, HOT_KEYS at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = _joined(pa.chunked_array([batch.column(0)]), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "count"])
+
+    rows = shared.where("hot is not null").select("hot").mapInArrow(run, "key long, count long")
+    return rows.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+
+
 class Suffixes:
     """Suffixes cut to ``length`` bytes and up to ``before`` bytes in front of each, as rows of prefix hashes."""
 
@@ -312,13 +376,17 @@ def _matches(buffer, begin, at, end, docs, some, cuts, length, gram):
         if len(held) < 2:
             continue
         name = T.pair_hashes(run.astype(np.uint64), s.backward[held, a])
-        by = np.lexsort((docs[held], name))
+        by = np.argsort(name)
         held, name = held[by], name[by]
         first = np.ones(len(held), bool)
         first[1:] = name[1:] != name[:-1]
-        owner = held[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        repeated = np.flatnonzero(docs[held] > docs[owner])
-        one, two = held[repeated], owner[repeated]
+        begins, group_of = np.flatnonzero(first), np.cumsum(first) - 1
+        smallest = np.minimum.reduceat(docs[held], begins)[group_of]
+        owners = np.empty(len(begins), np.int64)
+        smallest_at = np.flatnonzero(docs[held] == smallest)
+        owners[group_of[smallest_at]] = held[smallest_at]
+        repeated = np.flatnonzero(docs[held] > smallest)
+        one, two = held[repeated], owners[group_of[repeated]]
         span = np.arange(length) - a
         for k in range(0, len(one), UNITS):  # verify the bytes
             x, y = one[k : k + UNITS], two[k : k + UNITS]
@@ -331,7 +399,7 @@ def _matches(buffer, begin, at, end, docs, some, cuts, length, gram):
 
 
 _UNITS = "bucket int, direct boolean, key binary, doc_id binary, th binary, place binary, left binary, size binary, data binary"
-_SPANS = "doc_id long, th long, spans binary"
+_SPANS = "bucket int, data binary"
 
 
 def _packed_spans(docs: np.ndarray, texts: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -354,29 +422,26 @@ def _units(rows: DataFrame, hot: np.ndarray, n_buckets: int, length: int, gram:
     """The suffixes around shared minimisers, by bucket of their key; equal ones of a chunk are settled here but for that of least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buffer, offsets in T.chunks(batches):
-            ids, texts = (np.asarray(part.column(part.schema.get_field_index(c))) for c in ("doc_id", "th"))
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for part, buffer, offsets in T.chunks(_with_text(batches)):
+            ids, texts = (np.asarray(part.column(part.schema.get_field_index(c))) for c in ("id", "th"))
             prefix = T.prefix_hashes(buffer)
-            position, hashes = minimisers(prefix, offsets, length, gram)
+            position, hashes, begin, end = minimisers(buffer, offsets, length, gram)
+            end += length
             doc = T.document_of(position, offsets)
             short = _bucket(hashes, n_buckets).astype(np.uint64) << np.uint64(40) | hashes & _LOW
-            replies = [np.frombuffer(b"".join(keys), "<u8") for keys in part.column(part.schema.get_field_index("keys")).to_pylist()]
+            replies = [np.frombuffer(keys, "<u8") for keys in part.column(part.schema.get_field_index("keys")).to_pylist()]
             wanted = T.pair_hashes(np.concatenate(replies), np.repeat(np.arange(len(replies)), list(map(len, replies))).astype(np.uint64))
             some = np.flatnonzero(np.isin(T.pair_hashes(short, doc.astype(np.uint64)), wanted))
-            position, hashes, doc, short = position[some], hashes[some], doc[some], short[some]
-            begin, end = np.maximum(offsets[doc], position - (length - gram)), np.minimum(offsets[doc + 1], position + length)
+            position, hashes, begin, end, doc, short = (x[some] for x in (position, hashes, begin, end, doc, short))
             often = np.isin(short, hot)
             if often.any():  # each string around it for itself
-                first, last = begin[often], np.minimum(position[often], offsets[doc[often] + 1] - length)
-                count = np.maximum(last - first + 1, 0)
+                first, count = begin[often], end[often] - length - begin[often] + 1
                 start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start, at = np.unique(start, return_index=True)
-                of = np.repeat(doc[often], count)[at]
+                of = np.repeat(doc[often], count)
                 strings = T.mix(T.span_hashes(prefix, start, start + length) + np.uint64(1))
                 position, begin, end = (np.concatenate([x[~often], y]) for x, y in ((position, start), (begin, start), (end, start + length)))
                 hashes, doc = np.concatenate([hashes[~often], strings]), np.concatenate([doc[~often], of])
-            fits = end - begin >= length
-            position, begin, end, hashes, doc = (x[fits] for x in (position, begin, end, hashes, doc))
             whole = T.pair_hashes(T.span_hashes(prefix, begin, end), T.pair_hashes(hashes, (position - begin).astype(np.uint64)))
             order = np.lexsort((ids[doc], whole))
             first = np.ones(len(order), bool)
@@ -405,31 +470,38 @@ def _units(rows: DataFrame, hot: np.ndarray, n_buckets: int, length: int, gram:
                 some = np.sort(rest[some])
                 size = end[some] - begin[some]
                 where = np.repeat(begin[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                out.append({"bucket": b, "direct": False, "key": hashes[some].tobytes(), "doc_id": ids[doc[some]].astype("<i8").tobytes(), "th": texts[doc[some]].astype("<i8").tobytes(), "place": (position[some] - offsets[doc[some]]).astype("<i8").tobytes(), "left": (position[some] - begin[some]).astype(np.uint8).tobytes(), "size": size.astype(np.uint8).tobytes(), "data": buffer[where].tobytes()})
+                out.append({"bucket": b, "direct": False, "key": hashes[some].tobytes(), "doc_id": ids[doc[some]].astype("<i8").tobytes(), "th": texts[doc[some]].astype("<i4").tobytes(), "place": (position[some] - offsets[doc[some]]).astype("<u4" if len(buffer) < 1 << 32 else "<u8").tobytes(), "left": (position[some] - begin[some]).astype(np.uint8).tobytes(), "size": size.astype(np.uint8).tobytes(), "data": squeeze.compress(buffer[where].tobytes())})
             if out:
                 yield pa.RecordBatch.from_pylist(out, _schema(_UNITS))
 
-    return rows.select("doc_id", "th", "text", "keys").mapInArrow(run, _UNITS)
+    return rows.select("id", "th", "row", "keys").mapInArrow(run, _UNITS)
 
 
-def _spans(units: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans of documents that also start in a document of smaller id."""
+def _spans(units: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
+    """Records (id, th, from, to) of spans that also start in a document of smaller id, packed by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
             direct = table.column("direct").to_numpy()
-            out = [(int.from_bytes(d, "little", signed=True), int.from_bytes(t, "little", signed=True), s) for d, t, s in zip(*(table.column(c).to_pylist() for c in ("doc_id", "th", "data")))] if direct.all() else []
-            if not direct.all():
-                passed = table.filter(pa.array(direct))
-                out = [(int.from_bytes(d, "little", signed=True), int.from_bytes(t, "little", signed=True), s) for d, t, s in zip(*(passed.column(c).to_pylist() for c in ("doc_id", "th", "data")))]
-                rest = table.filter(pa.array(~direct))
-                keys, docs, texts, place, left, size, data = (_joined(rest.column(c), k) for c, k in (("key", "<u8"), ("doc_id", "<i8"), ("th", "<i8"), ("place", "<i8"), ("left", "u1"), ("size", "u1"), ("data", "u1")))
+            out = []
+            passed, rest = table.filter(pa.array(direct)), table.filter(pa.array(~direct))
+            if len(passed):
+                own = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in passed.column("data").to_pylist()]
+                who = np.column_stack([_joined(passed.column("doc_id"), "<i8"), _joined(passed.column("th"), "<i8")])
+                out.append(np.column_stack([np.repeat(who, list(map(len, own)), axis=0), np.concatenate(own)]))
+            if len(rest):
+                keys, docs, texts, left, size = (_joined(rest.column(c), k) for c, k in (("key", "<u8"), ("doc_id", "<i8"), ("th", "<i4"), ("left", "u1"), ("size", "u1")))
+                place = np.concatenate([np.frombuffer(p, "<u4" if 8 * len(p) == 4 * len(k) else "<u8").astype(np.int64) for p, k in zip(rest.column("place").to_pylist(), rest.column("key").to_pylist())])
+                data = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, rest.column("data").to_pylist())), np.uint8)
                 end = np.cumsum(size.astype(np.int64))
                 begin = end - size
                 which, low, high = matches(data, begin, begin + left, end, keys, docs, length, gram)
-                out += _packed_spans(docs[which], texts[which], place[which] + low, place[which] + high)
+                spans = list(_packed_spans(docs[which], texts[which].astype(np.int64), place[which] + low, place[which] + high))
+                for d, t, x in spans:
+                    pairs = np.frombuffer(x, "<i8").reshape(-1, 2)
+                    out.append(np.column_stack([np.full(len(pairs), d), np.full(len(pairs), t), pairs]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["doc_id", "th", "spans"])
+                yield pa.RecordBatch.from_pylist(_by_bucket(np.concatenate(out), n_buckets), _schema(_SPANS))
 
     dealt = units.repartition(shards(units.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, _SPANS)
@@ -439,37 +511,45 @@ def _spans(units: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def marked(documents: DataFrame, columns: tuple[str, ...] = (), length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Every document with ``columns``, doc_id, text, copy (its whole text stands in a document of smaller id) and spans (packed, of what is repeated)."""
+    """Of every document: row (a struct of doc_id, text and ``columns``), copy (its whole text stands in a document of smaller id) and spans (packed, of what is repeated)."""
     spark = documents.sparkSession
     n = shards(spark)
     keep = tuple(dict.fromkeys(("doc_id", "text", *columns)))
-    rows = documents.select(*keep, F.xxhash64("text").alias("th"), F.col("doc_id").cast("long").alias("_id"))
-    named = rows.where("_id is not null")
-    slim = named.select(F.col("_id").alias("doc_id"), "th", "text")
+    rows = documents.select(F.struct(*keep).alias("row"), F.xxhash64("text").bitwiseAND((1 << 31) - 1).alias("th"), F.col("doc_id").cast("long").alias("id"))
+    named = rows.where("id is not null")
+    slim = named.select(F.col("id").alias("doc_id"), "th", F.col("row.text").alias("text"))
 
     digests = slim.select("doc_id", "th", F.sha2(F.col("text"), 256).alias("digest")).where(F.octet_length("text") >= length)
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = written(digests.join(firsts, "digest").where("doc_id > least").select("doc_id", "th").distinct(), "copies")
 
-    shared = written(_shared(_candidates(slim, 3 * n, length, gram)), "shared")
-    hot = shared.where("key is not null").orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    replies = shared.where("doc_id is not null").groupBy("doc_id", "th").agg(F.collect_list("keys").alias("keys")).join(copies, ["doc_id", "th"], "left_anti")
+    shared = written(_shared(_candidates(slim, n, length, gram), n), "shared")
+    hot = _hot(shared)
+    replies = _by_document(shared, 3, "keys").join(copies, ["doc_id", "th"], "left_anti")
+
+    # Both joins read the same columns of the same partitioning, so that the texts are shuffled once.
+    whole = named.select("id", "th", "row").repartition(n, "id", "th")
+    asked = whole.join(replies.withColumnRenamed("doc_id", "id"), ["id", "th"])
+    spans = _by_document(_spans(_units(asked, hot, n, length, gram), n, length, gram), 4, "spans")
+    marked_copies = copies.select(F.col("doc_id").alias("id"), "th", F.lit(True).alias("copy"))
+    named = whole.join(spans.withColumnRenamed("doc_id", "id"), ["id", "th"], "left").join(marked_copies, ["id", "th"], "left")
+    alone = rows.where("id is null").withColumns({"spans": F.lit(None).cast("binary"), "copy": F.lit(False)})
+    return named.select("row", "spans", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(alone.select("row", "spans", "copy"))
+
 
-    whole = named.repartition(n, "_id", "th")
-    asked = whole.join(replies.withColumnRenamed("doc_id", "_id"), ["_id", "th"]).select(F.col("_id").alias("doc_id"), "th", "text", "keys")
-    spans = _spans(_units(asked, hot, 3 * n, length, gram), length, gram).groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans"))
-    named = whole.join(spans.withColumnRenamed("doc_id", "_id"), ["_id", "th"], "left").join(copies.select(F.col("doc_id").alias("_id"), "th", F.lit(True).alias("copy")), ["_id", "th"], "left")
-    alone = rows.where("_id is null").withColumns({"spans": F.lit(None).cast("array<binary>"), "copy": F.lit(False)})
-    return named.select(*keep, "spans", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(alone.select(*keep, "spans", "copy"))
+def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with row.text as a column of its own."""
+    for batch in batches:
+        yield batch.append_column("text", batch.column(batch.schema.get_field_index("row")).field("text"))
 
 
-def _kept(data: bytes, copy: bool, spans: list[bytes] | None) -> tuple[np.ndarray, int]:
+def _kept(data: bytes, copy: bool, spans: bytes | None) -> tuple[np.ndarray, int]:
     """Which bytes stay, and the number of removed runs."""
     if copy:
         return np.zeros(len(data), bool), int(len(data) > 0)
     if not spans:
         return np.ones(len(data), bool), 0
-    at = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+    at = np.frombuffer(spans, "<i8").reshape(-1, 2)
     change = np.zeros(len(data) + 1, np.int64)
     np.add.at(change, at[:, 0], 1)
     np.add.at(change, at[:, 1], -1)
@@ -481,7 +561,7 @@ def repeats(documents: DataFrame, **settings) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buffer, offsets in T.chunks(batches):
+        for rows, buffer, offsets in T.chunks(_with_text(batches)):
             out = []
             copies, spans = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("copy", "spans"))
             for a, b, copy, some in zip(offsets[:-1], offsets[1:], copies, spans):
@@ -489,7 +569,7 @@ def repeats(documents: DataFrame, **settings) -> DataFrame:
                 left = buffer[a:b][kept]
                 out.append((int(b - a), int(b - a - len(left)), n_spans, hashlib.sha256(left.tobytes()).hexdigest()))
             columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("row")).field("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return marked(documents, **settings).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -500,8 +580,9 @@ def without_repeats(documents: DataFrame, **settings) -> DataFrame:
     columns = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buffer, offsets in T.chunks(batches):
-            out = {c: rows.column(rows.schema.get_field_index(c)) for c in columns}
+        for rows, buffer, offsets in T.chunks(_with_text(batches)):
+            row = rows.column(rows.schema.get_field_index("row"))
+            out = {c: row.field(c) for c in columns}
             copies, spans, texts = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("copy", "spans", "text"))
             stays = np.ones(rows.num_rows, bool)
             for i, (copy, some) in enumerate(zip(copies, spans)):
