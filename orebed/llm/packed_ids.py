@@ -131,7 +131,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, fi
             where.move(own, f"{path}/{name}")
             return pa.RecordBatch.from_pylist([{"file": name, "uri": f"{folder}/{name}", "n_docs": len(names), "n_ids": size // 4}])
 
-        for rows, _, _ in T.chunks(batches, limit=1 << 20):
+        for rows, _, _ in T.chunks(batches, limit=1 << 19):
             for name, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist())):
                 names.append(name)
                 encoded.append(ids + end)

@@ -42,7 +42,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
-        for rows, _, _ in T.chunks(batches, limit=1 << 20):
+        for rows, _, _ in T.chunks(batches, limit=1 << 19):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "place")}
             for name, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist())):
                 data = memoryview(ids + end)
@@ -176,7 +176,8 @@ def _epoch(islands: DataFrame, last: bool, capacity: int, settings: dict) -> Dat
         blob = rows["lengths"].iloc[0]
         return pd.DataFrame({"shard": shard, "island": [i for i, _ in sent], "lengths": [blob] * len(sent), "packing": [_as_labels(p, len(lengths)) for _, p in sent]})
 
-    return islands.groupBy("shard", "island").applyInPandas(run, _ISLAND)
+    spread = islands.repartition(shards(islands.sparkSession), "shard", "island")  # small rows, long work: not to be coalesced
+    return spread.groupBy("shard", "island").applyInPandas(run, _ISLAND)
 
 
 def pack(rows: DataFrame, n_documents: int, capacity: int = CAPACITY, shard_documents: int = SHARD_DOCUMENTS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:

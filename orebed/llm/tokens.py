@@ -20,10 +20,11 @@ _SPACE = r"\t-\r \x85\xa0"
 _KNOWN = re.compile(r"[\x00-įı-ɏ]*")
 # The two patterns, as in the tokenizers' files.
 _BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_WORD_END = re.compile(rf"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
-_PATTERNS = {"ByteLevel": _BYTE_LEVEL, "Sequence": _WORD_END}
+_WORD_END = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+# The pattern of a tokenizer, and what it does to a text before: the second lower-cases.
+_PATTERNS = {"ByteLevel": (_BYTE_LEVEL, str), "Sequence": (_WORD_END, str.lower)}
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 
 
 class Encoder:
@@ -36,7 +37,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pattern = _PATTERNS[type(self.tokenizer.pre_tokenizer).__name__]
+        self.pattern, self.prepare = _PATTERNS[type(self.tokenizer.pre_tokenizer).__name__]
         self.cache: dict[str, bytes] = {}
         self.most = cache_pieces
 
@@ -45,7 +46,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null is an empty text."""
-        cut = [self.pattern.findall(t) if t and _KNOWN.fullmatch(t) else None for t in texts]
+        cut = [self.pattern.findall(self.prepare(t)) if t and _KNOWN.fullmatch(t) else None for t in texts]
         new = {p for pieces in cut if pieces for p in pieces if p not in self.cache}
         if len(self.cache) + len(new) > self.most:
             self.cache = {}
