@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: The separators of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
@@ -53,6 +53,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at), buffer[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        del batch, buffer, offsets
+        pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
 
 def document_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
