@@ -193,3 +193,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     component = F.when(~F.col("fine"), F.col("vec_id")).otherwise(F.when(F.col("component_id") != _NO_ID, F.col("component_id")))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+SQL = """
+WITH RECURSIVE vectors AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (SELECT vec_id AS u, vec_id AS w FROM vectors UNION SELECT reached.u, links.w FROM reached JOIN links ON links.u = reached.w),
+least AS (SELECT u, min(w) AS component_id FROM reached GROUP BY u),
+counted AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT l.u AS vec_id, coalesce(n, 0) AS n_links, component_id, l.u = component_id AS kept FROM least l LEFT JOIN counted USING (u)
+"""

@@ -22,10 +22,10 @@ UNIT = ("g", "lo", "hi")
 
 
 def units(rows: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Rows of g (group), p (order value) and id, dealt to the work units (g, lo, hi); side tells the two tiles of a unit apart."""
+    """Rows of g (group), p (order value) and id, dealt to the work units (g, lo, hi); side tells the two tiles of a unit apart. A row alone in its group has nothing to be compared with and goes."""
     parts = rows.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"))
-    large = parts.groupBy("g").agg(F.sum("n").alias("n"), F.collect_list(F.struct("p", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))).alias("parts")).where(F.col("n") > tile).drop("n")
-    rows = rows.join(large, "g", "left")
+    groups = parts.groupBy("g").agg(F.sum("n").alias("n"), F.collect_list(F.struct("p", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))).alias("parts")).where("n > 1")
+    rows = rows.join(groups.select("g", F.when(F.col("n") > tile, F.col("parts")).alias("parts")), "g")
     name = lambda p, s: p.cast("long") * (1 << 32) + s
     own = F.filter("parts", lambda x: x["p"] == F.col("p"))[0]["tiles"]
     rows = rows.withColumn("own", F.when(F.col("parts").isNotNull(), name(F.col("p"), F.pmod(F.xxhash64("id", F.lit(7)), own))))
