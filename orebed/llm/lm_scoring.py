@@ -169,12 +169,14 @@ def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.nd
 
 
 def _read(row: dict, name: str, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket's keys of level ``least`` at least, and their counts."""
     n = np.frombuffer(row[f"{name}_counts"], "<i8")
-    return _wide(row[f"{name}s"], 6)[n >= least], n[n >= least]
+    kept = level(n) >= least if len(n) else n > 0
+    return _wide(row[f"{name}s"], 6)[kept], n[kept]
 
 
 def summary(table: DataFrame, hot_words: int) -> tuple[int, int, dict, DataFrame]:
-    """N, V, entries by kind and count (counts of 64 and more as 64), and the most frequent words."""
+    """N, V, entries by kind and level, and the most frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +188,8 @@ def summary(table: DataFrame, hot_words: int) -> tuple[int, int, dict, DataFrame
                 out += [{"kind": 3, "bucket": 0, "key": 0, "n": int(n.sum())}, {"kind": 3, "bucket": 0, "key": 1, "n": len(n)}]
                 for kind, name in ((0, "word"), (1, "pair")):
                     _, n = _read(row, name, 1)
-                    entries = np.bincount(np.minimum(n, 64), level(n) if len(n) else n, 65)
+                    high = level(n) if len(n) else n
+                    entries = np.bincount(high, high)
                     out += [{"kind": kind, "bucket": 0, "key": c, "n": int(e)} for c, e in enumerate(entries.tolist()) if e]
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64())]))
 
@@ -197,10 +200,10 @@ def summary(table: DataFrame, hot_words: int) -> tuple[int, int, dict, DataFrame
 
 
 def _cutoff(entries: dict[int, int], most: float) -> int:
-    """The least count such that the entries of n-grams of that count and more fit; 65 if none do."""
-    total, least = 0, 65
-    for c in range(64, 0, -1):
-        total += entries.get(c, 0)
+    """The least level such that the entries of n-grams of that level and more fit; above the highest if none do."""
+    total, least = 0, max(entries, default=0) + 1
+    for c in sorted(entries, reverse=True):
+        total += entries[c]
         if total > most:
             break
         least = c

@@ -113,6 +113,16 @@ def test_filter_gives_counts_back():
     assert (lm_scoring.Filter(np.frombuffer(data, np.uint8), size, 4).levels(rng.integers(0, 1 << 63, 3000).astype(np.uint64)) == 0).mean() > 0.98
 
 
+def test_filter_holds_what_it_is_sized_for(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40) for _ in range(70 + j))) for i in range(20)], "doc_id long, text string")
+    table = lm_scoring.counts(docs, 4)
+    sums = lm_scoring.summary(table, 10)[2]
+    for max_bits in (64, 1 << 13, 1 << 15, 1 << 20):
+        data, size = lm_scoring.build(table, sums, 4, max_bits)
+        assert len(data) * 8 <= max(max_bits, 4 * 64) + 4 * 8
+        assert np.unpackbits(np.frombuffer(data, np.uint8)).mean() < 0.55
+
+
 def test_fingerprints_and_components(spark, docs, texts):
     def plain(t):
         words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
