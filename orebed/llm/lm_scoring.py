@@ -2,18 +2,21 @@
 
 Counts of all words and word pairs of the training texts are taken exactly, by
 hash bucket.  A filter then holds, for each n-gram of count c, the entries
-(n-gram, 1) to (n-gram, level(c)) with level(c) = 1 + floor(log_STEP c); a
-worker finds a count again, but for the step, by probing levels until one is
-missing.  Every bucket builds the segment of the filter that its n-grams hash
-to; the filter has at most ``max_bits`` bits, and of n-grams that do not fit at
-``BITS_PER_ENTRY`` bits an entry the rarest are left out.  The model mixes pair,
-word and uniform probabilities with weights fitted by leave-one-out expectation
-maximisation on a bounded sample of training texts.
+(n-gram, 1) to (n-gram, level(c)) with level(c) = 1 + floor(log_STEP c); a count
+is found again, but for the step, by probing levels until one is missing.  Every
+bucket has the segment of the filter that its n-grams hash to, as a row of a
+written table, of ``BITS_PER_ENTRY`` bits for each of its entries: the filter
+grows with the training texts and is never in one place.
+
+A chunk of documents asks each bucket for the levels of its distinct n-grams and
+for the exact counts of its words; the replies meet at the chunk, where they
+make the levels of every token.  The model mixes pair, word and uniform
+probabilities with weights fitted by leave-one-out expectation maximisation over
+all whole training texts: a token's three probabilities depend on three levels
+only, so the steps run on the number of tokens of each such triple, a table
+bounded by the levels and not by the texts.
 
 Besides the model's score there is the exact add-one score of single words.
-Counts of the ``HOT_WORDS`` most frequent words, a bounded table, are sent to the
-workers; for all others the places where they occur, packed by chunk of
-documents, meet their counts in the word's bucket.
 
 Words are told apart by 64-bit hashes (48 bits and the bucket).  Defined
 results: a null or empty text is the end token alone; equal rows get equal rows;
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +39,14 @@ from .common import shards, written
 from .suffix_dedup import _groups, whole_buckets
 
 END = np.uint64(0x5851F42D4C957F2D)
-STEP, BITS_PER_ENTRY, PROBES, MAX_BITS = 1.5, 12, 6, 1 << 28
-HOT_WORDS, SAMPLE = 50_000, 400
-#: Texts of the fitting sample with this share of their pairs found elsewhere have copies in the corpus, and would teach the mixture to trust pairs; they are left out of it.
+STEP, BITS_PER_ENTRY, PROBES = 1.5, 12, 6
+#: Training texts with this share of their pairs found elsewhere have copies in the corpus, and would teach the mixture to trust pairs; they are left out of it.
 COPIED = 0.9
 _KEY = np.uint64((1 << 48) - 1)
+#: Bytes of a key: words are counted exactly; pairs of equal bucket and 40 bits are far rarer than the filter's false positives.
+WIDTH = {"word": 6, "pair": 5}
+#: Bytes of text of a chunk: the more, the fewer n-grams are asked for twice.
+CHUNK_BYTES = 8 << 20
 
 
 def tokens_of(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,35 +94,40 @@ def _tallied(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
 # --- counts -------------------------------------------------------------------
 
 _PART = "bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
+_SEGMENT = "bucket int, tokens long, kinds long, words binary, word_counts binary, bits binary"
 
 
 def counts(training: DataFrame, n_buckets: int) -> DataFrame:
-    """bucket, words (48-bit keys, sorted), word_counts, pairs (48-bit keys), pair_counts: exact counts; of pairs, those of count 2 at least."""
+    """bucket, tokens, kinds (how many words, and distinct ones), words (48-bit keys, sorted), word_counts, bits (the filter's segment of all words and pairs)."""
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts"))])
 
+    segments = pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("kinds", pa.int64()), *((c, pa.binary()) for c in ("words", "word_counts", "bits"))])
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buffer, offsets in T.chunks(batches):
+        for _, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
             hashes, _ = tokens_of(buffer, offsets)
             out: dict[int, dict] = {}
             for name, some in (("word", hashes), ("pair", pairs_of(hashes))):
                 keys, n = _tallied(some)
                 for b, at in _groups(bucket_of(keys, n_buckets)):
                     row = out.setdefault(b, {"bucket": b, "words": b"", "word_counts": b"", "pairs": b"", "pair_counts": b""})
-                    row[f"{name}s"], row[f"{name}_counts"] = _cut(keys[at], 6), n[at].astype("<u4").tobytes()
+                    row[f"{name}s"], row[f"{name}_counts"] = _cut(keys[at], WIDTH[name]), n[at].astype("<u4").tobytes()
             yield pa.RecordBatch.from_pylist(list(out.values()), schema)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
-            row = {"bucket": table.column("bucket")[0].as_py()}
-            for name, least in (("word", 1), ("pair", 2)):
-                keys = _wide(b"".join(table.column(f"{name}s").to_pylist()), 6)
+            found = {}
+            for name in ("word", "pair"):
+                keys = _wide(b"".join(table.column(f"{name}s").to_pylist()), WIDTH[name])
                 n = np.frombuffer(b"".join(table.column(f"{name}_counts").to_pylist()), "<u4").astype(np.int64)
-                keys, n = _tallied(keys, n)
-                row[f"{name}s"], row[f"{name}_counts"] = _cut(keys[n >= least], 6), n[n >= least].astype("<i8").tobytes()
-            yield pa.RecordBatch.from_pylist([row], schema)
+                found[name] = _tallied(keys, n)
+            keys, n = found["word"]
+            entries = sum(int(level(c).sum()) for _, c in found.values() if len(c))
+            row = {"bucket": table.column("bucket")[0].as_py(), "tokens": int(n.sum()), "kinds": len(n), "words": _cut(keys, 6), "word_counts": n.astype("<i8").tobytes()}
+            yield pa.RecordBatch.from_pylist([row | {"bits": segment(found["word"], found["pair"], size_for(entries))}], segments)
 
     dealt = training.select("text").mapInArrow(tally, _PART).repartition(shards(training.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return written(dealt.mapInArrow(total, _PART), "counts")
+    return written(dealt.mapInArrow(total, _SEGMENT), "segments")
 
 
 # --- the filter ---------------------------------------------------------------
@@ -157,6 +169,11 @@ class Filter:
         return out
 
 
+def size_for(entries: int) -> int:
+    """Bits of a segment: at most half of them get set, as an entry sets PROBES."""
+    return max(64, -(-entries * BITS_PER_ENTRY // 8) * 8)
+
+
 def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], size: int) -> bytes:
     bits = np.zeros(size, bool)
     for keys, n in (words, pairs):
@@ -168,223 +185,182 @@ def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.nd
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _read(row: dict, name: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket's keys of level ``least`` at least, and their counts."""
-    n = np.frombuffer(row[f"{name}_counts"], "<i8")
-    kept = level(n) >= least if len(n) else n > 0
-    return _wide(row[f"{name}s"], 6)[kept], n[kept]
+# --- scores -------------------------------------------------------------------
 
+_REQUEST = "bucket int, chunk long, n_words int, keys binary, state binary, bits binary"
+_REPLY = "bucket long, source int, levels binary, counts binary"
+_LEVELS = "docs binary, own binary, pair binary"
+_DOC = np.dtype([("id", "<i8"), ("scored", "<i8"), ("learnt", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
+_ROW = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_NULL = -(1 << 63)
 
-def summary(table: DataFrame, hot_words: int) -> tuple[int, int, dict, DataFrame]:
-    """N, V, entries by kind and level, and the most frequent words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = []
-                keys, n = _read(row, "word", 1)
-                top = np.argsort(-n, kind="stable")[:hot_words]
-                out += [{"kind": 2, "bucket": row["bucket"], "key": int(keys[i]), "n": int(n[i])} for i in top.tolist()]
-                out += [{"kind": 3, "bucket": 0, "key": 0, "n": int(n.sum())}, {"kind": 3, "bucket": 0, "key": 1, "n": len(n)}]
-                for kind, name in ((0, "word"), (1, "pair")):
-                    _, n = _read(row, name, 1)
-                    high = level(n) if len(n) else n
-                    entries = np.bincount(high, high)
-                    out += [{"kind": kind, "bucket": 0, "key": c, "n": int(e)} for c, e in enumerate(entries.tolist()) if e]
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64())]))
-
-    rows = written(table.mapInArrow(run, "kind int, bucket int, key long, n long"), "summary")
-    sums = {(r["kind"], r["key"]): r["n"] for r in rows.where("kind != 2").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}
-    hot = rows.where("kind = 2").orderBy(F.desc("n"), "bucket", "key").limit(hot_words)
-    return sums.get((3, 0), 0), sums.get((3, 1), 0), sums, hot
-
-
-def _cutoff(entries: dict[int, int], most: float) -> int:
-    """The least level such that the entries of n-grams of that level and more fit; above the highest if none do."""
-    total, least = 0, max(entries, default=0) + 1
-    for c in sorted(entries, reverse=True):
-        total += entries[c]
-        if total > most:
-            break
-        least = c
-    return least
-
-
-def build(table: DataFrame, sums: dict, n_buckets: int, max_bits: int) -> tuple[bytes, int]:
-    """The filter's bytes (at most ``max_bits`` / 8, through the driver) and the bits of a segment."""
-    words, pairs = ({c: n for (kind, c), n in sums.items() if kind == k} for k in (0, 1))
-    room = max_bits / BITS_PER_ENTRY
-    least_word = _cutoff(words, room * 2 / 3)
-    used = sum(n for c, n in words.items() if c >= least_word)
-    least_pair = _cutoff(pairs, room - used)
-    used += sum(n for c, n in pairs.items() if c >= least_pair)
-    size = max(64, -(-int(min(max_bits, used * BITS_PER_ENTRY)) // n_buckets // 8) * 8)
+def _asked(names: np.ndarray, tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Hashes of a chunk's distinct words (as given) and then pairs, the pair of each token, and the places of the hashes by bucket."""
+    tokens = tokens.astype(np.int64)
+    end = tokens[-1:]  # every document ends with an end token
+    codes, pair = np.unique(np.concatenate([end, tokens[:-1]]) * len(names) + tokens, return_inverse=True)
+    hashes = np.concatenate([names, T.pair_hashes(names[codes // len(names)], names[codes % len(names)])])
+    return hashes, pair, list(_groups(bucket_of(hashes, n_buckets)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([row["bucket"]], pa.int32()), "bits": pa.array([segment(_read(row, "word", least_word), _read(row, "pair", least_pair), size)], pa.binary())})
 
-    data = bytearray(n_buckets * (size // 8))
-    for row in table.mapInArrow(run, "bucket int, bits binary").toLocalIterator():
-        data[row["bucket"] * (size // 8) : (row["bucket"] + 1) * (size // 8)] = row["bits"]
-    return bytes(data), size
+def token_levels(rows: DataFrame, table: DataFrame, n_buckets: int) -> DataFrame:
+    """The levels of every token's word and pair, with the documents' counts, packed by chunk; rows are doc_id, text, scored, learnt.
 
+    A chunk is named by its task and turn, so the rows of ``rows`` are taken to
+    come in one order if a task runs again, as those of a stored table do.
+    """
 
-# --- scores -------------------------------------------------------------------
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("keys", "state", "bits"))])
+        chunk = TaskContext.get().partitionId() << 32
+        for part, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
+            column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
+            hashes, doc = tokens_of(buffer, offsets)
+            names, tokens, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # places of frequent words are small and pack well
+            names, tokens = names[order], np.argsort(order)[tokens]
+            docs = np.zeros(len(offsets) - 1, _DOC)
+            docs["id"] = column("doc_id").fill_null(_NULL).to_numpy()
+            docs["scored"], docs["learnt"] = (column(c).to_numpy(zero_copy_only=False) for c in ("scored", "learnt"))
+            docs["tokens"] = np.bincount(doc, minlength=len(docs))
+            wanted, _, groups = _asked(names, tokens, n_buckets)
+            head = np.array([len(docs), len(names), len(tokens)], "<i8")
+            state = b"".join((head.tobytes(), docs.tobytes(), names.astype("<u8").tobytes(), tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+            out = []
+            for b, at in groups:
+                k = int(np.searchsorted(at, len(names)))
+                out.append({"bucket": b, "chunk": chunk, "n_words": k, "keys": _cut(wanted[at[:k]], WIDTH["word"]) + _cut(wanted[at[k:]], WIDTH["pair"])})
+            yield pa.RecordBatch.from_pylist([*out, {"bucket": chunk % n_buckets, "chunk": chunk, "state": len(state).to_bytes(8, "little") + pa.compress(state, "zstd", asbytes=True)}], schema)
+            chunk += 1
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("bucket", pa.int64()), ("source", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())])
+        for asked in whole_buckets(batches):
+            asked = asked.sort_by([("chunk", "ascending")])  # the segment, of chunk -1, comes first
+            keys, n, filter_ = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+            for batch in asked.to_batches(max_chunksize=64):
+                out = []
+                for row in batch.to_pylist():
+                    if row["chunk"] < 0:
+                        keys, n = _wide(row["keys"], 6), np.frombuffer(row["state"], "<i8")
+                        filter_ = Filter(np.frombuffer(row["bits"], np.uint8), len(row["bits"]) * 8, 1)
+                    elif row["keys"] is None:
+                        out.append({"bucket": row["chunk"], "source": -1, "levels": row["state"]})
+                    else:
+                        cut = row["n_words"] * WIDTH["word"]
+                        wanted = _wide(row["keys"][:cut], WIDTH["word"])
+                        both = np.concatenate([wanted, _wide(row["keys"][cut:], WIDTH["pair"])])
+                        levels = filter_.levels(both) if filter_ else np.zeros(len(both), np.int64)
+                        at = np.searchsorted(keys, wanted).clip(0, max(len(keys) - 1, 0))
+                        found = np.where(keys[at] == wanted, n[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
+                        out.append({"bucket": row["chunk"], "source": row["bucket"], "levels": levels.astype(np.uint8).tobytes(), "counts": found.astype("<i8").tobytes()})
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table_ in whole_buckets(batches):
+            replies = {r["source"]: r for r in table_.to_pylist()}
+            packed = replies[-1]["levels"]
+            state = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+            n_docs, n_names, n_tokens = np.frombuffer(state, "<i8", 3).tolist()
+            docs = np.frombuffer(state, _DOC, n_docs, 24).copy()
+            names = np.frombuffer(state, "<u8", n_names, 24 + docs.nbytes)
+            tokens = np.ascontiguousarray(np.frombuffer(state, np.uint8, 4 * n_tokens, 24 + docs.nbytes + names.nbytes).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+            hashes, pair, groups = _asked(names, tokens, n_buckets)
+            levels, known = np.zeros(len(hashes), np.uint8), np.zeros(n_names, np.int64)
+            for b, at in groups:
+                levels[at] = np.frombuffer(replies[b]["levels"], np.uint8)
+                known[at[at < n_names]] = np.frombuffer(replies[b]["counts"], "<i8")
+            doc = np.repeat(np.arange(n_docs), docs["tokens"])
+            docs["known"] = np.bincount(doc[known[tokens] > 0], minlength=n_docs)
+            docs["base"] = np.bincount(doc, np.log10(known + 1.0)[tokens], n_docs)
+            yield pa.RecordBatch.from_pydict({"docs": pa.array([docs.tobytes()], pa.binary()), "own": pa.array([levels[tokens].tobytes()], pa.binary()), "pair": pa.array([levels[n_names + pair].tobytes()], pa.binary())})
+
+    by_bucket = lambda rows: rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    given = table.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("n_words"), F.col("words").alias("keys"), F.col("word_counts").alias("state"), "bits")
+    replies = by_bucket(rows.mapInArrow(ask, _REQUEST).unionByName(given)).mapInArrow(answer, _REPLY)
+    return written(by_bucket(replies).mapInArrow(gather, _LEVELS), "levels")
 
-def _shares(filter_: Filter, hashes: np.ndarray, total: int, kinds: int, out_of: int = 0) -> np.ndarray:
-    """Pair, word and uniform probability of each token; ``out_of`` 1 leaves its own occurrence out."""
-    distinct, back = np.unique(hashes, return_inverse=True)
-    word = count_at(filter_.levels(distinct))
-    before = np.concatenate([[END], hashes[:-1]])
-    pair = count_at(filter_.levels(pairs_of(hashes)))
-    context = word[np.searchsorted(distinct, before).clip(0, max(len(distinct) - 1, 0))]
-    own = word[back]
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's documents, the document of each token, and its code: the levels of its pair, of the word before and of its own, a byte each."""
+    docs = np.frombuffer(row["docs"], _DOC)
+    own, pair = (np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("own", "pair"))
+    return docs, np.repeat(np.arange(len(docs)), docs["tokens"]), pair << 16 | np.concatenate([own[-1:], own[:-1]]) << 8 | own
+
+
+def _shares(codes: np.ndarray, total: int, kinds: int, out_of: int = 0) -> np.ndarray:
+    """Pair, word and uniform probability of tokens of a code; ``out_of`` 1 leaves its own occurrence out."""
+    pair, context, own = (count_at(codes >> k & 255) for k in (16, 8, 0))
     pair_share = np.where(context > out_of, np.minimum(np.maximum(pair - out_of, 0) / np.maximum(context - out_of, 1), 1.0), 0.0)
     word_share = np.maximum(own - out_of, 0) / max(total - out_of, 1)
-    return np.column_stack([pair_share, word_share, np.full(len(hashes), 1 / (kinds + 1))])
+    return np.column_stack([pair_share, word_share, np.full(len(codes), 1 / (kinds + 1))])
 
 
-def mixture(shares: np.ndarray, steps: int = 30) -> list[float]:
-    """Weights of the three probabilities, by expectation maximisation."""
+def mixture(shares: np.ndarray, n: np.ndarray, steps: int = 30) -> list[float]:
+    """Weights of the three probabilities, by expectation maximisation; ``n`` tokens have each row's shares."""
     weights = np.array([0.3, 0.6, 0.1])
     for _ in range(steps if len(shares) else 0):
         part = shares * weights
-        weights = np.maximum((part / part.sum(1, keepdims=True)).mean(0), 1e-6)
+        weights = np.maximum(n @ (part / part.sum(1, keepdims=True)) / n.sum(), 1e-6)
         weights /= weights.sum()
     return weights.tolist()
 
 
-_REQUEST = "bucket int, kind int, keys binary, repeats binary, places binary, numbers binary"
-_ROW = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_NULL = -(1 << 63)
-
+def fit(levels: DataFrame, total: int, kinds: int) -> list[float]:
+    """The mixture's weights from all tokens of the texts that are learnt from; the number of tokens of each code reaches the driver."""
 
-def score(documents: DataFrame, training: DataFrame, max_bits: int = MAX_BITS, hot_words: int = HOT_WORDS, sample: int = SAMPLE) -> DataFrame:
-    """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = documents.sparkSession
-    n_buckets = shards(spark)
-    table = counts(training, n_buckets)
-    total, kinds, sums, hot = summary(table, hot_words)
-    data, size = build(table, sums, n_buckets, max_bits)
-    hot_rows = hot.toPandas()
-    hot_names = (hot_rows["bucket"].to_numpy(np.uint64) << np.uint64(48)) | hot_rows["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hot_names)
-    shared = spark.sparkContext.broadcast((data, hot_names[order], hot_rows["n"].to_numpy(np.int64)[order]))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = Filter(np.frombuffer(shared.value[0], np.uint8), size, n_buckets)
-        found = []
-        for _, buffer, offsets in T.chunks(batches):
-            hashes, doc = tokens_of(buffer, offsets)
-            shares = _shares(filter_, hashes, total, kinds, 1)
-            seen = np.bincount(doc, shares[:, 0] > 0, len(offsets) - 1) / np.maximum(np.bincount(doc, minlength=len(offsets) - 1), 1)
-            found.append(shares[(seen < COPIED)[doc]])
-        yield pa.RecordBatch.from_pydict({"weights": pa.array([mixture(np.concatenate(found) if found else np.zeros((0, 3)))], pa.list_(pa.float64()))})
-
-    place = F.xxhash64(F.lit(3), F.col("doc_id").cast("long"))
-    some = training.select("doc_id").orderBy(place, "doc_id").limit(sample).distinct()
-    bounded = training.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.expr("substr(text, 1, 20000)").alias("text"))
-    weights = next(iter(bounded.repartition(1).mapInArrow(fit, "weights array<double>").collect()), [[0.0, 0.0, 1.0]])[0]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, names, frequent = shared.value
-        filter_, mix = Filter(np.frombuffer(bits, np.uint8), size, n_buckets), np.array(weights)
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "repeats", "places", "numbers"))])
-        for rows, buffer, offsets in T.chunks(batches):
-            n = len(offsets) - 1
-            ids = rows.column(rows.schema.get_field_index("doc_id")).fill_null(_NULL).to_numpy()
-            texts = np.asarray(rows.column(rows.schema.get_field_index("th")))
-            hashes, doc = tokens_of(buffer, offsets)
-            likely = np.log10(_shares(filter_, hashes, total, kinds) @ mix)
-            bucket = bucket_of(hashes, n_buckets)
-            name = bucket.astype(np.uint64) << np.uint64(48) | hashes & _KEY
-            at = np.searchsorted(names, name).clip(0, max(len(names) - 1, 0))
-            is_hot = names[at] == name if len(names) else np.zeros(len(name), bool)
-            base = np.bincount(doc[is_hot], np.log10(frequent[at[is_hot]] + 1.0) if len(names) else None, n)
-            numbers = np.column_stack([ids, texts, np.bincount(doc, minlength=n), np.bincount(doc[is_hot], minlength=n), base.view(np.int64), np.bincount(doc, likely, n).view(np.int64)])
-            out = [{"bucket": int(ids[0] % n_buckets), "kind": 1, "keys": b"", "repeats": b"", "places": b"", "numbers": numbers.astype("<i8").tobytes()}]
-            cold = np.flatnonzero(~is_hot)
-            cold = cold[np.lexsort((doc[cold], hashes[cold], bucket[cold]))]
-            who = np.column_stack([ids, texts]).astype("<i8").tobytes()
-            kind = "<u2" if n <= 1 << 16 else "<u4"
-            for b, part in _groups(bucket[cold]):
-                part = cold[part]
-                keys, repeats = _tallied(hashes[part] & _KEY)
-                part = part[np.argsort(hashes[part] & _KEY, kind="stable")]
-                held, places = np.unique(doc[part], return_inverse=True)
-                names_of = np.frombuffer(who, "<i8").reshape(-1, 2)[held].tobytes()
-                out.append({"bucket": b, "kind": 2 if kind == "<u2" else 3, "keys": _cut(keys, 6), "repeats": repeats.astype("<u4").tobytes(), "places": places.astype(kind).tobytes(), "numbers": names_of})
-            yield pa.RecordBatch.from_pylist(out, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, doc, codes = _unpacked(row)
+                distinct, back = np.unique(codes, return_inverse=True)
+                seen = np.bincount(doc, (_shares(distinct, total, kinds, 1)[:, 0] > 0)[back], len(docs)) / np.maximum(docs["tokens"], 1)
+                n = np.bincount(back[((docs["learnt"] > 0) & (seen < COPIED))[doc]], minlength=len(distinct))
+                yield pa.RecordBatch.from_pydict({"code": pa.array(distinct[n > 0], pa.int64()), "n": pa.array(n[n > 0], pa.int64())})
+
+    found = levels.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
+    return mixture(_shares(found["code"].to_numpy(np.int64), total, kinds, 1), found["n"].to_numpy(float))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Per row that is scored: doc_id, n_tokens, n_known, train_tokens, base_score, score; rows are doc_id, text, scored, learnt."""
+    n_buckets = shards(rows.sparkSession)
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    table = counts(rows.where("learnt"), n_buckets)
+    rows.sparkSession.sparkContext._jvm.System.gc()  # Spark then drops the shuffle that the written table came from
+    total, kinds = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    levels = token_levels(rows, table, n_buckets)
+    weights = fit(levels, total, kinds)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums over the task's words of each document, packed by the bucket of the document."""
-        held: list[np.ndarray] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, doc, codes = _unpacked(row)
+                distinct, back = np.unique(codes, return_inverse=True)
+                likely = np.bincount(doc, np.log10(_shares(distinct, total, kinds) @ np.array(weights))[back], len(docs))
+                base = docs["base"] - docs["tokens"] * np.log10(float(total + kinds + 1))
+                out = docs["scored"] > 0
+                docs = docs[out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs["id"], mask=docs["id"] == _NULL), pa.array(docs["tokens"]), pa.array(docs["known"]), pa.array(np.full(len(docs), total, np.int64)), pa.array(base[out]), pa.array(likely[out])],
+                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
-        def out() -> pa.RecordBatch:
-            sums = _summed(np.concatenate(held))
-            held.clear()
-            parts = [(b, sums[at].tobytes()) for b, at in _groups(sums[:, 0] % n_buckets)]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "sums"])
+    return levels.mapInArrow(run, _ROW)
 
-        for asked in whole_buckets(batches):
-            rows = asked.to_pylist()
-            keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for row in rows:
-                if row["kind"] == 0:
-                    keys, n = _wide(row["keys"], 6), np.frombuffer(row["numbers"], "<i8")
-            for row in rows:
-                if row["kind"] == 1:
-                    numbers = np.frombuffer(row["numbers"], "<i8").reshape(-1, 6)
-                    held.append(np.insert(numbers, 2, 1, axis=1))
-                elif row["kind"] > 1:
-                    wanted = _wide(row["keys"], 6)
-                    at = np.searchsorted(keys, wanted).clip(0, max(len(keys) - 1, 0))
-                    c = np.where(keys[at] == wanted, n[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
-                    c = np.repeat(c, np.frombuffer(row["repeats"], "<u4"))
-                    places = np.frombuffer(row["places"], "<u2" if row["kind"] == 2 else "<u4")
-                    ids, texts = np.frombuffer(row["numbers"], "<i8").reshape(-1, 2).T
-                    zero, base = np.zeros(len(ids), np.int64), np.bincount(places, np.log10(c + 1.0), len(ids))
-                    held.append(np.column_stack([ids, texts, zero, zero, np.bincount(places[c > 0], minlength=len(ids)), base.view(np.int64), zero]))
-            if sum(map(len, held)) > 1 << 20:
-                yield out()
-        if held:
-            yield out()
-
-    def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each row of a document; rows equal in id and text share their sums."""
-        for table_ in whole_buckets(batches):
-            ids, _, m, n_tokens, known, base, likely = _summed(np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 7) for x in table_.column("sums").to_pylist()])).T
-            base, likely = (np.ascontiguousarray(x).view(float) / m for x in (base, likely))
-            n_tokens, known = n_tokens // m, known // m
-            base = base - n_tokens * np.log10(float(total + kinds + 1))
-            every = np.repeat(np.arange(len(m)), m)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[every], mask=ids[every] == _NULL), *(pa.array(x[every]) for x in (n_tokens, known)), pa.array(np.full(len(every), total)), pa.array(base[every]), pa.array(likely[every])],
-                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(ask, _REQUEST)
-    given = table.select("bucket", F.lit(0).alias("kind"), F.col("words").alias("keys"), F.lit(b"").alias("repeats"), F.lit(b"").alias("places"), F.col("word_counts").alias("numbers"))
-    by_bucket = lambda rows: rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    answers = by_bucket(asked.unionByName(given)).mapInArrow(answer, "bucket int, sums binary")
-    return by_bucket(answers).mapInArrow(total_up, _ROW)
 
+def score(documents: DataFrame, training: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score; learnt from ``training``."""
+    given, learnt = (df.select("doc_id", "text", F.lit(x).alias("scored"), F.lit(not x).alias("learnt")) for df, x in ((documents, True), (training, False)))
+    return scored(given.unionByName(learnt))
 
-def _summed(rows: np.ndarray) -> np.ndarray:
-    """One row for each id and text: id, text hash, rows, tokens, known, and the base and model scores (doubles seen as integers)."""
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
-    counts = np.add.reduceat(rows[:, 2:5], first)
-    scores = np.add.reduceat(np.ascontiguousarray(rows[:, 5:7]).view(float), first)
-    return np.column_stack([rows[first, :2], counts, scores.view(np.int64)])
 
+def lm_scoring(documents: DataFrame, parts: int = 7, held: int = 2, hot_words: int | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that are not held out.
 
-def lm_scoring(documents: DataFrame, parts: int = 7, held: int = 2, **settings) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that are not held out."""
+    ``hot_words`` is of no effect: no word's count is sent to all workers any more.
+    """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
-    rows = score(documents, documents.where(~held_out), **settings)
+    rows = scored(documents.select("doc_id", "text", F.lit(True).alias("scored"), (~held_out).alias("learnt")))
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -114,13 +114,28 @@ def test_filter_gives_counts_back():
 
 
 def test_filter_holds_what_it_is_sized_for(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40) for _ in range(70 + j))) for i in range(20)], "doc_id long, text string")
-    table = lm_scoring.counts(docs, 4)
-    sums = lm_scoring.summary(table, 10)[2]
-    for max_bits in (64, 1 << 13, 1 << 15, 1 << 20):
-        data, size = lm_scoring.build(table, sums, 4, max_bits)
-        assert len(data) * 8 <= max(max_bits, 4 * 64) + 4 * 8
-        assert np.unpackbits(np.frombuffer(data, np.uint8)).mean() < 0.55
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40) for _ in range(70 + j)) + f" o{i} e{i}") for i in range(20)], "doc_id long, text string")
+    found = {r["bucket"]: r["bits"] for r in lm_scoring.counts(docs, 4).collect()}
+    size = sum(map(len, found.values())) * 8
+    assert size > 20 * 40 * 2 * 11 * lm_scoring.BITS_PER_ENTRY  # each of these words and pairs has a count of 69 or more
+    assert all(np.unpackbits(np.frombuffer(x, np.uint8)).mean() < 0.5 for x in found.values())
+    name = lambda w: lm_scoring.tokens_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0]
+    once = np.array([lm_scoring.pairs_of(name(f"o{i} e{i}"))[1] for i in range(20)])
+    for b in range(4):
+        some = once[lm_scoring.bucket_of(once, 4) == b]
+        assert (lm_scoring.Filter(np.frombuffer(found[b], np.uint8), len(found[b]) * 8, 1).levels(some & np.uint64((1 << 8 * lm_scoring.WIDTH["pair"]) - 1)) >= 1).all()
+
+
+def test_mixture_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(4)
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    common = lambda: " ".join(f"common{k}" for k in rng.integers(0, 30, 3000))
+    rows = [(i, common() + " " + " ".join(f"rare{i}x{k}" for k in range(3000))) for i in range(200, 240) if zlib.crc32(str(i).encode()) % 7 != 2]
+    kinds = 30 + 3000 * len(rows) + 1
+    docs = spark.createDataFrame([*rows, (held[0], "nowhere"), (held[1], "nowhere " * 101)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scoring(docs).collect()}
+    uniform = 10 ** ((found[held[1]] - found[held[0]]) / 100) * (kinds + 1)
+    assert 0.4 < uniform < 0.6  # half of all training words are seen once
 
 
 def test_fingerprints_and_components(spark, docs, texts):
