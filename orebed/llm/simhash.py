@@ -32,7 +32,6 @@ from .common import written
 from .components import components, forest
 
 RADIUS, WORDS, SEED = 3, 3, 42
-_NO_ID = (1 << 63) - 1
 _LOWER = bytes(T.LOWER)
 
 
@@ -59,15 +58,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buffer, offsets in T.chunks(batches):
             data = buffer.tobytes()
             found = [fingerprint(shingle_hashes(data[a:b], words)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "th")), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "th", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = 2048) -> DataFrame:
@@ -97,13 +96,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = 2048) -> DataFr
     return tiles.dealt(rows, radius, tile).select(*tiles.UNIT, "side", "p", "id", "fp").mapInArrow(compare, "u long, v long")
 
 
+def _grouped(rows: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(fp and root, the fingerprint that names its component, for every fp; per root: component_id and the first row's doc_id and th)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")  # null ids last
+    distinct = rows.groupBy("fp").agg(first)
+    found = components(written(links(distinct.select("fp", F.col("fp").alias("id")), radius, tile), "links"))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
+    rooted = written(rooted, "roots")
+    return rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("th"))
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WORDS, tile: int = 2048) -> DataFrame:
     """Per row: doc_id, fp, component_id (the least id reachable over links, its own included)."""
     rows = written(fingerprints(documents, words), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("id"))
-    found = components(written(links(distinct, radius, tile), "links"))
-    named = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", F.when(F.col("component_id") != _NO_ID, F.col("component_id")).alias("component_id"))
+    rooted, named = _grouped(rows, radius, tile)
+    return rows.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash(documents: DataFrame, **settings) -> DataFrame:
@@ -113,14 +120,14 @@ def simhash(documents: DataFrame, **settings) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """The documents' rows without those that are near-duplicates of a kept one: of each component the row of the least id stays.
+    """The documents' rows without those that are near-duplicates of a kept one: of each component of fingerprints the row of the least id stays, null ids last.
 
-    Rows that share that id are told apart by a hash of their columns; of equal
-    rows one stays.  Rows of null id stay if their component has no other.
+    Of rows of that id in the component that of the least text hash stays; rows
+    equal in both are told apart by a hash of their columns; of equal rows one stays.
     """
-    found = near_duplicates(documents, radius, words).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    stay = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("stay_id"))
-    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(*documents.columns).alias("hash"))
-    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
-    turn = Window.partitionBy("id").orderBy("hash")
+    named = _grouped(written(fingerprints(documents, words), "fingerprints"), radius, 2048)[1]
+    stay = named.select(F.col("component_id").alias("stay_id"), F.col("th").alias("stay_th"))
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), F.xxhash64(*documents.columns).alias("hash"))
+    rows = rows.join(stay, (F.col("th") == F.col("stay_th")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
+    turn = Window.partitionBy("id", "th").orderBy("hash")
     return rows.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
