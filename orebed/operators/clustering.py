@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import written
+from ..llm.components import components
 from .spatial import cluster_cells, pairs
 
 
@@ -29,27 +29,11 @@ def cluster_quality(df: DataFrame, columns: list[str], cluster: str = "cluster")
     return total.select(F.col("N").alias("n"), F.col("K").alias("clusters"), between.alias("between"), within.alias("within"), ((between / (F.col("K") - 1)) / (within / (F.col("N") - F.col("K")))).alias("score"))
 
 
-def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node, component (least node) of undirected edges u, v, by rounds of taking the least label around and that label's own label.
-
-    Each round is checkpointed to the session's checkpoint folder; the rounds
-    needed grow with the logarithm of a component's width.
-    """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"file:///tmp/orebed-{uuid.uuid4().hex}")
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label").checkpoint()
-    for _ in range(most_rounds):
-        around = both.join(labels.withColumnsRenamed({"node": "v", "label": "_l"}), "v").groupBy(F.col("u").alias("node")).agg(F.min("_l").alias("_m"))
-        new = labels.join(around, "node").select("node", F.least("label", "_m").alias("label"))
-        own = new.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-        new = new.join(own, "label", "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label")).checkpoint()
-        moved = new.join(labels.withColumnRenamed("label", "_old"), "node").where("label != _old").isEmpty()
-        labels = new
-        if moved:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component (least node) of undirected edges u, v (an edge of a node with itself names a node), by star rounds until nothing changes."""
+    edges = written(edges.select("u", "v"), "edges")
+    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+    return nodes.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def density_clusters(points: DataFrame, point_id: str, radius: float, least: int) -> DataFrame:
