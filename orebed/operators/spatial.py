@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import written
+
 AXES = ("x", "y", "z")
 
 
@@ -64,29 +66,42 @@ def reach_of(points: DataFrame, k: int, axes=AXES) -> float:
 def nearest(targets: DataFrame, points: DataFrame, k: int, start_radius: float | None, target_id: str, point_id: str, values: list[str] = (), max_radius: float | None = None, rounds: int = 12, axes=AXES, spread: str = "targets") -> DataFrame:
     """The k nearest points of every target with their rank (ties by point id).
 
-    Targets with fewer than k points within ``max_radius`` get those they have.
-    The radius doubles for the targets that are left; a round's hits are kept
-    (and recomputed where they are lost), so that no round runs twice.
+    Targets with fewer than k points within ``max_radius`` get those they have;
+    without it all get k points where the table has that many.  The radius
+    doubles for the targets that are left, and after ``rounds`` rounds grows
+    eightfold, until it is ``max_radius`` or the joint extent of targets and
+    points; a round's hits are written, so that no round runs
+    twice and plans stay short.
     """
     order = Window.partitionBy("target").orderBy("distance", "point")
-    left, found, radius = targets.select(target_id, *axes), [], start_radius or reach_of(points, k, axes)
-    for step in range(rounds):
-        radius = min(radius, max_radius) if max_radius else radius
+    left, found, radius, limit, step = targets.select(target_id, *axes), [], start_radius or reach_of(points, k, axes), max_radius, 0
+    while True:
+        radius = radius if limit is None else min(radius, limit)
         hits = within(left, points, radius, target_id, point_id, values, axes, spread).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        last = step == rounds - 1 or (max_radius is not None and radius >= max_radius)
-        if last:
+        if limit is not None and radius >= limit:
             found.append(hits)
             break
-        hits = hits.persist()
+        hits = written(hits, "hits")
         done = hits.where(F.col("rank") == k).select(F.col("target").alias(target_id))
         found.append(hits.join(done.withColumnRenamed(target_id, "target"), "target", "left_semi"))
-        left = left.join(done, target_id, "left_anti").persist()
+        left = written(left.join(done, target_id, "left_anti"), "left")
         if left.isEmpty():
             break
-        radius *= 2
+        if limit is None:
+            limit = max(_extent(targets, points, axes), radius)
+        step += 1
+        radius *= 2 if step < rounds else 8
     return reduce(DataFrame.unionByName, found)
 
 
+def _extent(targets: DataFrame, points: DataFrame, axes=AXES) -> float:
+    """A distance that no target and point exceed; coordinates that are not finite are left out, as they are within no distance."""
+    both = targets.select(*axes).union(points.select(*axes))
+    finite = [F.when(F.abs(F.col(a)) < float("inf"), F.col(a)) for a in axes]
+    sides = both.agg(*(F.max(a) - F.min(a) for a in finite)).first()
+    return sum(float(v or 0) ** 2 for v in sides) ** 0.5 * (1 + 1e-9)
+
+
 def inverse_distance(neighbours: DataFrame, value: str, power: float = 2.0) -> DataFrame:
     """Estimate of each target from its neighbours; a point at the target decides."""
     w = F.pow(F.greatest(F.col("distance"), F.lit(1e-10)), F.lit(-float(power)))
