@@ -5,9 +5,11 @@ Ids are stored in the fewest bits that hold the vocabulary, in blocks of
 documents stand in the file, so any document is read by fetching its blocks
 only, and a block is unpacked by numpy at once.
 
-A file is: the header (``HEADER``), the documents' ids (int64; the least value
-for a null), their first id's place (uint64, one more than documents), the
-blocks' byte offsets in the payload (uint64, one more than blocks), the payload.
+A file is: the header (``HEADER``), the documents' ids (int64), their first id's
+place (uint64, one more than documents), the blocks' byte offsets in the payload
+(uint64, one more than blocks), which documents have no id (a byte each), the
+payload.  Widths of 8, 16 and 32 bits (50,257 ids take 16) are whole bytes as
+they are; other widths go through the same blocks, packed bit by bit.
 
 Documents are range-partitioned and sorted by id (null first, equal ids by
 text), encoded and written by the task that holds them; the files in the order
@@ -37,11 +39,10 @@ from . import textarrays as T
 from . import tokens
 from .common import shards, shared_folder, written
 
-MAGIC = b"OREBITS1"
+MAGIC = b"OREBITS2"
 HEADER = struct.Struct("<8sIIQQQ")  # magic, bits, ids a block, documents, ids, blocks
 BLOCK = 1 << 16
 FILE_IDS = 1 << 24
-NO_ID = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -69,15 +70,16 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return ((out >> (bit & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def file_bytes(doc_ids: list[int | None], encoded: list[bytes], bits: int, block: int = BLOCK) -> bytes:
-    ids = np.frombuffer(b"".join(encoded), "<u4")
-    starts = np.zeros(len(encoded) + 1, "<u8")
-    np.cumsum([len(e) // 4 for e in encoded], out=starts[1:])
+def file_bytes(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
+    """A file of documents: their ids, all their tokens behind each other and how many each has."""
+    starts = np.zeros(len(sizes) + 1, "<u8")
+    np.cumsum(sizes, out=starts[1:])
     packed = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.zeros(len(packed) + 1, "<u8")
     np.cumsum([len(p) for p in packed], out=offsets[1:])
-    names = np.array([NO_ID if d is None else d for d in doc_ids], "<i8")
-    return b"".join([HEADER.pack(MAGIC, bits, block, len(encoded), len(ids), len(packed)), names.tobytes(), starts.tobytes(), offsets.tobytes(), *packed])
+    names = np.array([d or 0 for d in doc_ids], "<i8")
+    none = np.array([d is None for d in doc_ids], np.uint8)
+    return b"".join([HEADER.pack(MAGIC, bits, block, len(sizes), len(ids), len(packed)), names.tobytes(), starts.tobytes(), offsets.tobytes(), none.tobytes(), *packed])
 
 
 class Reader:
@@ -94,7 +96,8 @@ class Reader:
             index.append(np.frombuffer(self.file.read_at(8 * n, at), kind).astype(np.int64))
             at += 8 * n
         self.doc_ids, self.starts, self.offsets = index
-        self.payload = at
+        self.nameless = np.frombuffer(self.file.read_at(self.n_docs, at), np.uint8) > 0
+        self.payload = at + self.n_docs
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """Ids start:end of the file; only the blocks that hold them are read."""
@@ -115,31 +118,31 @@ class Reader:
 def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_ids: int = FILE_IDS, partitions: int | None = None) -> DataFrame:
     """Write the files under ``folder`` (a path or URI that all executors share); returns their manifest: file, uri, n_docs, n_ids."""
     spark = documents.sparkSession
-    end = np.uint32(end_id).astype("<u4").tobytes()
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer, end_id)
         bits, (where, path) = bits_for(encoder.vocabulary), fs.FileSystem.from_uri(folder)
         where.create_dir(path, recursive=True)
-        part, k, names, encoded, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, k, held = TaskContext.get().partitionId(), 0, ([], [], [])
 
         def flush() -> pa.RecordBatch:
+            ids, sizes = np.concatenate(held[1]), np.concatenate(held[2])
             name = f"ids-{part:06d}-{k:05d}.bits"
             own = f"{path}/.{name}.{uuid.uuid4().hex}"
             with where.open_output_stream(own) as out:
-                out.write(file_bytes(names, encoded, bits))
+                out.write(file_bytes(held[0], ids, sizes, bits))
             where.move(own, f"{path}/{name}")
-            return pa.RecordBatch.from_pylist([{"file": name, "uri": f"{folder}/{name}", "n_docs": len(names), "n_ids": size // 4}])
-
-        for rows, _, _ in T.chunks(batches, limit=1 << 19):
-            for name, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist())):
-                names.append(name)
-                encoded.append(ids + end)
-                size += len(ids) + 4
-                if size // 4 >= file_ids:
-                    yield flush()
-                    k, names, encoded, size = k + 1, [], [], 0
-        if names:
+            return pa.RecordBatch.from_pylist([{"file": name, "uri": f"{folder}/{name}", "n_docs": len(sizes), "n_ids": len(ids)}])
+
+        for rows, _, _ in T.chunks(batches, limit=min(1 << 19, 4 * file_ids)):
+            ids, starts = encoder.encode(rows.column("text").to_pylist())
+            held[0].extend(rows.column("doc_id").to_pylist())
+            held[1].append(ids)
+            held[2].append(np.diff(starts))
+            if sum(map(len, held[1])) >= file_ids:
+                yield flush()
+                k, held = k + 1, ([], [], [])
+        if held[0]:
             yield flush()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -162,7 +165,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 data, at = memoryview(ids).cast("B"), (reader.starts * 4).tolist()
                 sums = [zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(reader.doc_ids, mask=reader.doc_ids == NO_ID), pa.array(reader.starts[:-1] + base), pa.array(np.diff(reader.starts)), pa.array(sums, pa.int64())],
+                    [pa.array(reader.doc_ids, mask=reader.nameless), pa.array(reader.starts[:-1] + base), pa.array(np.diff(reader.starts)), pa.array(sums, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -8,6 +8,9 @@ are bins: crossover injects whole well-filled bins of one parent into another,
 removes the bins that hold their items twice over, and refits the displaced
 items best-fit, longest first.  After each epoch an island's elite migrates to
 the next island of its shard; the best packing of any island is the shard's.
+The emptiest bin of every shard, the only place where a shard can waste what
+another could use, is opened again, and its pieces are packed as a level of
+their own, level by level until one shard is left.
 
 Defined results: a null or empty text is the end id alone, one piece; longer
 documents only are cut; equal and repeated rows, and equal or null ids, are
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,21 +41,26 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece, and where (a hash of its document's ids) to deal it by."""
-    end = np.uint32(end_id).astype("<u4").tobytes()
+    """doc_id, piece, start, length, ids_crc32 of every piece, and place (a hash of its document's ids and, for equal or null ids, of its turn in the chunk) to deal it by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer, end_id)
         for rows, _, _ in T.chunks(batches, limit=1 << 19):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "place")}
-            for name, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist())):
-                data = memoryview(ids + end)
-                place = zlib.crc32(data)
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    for c, v in zip(out, (name, k, at // 4, len(part) // 4, zlib.crc32(part), place)):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32", "place"))], list(out))
+            names = rows.column("doc_id")
+            ids, begin = encoder.encode(rows.column("text").to_pylist())
+            data, turns = memoryview(ids.astype("<u4")).cast("B"), Counter()
+            n = -(-np.diff(begin) // capacity)
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(begin[1:][doc] - begin[doc] - start, capacity)
+            at = 4 * (begin[doc] + start)
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            place = []
+            for name, a, b in zip(names.to_pylist(), (4 * begin[:-1]).tolist(), (4 * begin[1:]).tolist()):
+                place.append(zlib.crc32(data[a:b]) << 31 | turns[name])
+                turns[name] += 1
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(doc)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, sums, np.array(place)[doc]))], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{_PIECE}, place long")
 
@@ -180,40 +189,45 @@ def _epoch(islands: DataFrame, last: bool, capacity: int, settings: dict) -> Dat
     return spread.groupBy("shard", "island").applyInPandas(run, _ISLAND)
 
 
-def pack(rows: DataFrame, n_documents: int, capacity: int = CAPACITY, shard_documents: int = SHARD_DOCUMENTS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
-    """The rows of :func:`pieces` (a table that can be read again) with sequence_id and offset."""
-    n_shards = max(1, -(-n_documents // shard_documents))
+def pack(rows: DataFrame, n_rows: int, capacity: int = CAPACITY, shard_documents: int = SHARD_DOCUMENTS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, level: int = 0) -> DataFrame:
+    """The rows of :func:`pieces` that are shorter than the capacity (a table that can be read again, of about ``n_rows`` rows) with sequence_id and offset."""
+    n_shards = max(1, -(-n_rows // shard_documents))
     order = ["length", "doc_id", "piece", "ids_crc32"]
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("place", "doc_id"), F.lit(n_shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("place", "doc_id", F.lit(level)), F.lit(n_shards)))
     settings = {"islands": islands, "generations": generations, "population": population}
 
     def start(key, part: pd.DataFrame) -> pd.DataFrame:
         lengths = np.sort(part["length"].to_numpy())[::-1].astype("<i4").tobytes()
         return pd.DataFrame({"shard": int(key[0]), "island": np.arange(islands, dtype=np.int32), "lengths": [lengths] * islands, "packing": [None] * islands})
 
-    state = rows.where(F.col("length") < capacity).select("shard", "length").groupBy("shard").applyInPandas(start, _ISLAND)
+    state = rows.select("shard", "length").groupBy("shard").applyInPandas(start, _ISLAND)
     for epoch in range(epochs):
         state = _epoch(state, epoch == epochs - 1, capacity, settings | {"epoch": epoch})
 
     def finish(key, part: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        full = (part["length"] == capacity).to_numpy()
-        label, offset = np.arange(len(part)), np.zeros(len(part), np.int64)
-        if len(best):
-            lengths = np.frombuffer(best["lengths"].iloc[0], "<i4").tolist()
-            chosen = max((_as_bins(p) for p in sorted(best["packing"])), key=lambda b: fill(b, lengths, capacity))
-            first = int(full.sum())
-            for k, b in enumerate(chosen):
-                at = np.array(b)
-                label[first + at] = first + k
-                offset[first + at] = np.concatenate([[0], np.cumsum(part["length"].to_numpy()[first + at])[:-1]])
-        part["sequence_id"], part["offset"] = int(key[0]) * (1 << 32) + label, offset
-        return part[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
-
-    return rows.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(finish, f"{_PIECE}, sequence_id long, offset long")
+        lengths = np.frombuffer(best["lengths"].iloc[0], "<i4").tolist()
+        chosen = max((_as_bins(p) for p in sorted(best["packing"])), key=lambda b: fill(b, lengths, capacity))
+        label, offset = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        for k, b in enumerate(chosen):
+            label[b] = k
+            offset[b] = np.concatenate([[0], np.cumsum(part["length"].to_numpy()[b])[:-1]])
+        part["loose"] = label == int(np.argmin([sum(lengths[i] for i in b) for b in chosen]))
+        part["sequence_id"], part["offset"] = (level << 56) + (int(key[0]) << 24) + label, offset
+        return part[["doc_id", "piece", "start", "length", "ids_crc32", "place", "sequence_id", "offset", "loose"]]
+
+    packed = rows.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(finish, f"{_PIECE}, place long, sequence_id long, offset long, loose boolean")
+    result = [c.split()[0] for c in _PIECE.split(", ")] + ["sequence_id", "offset"]
+    if n_shards == 1:
+        return packed.select(result)
+    packed = written(packed, "packed")
+    opened = packed.where("loose").drop("sequence_id", "offset", "loose")
+    return packed.where("not loose").select(result).unionByName(pack(opened, opened.count(), capacity, shard_documents, islands, epochs, generations, population, level + 1))
 
 
 def best_fit_packing(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, **settings) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = written(pieces(documents, tokenizer, capacity), "pieces")
-    return pack(rows, rows.where("piece = 0").count(), capacity, **settings)
+    short, full = rows.where(F.col("length") < capacity), rows.where(F.col("length") == capacity)
+    alone = full.drop("place").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return pack(short, short.count(), capacity, **settings).unionByName(alone)

@@ -1,68 +1,196 @@
-"""Token ids of whole texts, with a bounded cache of the pieces texts are made of.
+"""Token ids of whole texts, each distinct unit of text being given to the library once.
 
-A tokenizer's merges never cross the pieces its pattern cuts a text into, so a
-piece always gets the same ids and a corpus of few distinct pieces need not be
-merged anew.  Texts of Latin letters are cut here by the tokenizer's own pattern
-with its classes written out; a text with any other character goes to the
-library whole.  Special tokens in a text are ordinary text.
+No piece that the two tokenizers' patterns cut holds white space after another
+character, so a text may be cut before any white space that follows such a
+character, and its ids are those of its units behind each other.  A bounded
+table keeps the units met before; those not met yet are encoded many at a time,
+as one text.  A tokenizer of another pattern gets every text whole.
+
+Special tokens that stand in a text get their own ids, as the library gives them.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
-from array import array
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+
+# White space as the tokenizers' patterns mean it.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Fixed value: the pattern of the tokenizer that drops white space, as in its file.
+_DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_UNITS = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_LEADING = re.compile(rf"[{_SPACE}]|\Z")
+_MARK = "\x00"
+#: Latin text, which the normaliser of the tokenizer that drops white space only lower-cases (but U+0130, which becomes two characters).
+_LATIN = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
+
+#: Units of a generation of the table; the one before is kept besides.
+TABLE_UNITS = 300_000
+
+
+class _Wide(Exception):
+    """White space after the space that a unit was cut at: the cut may part a piece."""
+
+
+class _Places(dict):
+    """The place of each unit in its generation's table.  A unit not met yet gets the next place: its ids come from the generation before, or are to be found."""
+
+    def __init__(self, count: Iterator[int], refused, older: dict):
+        super().__init__()
+        self.count, self.refused, self.older = count, refused, older
+        self.new: list[tuple[int, str]] = []
+        self.known: list[tuple[int, int]] = []
 
-# The letters, digits and spaces of the tokenizers' patterns, below U+0250 (U+0130, whose lower case is two characters, is left to the library).
-_LETTER = r"A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
-_DIGIT = r"0-9²³¹¼-¾"
-_SPACE = r"\t-\r \x85\xa0"
-_KNOWN = re.compile(r"[\x00-įı-ɏ]*")
-# The two patterns, as in the tokenizers' files.
-_BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_WORD_END = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
-# The pattern of a tokenizer, and what it does to a text before: the second lower-cases.
-_PATTERNS = {"ByteLevel": (_BYTE_LEVEL, str), "Sequence": (_WORD_END, str.lower)}
+    def __missing__(self, unit: str) -> int:
+        if self.refused(unit):
+            raise _Wide
+        self[unit] = place = next(self.count)
+        older = self.older.get(unit)
+        if older is None:
+            self.new.append((place, unit))
+        else:
+            self.known.append((place, older))
+        return place
 
-CACHE_PIECES = 250_000
+
+class _Generation:
+    """Ids of units: those of place p are ids[starts[p] : starts[p] + sizes[p]]."""
+
+    def __init__(self, end_id: int, refused, before: _Generation | None = None):
+        count = itertools.count(1)  # place 0 is the end id
+        self.spaced = _Places(count, refused, before.spaced if before else {})  # units after a space, which is left out
+        self.plain = _Places(count, lambda unit: False, before.plain if before else {})
+        self.ids, self.starts, self.sizes = np.array([end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.before = before
+
+    def forget(self) -> None:
+        """Let go of the generation before."""
+        self.before, self.spaced.older, self.plain.older = None, {}, {}
+
+    def add(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Ids behind each other, the places they belong to and how many each place takes."""
+        n = len(self.starts) + sum(len(places) for _, places, _ in parts)
+        starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        starts[: len(self.starts)], sizes[: len(self.sizes)] = self.starts, self.sizes
+        at = len(self.ids)
+        for ids, places, size in parts:
+            sizes[places], starts[places] = size, at + np.cumsum(size) - size
+            at += len(ids)
+        self.ids, self.starts, self.sizes = np.concatenate([self.ids, *(ids for ids, _, _ in parts)]), starts, sizes
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of places behind each other, and how many each has."""
+        size = self.sizes[places]
+        from_ = np.repeat(self.starts[places] - np.cumsum(size) + size, size)
+        from_ += np.arange(len(from_))
+        return self.ids[from_], size
 
 
 class Encoder:
-    """Ids of texts under a tokenizer file, as little-endian unsigned 32-bit bytes."""
+    """Ids of texts under a tokenizer file, an end id after each text."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, end_id: int = 0, table_units: int = TABLE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pattern, self.prepare = _PATTERNS[type(self.tokenizer.pre_tokenizer).__name__]
-        self.cache: dict[str, bytes] = {}
-        self.most = cache_pieces
+        self.end_id, self.most = end_id, table_units
+        with open(path, encoding="utf-8") as file:
+            cuts = json.load(file)["pre_tokenizer"] or {}
+        parts = cuts.get("pretokenizers", [])
+        mark = self._ids([_MARK])[0]
+        self.keeps = cuts.get("type") == "ByteLevel" and cuts.get("use_regex") and not cuts.get("add_prefix_space")
+        self.drops = len(mark) == 1 and len(parts) == 2 and parts[0].get("pattern") == {"Regex": _DROPPING} and parts[1].get("type") == "ByteLevel" and not parts[1].get("use_regex")
+        self.opens = np.zeros(self.vocabulary, bool)  # ids that open a unit of the first kind, or stand between units of the second
+        self.opens[mark if self.drops else [i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bare = Tokenizer.from_file(path)  # for Latin text that is lower-cased before
+        if self.drops:
+            self.bare.normalizer = None
+        self.refused = (lambda unit: not unit or _MARK in unit) if self.drops else _LEADING.match
+        self.table = _Generation(end_id, self.refused)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _places(self, text: str) -> np.ndarray:
+        units, spaced, plain = text.split(" "), self.table.spaced, self.table.plain
+        try:
+            if self.drops:
+                return np.fromiter(map(spaced.__getitem__, units), np.int64, len(units))
+            return np.fromiter(chain((plain[units[0]],), map(spaced.__getitem__, units[1:])), np.int64, len(units))
+        except _Wide:
+            if self.drops:
+                return np.array([plain[u] if self.refused(u) else spaced[u] for u in units])
+            return np.array([spaced[u[1:]] if u[0] == " " and not self.refused(u[1:]) else plain[u] for u in _UNITS.findall(text)])
+
+    def _together(self, new: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of units from one text that holds them all; None if they cannot be told apart there."""
+        units = [u for _, u in new]
+        text = f" {_MARK} ".join(["", *units]) if self.drops else " " + " ".join(units)
+        low, tokenizer = text.lower(), self.tokenizer
+        if self.drops and _LATIN.fullmatch(text) and not any(t in low for t in self.special):
+            text, tokenizer = low, self.bare
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        begin = np.flatnonzero(self.opens[ids])
+        if len(begin) != len(units):
+            return None
+        size = np.diff(np.append(begin, len(ids)))
+        if self.drops:
+            ids, size = ids[~self.opens[ids]], size - 1
+        return ids, np.array([p for p, _ in new]), size
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self) -> None:
+        """Find the ids of the units met since."""
+        table, parts = self.table, []
+        known = np.array(table.spaced.known + table.plain.known, np.int64).reshape(-1, 2)
+        if len(known):
+            ids, size = table.before.of(known[:, 1])
+            parts.append((ids, known[:, 0], size))
+        apart = list(table.plain.new)
+        latin = list(map(bool, (map(_LATIN.fullmatch, (u for _, u in table.spaced.new))))) if self.drops else [True] * len(table.spaced.new)
+        kinds = [list(itertools.compress(table.spaced.new, latin)), [x for x, yes in zip(table.spaced.new, latin) if not yes]]
+        for some in (kind[at : at + 4096] for kind in kinds for at in range(0, len(kind), 4096)):
+            found = self._together(some)
+            if found:
+                parts.append(found)
+            else:
+                apart += [(p, u if self.drops else " " + u) for p, u in some]
+        if apart:
+            found = self._ids([u for _, u in apart])
+            parts.append((np.array(list(chain.from_iterable(found)), np.uint32), np.array([p for p, _ in apart]), np.array(list(map(len, found)))))
+        table.add(parts)
+        for some in (table.spaced.new, table.spaced.known, table.plain.new, table.plain.known):
+            some.clear()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null is an empty text."""
-        cut = [self.pattern.findall(self.prepare(t)) if t and _KNOWN.fullmatch(t) else None for t in texts]
-        new = {p for pieces in cut if pieces for p in pieces if p not in self.cache}
-        if len(self.cache) + len(new) > self.most:
-            self.cache = {}
-            new = {p for pieces in cut if pieces for p in pieces}
-        if new:
-            ordered = list(new)
-            self.cache.update(zip(ordered, self._whole(ordered)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) if pieces else self._whole([t])[0] if t else b"" for t, pieces in zip(texts, cut)]
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids behind each other, each text's followed by the end id, and where each text's begin (one more than texts); a null is an empty text."""
+        if not (self.keeps or self.drops):
+            ids = [[*x, self.end_id] for x in self._ids([t or "" for t in texts])]
+            return np.array(list(chain.from_iterable(ids)), np.uint32), np.cumsum([0, *map(len, ids)])
+        if len(self.table.starts) > self.most:
+            self.table.forget()
+            self.table = _Generation(self.end_id, self.refused, self.table)
+        end, none = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        places = [self._places(t) if t else none for t in texts]
+        self._learn()
+        ids, size = self.table.of(np.concatenate([none, *(x for p in places for x in (p, end))]))
+        through = np.concatenate([[0], np.cumsum(size)])
+        return ids, through[np.cumsum([0, *(len(p) + 1 for p in places)])]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, end_id: int = 0) -> Encoder:
     """The worker's encoder of a file, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
