@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orebed.llm import mixing, packing, quality_rules, simhash, suffix_dedup
-from orebed.llm.common import written
+from orebed.operators.stored import written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

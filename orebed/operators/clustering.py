@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import written
-from ..llm.components import components
+from .stored import written
+from .components import components
 from .spatial import cluster_cells, pairs
 
 
