@@ -1,39 +1,11 @@
-"""What the operators share: the cluster's folder, label folds, label samples."""
+"""What the classifiers share: label folds and label samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where it is unset (local runs), one of our own for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        name = spark.sparkContext.applicationId
-        if name not in _own_folders:
-            _own_folders[name] = "file://" + tempfile.mkdtemp(prefix="orebed-")
-        folder = _own_folders[name]
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: lineage ends here, and lost executors cost nothing that was done before."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shards(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def fold(column: str = "doc_id", parts: int = 5):
     """crc32 of the id as text, modulo ``parts``; 0 for a null id, so that such rows are never learnt from."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(0))

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, forest
+from ..operators.stored import written
 from . import tiles
-from .common import written
-from .components import components, forest
 
 COSINE = 0.9
 HASHES, TABLES, PROBES, AXES, SEED = 3, 12, 6, 3, 5

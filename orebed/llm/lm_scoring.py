@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stored import shards, written
 from . import textarrays as T
-from .common import shards, written
 from .suffix_dedup import _groups, whole_buckets
 
 END = np.uint64(0x5851F42D4C957F2D)

@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.stored import shards, shared_folder, written
 from . import textarrays as T
 from . import tokens
-from .common import shards, shared_folder, written
 
 MAGIC = b"OREBITS2"
 HEADER = struct.Struct("<8sIIQQQ")  # magic, bits, ids a block, documents, ids, blocks

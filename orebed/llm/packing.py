@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stored import shards, written
 from . import textarrays as T
 from . import tokens
-from .common import shards, written
 
 CAPACITY, SHARD_DOCUMENTS = 2048, 2500
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 4, 4

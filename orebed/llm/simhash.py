@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components, forest
+from ..operators.stored import written
 from . import textarrays as T
 from . import tiles
-from .common import written
-from .components import components, forest
 
 RADIUS, WORDS, SEED = 3, 3, 42
 _LOWER = bytes(T.LOWER)

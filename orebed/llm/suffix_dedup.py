@@ -39,8 +39,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stored import shards, written
 from . import textarrays as T
-from .common import shards, written
 
 LENGTH, GRAM = 50, 25
 HOT_KEYS, HOT_LEAST = 50_000, 1000

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shards
+from ..operators.stored import shards
 
 UNIT = ("g", "lo", "hi")
 

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 
 from orebed.llm import crosspolytope, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, tokens, toxicity
-from orebed.llm.components import components
+from orebed.operators.components import components
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
