@@ -89,17 +89,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, sample_chars: int = 8192):
     """(good dictionary, bad dictionary, slope, intercept).
 
-    The sample is at most ``per_class`` rows of each class: of the even turns at
-    most ``sample_chars`` characters each train the dictionaries (on the driver,
-    at most per_class * sample_chars characters), whole texts of the odd ones
+    The sample is at most ``per_class`` rows of each class: those of the even
+    turns train the dictionaries (on the driver, at most per_class *
+    sample_chars characters), a text longer than ``sample_chars`` by pieces
+    spread evenly from its beginning to its end; whole texts of the odd ones
     calibrate, of which only the measures reach the driver.
     """
     rows = labelled(documents, labels, label, per_class)
-    texts = rows.where("turn % 2 = 0").select("label", F.expr(f"substr(text, 1, {int(sample_chars)})").alias("text"), "turn", "doc_id").where("text is not null").toPandas().sort_values(["turn", "doc_id"])
+    n = max(2, sample_chars // PIECE_BYTES)
+    spread = f"transform(sequence(0, {n - 1}), i -> substr(text, 1 + cast(floor(i * (length(text) - {PIECE_BYTES}) / {n - 1}) as int), {PIECE_BYTES}))"
+    text = F.expr(f"CASE WHEN length(text) > {n * PIECE_BYTES} THEN array_join({spread}, '') ELSE text END")
+    texts = rows.where("turn % 2 = 0").select("label", text.alias("text"), "turn", "doc_id").where("text is not null").toPandas().sort_values(["turn", "doc_id", "text"])
     good, bad = (dictionary([t.encode() for t in texts["text"][texts["label"] == y]]) for y in (1, 0))
     shares = {r["label"]: r["count"] for r in labels.where((fold() != 0) & F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("label")).count().collect()}
     share = shares.get(1, 0) / sum(shares.values()) if shares else 1.0
-    held = measured(rows.where("turn % 2 != 0"), (good, bad), ("label",)).toPandas()
+    held = measured(rows.where("turn % 2 != 0"), (good, bad), ("label",)).toPandas().sort_values(["label", "measure"])
     y = held["label"].to_numpy(float)
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)

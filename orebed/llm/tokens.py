@@ -25,7 +25,6 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the pattern of the tokenizer that drops white space, as in its file.
 _DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _UNITS = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_LEADING = re.compile(rf"[{_SPACE}]|\Z")
 _MARK = "\x00"
 #: Latin text, which the normaliser of the tokenizer that drops white space only lower-cases (but U+0130, which becomes two characters).
 _LATIN = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
@@ -44,8 +43,10 @@ class _Places(dict):
     def __init__(self, count: Iterator[int], refused, older: dict):
         super().__init__()
         self.count, self.refused, self.older = count, refused, older
-        self.new: list[tuple[int, str]] = []
-        self.known: list[tuple[int, int]] = []
+        self.new: list[str] = []  # units to be found, and their places
+        self.new_at: list[int] = []
+        self.known: list[int] = []  # places of units of the generation before, there and here
+        self.known_at: list[int] = []
 
     def __missing__(self, unit: str) -> int:
         if self.refused(unit):
@@ -53,11 +54,17 @@ class _Places(dict):
         self[unit] = place = next(self.count)
         older = self.older.get(unit)
         if older is None:
-            self.new.append((place, unit))
+            self.new.append(unit)
+            self.new_at.append(place)
         else:
-            self.known.append((place, older))
+            self.known.append(older)
+            self.known_at.append(place)
         return place
 
+    def settled(self) -> None:
+        for some in (self.new, self.new_at, self.known, self.known_at):
+            some.clear()
+
 
 class _Generation:
     """Ids of units: those of place p are ids[starts[p] : starts[p] + sizes[p]]."""
@@ -102,19 +109,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.end_id, self.most = end_id, table_units
-        with open(path, encoding="utf-8") as file:
-            cuts = json.load(file)["pre_tokenizer"] or {}
+        cuts = json.loads(self.tokenizer.pre_tokenizer.__getstate__())
         parts = cuts.get("pretokenizers", [])
         mark = self._ids([_MARK])[0]
         self.keeps = cuts.get("type") == "ByteLevel" and cuts.get("use_regex") and not cuts.get("add_prefix_space")
         self.drops = len(mark) == 1 and len(parts) == 2 and parts[0].get("pattern") == {"Regex": _DROPPING} and parts[1].get("type") == "ByteLevel" and not parts[1].get("use_regex")
         self.opens = np.zeros(self.vocabulary, bool)  # ids that open a unit of the first kind, or stand between units of the second
-        self.opens[mark if self.drops else [i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.opens[mark if self.drops else [i for i in range(self.vocabulary) if self.tokenizer.id_to_token(i).startswith("Ġ")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare = Tokenizer.from_file(path)  # for Latin text that is lower-cased before
+        self.bare = None
         if self.drops:
+            self.bare = Tokenizer.from_file(path)  # for Latin text that is lower-cased before
             self.bare.normalizer = None
-        self.refused = (lambda unit: not unit or _MARK in unit) if self.drops else _LEADING.match
+        self.refused = (lambda unit: not unit or _MARK in unit) if self.drops else (lambda unit: not unit or unit[0].isspace())
         self.table = _Generation(end_id, self.refused)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -131,9 +138,8 @@ class Encoder:
                 return np.array([plain[u] if self.refused(u) else spaced[u] for u in units])
             return np.array([spaced[u[1:]] if u[0] == " " and not self.refused(u[1:]) else plain[u] for u in _UNITS.findall(text)])
 
-    def _together(self, new: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def _together(self, units: list[str], places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of units from one text that holds them all; None if they cannot be told apart there."""
-        units = [u for _, u in new]
         text = f" {_MARK} ".join(["", *units]) if self.drops else " " + " ".join(units)
         low, tokenizer = text.lower(), self.tokenizer
         if self.drops and _LATIN.fullmatch(text) and not any(t in low for t in self.special):
@@ -145,30 +151,37 @@ class Encoder:
         size = np.diff(np.append(begin, len(ids)))
         if self.drops:
             ids, size = ids[~self.opens[ids]], size - 1
-        return ids, np.array([p for p, _ in new]), size
+        return ids, np.array(places), size
 
     def _learn(self) -> None:
         """Find the ids of the units met since."""
         table, parts = self.table, []
-        known = np.array(table.spaced.known + table.plain.known, np.int64).reshape(-1, 2)
-        if len(known):
-            ids, size = table.before.of(known[:, 1])
-            parts.append((ids, known[:, 0], size))
-        apart = list(table.plain.new)
-        latin = list(map(bool, (map(_LATIN.fullmatch, (u for _, u in table.spaced.new))))) if self.drops else [True] * len(table.spaced.new)
-        kinds = [list(itertools.compress(table.spaced.new, latin)), [x for x, yes in zip(table.spaced.new, latin) if not yes]]
-        for some in (kind[at : at + 4096] for kind in kinds for at in range(0, len(kind), 4096)):
-            found = self._together(some)
-            if found:
-                parts.append(found)
-            else:
-                apart += [(p, u if self.drops else " " + u) for p, u in some]
+        for some in (table.spaced, table.plain):
+            if some.known:
+                ids, size = table.before.of(np.array(some.known))
+                parts.append((ids, np.array(some.known_at), size))
+        units, places = table.spaced.new, table.spaced.new_at
+        kinds = [(units, places)]
+        if self.drops:  # those that the normaliser may change by themselves
+            latin = list(map(bool, map(_LATIN.fullmatch, units)))
+            other = [not yes for yes in latin]
+            kinds = [(list(itertools.compress(units, some)), list(itertools.compress(places, some))) for some in (latin, other)]
+        apart, apart_at = list(table.plain.new), list(table.plain.new_at)
+        for units, places in kinds:
+            for at in range(0, len(units), 4096):
+                some, some_at = units[at : at + 4096], places[at : at + 4096]
+                found = self._together(some, some_at)
+                if found:
+                    parts.append(found)
+                else:
+                    apart += some if self.drops else [" " + u for u in some]
+                    apart_at += some_at
         if apart:
-            found = self._ids([u for _, u in apart])
-            parts.append((np.array(list(chain.from_iterable(found)), np.uint32), np.array([p for p, _ in apart]), np.array(list(map(len, found)))))
+            found = self._ids(apart)
+            parts.append((np.array(list(chain.from_iterable(found)), np.uint32), np.array(apart_at), np.array(list(map(len, found)))))
         table.add(parts)
-        for some in (table.spaced.new, table.spaced.known, table.plain.new, table.plain.known):
-            some.clear()
+        table.spaced.settled()
+        table.plain.settled()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids behind each other, each text's followed by the end id, and where each text's begin (one more than texts); a null is an empty text."""

@@ -87,3 +87,15 @@ def test_stages_keep_the_columns(tables):
     for out in (simhash.one_of_each(docs), suffix_dedup.without_repeats(docs), mixing.mixed_documents(docs), quality_rules.kept_documents(docs, None)):
         assert out.dtypes == docs.dtypes
         out.collect()
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    for name in ("quality_compression", "toxicity", "quality_rules", "lm_scoring"):
+        one, two = (RUNS[name](d, labels).toPandas().sort_values("doc_id", ignore_index=True) for d in (docs.coalesce(1), docs.repartition(7, "text")))
+        for c in one.columns:
+            if one[c].dtype == float:
+                assert abs(one[c] - two[c]).max() <= 1e-9 * abs(one[c]).max(), (name, c)
+            else:
+                assert (one[c] == two[c]).all(), (name, c)
