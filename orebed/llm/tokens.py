@@ -26,8 +26,9 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _UNITS = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _MARK = "\x00"
-#: Latin text, which the normaliser of the tokenizer that drops white space only lower-cases (but U+0130, which becomes two characters).
-_LATIN = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
+_MARKS = ".,;:!?"
+#: Latin letters, which the normaliser of the tokenizer that drops white space only lower-cases (but U+0130, which becomes two characters).
+_LATIN = re.compile(r"[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
 
 #: Units of a generation of the table; the one before is kept besides.
 TABLE_UNITS = 300_000
@@ -82,7 +83,7 @@ class _Generation:
 
     def add(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """Ids behind each other, the places they belong to and how many each place takes."""
-        n = len(self.starts) + sum(len(places) for _, places, _ in parts)
+        n = max([len(self.starts), *(int(places.max()) + 1 for _, places, _ in parts if len(places))])
         starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
         starts[: len(self.starts)], sizes[: len(self.sizes)] = self.starts, self.sizes
         at = len(self.ids)
@@ -104,7 +105,7 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int = 0, table_units: int = TABLE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -116,11 +117,12 @@ class Encoder:
         self.drops = len(mark) == 1 and len(parts) == 2 and parts[0].get("pattern") == {"Regex": _DROPPING} and parts[1].get("type") == "ByteLevel" and not parts[1].get("use_regex")
         self.opens = np.zeros(self.vocabulary, bool)  # ids that open a unit of the first kind, or stand between units of the second
         self.opens[mark if self.drops else [i for i in range(self.vocabulary) if self.tokenizer.id_to_token(i).startswith("Ġ")]] = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare = None
+        self.bare = self.closes = None
         if self.drops:
-            self.bare = Tokenizer.from_file(path)  # for Latin text that is lower-cased before
+            self.bare = Tokenizer.from_file(path)  # for Latin letters in lower case, of which every unit is one piece
             self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.closes = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.vocabulary)])  # ids that end a piece
         self.refused = (lambda unit: not unit or _MARK in unit) if self.drops else (lambda unit: not unit or unit[0].isspace())
         self.table = _Generation(end_id, self.refused)
 
@@ -128,6 +130,10 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _places(self, text: str) -> np.ndarray:
+        if self.drops:
+            text = text.replace("\n", " ")
+            if text.isascii() and "<|" not in text:
+                text = text.lower()
         units, spaced, plain = text.split(" "), self.table.spaced, self.table.plain
         try:
             if self.drops:
@@ -141,10 +147,7 @@ class Encoder:
     def _together(self, units: list[str], places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of units from one text that holds them all; None if they cannot be told apart there."""
         text = f" {_MARK} ".join(["", *units]) if self.drops else " " + " ".join(units)
-        low, tokenizer = text.lower(), self.tokenizer
-        if self.drops and _LATIN.fullmatch(text) and not any(t in low for t in self.special):
-            text, tokenizer = low, self.bare
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self._ids([text])[0], np.uint32)
         begin = np.flatnonzero(self.opens[ids])
         if len(begin) != len(units):
             return None
@@ -153,33 +156,49 @@ class Encoder:
             ids, size = ids[~self.opens[ids]], size - 1
         return ids, np.array(places), size
 
+    def _letters(self, units: list[str], places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units of Latin letters only, each of which is a piece: the tokens that end one tell them apart."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(units).lower()], add_special_tokens=False)[0].ids, np.uint32)
+        return ids, np.array(places), np.diff(np.append(-1, np.flatnonzero(self.closes[ids])))
+
     def _learn(self) -> None:
         """Find the ids of the units met since."""
         table, parts = self.table, []
+        # A Latin word and a mark after it are two pieces, and the word may be known.
+        pairs = [(u, p) for u, p in zip(table.spaced.new, table.spaced.new_at) if u[-1] in _MARKS and _LATIN.fullmatch(u, 0, len(u) - 1)]
+        if pairs:
+            gone, mark = {p for _, p in pairs}, table.spaced if self.drops else table.plain
+            pairs = [(p, table.spaced[u[:-1]], mark[u[-1]]) for u, p in pairs]
+            kept = [p not in gone for p in table.spaced.new_at]
+            table.spaced.new[:], table.spaced.new_at[:] = itertools.compress(table.spaced.new, kept), itertools.compress(table.spaced.new_at, kept)
         for some in (table.spaced, table.plain):
             if some.known:
                 ids, size = table.before.of(np.array(some.known))
                 parts.append((ids, np.array(some.known_at), size))
         units, places = table.spaced.new, table.spaced.new_at
-        kinds = [(units, places)]
-        if self.drops:  # those that the normaliser may change by themselves
+        if self.drops:
             latin = list(map(bool, map(_LATIN.fullmatch, units)))
+            words, at = list(itertools.compress(units, latin)), list(itertools.compress(places, latin))
+            parts += [self._letters(words[k : k + 4096], at[k : k + 4096]) for k in range(0, len(words), 4096)]
             other = [not yes for yes in latin]
-            kinds = [(list(itertools.compress(units, some)), list(itertools.compress(places, some))) for some in (latin, other)]
+            units, places = list(itertools.compress(units, other)), list(itertools.compress(places, other))
         apart, apart_at = list(table.plain.new), list(table.plain.new_at)
-        for units, places in kinds:
-            for at in range(0, len(units), 4096):
-                some, some_at = units[at : at + 4096], places[at : at + 4096]
-                found = self._together(some, some_at)
-                if found:
-                    parts.append(found)
-                else:
-                    apart += some if self.drops else [" " + u for u in some]
-                    apart_at += some_at
+        for at in range(0, len(units), 4096):
+            some, some_at = units[at : at + 4096], places[at : at + 4096]
+            found = self._together(some, some_at)
+            if found:
+                parts.append(found)
+            else:
+                apart += some if self.drops else [" " + u for u in some]
+                apart_at += some_at
         if apart:
             found = self._ids(apart)
             parts.append((np.array(list(chain.from_iterable(found)), np.uint32), np.array(apart_at), np.array(list(map(len, found)))))
         table.add(parts)
+        if pairs:
+            places = np.array(pairs)
+            ids, size = table.of(places[:, 1:].ravel())
+            table.add([(ids, places[:, 0], size.reshape(-1, 2).sum(1))])
         table.spaced.settled()
         table.plain.settled()
 
