@@ -117,3 +117,58 @@ def in_polygon(x: Column, y: Column, vertices: list[tuple[float, float]]) -> Col
             at = F.lit(float(bx - ax)) * (y - F.lit(float(ay))) / F.lit(float(by - ay)) + F.lit(float(ax))
             crossings = crossings + F.when(spans & (x < at), 1).otherwise(0)
     return crossings % 2 == 1
+
+
+def _core_frame(azimuth: Column, dip: Column) -> list[list[Column]]:
+    """High side, third axis and direction of a hole (dip down negative), as rows; a hole within about 2.5 degrees of level has its high side to the north."""
+    a, d = F.radians(azimuth), F.radians(-dip)
+    hole = [F.sin(d) * F.sin(a), F.sin(d) * F.cos(a), -F.cos(d)]
+    up = [-hole[2] * hole[0], -hole[2] * hole[1], 1 - hole[2] * hole[2]]
+    length = F.sqrt(up[0] * up[0] + up[1] * up[1] + up[2] * up[2])
+    north = (F.abs(F.cos(d)) > 0.999) | (length <= 1e-10)
+    high = [F.when(north, F.lit(n)).otherwise(u / length) for u, n in zip(up, (0.0, 1.0, 0.0))]
+    third = [hole[1] * high[2] - hole[2] * high[1], hole[2] * high[0] - hole[0] * high[2], hole[0] * high[1] - hole[1] * high[0]]
+    size = F.sqrt(third[0] * third[0] + third[1] * third[1] + third[2] * third[2])
+    return [high, [t / size for t in third], hole]
+
+
+def from_core(alpha: Column, beta: Column, azimuth: Column, dip: Column) -> list[Column]:
+    """Unit normal of a plane measured on oriented core: alpha from the core axis, beta clockwise from the high side."""
+    al, be = F.radians(alpha), F.radians(beta)
+    core = [F.sin(al) * F.cos(be), F.sin(al) * F.sin(be), F.cos(al)]
+    frame = _core_frame(azimuth, dip)
+    out = [core[0] * frame[0][k] + core[1] * frame[1][k] + core[2] * frame[2][k] for k in range(3)]
+    size = F.sqrt(out[0] * out[0] + out[1] * out[1] + out[2] * out[2])
+    return [c / size for c in out]
+
+
+def to_core(nx: Column, ny: Column, nz: Column, azimuth: Column, dip: Column) -> list[Column]:
+    """Alpha and beta of a unit normal in a hole."""
+    high, third, hole = _core_frame(azimuth, dip)
+    on = lambda axis: nx * axis[0] + ny * axis[1] + nz * axis[2]
+    return [F.degrees(F.acos(F.greatest(F.least(on(hole), F.lit(1.0)), F.lit(-1.0)))), F.pmod(F.degrees(F.atan2(on(third), on(high))), F.lit(360.0))]
+
+
+def great_circle(dip: Column, dip_direction: Column, points: int) -> Column:
+    """An array of unit vectors (x, y, z) along the trace of a plane on the lower hemisphere, from one end of its strike to the other."""
+    d, a = F.radians(dip), F.radians(dip_direction)
+    along, down = [F.cos(a), -F.sin(a), F.lit(0.0)], [F.cos(d) * F.sin(a), F.cos(d) * F.cos(a), -F.sin(d)]
+
+    def at(k: Column) -> Column:
+        t = k * (math.pi / (points - 1))
+        return F.struct(*((F.cos(t) * s + F.sin(t) * v).alias(c) for c, s, v in zip("xyz", along, down)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
+
+
+def small_circle(plunge: Column, trend: Column, angle: Column, points: int) -> Column:
+    """An array of unit vectors (x, y, z) at ``angle`` degrees around an axis."""
+    p, t, c = F.radians(plunge), F.radians(trend), F.radians(angle)
+    axis = line(plunge, trend)
+    side, up = [F.cos(t), -F.sin(t), F.lit(0.0)], [F.sin(p) * F.sin(t), F.sin(p) * F.cos(t), F.cos(p)]
+
+    def at(k: Column) -> Column:
+        w = k * (2 * math.pi / points)
+        return F.struct(*((F.cos(c) * a + F.sin(c) * (F.cos(w) * s + F.sin(w) * u)).alias(n) for n, a, s, u in zip("xyz", axis, side, up)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)

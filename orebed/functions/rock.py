@@ -56,3 +56,39 @@ def flexural_toppling(dip: Column, dip_direction: Column, slope_dip: float, slop
     """A steep plane that dips into the slope: (90 - dip) + friction <= slope dip."""
     turn = F.abs(F.pmod(dip_direction - F.lit(slope_direction) + 180, F.lit(360.0)) - 180)
     return (turn >= 180 - lateral) & (90 - dip + F.lit(friction) <= slope_dip)
+
+
+def slope_risk(rating: Column, angle: Column, height: Column, water: Column, faults: Column | None = None, joints: Column | None = None) -> dict[str, Column]:
+    """risk_index (0 to 100), risk_class and failure probability of a slope: rock mass, angle and bench height beyond what the rating class allows, and water.
+
+    Fixed values: for ratings from 80, 60, 40, 20 and below, the allowed angles and bench heights.
+    """
+    allowed = lambda values: F.when(rating >= 80, values[0]).when(rating >= 60, values[1]).when(rating >= 40, values[2]).when(rating >= 20, values[3]).otherwise(values[4])
+    steep = F.least(F.greatest(angle - allowed((70.0, 60.0, 50.0, 40.0, 30.0)), F.lit(0.0)) / 10 * 30, F.lit(30.0))
+    tall = F.least(F.greatest(height - allowed((15.0, 12.0, 10.0, 8.0, 5.0)), F.lit(0.0)) / 5 * 20, F.lit(20.0))
+    index = F.greatest(F.least((100 - rating) / 100 * 40 + steep + tall + F.when(water, 10.0).otherwise(0.0), F.lit(100.0)), F.lit(0.0))
+    chance = F.when(index < 25, 0.05).when(index < 50, 0.15).when(index < 75, 0.40).otherwise(0.70)
+    for present, more in ((faults, 0.20), (joints, 0.15)):
+        if present is not None:
+            chance = F.when(present, F.least(chance + more, F.lit(0.95))).otherwise(chance)
+    return {"risk_index": index, "risk_class": F.when(index < 25, "Low").when(index < 50, "Moderate").when(index < 75, "High").otherwise("Very High"), "failure_probability": chance}
+
+
+def support(rating: Column) -> dict[str, Column]:
+    """bolts, spacing and mesh by rock mass rating. The five classes of support."""
+    pick = lambda *values: F.when(rating >= 81, values[0]).when(rating >= 61, values[1]).when(rating >= 41, values[2]).when(rating >= 21, values[3]).otherwise(values[4])
+    meshed = "Systematic bolts + mesh"
+    return {"bolts": pick("Spot bolts", "Systematic bolts", meshed, meshed, meshed), "spacing": pick("2.5m", "1.5-2.0m", "1.0-1.5m", "1.0-1.5m", "1.0m"), "mesh": pick("No", "Optional", "Yes", "Yes", "Yes")}
+
+
+def diluted(tonnes: Column, grade: Column, overbreak: float, contact_grade: float) -> tuple[Column, Column]:
+    """Tonnes and grade with overbreak (a tenth of the volume a metre) of the contact's grade."""
+    total = tonnes * (1 + overbreak * 0.1)
+    return total, F.when(total > 0, (tonnes * grade + (total - tonnes) * contact_grade) / total).otherwise(grade)
+
+
+def rockburst_index(hazard: Column, rating: Column, stress: Column, weights=(0.6, 0.3, 0.1), threshold: float = 60.0) -> Column:
+    """Weighted hazard, rock mass and stress between 0 and 1; the rock mass counts rating / threshold below the threshold and a half from it on."""
+    total = float(sum(weights))
+    mass = F.when(rating < threshold, rating / threshold).otherwise(F.lit(0.5))
+    return F.greatest(F.least((hazard * weights[0] + mass * weights[1] + stress * weights[2]) / total, F.lit(1.0)), F.lit(0.0))

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import quantiles, reduce_equal, running
+
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None, percentiles=(0.1, 0.5, 0.9)) -> DataFrame:
     """Count, mean, population deviation, coefficient of variation, extremes and linear percentiles; NaN counts as missing."""
-    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
-    aggs += [F.percentile(v, F.lit(p)).alias(f"p{round(100 * p):02d}") for p in percentiles]
-    out = df.groupBy(*(by or [])).agg(*aggs)
-    return out.withColumn("cv", F.when(F.abs("mean") > 1e-12, F.col("std") / F.col("mean")))
+    by = by or []
+    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_x"))
+    v = F.col("_x")
+    out = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    names = {f"p{round(100 * p):02d}": p for p in percentiles}
+    ranks = quantiles(rows, "_x", names, by).withColumnsRenamed({c: f"_k_{c}" for c in by})
+    out = out.join(ranks, reduce_equal(by, "_k_") or F.lit(True), "left").drop(*(f"_k_{c}" for c in by))
+    return out.select(*by, "n", "mean", "std", "min", "max", *names, F.when(F.abs("mean") > 1e-12, F.col("std") / F.col("mean")).alias("cv"))
 
 
 def weighted(df: DataFrame, value: str, weight: str, by: list[str] | None = None) -> DataFrame:
@@ -108,11 +113,11 @@ def global_uncertainty(reals: DataFrame, realisation: str, value: str, tonnes: f
 
 def fragment_sizes(df: DataFrame, size: str, volume: str, points=(0.1, 0.5, 0.8)) -> DataFrame:
     """Size distribution: linear percentiles by count, and the sizes at which the running share of volume is reached."""
-    order = Window.orderBy(size).rowsBetween(Window.unboundedPreceding, 0)
     sizes = df.where(F.col(size).isNotNull()).groupBy(size).agg(F.sum(volume).alias("_v"))
-    share = sizes.withColumn("_s", F.sum("_v").over(order) / F.sum("_v").over(Window.partitionBy()))
+    share = running(sizes, [size], "_v", "_s").crossJoin(F.broadcast(sizes.agg(F.sum("_v").alias("_all"))))
+    share = share.withColumn("_s", (F.col("_s") + F.col("_v")) / F.col("_all"))
     by_volume = share.agg(*(F.min(F.when(F.col("_s") >= p, F.col(size))).alias(f"v{round(100 * p)}") for p in points))
-    return df.agg(*(F.percentile(size, F.lit(p)).alias(f"p{round(100 * p)}") for p in points)).crossJoin(by_volume)
+    return quantiles(df, size, {f"p{round(100 * p)}": p for p in points}).crossJoin(by_volume)
 
 
 def regression(df: DataFrame, actual: str, estimate: str, by: list[str] | None = None) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import economics as E
-from .spatial import precedence  # noqa: F401  (part of the pit's interface)
+from .running import running
 
 
 def net_present_value(schedule: DataFrame, blocks: DataFrame, value: str, rate: float, block: str = "block_id", period: str = "period") -> DataFrame:
@@ -40,9 +37,9 @@ def best_cutoff(economics: DataFrame, target: str = "npv") -> DataFrame:
 
 
 def best_route(blocks: DataFrame, routes: DataFrame, block_id: str) -> DataFrame:
-    """The route of highest value of every block; routes are a short table (of at most 1000 rows) with recovery, price, cost, factor."""
+    """The route of highest value of every block; routes are a table with recovery, price, cost, factor. Spark broadcasts the smaller side where it is small."""
     worth = (F.col("grade") * F.col("recovery") * F.col("price") - F.col("cost")) * F.col("factor")
-    pairs = blocks.crossJoin(F.broadcast(routes.limit(1000))).withColumn("worth", worth * F.col("tonnes"))
+    pairs = blocks.crossJoin(routes).withColumn("worth", worth * F.col("tonnes"))
     return pairs.groupBy(block_id).agg(F.max_by("route", F.struct("worth", "route")).alias("route"), F.max("worth").alias("worth"))
 
 
@@ -72,18 +69,10 @@ def precedence_violations(edges: DataFrame, schedule: DataFrame, strict: bool =
 def greedy_schedule(blocks: DataFrame, capacity: float, order: list, tonnes: str = "tonnes", key: str = "block_id") -> DataFrame:
     """Periods of ``capacity`` tonnes filled in the given order; a block belongs to the period in which its first tonne falls.
 
-    The running sum is two-level: over ranges of the order, then within a range,
-    so no task holds all blocks.
+    The running sum is two-level, so no task holds all blocks.
     """
-    spark = blocks.sparkSession
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = blocks.repartitionByRange(n, *order, key).withColumn("_p", F.spark_partition_id())
-    inside = Window.partitionBy("_p").orderBy(*order, key).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_c", F.sum(tonnes).over(inside))
-    totals = rows.groupBy("_p").agg(F.sum(tonnes).alias("_t"))
-    totals = totals.withColumn("_base", F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).drop("_t")
-    start = F.col("_base") + F.col("_c") - F.col(tonnes)
-    return rows.join(F.broadcast(totals), "_p").withColumn("period", (F.floor(start / capacity) + 1).cast("int")).drop("_p", "_c", "_base")
+    rows = running(blocks, [*order, key], tonnes, "_start")
+    return rows.withColumn("period", (F.floor(F.col("_start") / capacity) + 1).cast("int")).drop("_start")
 
 
 def bucket_filled(units: DataFrame, capacity: float, group: str, order: list[str], tonnes: str = "tonnes") -> DataFrame:
@@ -102,69 +91,6 @@ def bucket_filled(units: DataFrame, capacity: float, group: str, order: list[str
     return rows.select(group, F.explode(F.aggregate("_all", start, step)["out"]).alias("_u")).select(group, "_u.u.*", "_u.period")
 
 
-def ultimate_pit(blocks: DataFrame, edges: DataFrame, group: str, value: str = "value", block: str = "block_id") -> DataFrame:
-    """Blocks of the closure of greatest value, of each independent group of blocks (a deposit or sector): maximum flow by Dinic's method in the group's task.
-
-    ``edges`` has block, above. A group must fit a task; sectors bound it.
-    """
-    nodes = blocks.select(group, F.col(block).alias("block"), F.col(value).alias("value"))
-    arcs = edges.join(nodes.select("block", F.col(group).alias("_group")), "block").select("_group", "block", "above")
-
-    def closure(key, part: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        index = {b: i for i, b in enumerate(part["block"])}
-        n = len(index)
-        graph: list[list[list]] = [[] for _ in range(n + 2)]
-
-        def arc(a: int, b: int, room: float) -> None:
-            graph[a].append([b, room, len(graph[b])])
-            graph[b].append([a, 0.0, len(graph[a]) - 1])
-
-        for b, v in zip(part["block"], part["value"]):
-            if v > 0:
-                arc(n, index[b], float(v))
-            elif v < 0:
-                arc(index[b], n + 1, float(-v))
-        for a, b in zip(links["block"], links["above"]):
-            if a in index and b in index:
-                arc(index[a], index[b], float("inf"))
-        while True:
-            level = [-1] * (n + 2)
-            level[n], queue = 0, [n]
-            for u in queue:
-                for to, room, _ in graph[u]:
-                    if room > 1e-9 and level[to] < 0:
-                        level[to] = level[u] + 1
-                        queue.append(to)
-            if level[n + 1] < 0:
-                return pd.DataFrame({group: key[0], "block": [b for b in part["block"] if level[index[b]] >= 0]}).astype(part[[group, "block"]].dtypes.to_dict())
-            at = [0] * (n + 2)
-            while True:
-                path, u = [], n
-                while u != n + 1:
-                    while at[u] < len(graph[u]):
-                        e = graph[u][at[u]]
-                        if e[1] > 1e-9 and level[e[0]] == level[u] + 1:
-                            break
-                        at[u] += 1
-                    if at[u] == len(graph[u]):
-                        if not path:
-                            break
-                        u = path.pop()[0]
-                        at[u] += 1
-                        continue
-                    path.append((u, graph[u][at[u]]))
-                    u = graph[u][at[u]][0]
-                if u != n + 1:
-                    break
-                flow = min(e[1] for _, e in path)
-                for a, e in path:
-                    e[1] -= flow
-                    graph[e[0]][e[2]][1] += flow
-
-    schema = f"{group} {nodes.schema[group].dataType.simpleString()}, block {nodes.schema['block'].dataType.simpleString()}"
-    return nodes.groupBy(group).cogroup(arcs.groupBy("_group")).applyInPandas(closure, schema)
-
-
 def blended(records: DataFrame, by: list[str], tonnes: str = "tonnes", grades: str = "grades") -> DataFrame:
     """Tonnes and tonnage-weighted grades (a map; a missing grade is 0) of groups."""
     total = records.groupBy(*by).agg(F.sum(tonnes).alias("tonnes"))
@@ -204,5 +130,5 @@ def allocated_trucks(routes: DataFrame, total_hours: float) -> DataFrame:
 
 def emissions(activity: DataFrame, factors: DataFrame) -> DataFrame:
     """CO2e of each row of (period, kind, amount) by the kind's factor (0 without one), with the period's total."""
-    rows = activity.join(F.broadcast(factors.limit(10_000)), "kind", "left").withColumn("co2e", F.col("amount") * F.coalesce("factor", F.lit(0.0)))
+    rows = activity.join(factors, "kind", "left").withColumn("co2e", F.col("amount") * F.coalesce("factor", F.lit(0.0)))
     return rows.groupBy("period").agg(F.sum("co2e").alias("co2e"))

@@ -60,10 +60,15 @@ def bench(intervals: DataFrame, grades: list[str], height: float, offset: float
 
 
 def equal_mass(intervals: DataFrame, grades: list[str], mass: float, density: str) -> DataFrame:
-    """Bins of equal mass along the hole: the mass axis takes the place of depth, and cuts are mapped back to depth."""
+    """Bins of equal mass along the hole: the mass axis takes the place of depth, and cuts are mapped back to depth.
+
+    The running mass is summed in decimals of twelve places, so that no cut moves by a rounding.
+    """
     order = Window.partitionBy(HOLE).orderBy("depth_from", "depth_to").rowsBetween(Window.unboundedPreceding, 0)
-    rows = intervals.where(F.col("depth_to") > F.col("depth_from")).withColumn("_m", (F.col("depth_to") - F.col("depth_from")) * F.col(density))
-    rows = rows.withColumn("_end", F.sum("_m").over(order)).withColumn("_start", F.col("_end") - F.col("_m"))
+    exact = lambda c: F.col(c).cast("decimal(18,6)")
+    rows = intervals.where(F.col("depth_to") > F.col("depth_from")).withColumn("_m", ((exact("depth_to") - exact("depth_from")).cast("decimal(18,6)") * exact(density)).cast("decimal(38,12)"))
+    rows = rows.withColumn("_end", F.sum("_m").over(order))
+    rows = rows.withColumn("_start", (F.col("_end") - F.col("_m")).cast("double")).withColumn("_end", F.col("_end").cast("double"))
     low, high = F.floor(F.col("_start") / mass), F.ceil(F.col("_end") / mass) - 1
     rows = rows.withColumn("bin", F.explode(F.sequence(low, F.greatest(low, high))))
     rows = rows.withColumns({"_a": F.greatest(F.col("_start"), F.col("bin") * mass), "_b": F.least(F.col("_end"), (F.col("bin") + 1) * mass)}).where("_b > _a")

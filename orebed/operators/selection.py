@@ -94,14 +94,20 @@ def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def without_ignored(violations: DataFrame, rules: DataFrame, severities: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(visible, ignored): a rule's null fields match anything."""
-    same = lambda c: F.col(f"r.{c}").isNull() | (F.col(f"r.{c}") == F.col(f"v.{c}"))
-    hit = same("rule_code") & same("hole_id") & same("table_name")
-    rated = violations.withColumn("_minor", F.col("severity").isin(*severities)) if severities else violations.withColumn("_minor", F.lit(False))
-    kept = rated.where("not _minor").alias("v").join(F.broadcast(rules.limit(10_000)).alias("r"), hit, "left_anti").drop("_minor")
-    ignored = rated.where("not _minor").alias("v").join(F.broadcast(rules.limit(10_000)).alias("r"), hit, "left_semi").drop("_minor")
-    return kept, ignored.unionByName(rated.where("_minor").drop("_minor"))
+    keys = ("rule_code", "hole_id", "table_name")
+    minor = F.col("severity").isin(*severities) if severities else F.lit(False)
+    rated = violations.withColumn("_hit", minor)
+    for k in range(1 << len(keys)):  # an equi join for each pattern of fields that a rule names
+        named = [c for i, c in enumerate(keys) if k >> i & 1]
+        of = rules.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() if c in named else F.col(c).isNull() for c in keys)))
+        of = of.select(*(F.col(c).alias(f"_r_{c}") for c in named), F.lit(True).alias("_rule")).distinct()
+        on = [F.col(c) == F.col(f"_r_{c}") for c in named] or [F.lit(True)]
+        rated = rated.join(of, on, "left").withColumn("_hit", F.col("_hit") | F.coalesce("_rule", F.lit(False))).drop("_rule", *(f"_r_{c}" for c in named))
+    return rated.where("not _hit").drop("_hit"), rated.where("_hit").drop("_hit")
 
 
 def table_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: row count and a hash that does not depend on the order of rows."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*(columns or df.columns))), F.lit(0)).alias("hash"))
+    """One row: row count and a hash that does not depend on the order of rows: the sum of 60 bits of each row's md5."""
+    values = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (columns or df.columns)))
+    part = F.conv(F.substring(F.md5(values), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part) % (1 << 60), F.lit(0)).cast("long").alias("hash"))

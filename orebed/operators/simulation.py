@@ -6,17 +6,18 @@ depend on partitions or on repeated tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import around, quantiles, ranked, running
+from .stored import written
+
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """In (0, 1), by hash."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """In (0, 1), from 52 bits of the md5 of the seed and the keys."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def standard_normal(seed: int, *keys: Column) -> Column:
@@ -24,12 +25,18 @@ def standard_normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *keys))) * F.cos(uniform(seed + 7919, *keys) * 6.283185307179586)
 
 
+#: The published coefficients of the rational approximation of the inverse normal, middle above and below, tail above and below.
+QUANTILE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+
+
 def normal_quantile(p: Column) -> Column:
-    """Inverse normal, rational approximation with relative error below 1.2e-9. Its published coefficients."""
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+    """Inverse normal, rational approximation with relative error below 1.2e-9."""
+    a, b, c, d = QUANTILE
 
     def poly(x: Column, k) -> Column:
         out = F.lit(k[0])
@@ -42,40 +49,65 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p < 0.02425, edge).when(p > 1 - 0.02425, -edge).otherwise(q * poly(q * q, a) / poly(q * q, b))
 
 
-def normal_scores(df: DataFrame, value: str, weight: str | None = None, tie: str = "sample_id", buckets: int = 256) -> DataFrame:
-    """Normal scores by the middle of each value's step of the weighted distribution, ties by id.
+def normal_scores(df: DataFrame, value: str, weight: str | None = None, tie: str = "sample_id") -> DataFrame:
+    """Normal scores by the middle of each value's step of the weighted distribution, ties by id; the running weight is two-level."""
+    rows = df.where(F.col(value).isNotNull()).withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
+    total = rows.agg(F.sum("_w").alias("_all"))
+    rows = running(rows, [value, tie], "_w", "_base").crossJoin(F.broadcast(total))
+    p = (F.col("_base") + F.col("_w") / 2) / F.col("_all")
+    return rows.withColumn("normal_score", normal_quantile(F.greatest(F.least(p, F.lit(1 - 1e-10)), F.lit(1e-10)))).drop("_w", "_all", "_base")
+
 
-    The running weight is two-level (value ranges, then within), so the sort is
-    split over ``buckets`` ranges of approximate quantiles.
+def back_transformed(df: DataFrame, score: str, fitted: DataFrame, value: str, tie: str = "sample_id") -> DataFrame:
+    """Scores turned into values by monotone cubic interpolation of the fitted (normal_score, value) steps; beyond their ends the least and the greatest value.
+
+    A knot's slope needs the knots before and after it, found by equi joins on
+    their rank; a score's knots come from ranges of both tables.
     """
-    rows = df.where(F.col(value).isNotNull()).withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
-    cuts = rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001)
-    edges = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    rows = rows.withColumn("_b", F.size(F.filter(edges, lambda e: e < F.col(value))))
-    totals = rows.groupBy("_b").agg(F.sum("_w").alias("_t"))
-    totals = totals.withColumn("_base", F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).withColumn("_all", F.sum("_t").over(Window.partitionBy()))
-    order = Window.partitionBy("_b").orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_c", F.sum("_w").over(order)).join(F.broadcast(totals), "_b")
-    p = (F.col("_base") + F.col("_c") - F.col("_w") / 2) / F.col("_all")
-    return rows.withColumn("normal_score", normal_quantile(p)).drop("_w", "_b", "_t", "_base", "_all", "_c")
+    knots = written(ranked(fitted.select(F.col("normal_score").alias("g"), F.col(value).cast("double").alias("v"), tie), ["g", tie], "k").drop(tie), "knots")
+    last = knots.agg(F.max("k").alias("n"))
+    shifted = lambda by, n: knots.select((F.col("k") + by).alias("k"), F.col("g").alias(f"g{n}"), F.col("v").alias(f"v{n}"))
+    wide = knots.crossJoin(F.broadcast(last))
+    for by, n in ((1, "p"), (-1, "n"), (2, "pp"), (-2, "nn")):
+        wide = wide.join(shifted(by, n), "k", "left")
+    h = lambda a, b: F.col(f"g{b}") - F.col(f"g{a}")
+    m = lambda a, b: (F.col(f"v{b}") - F.col(f"v{a}")) / h(a, b)
+
+    def edge(h0: Column, h1: Column, m0: Column, m1: Column) -> Column:
+        d = F.when(h1.isNull(), m0).otherwise(((2 * h0 + h1) * m0 - h0 * m1) / (h0 + h1))
+        return F.when(F.signum(d) != F.signum(m0), 0.0).when((F.signum(m0) != F.signum(m1)) & (F.abs(d) > 3 * F.abs(m0)), 3 * m0).otherwise(d)
+
+    h0, h1, m0, m1 = h("p", ""), h("", "n"), m("p", ""), m("", "n")
+    w1, w2 = 2 * h1 + h0, h1 + 2 * h0
+    inner = F.when((m0 * m1) <= 0, 0.0).otherwise((w1 + w2) / (w1 / m0 + w2 / m1))
+    slope = F.when(F.col("n") == 1, 0.0).when(F.col("k") == 1, edge(h1, h("n", "nn"), m1, m("n", "nn"))).when(F.col("k") == F.col("n"), edge(h0, h("pp", "p"), m0, m("pp", "p"))).otherwise(inner)
+    wide = wide.select(F.col("g").alias(score), "v", slope.alias("d"))
+    found = around(df, wide, score)
+    a, b = F.col("_a"), F.col("_b")
+    step = b[score] - a[score]
+    t = (F.col(score) - a[score]) / F.nullif(step, F.lit(0.0))
+    curve = (1 + 2 * t) * (1 - t) * (1 - t) * a["v"] + t * (1 - t) * (1 - t) * step * a["d"] + t * t * (3 - 2 * t) * b["v"] + t * t * (t - 1) * step * b["d"]
+    out = F.when(F.col(score).isNull(), None).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).when(step == 0, a["v"]).otherwise(curve)
+    return found.withColumn("value", out).drop("_a", "_b")
 
 
 def moving_average_fields(spark, counts: tuple[int, int, int], size: tuple[float, float, float], model: dict, realisations: int, seed: int = 1) -> DataFrame:
-    """realisation, block_id, value: unconditional Gaussian fields by FFT of the covariance, one realisation a task row."""
-    nx, ny, nz = counts
-    axes = [np.minimum(np.arange(n), n - np.arange(n)) * s for n, s in zip((2 * nx, 2 * ny, 2 * nz), size)]
-    from .kriging import covariance
+    """realisation, block_id, value: unconditional Gaussian fields of spherical covariance.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grids = np.meshgrid(*axes, indexing="ij")
-        spectrum = np.sqrt(np.maximum(np.fft.fftn(covariance(np.sqrt(sum(g * g for g in grids)), model)).real, 0))
-        for part in parts:
-            for r in part["id"]:
-                noise = np.random.default_rng([seed, int(r)]).standard_normal(spectrum.shape)
-                field = np.fft.ifftn(np.fft.fftn(noise) * spectrum).real[:nx, :ny, :nz]
-                yield pd.DataFrame({"realisation": int(r), "block_id": np.arange(nx * ny * nz), "value": field.transpose(2, 1, 0).ravel()})
-
-    return spark.range(realisations).repartition(realisations).mapInPandas(run, "realisation long, block_id long, value double")
+    The mean of independent noise over a ball whose diameter is the range has
+    that covariance.  The noise at a place is a hash, so every node is made for
+    itself, in any task, and no field is ever in one place.
+    """
+    reach = [int(model["range"] / 2 / s) for s in size]
+    near = [(i, j, k) for i in range(-reach[0], reach[0] + 1) for j in range(-reach[1], reach[1] + 1) for k in range(-reach[2], reach[2] + 1) if (i * size[0]) ** 2 + (j * size[1]) ** 2 + (k * size[2]) ** 2 <= (model["range"] / 2) ** 2]
+    nx, ny, nz = counts
+    nodes = spark.range(nx * ny * nz * realisations).select(F.floor(F.col("id") / (nx * ny * nz)).alias("realisation"), (F.col("id") % (nx * ny * nz)).alias("block_id"))
+    at = (F.col("block_id") % nx, F.floor(F.col("block_id") / nx) % ny, F.floor(F.col("block_id") / (nx * ny)))
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in near))
+    noise = F.transform(table, lambda o: standard_normal(seed, F.col("realisation"), at[0] + o["i"], at[1] + o["j"], at[2] + o["k"]))
+    smooth = F.aggregate(noise, F.lit(0.0), lambda a, v: a + v) * (model["sill"] / len(near)) ** 0.5
+    rough = standard_normal(seed + 1, F.col("realisation"), F.col("block_id")) * model["nugget"] ** 0.5
+    return nodes.select("realisation", "block_id", (smooth + rough).alias("value"))
 
 
 def from_distribution(blocks: DataFrame, probabilities: list[str], cutoffs: list[float], low: float, high: float, realisations: int, block_id: str = "block_id", seed: int = 1) -> DataFrame:
@@ -91,18 +123,62 @@ def from_distribution(blocks: DataFrame, probabilities: list[str], cutoffs: list
     return rows.select(block_id, "realisation", draw.alias("value"))
 
 
-def bootstrap_means(df: DataFrame, value: str, row_id: str, iterations: int, seed: int = 1, by: list[str] | None = None) -> DataFrame:
-    """Means of resampled rows: every row counts Poisson(1) times in each iteration, so no row is moved."""
-    rows = df.where(F.col(value).isNotNull()).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+def _drawn(df: DataFrame, row_id: str, iterations: int, seed: int) -> DataFrame:
+    """Every row with every iteration and _n, how often it is drawn there: Poisson(1), by hash, so no row is moved."""
+    rows = df.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     u, steps, total, term = uniform(seed, F.col("iteration"), F.col(row_id)), F.lit(0), 0.0, float(np.exp(-1))
     for k in range(1, 9):
         total += term
         steps = steps + F.when(u > total, 1).otherwise(0)
         term /= k
-    rows = rows.withColumn("_n", steps)
+    return rows.withColumn("_n", steps)
+
+
+def bootstrap_means(df: DataFrame, value: str, row_id: str, iterations: int, seed: int = 1, by: list[str] | None = None) -> DataFrame:
+    """Means of resampled rows, of the whole or of groups."""
+    rows = _drawn(df.where(F.col(value).isNotNull()), row_id, iterations, seed)
     return rows.groupBy(*(by or []), "iteration").agg((F.sum(F.col("_n") * F.col(value)) / F.nullif(F.sum("_n"), F.lit(0))).alias("mean"))
 
 
+def bootstrap_ratios(df: DataFrame, numerator: str, denominator: str, row_id: str, iterations: int, seed: int = 1) -> DataFrame:
+    """Ratios of the sums of resampled rows; 0 where the denominator is not positive."""
+    rows = _drawn(df, row_id, iterations, seed)
+    low = F.sum(F.col("_n") * F.col(denominator))
+    return rows.groupBy("iteration").agg(F.when(low > 0, F.sum(F.col("_n") * F.col(numerator)) / low).otherwise(0.0).alias("ratio"))
+
+
+def permuted_difference(df: DataFrame, value: str, first: Column, row_id: str, iterations: int, seed: int = 1) -> DataFrame:
+    """Difference of the means of the rows of ``first`` and of the others, and the share of iterations in which chance groups differ as much.
+
+    A row is in the first group of an iteration with the first group's share as
+    probability, by hash, so no row is moved.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("_first", F.coalesce(first, F.lit(False)))
+    mean = lambda test: F.sum(F.when(test, F.col(value))) / F.nullif(F.count(F.when(test, 1)), F.lit(0))
+    seen = rows.agg((mean(F.col("_first")) - mean(~F.col("_first"))).alias("difference"), F.avg(F.col("_first").cast("double")).alias("_share"))
+    drawn = rows.crossJoin(F.broadcast(seen)).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    drawn = drawn.withColumn("_in", uniform(seed, F.col("iteration"), F.col(row_id)) < F.col("_share"))
+    chance = drawn.groupBy("iteration").agg((mean(F.col("_in")) - mean(~F.col("_in"))).alias("_d"), F.max("difference").alias("difference"))
+    return chance.agg(F.max("difference").alias("difference"), F.avg((F.abs("_d") >= F.abs("difference")).cast("double")).alias("p_value"))
+
+
+def corrected_interval(df: DataFrame, value: str, row_id: str, iterations: int, level: float = 0.95, seed: int = 1) -> tuple[float, float, float]:
+    """(low, high, mean): the bias-corrected and accelerated interval of the mean; the draws' shares and three moments reach the driver."""
+    from statistics import NormalDist
+
+    rows, normal = df.where(F.col(value).isNotNull()), NormalDist()
+    mean = rows.agg(F.avg(value)).first()[0]
+    off = F.col(value) - F.lit(float(mean))
+    cubes, squares = rows.agg(F.sum(off * off * off), F.sum(off * off)).first()
+    draws = written(bootstrap_means(rows, value, row_id, iterations, seed), "draws")
+    below = draws.agg(F.avg((F.col("mean") < mean).cast("double"))).first()[0]
+    bias = normal.inv_cdf(below) if 0 < below < 1 else 0.0
+    speed = cubes / (6 * squares**1.5) if squares else 0.0
+    share = lambda tail: min(max(normal.cdf(bias + (bias + normal.inv_cdf(tail)) / (1 - speed * (bias + normal.inv_cdf(tail)))), 0.001), 0.999)
+    found = quantiles(draws, "mean", {"low": share((1 - level) / 2), "high": share((1 + level) / 2)}).first()
+    return found["low"], found["high"], mean
+
+
 def confidence(draws: DataFrame, statistic: str, level: float = 0.9, by: list[str] | None = None) -> DataFrame:
     tail = (1 - level) / 2
     return draws.groupBy(*(by or [])).agg(F.avg(statistic).alias("mean"), F.stddev_samp(statistic).alias("std"), F.percentile(statistic, F.lit(tail)).alias("low"), F.percentile(statistic, F.lit(1 - tail)).alias("high"))
@@ -112,8 +188,8 @@ def latin_hypercube(spark, n: int, distributions: dict[str, tuple], seed: int =
     """draw and a column for each of (kind, a, b[, mode]): normal, lognormal, uniform, triangular; each dimension's n strata in an order by hash."""
     out = spark.range(n).withColumnRenamed("id", "draw")
     for k, (name, (kind, *args)) in enumerate(distributions.items()):
-        order = Window.orderBy(F.xxhash64(F.lit(seed), F.lit(k), "draw"), "draw")
-        out = out.withColumn("_u", (F.row_number().over(order) - uniform(seed + k, F.col("draw"))) / n)
+        out = ranked(out.withColumn("_h", uniform(seed, F.lit(k), F.col("draw"))), ["_h", "draw"], "_r")
+        out = out.withColumn("_u", (F.col("_r") - uniform(seed + k + 1, F.col("draw"))) / n).drop("_h", "_r")
         u = F.col("_u")
         if kind == "uniform":
             value = args[0] + u * (args[1] - args[0])

@@ -23,41 +23,63 @@ def rose(df: DataFrame, direction: Column, bins: int, is_axial: bool = False, we
 
 
 def circular(df: DataFrame, direction: Column, is_axial: bool = False, weight: Column | None = None) -> DataFrame:
-    """Mean direction, resultant length, circular variance and Rayleigh's p."""
+    """Mean direction, resultant length, circular variance, Rayleigh's statistic and p (0 and 1 for fewer than two directions)."""
     k = 2.0 if is_axial else 1.0
     w = weight if weight is not None else F.lit(1.0)
     a = F.radians(direction * k)
     out = df.where(direction.isNotNull()).agg(F.count(F.lit(1)).alias("n"), (F.sum(w * F.cos(a)) / F.sum(w)).alias("_c"), (F.sum(w * F.sin(a)) / F.sum(w)).alias("_s"))
     r = F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s"))
     z = F.col("n") * r * r
-    p = F.exp(F.sqrt(1 + 4 * F.col("n") + 4 * (F.col("n") * F.col("n") - z * F.col("n"))) - (1 + 2 * F.col("n")))
-    return out.select("n", (F.pmod(F.degrees(F.atan2("_s", "_c")), F.lit(360.0)) / k).alias("mean"), r.alias("resultant"), (1 - r).alias("variance"), F.least(p, F.lit(1.0)).alias("rayleigh_p"))
+    n = F.col("n").cast("double")
+    p = F.exp(-z) * (1 + (2 * z - z * z) / (4 * n) - (24 * z - 132 * z * z + 76 * z * z * z - 9 * z * z * z * z) / (288 * n * n))
+    few = F.col("n") < 2
+    return out.select("n", (F.pmod(F.degrees(F.atan2("_s", "_c")), F.lit(360.0)) / k).alias("mean"), r.alias("resultant"), (1 - r).alias("variance"), F.when(few, 0.0).otherwise(z).alias("rayleigh_z"), F.when(few, 1.0).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))).alias("rayleigh_p"))
 
 
 def fisher(df: DataFrame, x: str, y: str, z: str, by: list[str] | None = None) -> DataFrame:
-    """Mean unit vector, resultant length, concentration (n - 1) / (n - R) and the 95 % cone of unit normals."""
+    """Mean unit vector (straight down without one) with its dip and dip direction, resultant length, concentration, 95 and 99 % cones, dispersion and variance of unit normals.
+
+    The concentration is R (3 - R^2) / (1 - R^2) of the mean resultant length R,
+    less 2 / n for fewer than ten; 0 for one normal or hardly any direction, 1000
+    for hardly any spread.  The cone is 180 degrees for one normal or no direction.
+    """
     out = df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("_x"), F.sum(y).alias("_y"), F.sum(z).alias("_z"))
     r = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") + F.col("_z") * F.col("_z"))
     out = out.withColumn("resultant", r)
-    n, R = F.col("n"), F.col("resultant")
-    cone = F.degrees(F.acos(F.greatest(1 - (n - R) / R * (F.pow(F.lit(20.0), 1 / (n - 1)) - 1), F.lit(-1.0))))
-    return out.select(*(by or []), "n", *((F.col(f"_{c}") / R).alias(f"mean_{c}") for c in "xyz"), "resultant", ((n - 1) / F.nullif(n - R, F.lit(0.0))).alias("kappa"), F.when(n > 1, cone).alias("cone_95"))
+    n, big = F.col("n"), F.col("resultant")
+    lost, bar = big < 1e-10, big / n
+    mean = {c: F.when(lost, F.lit(-1.0 if c == "z" else 0.0)).otherwise(F.col(f"_{c}") / big) for c in "xyz"}
+
+    def cone(outside: float) -> Column:
+        angle = F.degrees(F.acos(F.greatest(F.least(1 - (n - big) / big * (F.pow(F.lit(1 / outside), 1 / (n - 1)) - 1), F.lit(1.0)), F.lit(-1.0))))
+        return F.when((n < 2) | lost, F.lit(180.0)).otherwise(angle)
+
+    likely = bar * (3 - bar * bar) / (1 - bar * bar)
+    kappa = F.when((n < 2) | (bar < 0.001), 0.0).when(bar >= 0.9999, 1000.0).when(n < 10, F.greatest(likely - 2 / n, F.lit(0.0))).otherwise(likely)
+    dip, direction = G.dip_and_direction(*mean.values())
+    return out.select(*(by or []), "n", *(m.alias(f"mean_{c}") for c, m in mean.items()), dip.alias("mean_dip"), direction.alias("mean_dip_direction"), "resultant", kappa.alias("kappa"), cone(0.05).alias("cone_95"), cone(0.01).alias("cone_99"), F.degrees(F.acos(F.least(bar, F.lit(1.0)))).alias("dispersion"), (1 - bar).alias("variance"))
+
 
+def density(poles: DataFrame, grid: DataFrame, kappa: float, steps: int | None = None) -> DataFrame:
+    """Mean von Mises-Fisher kernel of poles (x, y, z) at the vectors of a grid (id, gx, gy, gz); poles are axes.
 
-def density(poles: DataFrame, grid: DataFrame, kappa: float) -> DataFrame:
-    """Mean von Mises-Fisher kernel of poles (x, y, z) at the vectors of a grid (id, gx, gy, gz) of at most 10,000 rows; poles are axes."""
+    The poles are first summed by direction to ``1 / steps`` of a component, so
+    that what meets the grid is bounded by the sphere and not by their number;
+    ``steps`` None keeps every pole as it is.
+    """
     dot = F.abs(F.col("x") * F.col("gx") + F.col("y") * F.col("gy") + F.col("z") * F.col("gz"))
     scale = kappa / (4 * math.pi * math.sinh(kappa)) if kappa < 300 else kappa / (2 * math.pi)
     value = F.lit(scale) * F.exp(kappa * dot) if kappa < 300 else F.lit(scale) * F.exp(kappa * (dot - 1))
-    return poles.crossJoin(F.broadcast(grid.limit(10_000))).groupBy("id").agg(F.avg(value).alias("density"))
+    near = lambda c: F.round(F.col(c) * steps) / steps if steps else F.col(c)
+    rows = poles.groupBy(*(near(c).alias(c) for c in "xyz")).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.crossJoin(grid).groupBy("id").agg((F.sum(value * F.col("_n")) / F.sum("_n")).alias("density"))
 
 
 def wedges(sets: DataFrame, key: str, slope_dip: float, slope_direction: float, friction: float) -> DataFrame:
-    """Pairs of planes (rows of a short table of set means, at most 1000) whose line of intersection daylights in the slope and is steeper than friction."""
-    short = sets.orderBy(key).limit(1000)
+    """Pairs of planes (rows of a table of set means) whose line of intersection daylights in the slope and is steeper than friction."""
     n = G.pole(F.col("dip"), F.col("dip_direction"))
-    a = short.select(F.col(key).alias("i"), *(c.alias(f"a{k}") for c, k in zip(n, "xyz")))
-    b = F.broadcast(short.select(F.col(key).alias("j"), *(c.alias(f"b{k}") for c, k in zip(n, "xyz"))))
+    a = sets.select(F.col(key).alias("i"), *(c.alias(f"a{k}") for c, k in zip(n, "xyz")))
+    b = sets.select(F.col(key).alias("j"), *(c.alias(f"b{k}") for c, k in zip(n, "xyz")))
     both = a.join(b, F.col("i") < F.col("j"))
     ax, ay, az, bx, by, bz = (F.col(c) for c in ("ax", "ay", "az", "bx", "by", "bz"))
     line = [ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx]
@@ -72,6 +94,6 @@ def wedges(sets: DataFrame, key: str, slope_dip: float, slope_direction: float,
 def stratigraphy(contacts: DataFrame, ranks: DataFrame, allowed: int = 0) -> DataFrame:
     """Holes whose units, going down, turn back up the sequence: inversions and their severity."""
     order = Window.partitionBy("hole_id").orderBy("depth")
-    rows = contacts.join(F.broadcast(ranks.limit(10_000)), "unit").withColumn("_next", F.lead("rank").over(order))
+    rows = contacts.join(ranks, "unit").withColumn("_next", F.lead("rank").over(order))
     out = rows.groupBy("hole_id").agg(F.count(F.when(F.col("_next") < F.col("rank"), 1)).alias("inversions"))
     return out.withColumn("severity", F.when(F.col("inversions") > allowed, "ERROR").when(F.col("inversions") > 0, "WARNING").otherwise("OK"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import written
+
 HOLE = "hole_id"
 
 
@@ -56,13 +58,15 @@ def located(intervals: DataFrame, stations: DataFrame, collars: DataFrame) -> Da
     return both.select("_i.*", *(along(c).alias(c) for c in "xyz"))
 
 
-def lineages(edges: DataFrame, steps: int = 20) -> DataFrame:
-    """Ancestors of every node of child, parent edges, with their distance; ``steps`` bounds the depth."""
+def lineages(edges: DataFrame) -> DataFrame:
+    """Ancestors of every node of child, parent edges, with their least distance; steps double the reach until no ancestor is new, so cycles end too."""
     reach = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    found, frontier = reach, reach
-    for _ in range(steps - 1):
-        frontier = frontier.join(edges.withColumnsRenamed({"child": "ancestor", "parent": "next"}), "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+    reach, before = written(reach.distinct(), "reach"), None
+    while True:
+        further = reach.join(reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("distance").alias("_more")), "ancestor")
+        both = reach.unionByName(further.select("node", F.col("_next").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance")))
+        reach = written(both.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "reach")
+        now = reach.agg(F.count(F.lit(1)), F.sum("distance")).first()
+        if now == before:
+            return reach
+        before = now

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import quantiles, ranked
+
 YEAR_DAYS = 365.25
 
 
@@ -38,9 +40,9 @@ def smoothed(rows: DataFrame, point: str, ts: str, value: str, half: int) -> Dat
 
 def outliers(rows: DataFrame, point: str, value: str, limit: float = 3.5) -> DataFrame:
     """Flags by z-score (population) and by the median absolute deviation, both from joined-back aggregates."""
-    moments = rows.groupBy(point).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.percentile(value, F.lit(0.5)).alias("_med"))
-    both = rows.join(moments, point)
-    spread = both.groupBy(point).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("_mad"))
+    moments = rows.groupBy(point).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    both = rows.join(moments, point).join(quantiles(rows, value, {"_med": 0.5}, [point]), point)
+    spread = quantiles(both.select(point, F.abs(F.col(value) - F.col("_med")).alias("_off")), "_off", {"_mad": 0.5}, [point])
     both = both.join(spread, point)
     z = F.abs(F.col(value) - F.col("_m")) > limit * F.col("_s")
     mad = (F.col("_mad") > 0) & (0.6745 * F.abs(F.col(value) - F.col("_med")) / F.nullif(F.col("_mad"), F.lit(0.0)) > limit)
@@ -67,7 +69,7 @@ def deformation_index(metrics: DataFrame, point: str, weights: dict[str, float])
     scaled = {c: F.coalesce((F.col(c) - F.col(f"_lo_{c}")) / F.nullif(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(0.0)), F.lit(0.0)) for c in weights}
     index = sum((F.lit(w) * scaled[c] for c, w in weights.items()), F.lit(0.0))
     rows = metrics.crossJoin(F.broadcast(limits)).select(point, index.alias("index"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("index"), point)))
+    return ranked(rows, [F.desc("index"), point])
 
 
 def event_rate(events: DataFrame, ts: str, bin_days: float) -> DataFrame:
@@ -79,14 +81,29 @@ def event_rate(events: DataFrame, ts: str, bin_days: float) -> DataFrame:
     return out.withColumns({"rate": F.col("n") / bin_days, "total": F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))})
 
 
-def b_value(events: DataFrame, magnitude: str, step: float = 0.1, completeness: float | None = None) -> DataFrame:
-    """Slope of log10 (events of at least a magnitude) over classes of ``step`` from the completeness on (the fullest class), between 0.5 and 2; 1 for fewer than ten events."""
-    classes = events.where(F.col(magnitude).isNotNull()).groupBy(F.floor(F.col(magnitude) / step + 1e-9).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    fullest = classes.agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("_mc")) if completeness is None else classes.agg(F.lit(int(completeness / step)).cast("long").alias("_mc"))
-    above = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = classes.withColumn("_a", F.sum("n").over(above)).crossJoin(F.broadcast(fullest)).where("c >= _mc")
-    out = rows.agg(F.max("_a").alias("events"), (-F.regr_slope(F.log10("_a"), F.col("c") * step)).alias("_b"), (F.max("_mc") * step).alias("completeness"))
-    return out.select("events", "completeness", F.when((F.col("events") < 10) | F.col("_b").isNull(), F.lit(1.0)).otherwise(F.least(F.greatest("_b", F.lit(0.5)), F.lit(2.0))).alias("b"))
+def b_value(events: DataFrame, magnitude: str, step: float = 0.1, completeness: float | None = None, bins: int = 20, default: float = 1.0) -> DataFrame:
+    """Slope of log10 (events of at least a magnitude) at magnitudes ``step`` apart from the completeness on, between 0.5 and 2.
+
+    The completeness is the lower edge of the fullest of ``bins`` equal bins (the
+    first of equals).  Fewer than ten events, fewer than five from the
+    completeness on or fewer than three magnitudes give ``default``.
+    """
+    rows = events.where(F.col(magnitude).isNotNull()).select(F.col(magnitude).cast("double").alias("_g"))
+    limits = rows.agg(F.count(F.lit(1)).alias("_n"), F.min("_g").alias("_lo"), F.max("_g").alias("_hi"))
+    if completeness is None:
+        width = (F.col("_hi") - F.col("_lo")) / bins
+        place = F.least(F.coalesce(F.floor((F.col("_g") - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(0)), F.lit(bins - 1))
+        fullest = rows.crossJoin(F.broadcast(limits)).groupBy(place.alias("_k")).agg(F.count(F.lit(1)).alias("_c")).agg(F.max_by("_k", F.struct("_c", -F.col("_k"))).alias("_k"))
+        limits = limits.crossJoin(fullest).withColumn("_mc", F.col("_lo") + F.col("_k") * width)
+    else:
+        limits = limits.withColumn("_mc", F.lit(float(completeness)))
+    # The classes of the curve: class j counts events of at least completeness + j * step.
+    above = rows.crossJoin(F.broadcast(limits)).where("_g >= _mc").groupBy(F.floor((F.col("_g") - F.col("_mc")) / step + 1e-9).cast("int").alias("_j")).agg(F.count(F.lit(1)).alias("_c"))
+    frame = above.agg(F.max("_j").alias("_last")).select(F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_j"))
+    curve = frame.join(above, "_j", "left").withColumn("_a", F.sum(F.coalesce("_c", F.lit(0))).over(Window.orderBy(F.desc("_j"))))
+    fit = curve.agg(F.max("_a").alias("_m"), F.count(F.lit(1)).alias("_p"), (-F.regr_slope(F.log10("_a"), F.col("_j") * step)).alias("_b"))
+    few = (F.col("_n") < 10) | (F.coalesce("_m", F.lit(0)) < 5) | (F.col("_p") < 3) | F.col("_b").isNull()
+    return limits.crossJoin(fit).select(F.coalesce("_m", F.lit(0)).alias("events"), F.col("_mc").alias("completeness"), F.when(few, F.lit(float(default))).otherwise(F.least(F.greatest("_b", F.lit(0.5)), F.lit(2.0))).alias("b"))
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:

@@ -121,10 +121,13 @@ def cross_section(spark, sf_dir):
     return rounded(V.blocks(spark, sf_dir).where(inside).select("block_id", distance.alias("distance")))
 
 
-@query(f"WITH {V.BLOCKS} SELECT DISTINCT block_id FROM blocks WHERE grade >= 8 AND NOT grade2 >= 5")
+@query(f"WITH {V.BLOCKS}, a AS (SELECT block_id FROM blocks WHERE grade >= 8), b AS (SELECT block_id FROM blocks WHERE grade2 >= 5) SELECT 'new' AS mode, block_id FROM b UNION ALL SELECT 'add', block_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'subtract', block_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'intersect', block_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b)")
 def selection_difference(spark, sf_dir):
-    rows = V.blocks(spark, sf_dir)
-    return selection.combined(rows.where("grade >= 8"), rows.where("grade2 >= 5"), "subtract", "block_id")
+    rows, out = V.blocks(spark, sf_dir), None
+    for mode in ("new", "add", "subtract", "intersect"):
+        one = selection.combined(rows.where("grade >= 8"), rows.where("grade2 >= 5"), mode, "block_id").select(F.lit(mode).alias("mode"), "block_id")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _RING = [(100.0, 50.0), (700.0, 100.0), (650.0, 400.0), (350.0, 210.0), (120.0, 430.0)]
@@ -136,9 +139,9 @@ def dig_polygon_tonnes(spark, sf_dir):
     return rounded(rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("tonnes").alias("tonnes")))
 
 
-@query(f"WITH {V.BLOCKS} SELECT count(*) AS n FROM blocks")
+@query(f"WITH {V.BLOCKS}, h AS (SELECT ('0x' || substr(md5(concat_ws('|', block_id, domain, class, period)), 1, 15))::BIGINT::HUGEINT AS h FROM blocks) SELECT count(*) AS n, (sum(h) % 1152921504606846976)::BIGINT AS hash FROM h")
 def table_fingerprint_count(spark, sf_dir):
-    return selection.table_hash(V.blocks(spark, sf_dir)).select("n")
+    return selection.table_hash(V.blocks(spark, sf_dir), ["block_id", "domain", "class", "period"])
 
 
 # --- intervals ------------------------------------------------------------------
@@ -158,20 +161,20 @@ def indicator_composites(spark, sf_dir):
     return rounded(intervals.indicator(V.intervals(spark, sf_dir), "grade", 5.0, 10.0).select("hole_id", "bin", "indicator"))
 
 
-@query(f"WITH {V.INTERVALS}, m AS (SELECT *, (depth_to - depth_from) * density AS m, sum((depth_to - depth_from) * density) OVER (PARTITION BY hole_id ORDER BY depth_from, depth_to ROWS UNBOUNDED PRECEDING) AS e FROM intervals), b AS (SELECT *, unnest(range(floor((e - m) / 40)::BIGINT, ceil(e / 40)::BIGINT)) AS bin FROM m), c AS (SELECT *, greatest(e - m, bin * 40) AS a, least(e, (bin + 1) * 40) AS z FROM b) SELECT hole_id, bin, {r('sum(z - a)', 'mass', 3)}, {r('sum(grade * (z - a)) / sum(z - a)', 'grade', 3)} FROM c WHERE z > a + 1e-6 GROUP BY hole_id, bin")
+@query(f"WITH {V.INTERVALS}, d AS (SELECT *, (depth_to::DECIMAL(18,6) - depth_from::DECIMAL(18,6))::DECIMAL(18,6) * density::DECIMAL(18,6) AS dm FROM intervals), s AS (SELECT *, sum(dm) OVER (PARTITION BY hole_id ORDER BY depth_from, depth_to ROWS UNBOUNDED PRECEDING) AS de FROM d), m AS (SELECT *, de::DOUBLE AS e, (de - dm)::DOUBLE AS st FROM s), b AS (SELECT *, unnest(range(floor(st / 40)::BIGINT, ceil(e / 40)::BIGINT)) AS bin FROM m), c AS (SELECT *, greatest(st, bin * 40) AS a, least(e, (bin + 1) * 40) AS z FROM b) SELECT hole_id, bin, {r('sum(z - a)', 'mass', 6)}, {r('sum(grade * (z - a)) / sum(z - a)', 'grade', 6)} FROM c WHERE z > a GROUP BY hole_id, bin")
 def equal_mass_composites(spark, sf_dir):
     rows = intervals.equal_mass(V.intervals(spark, sf_dir), ["grade"], 40.0, "density")
-    return rounded(rows.where("mass > 1e-6").select("hole_id", "bin", "mass", "grade"), 3)
+    return rounded(rows.select("hole_id", "bin", "mass", "grade"), 6)
 
 
-@query(f"WITH {V.INTERVALS}, h AS (SELECT hole_id, min(depth_from) AS o, max(depth_to) AS e FROM intervals GROUP BY 1), w AS (SELECT hole_id, unnest(range(floor((e - o - 20) / 10 + 1e-9)::BIGINT + 1)) AS bin, o FROM h WHERE e - o >= 20) SELECT w.hole_id, bin, {r('o + bin * 10', 'depth_from')}, {r('sum((least(depth_to, o + bin * 10 + 20) - greatest(depth_from, o + bin * 10)) * grade) / sum(least(depth_to, o + bin * 10 + 20) - greatest(depth_from, o + bin * 10))', 'grade')} FROM w JOIN intervals i ON i.hole_id = w.hole_id AND depth_from < o + bin * 10 + 20 AND depth_to > o + bin * 10 GROUP BY w.hole_id, bin, o")
+@query(f"WITH {V.INTERVALS}, h AS (SELECT hole_id, min(depth_from) AS o, max(depth_to) AS e FROM intervals GROUP BY 1), w AS (SELECT hole_id, unnest(range(floor((e - o - 20) / 10 + 1e-9)::BIGINT + 1)) AS bin, o FROM h WHERE e - o >= 20) SELECT w.hole_id, bin, {r('o + bin * 10', 'depth_from')}, {r('o + bin * 10 + 20', 'depth_to')}, {r('sum(least(depth_to, o + bin * 10 + 20) - greatest(depth_from, o + bin * 10))', 'covered')}, {r('sum((least(depth_to, o + bin * 10 + 20) - greatest(depth_from, o + bin * 10)) * grade) / sum(least(depth_to, o + bin * 10 + 20) - greatest(depth_from, o + bin * 10))', 'grade')} FROM w JOIN intervals i ON i.hole_id = w.hole_id AND depth_from < o + bin * 10 + 20 AND depth_to > o + bin * 10 GROUP BY w.hole_id, bin, o")
 def rolling_composites(spark, sf_dir):
-    return rounded(intervals.rolling(V.intervals(spark, sf_dir), ["grade"], 20.0, 10.0).select("hole_id", "bin", "depth_from", "grade"))
+    return rounded(intervals.rolling(V.intervals(spark, sf_dir), ["grade"], 20.0, 10.0))
 
 
-@query(f"WITH {V.INTERVALS}, s AS (SELECT *, CASE WHEN lag(lith_code) OVER w = lith_code AND depth_from - lag(depth_to) OVER w < 1e-3 THEN 0 ELSE 1 END AS s FROM intervals WINDOW w AS (PARTITION BY hole_id ORDER BY depth_from, depth_to)), i AS (SELECT *, sum(s) OVER (PARTITION BY hole_id ORDER BY depth_from, depth_to ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM s) SELECT hole_id, island, any_value(lith_code) AS lith_code, {r('min(depth_from)', 'depth_from')}, {r('max(depth_to)', 'depth_to')}, count(*) AS sample_count, {r('sum(grade * (depth_to - depth_from)) / sum(depth_to - depth_from)', 'grade')} FROM i GROUP BY hole_id, island")
+@query(f"WITH {V.INTERVALS}, s AS (SELECT *, CASE WHEN lag(lith_code) OVER w = lith_code AND depth_from - lag(depth_to) OVER w < 1e-3 THEN 0 ELSE 1 END AS s FROM intervals WINDOW w AS (PARTITION BY hole_id ORDER BY depth_from, depth_to)), i AS (SELECT *, sum(s) OVER (PARTITION BY hole_id ORDER BY depth_from, depth_to ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM s) SELECT hole_id, island, any_value(lith_code) AS lith_code, {r('min(depth_from)', 'depth_from')}, {r('max(depth_to)', 'depth_to')}, {r('sum(depth_to - depth_from)', 'length')}, count(*) AS sample_count, {r('sum(grade * (depth_to - depth_from)) / sum(depth_to - depth_from)', 'grade')} FROM i GROUP BY hole_id, island")
 def lithology_composites(spark, sf_dir):
-    return rounded(intervals.islands(V.intervals(spark, sf_dir), "lith_code", ["grade"]).drop("length"))
+    return rounded(intervals.islands(V.intervals(spark, sf_dir), "lith_code", ["grade"]))
 
 
 @query(f"WITH {V.INTERVALS} SELECT hole_id, {r('(depth_to + nf) / 2', 'depth')}, above, below FROM (SELECT hole_id, depth_to, lith_code AS above, lead(lith_code) OVER w AS below, lead(depth_from) OVER w AS nf FROM intervals WINDOW w AS (PARTITION BY hole_id ORDER BY depth_from, depth_to)) WHERE above <> below")
@@ -203,14 +206,14 @@ def interval_validation(spark, sf_dir):
     return validation.summary(validation.intervals(rows, collars, "assays"), validation.orphans(rows, "assays", collars))
 
 
-@query(f"WITH {V.SURVEYS}, {V.COLLARS}, p AS (SELECT s.*, c.length AS td, lag(depth) OVER w AS pd, lag(azimuth) OVER w AS pa, lag(dip) OVER w AS pp, max(depth) OVER (PARTITION BY s.hole_id) AS last FROM surveys s LEFT JOIN collars c USING (hole_id) WINDOW w AS (PARTITION BY s.hole_id ORDER BY depth)), v AS (SELECT 'DIP_TURN' AS rule_code, hole_id FROM p WHERE abs(dip - pp) / (depth - pd) * 10 > 10 UNION ALL SELECT 'AZIMUTH_TURN', hole_id FROM p WHERE abs(((azimuth - pa + 180) % 360 + 360) % 360 - 180) / (depth - pd) * 10 > 10 UNION ALL SELECT 'FIRST_STATION', hole_id FROM p WHERE pd IS NULL AND depth > 2 UNION ALL SELECT 'SPACING', hole_id FROM p WHERE depth - pd > 30 UNION ALL SELECT 'END_GAP', hole_id FROM p WHERE depth = last AND td - last > 5) SELECT rule_code, count(*) AS n, count(DISTINCT hole_id) AS holes FROM v GROUP BY 1")
+@query(f"WITH {V.SURVEYS}, {V.COLLARS}, p AS (SELECT s.*, c.length AS td, lag(depth) OVER w AS pd, lag(azimuth) OVER w AS pa, lag(dip) OVER w AS pp, max(depth) OVER (PARTITION BY s.hole_id) AS last FROM surveys s LEFT JOIN collars c USING (hole_id) WINDOW w AS (PARTITION BY s.hole_id ORDER BY depth)), v AS (SELECT 'DIP_TURN' AS rule_code, hole_id FROM p WHERE abs(dip - pp) / (depth - pd) * 10 > 10 UNION ALL SELECT 'AZIMUTH_TURN', hole_id FROM p WHERE abs(((azimuth - pa + 180) % 360 + 360) % 360 - 180) / (depth - pd) * 10 > 10 UNION ALL SELECT 'FIRST_STATION', hole_id FROM p WHERE pd IS NULL AND depth > 2 UNION ALL SELECT 'SPACING', hole_id FROM p WHERE depth - pd > 30 UNION ALL SELECT 'END_GAP', hole_id FROM p WHERE depth = last AND td - last > 5) SELECT 'surveys' AS table_name, rule_code, 'WARNING' AS severity, count(*) AS n, count(DISTINCT hole_id) AS holes FROM v GROUP BY ALL")
 def survey_validation(spark, sf_dir):
-    return validation.summary(validation.surveys(V.surveys(spark, sf_dir), V.collars(spark, sf_dir))).select("rule_code", "n", "holes")
+    return validation.summary(validation.surveys(V.surveys(spark, sf_dir), V.collars(spark, sf_dir)))
 
 
-@query(f"WITH {V.COLLARS}, {V.INTERVALS}, l AS (SELECT hole_id, max(depth_to) AS last FROM intervals GROUP BY 1) SELECT hole_id, {r('last', 'depth')} FROM collars JOIN l USING (hole_id) WHERE length - last > 1")
+@query(f"WITH {V.COLLARS}, {V.INTERVALS}, l AS (SELECT hole_id, max(depth_to) AS last FROM intervals GROUP BY 1) SELECT 'assays' AS table_name, 'SHORT' AS rule_code, 'WARNING' AS severity, hole_id, {r('last', 'depth')} FROM collars JOIN l USING (hole_id) WHERE length - last > 1")
 def short_holes(spark, sf_dir):
-    return rounded(validation.short_holes(V.intervals(spark, sf_dir), V.collars(spark, sf_dir), "assays").select("hole_id", "depth"))
+    return rounded(validation.short_holes(V.intervals(spark, sf_dir), V.collars(spark, sf_dir), "assays"))
 
 
 @query()
@@ -374,7 +377,7 @@ def subsidence_series(spark, sf_dir):
     return rows.withColumns({"change_mm": F.round("change_mm", 2), "velocity": F.round("velocity", 0)})
 
 
-@query("WITH c AS (SELECT floor(value / 100 / 0.1 + 1e-9)::BIGINT AS c, count(*) AS n FROM events GROUP BY 1), m AS (SELECT arg_max(c, n * 1000 - c) AS mc FROM c), a AS (SELECT c, sum(n) OVER (ORDER BY c DESC) AS a FROM c) SELECT max(a)::BIGINT AS events, round(max(mc) * 0.1, 4) AS completeness, round(least(greatest(-regr_slope(log10(a), c * 0.1::DOUBLE), 0.5), 2), 4) AS b FROM a, m WHERE c >= mc")
+@query("WITH g AS (SELECT value / 100 AS g FROM events WHERE value IS NOT NULL), l AS (SELECT count(*) AS n, min(g) AS lo, (max(g) - min(g)) / 20 AS w FROM g), k AS (SELECT least(floor((g - lo) / w), 19) AS k, count(*) AS c FROM g, l GROUP BY 1), mc AS (SELECT lo + (SELECT arg_max(k, c * 100 - k) FROM k) * w AS mc, n FROM l), j AS (SELECT floor((g - mc) / 0.1::DOUBLE + 1e-9)::INT AS j, count(*) AS c FROM g, mc WHERE g >= mc GROUP BY 1), f AS (SELECT unnest(range(max(j) + 1))::INT AS j FROM j), a AS (SELECT f.j, sum(coalesce(c, 0)) OVER (ORDER BY f.j DESC) AS a FROM f LEFT JOIN j ON f.j = j.j) SELECT max(a)::BIGINT AS events, round(any_value(mc), 4) AS completeness, round(CASE WHEN any_value(n) < 10 OR max(a) < 5 OR count(*) < 3 THEN 1 ELSE least(greatest(-regr_slope(log10(a), j * 0.1::DOUBLE), 0.5), 2) END, 4) AS b FROM a, mc")
 def b_value(spark, sf_dir):
     return rounded(timeseries.b_value(V.table(spark, sf_dir, "events").withColumn("m", F.col("value") / 100), "m"))
 
@@ -462,16 +465,19 @@ def rose_histogram(spark, sf_dir):
     return structural.rose(_planes(spark, sf_dir), F.col("dd"), 24, True)
 
 
-@query(f"WITH {_PLANES}, s AS (SELECT count(*) AS n, avg(cos(radians(dd * 2))) AS c, avg(sin(radians(dd * 2))) AS s FROM planes WHERE dip > 30) SELECT n, {r('((degrees(atan2(s, c)) + 360) % 360) / 2', 'mean')}, {r('sqrt(c * c + s * s)', 'resultant')}, {r('1 - sqrt(c * c + s * s)', 'variance')} FROM s")
+@query(f"WITH {_PLANES}, s AS (SELECT count(*) AS n, avg(cos(radians(dd * 2))) AS c, avg(sin(radians(dd * 2))) AS s FROM planes WHERE dip > 30), t AS (SELECT *, n * (c * c + s * s) AS z FROM s) SELECT n, {r('((degrees(atan2(s, c)) + 360) % 360) / 2', 'mean')}, {r('sqrt(c * c + s * s)', 'resultant')}, {r('1 - sqrt(c * c + s * s)', 'variance')}, {r('z', 'rayleigh_z')}, {r('greatest(least(exp(-z) * (1 + (2 * z - z * z) / (4 * n) - (24 * z - 132 * z ** 2 + 76 * z ** 3 - 9 * z ** 4) / (288 * n * n::DOUBLE)), 1), 0)', 'rayleigh_p')} FROM t")
 def circular_statistics(spark, sf_dir):
-    return rounded(structural.circular(_planes(spark, sf_dir).where("dip > 30"), F.col("dd"), True).drop("rayleigh_p"))
+    return rounded(structural.circular(_planes(spark, sf_dir).where("dip > 30"), F.col("dd"), True))
 
 
-@query(f"WITH {_PLANES}, v AS (SELECT -sin(radians(dip)) * sin(radians(dd)) AS x, -sin(radians(dip)) * cos(radians(dd)) AS y, -cos(radians(dip)) AS z, floor(dip / 30)::BIGINT AS k FROM planes), s AS (SELECT k, count(*) AS n, sqrt(sum(x) ** 2 + sum(y) ** 2 + sum(z) ** 2) AS big, sum(z) AS sz FROM v GROUP BY k) SELECT k, n, {r('sz / big', 'mean_z')}, {r('big', 'resultant')}, {r('(n - 1) / (n - big)', 'kappa')} FROM s")
+@query(f"""WITH {_PLANES}, v AS (SELECT -sin(radians(dip)) * sin(radians(dd)) AS x, -sin(radians(dip)) * cos(radians(dd)) AS y, -cos(radians(dip)) AS z, floor(dip / 10)::BIGINT AS k FROM planes), s AS (SELECT k, count(*) AS n, sqrt(sum(x) ** 2 + sum(y) ** 2 + sum(z) ** 2) AS big, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM v GROUP BY k), b AS (SELECT *, big / n AS bar FROM s), c AS (SELECT *, bar * (3 - bar * bar) / (1 - bar * bar) AS likely FROM b)
+ SELECT k, n, {r('sx / big', 'mean_x')}, {r('sy / big', 'mean_y')}, {r('sz / big', 'mean_z')}, {r('degrees(acos(least(abs(sz / big), 1)))', 'mean_dip', 3)}, {r('(degrees(atan2(-sx, -sy)) + 360) % 360', 'mean_dip_direction', 3)}, {r('big', 'resultant')}, {r('CASE WHEN n < 2 OR bar < 0.001 THEN 0 WHEN bar >= 0.9999 THEN 1000 WHEN n < 10 THEN greatest(likely - 2 / n::DOUBLE, 0) ELSE likely END', 'kappa')},
+ {r('CASE WHEN n < 2 THEN 180 ELSE degrees(acos(greatest(least(1 - (n - big) / big * (pow(20::DOUBLE, 1 / (n - 1)::DOUBLE) - 1), 1), -1))) END', 'cone_95')}, {r('CASE WHEN n < 2 THEN 180 ELSE degrees(acos(greatest(least(1 - (n - big) / big * (pow(100::DOUBLE, 1 / (n - 1)::DOUBLE) - 1), 1), -1))) END', 'cone_99')}, {r('degrees(acos(least(bar, 1)))', 'dispersion')}, {r('1 - bar', 'variance')} FROM c""")
 def fisher_statistics(spark, sf_dir):
     x, y, z = geometry.pole(F.col("dip"), F.col("dd"))
-    rows = _planes(spark, sf_dir).select(x.alias("x"), y.alias("y"), z.alias("z"), F.floor(F.col("dip") / 30).alias("k"))
-    return rounded(structural.fisher(rows, "x", "y", "z", ["k"]).select("k", "n", "mean_z", "resultant", "kappa"))
+    rows = _planes(spark, sf_dir).select(x.alias("x"), y.alias("y"), z.alias("z"), F.floor(F.col("dip") / 10).alias("k"))
+    out = structural.fisher(rows, "x", "y", "z", ["k"])
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("mean_dip", "mean_dip_direction")}))
 
 
 @query(f"WITH {_PLANES}, t AS (SELECT *, abs(((dd - 120 + 180) % 360 + 360) % 360 - 180) AS turn FROM planes) SELECT count(*) FILTER (turn <= 20 AND dip < 65 AND dip > 30) AS planar, count(*) FILTER (turn >= 150 AND 90 - dip + 30 <= 65) AS toppling FROM t")
