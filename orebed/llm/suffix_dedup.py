@@ -16,10 +16,12 @@ would move several times the corpus; so only suffixes that can matter are:
    is verified byte by byte against the document of least id.
 3. The matched spans of a document are removed together.
 
-A minimiser that very many documents hold is split: each string around it is
-keyed by its own hash.  Equal suffixes of one chunk of documents are settled
-there, and only the one of least id moves on.  The minimisers so split are
-broadcast: the ``HOT_KEYS`` most frequent at most.
+A minimiser that ``HOT_LEAST`` documents hold is split: each string around it is
+keyed by its own hash; a mark on the minimiser tells its documents so.  Equal
+suffixes of one chunk of documents are settled there, and only the one of least
+id moves on.  So a whole copy is settled by its digest, a passage repeated in
+one chunk by its hash and bytes, and everything else by the suffix sort.  Hashes
+only propose: where the bytes differ, the other candidates are compared.
 
 Defined results: a null or empty text has nothing removed; documents of equal
 id do not remove from each other, and rows that are equal in id and text get the
@@ -43,9 +45,11 @@ from ..operators.stored import shards, written
 from . import textarrays as T
 
 LENGTH, GRAM = 50, 25
-HOT_KEYS, HOT_LEAST = 50_000, 1000
-UNITS = 1 << 15
+HOT_LEAST = 1000
+UNITS, SALTS = 1 << 15, 8
 _LOW = np.uint64((1 << 40) - 1)
+#: Marks a minimiser that very many documents hold.
+_HOT = np.uint64(1 << 63)
 
 
 # --- minimisers ---------------------------------------------------------------
@@ -171,7 +175,7 @@ def _candidates(documents: DataFrame, n_buckets: int, length: int, gram: int) ->
                     part = part[np.argsort(doc[part], kind="stable")]
                     names, of = np.unique(doc[part], return_inverse=True)
                     counts = np.where(apart[group[part]], count[group[part]], 0)
-                    out.append({"bucket": b, "direct": direct, "hashes": _short(hashes[part]).tobytes(), "of": of.astype("<u4").tobytes(), "counts": b"" if direct else counts.astype("<u4").tobytes(), "doc_ids": ids[names].astype("<i8").tobytes(), "texts": texts[names].astype("<i4").tobytes()})
+                    out.append({"bucket": b, "direct": direct, "hashes": _short(hashes[part]).tobytes(), "of": of.astype("<u4").tobytes(), "counts": b"" if direct else counts.astype("<u4").tobytes(), "doc_ids": ids[names].astype("<i8").tobytes(), "texts": texts[names].astype("<i8").tobytes()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, _schema(_CANDIDATES))
 
@@ -199,8 +203,8 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-_SHARED = "bucket int, data binary, hot binary"
-# th, a 31-bit hash of the text, tells rows of one id apart.
+_SHARED = "bucket int, data binary"
+# th, a hash of the text, tells rows of one id and equal texts apart.
 
 
 def _by_bucket(records: np.ndarray, n_buckets: int) -> list[dict]:
@@ -219,7 +223,7 @@ def _by_document(packed: DataFrame, width: int, name: str) -> DataFrame:
             first = cuts[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(records[first, 0]), pa.array(records[first, 1]), pa.array([records[a:b, 2:].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["doc_id", "th", name])
 
-    rows = packed.where("data is not null").select("bucket", "data").repartition(shards(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    rows = packed.repartition(shards(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, f"doc_id long, th long, {name} binary")
 
 
@@ -228,7 +232,7 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 
 def _shared(candidates: DataFrame, n_buckets: int) -> DataFrame:
-    """Records (id, th, bucket and low bits) of documents' shared minimisers, packed by document; and minimisers that many documents hold, with how many."""
+    """Records (id, th, bucket and low bits) of documents' shared minimisers, packed by document; those that many documents hold are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
@@ -239,7 +243,7 @@ def _shared(candidates: DataFrame, n_buckets: int) -> DataFrame:
                 of = np.frombuffer(row["of"], "<u4")
                 keys.append(_long(row["hashes"]) | bucket)
                 ids.append(np.frombuffer(row["doc_ids"], "<i8")[of])
-                texts.append(np.frombuffer(row["texts"], "<i4")[of].astype(np.int64))
+                texts.append(np.frombuffer(row["texts"], "<i8")[of])
                 counts.append(np.zeros(len(of), np.int64) if passes else np.frombuffer(row["counts"], "<u4").astype(np.int64))
                 straight.append(np.full(len(of), passes))
             keys, ids, texts, counts, straight = map(np.concatenate, (keys, ids, texts, counts, straight))
@@ -252,10 +256,9 @@ def _shared(candidates: DataFrame, n_buckets: int) -> DataFrame:
             shared[group[(counts[order] > 0) | (texts[order] != texts[order][begin][group])]] = True
             held = np.bincount(group, np.maximum(counts[order], 1), len(begin)).astype(np.int64) if len(order) else np.zeros(0, np.int64)
             report = np.concatenate([order[shared[group] & (counts[order] == 0)], np.flatnonzero(straight)]) if len(order) else np.flatnonzero(straight)
-            out = [row | {"hot": None} for row in _by_bucket(np.column_stack([ids[report], texts[report], keys[report].view(np.int64)]), n_buckets)]
-            many = np.flatnonzero(held >= HOT_LEAST)
-            if len(many):
-                out.append({"bucket": 0, "data": None, "hot": np.column_stack([keys[order[begin[many]]].view(np.int64), held[many]]).astype("<i8").tobytes()})
+            often = np.isin(keys[report], keys[order[begin[held >= HOT_LEAST]]])
+            marked = np.where(often, keys[report] | _HOT, keys[report])
+            out = _by_bucket(np.column_stack([ids[report], texts[report], marked.view(np.int64)]), n_buckets)
             if out:
                 yield pa.RecordBatch.from_pylist(out, _schema(_SHARED))
 
@@ -266,18 +269,6 @@ def _shared(candidates: DataFrame, n_buckets: int) -> DataFrame:
 # --- suffixes -----------------------------------------------------------------
 
 
-def _hot(shared: DataFrame) -> np.ndarray:
-    """The most frequent minimisers, HOT_KEYS at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = _joined(pa.chunked_array([batch.column(0)]), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "count"])
-
-    rows = shared.where("hot is not null").select("hot").mapInArrow(run, "key long, count long")
-    return rows.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-
-
 class Suffixes:
     """Suffixes cut to ``length`` bytes and up to ``before`` bytes in front of each, as rows of prefix hashes."""
 
@@ -392,7 +383,11 @@ def _matches(buffer, begin, at, end, docs, some, cuts, length, gram):
             x, y = one[k : k + UNITS], two[k : k + UNITS]
             same = (buffer[s.at[x][:, None] + span] == buffer[s.at[y][:, None] + span]).all(1)
             if not same.all():
-                raise AssertionError("two strings of equal hashes differ; use another base")
+                group = group_of[repeated[k : k + UNITS]]
+                for n in np.flatnonzero(~same):  # equal hashes, other bytes: the others of that hash
+                    others = held[(group_of == group[n]) & (docs[held] < docs[x[n]])]
+                    same[n] = (buffer[s.at[others][:, None] + span] == buffer[s.at[x[n]] + span]).all(1).any()
+                x = x[same]
             most[x], least[x] = np.maximum(most[x], a), np.minimum(least[x], a)
     found = np.flatnonzero(most >= 0)
     return some[found], -most[found], length - least[found]
@@ -418,7 +413,7 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[new], reach[last]
 
 
-def _units(rows: DataFrame, hot: np.ndarray, n_buckets: int, length: int, gram: int) -> DataFrame:
+def _units(rows: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
     """The suffixes around shared minimisers, by bucket of their key; equal ones of a chunk are settled here but for that of least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +426,9 @@ def _units(rows: DataFrame, hot: np.ndarray, n_buckets: int, length: int, gram:
             doc = T.document_of(position, offsets)
             short = _bucket(hashes, n_buckets).astype(np.uint64) << np.uint64(40) | hashes & _LOW
             replies = [np.frombuffer(keys, "<u8") for keys in part.column(part.schema.get_field_index("keys")).to_pylist()]
-            wanted = T.pair_hashes(np.concatenate(replies), np.repeat(np.arange(len(replies)), list(map(len, replies))).astype(np.uint64))
+            answer = np.concatenate(replies)
+            hot = np.unique(answer[answer >= _HOT]) ^ _HOT
+            wanted = T.pair_hashes(answer & ~_HOT, np.repeat(np.arange(len(replies)), list(map(len, replies))).astype(np.uint64))
             some = np.flatnonzero(np.isin(T.pair_hashes(short, doc.astype(np.uint64)), wanted))
             position, hashes, begin, end, doc, short = (x[some] for x in (position, hashes, begin, end, doc, short))
             often = np.isin(short, hot)
@@ -459,8 +456,8 @@ def _units(rows: DataFrame, hot: np.ndarray, n_buckets: int, length: int, gram:
                 inside = (reach < (end - begin)[x][:, None]) & ((end - begin)[x] == (end - begin)[y])[:, None]
                 last = len(buffer) - 1
                 same = (buffer[np.minimum(begin[x][:, None] + reach, last)] == buffer[np.minimum(begin[y][:, None] + reach, last)]) | ~inside
-                if not same.all():
-                    raise AssertionError("two strings of equal hashes differ; use another base")
+                settled[x[~same.all(1) | ((end - begin)[x] != (end - begin)[y])]] = False  # equal hashes, other bytes: it moves on
+            at = np.flatnonzero(settled)
             out = []
             empty = {c: b"" for c in ("key", "place", "left", "size", "data")}
             for d, t, spans in _packed_spans(ids[doc[at]], texts[doc[at]], begin[at] - offsets[doc[at]], end[at] - offsets[doc[at]]):
@@ -470,7 +467,7 @@ def _units(rows: DataFrame, hot: np.ndarray, n_buckets: int, length: int, gram:
                 some = np.sort(rest[some])
                 size = end[some] - begin[some]
                 where = np.repeat(begin[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                out.append({"bucket": b, "direct": False, "key": hashes[some].tobytes(), "doc_id": ids[doc[some]].astype("<i8").tobytes(), "th": texts[doc[some]].astype("<i4").tobytes(), "place": (position[some] - offsets[doc[some]]).astype("<u4" if len(buffer) < 1 << 32 else "<u8").tobytes(), "left": (position[some] - begin[some]).astype(np.uint8).tobytes(), "size": size.astype(np.uint8).tobytes(), "data": squeeze.compress(buffer[where].tobytes())})
+                out.append({"bucket": b, "direct": False, "key": hashes[some].tobytes(), "doc_id": ids[doc[some]].astype("<i8").tobytes(), "th": texts[doc[some]].astype("<i8").tobytes(), "place": (position[some] - offsets[doc[some]]).astype("<u4" if len(buffer) < 1 << 32 else "<u8").tobytes(), "left": (position[some] - begin[some]).astype(np.uint8).tobytes(), "size": size.astype(np.uint8).tobytes(), "data": squeeze.compress(buffer[where].tobytes())})
             if out:
                 yield pa.RecordBatch.from_pylist(out, _schema(_UNITS))
 
@@ -490,7 +487,7 @@ def _spans(units: DataFrame, n_buckets: int, length: int, gram: int) -> DataFram
                 who = np.column_stack([_joined(passed.column("doc_id"), "<i8"), _joined(passed.column("th"), "<i8")])
                 out.append(np.column_stack([np.repeat(who, list(map(len, own)), axis=0), np.concatenate(own)]))
             if len(rest):
-                keys, docs, texts, left, size = (_joined(rest.column(c), k) for c, k in (("key", "<u8"), ("doc_id", "<i8"), ("th", "<i4"), ("left", "u1"), ("size", "u1")))
+                keys, docs, texts, left, size = (_joined(rest.column(c), k) for c, k in (("key", "<u8"), ("doc_id", "<i8"), ("th", "<i8"), ("left", "u1"), ("size", "u1")))
                 place = np.concatenate([np.frombuffer(p, "<u4" if 8 * len(p) == 4 * len(k) else "<u8").astype(np.int64) for p, k in zip(rest.column("place").to_pylist(), rest.column("key").to_pylist())])
                 data = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, rest.column("data").to_pylist())), np.uint8)
                 end = np.cumsum(size.astype(np.int64))
@@ -515,22 +512,24 @@ def marked(documents: DataFrame, columns: tuple[str, ...] = (), length: int = LE
     spark = documents.sparkSession
     n = shards(spark)
     keep = tuple(dict.fromkeys(("doc_id", "text", *columns)))
-    rows = documents.select(F.struct(*keep).alias("row"), F.xxhash64("text").bitwiseAND((1 << 31) - 1).alias("th"), F.col("doc_id").cast("long").alias("id"))
+    rows = documents.select(F.struct(*keep).alias("row"), F.xxhash64("text").alias("th"), F.col("doc_id").cast("long").alias("id"))
     named = rows.where("id is not null")
     slim = named.select(F.col("id").alias("doc_id"), "th", F.col("row.text").alias("text"))
 
     digests = slim.select("doc_id", "th", F.sha2(F.col("text"), 256).alias("digest")).where(F.octet_length("text") >= length)
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = written(digests.join(firsts, "digest").where("doc_id > least").select("doc_id", "th").distinct(), "copies")
+    # Copies of one text are dealt to several tasks; its least id goes to each.
+    salted = digests.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = written(salted.join(firsts, ["digest", "salt"]).where("doc_id > least").select("doc_id", "th").distinct(), "copies")
 
     shared = written(_shared(_candidates(slim, n, length, gram), n), "shared")
-    hot = _hot(shared)
     replies = _by_document(shared, 3, "keys").join(copies, ["doc_id", "th"], "left_anti")
 
     # Both joins read the same columns of the same partitioning, so that the texts are shuffled once.
     whole = named.select("id", "th", "row").repartition(n, "id", "th")
     asked = whole.join(replies.withColumnRenamed("doc_id", "id"), ["id", "th"])
-    spans = _by_document(_spans(_units(asked, hot, n, length, gram), n, length, gram), 4, "spans")
+    spans = _by_document(_spans(_units(asked, n, length, gram), n, length, gram), 4, "spans")
     marked_copies = copies.select(F.col("doc_id").alias("id"), "th", F.lit(True).alias("copy"))
     named = whole.join(spans.withColumnRenamed("doc_id", "id"), ["id", "th"], "left").join(marked_copies, ["id", "th"], "left")
     alone = rows.where("id is null").withColumns({"spans": F.lit(None).cast("binary"), "copy": F.lit(False)})

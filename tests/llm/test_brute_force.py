@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from orebed.llm import crosspolytope, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, tokens, toxicity
+from orebed.llm import crosspolytope, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, textarrays, tokens, toxicity
 from orebed.operators.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -323,3 +323,26 @@ def test_genetic_operators_keep_every_item():
         assert sorted(i for b in bins for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
     best = packing.evolve([*first], lengths, 2048, 10, 4, rng)[0]
     assert len(best) <= min(map(len, first))
+
+
+def test_equal_hashes_of_other_bytes(monkeypatch):
+    """All names of strings collide; what is found must still be what the bytes say."""
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abcdef ") for _ in range(n))
+    passage = word(70)
+    texts = [word(40) + passage + word(30), word(90), word(10) + passage + word(55), passage[:55] + word(80)]
+    buffer = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    at, hashes, begin, last = suffix_dedup.minimisers(buffer, offsets, 50, 25)
+    docs = textarrays.document_of(at, offsets)
+    runs = []
+    for forced in (False, True):
+        if forced:
+            monkeypatch.setattr(suffix_dedup.T, "pair_hashes", lambda a, b: np.zeros(len(a), np.uint64))
+        which, low, high = suffix_dedup.matches(buffer, begin, at, last + 50, hashes, docs, 50, 25)
+        gone = np.zeros(len(buffer), bool)
+        for w, a, b in zip(which, low, high):
+            gone[at[w] + a : at[w] + b] = True
+        runs.append([int(gone[a:b].sum()) for a, b in zip(offsets, offsets[1:])])
+    assert runs[0] == runs[1] == [r[1] for r in _repeats([(i, t.decode()) for i, t in enumerate(texts)]).values()]
+    assert runs[0][2] >= 70 and runs[0][3] >= 55
