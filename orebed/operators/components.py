@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from .stored import written
 
+SALTS = 8
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's larger neighbours (large) or its smaller ones and itself (small) to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    # A hub's edges are dealt to several tasks by their other end; its least neighbour goes to each.
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt")
+    joined = both.select("u", "v", salt).join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
