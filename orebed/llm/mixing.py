@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.stored import written
 from . import textarrays as T
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,8 +59,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, ramps=RAMPS, total: float = TOTAL
     return per.select("source_key", "source_size", F.least(F.col("most").cast("double"), level * F.col("weight")).alias("target"), "ramp")
 
 
-def plan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), bucket_digits: int = 2, **settings) -> DataFrame:
-    """Of every document: row (a struct of the columns ``keep``), id, size, source_size, target, ramp, before (words of its source before it)."""
+def sized(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), bucket_digits: int = 3) -> DataFrame:
+    """Of every document: row (a struct of the columns ``keep``), id, source, source_key, size, place (a hash of its id) and bucket.
+
+    A bucket is a range of places; the rows without an id, which have one place
+    between them, are ranges of sizes, in which order they follow each other.
+    """
     rows = documents.select(
         F.struct(*keep).alias("row"),
         F.col("doc_id").alias("id"),
@@ -68,7 +73,13 @@ def plan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), bucket_digit
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place"),
     )
-    rows = rows.withColumn("bucket", F.substring("place", 1, bucket_digits))
+    nameless = F.md5(F.lit(""))
+    part = F.when(F.col("place") < nameless, "a").when(F.col("place") > nameless, "c").otherwise(F.concat(F.lit("b"), F.lpad(F.floor(F.col("size") / 16).cast("string"), 12, "0")))
+    return rows.withColumn("bucket", F.concat(F.substring("place", 1, bucket_digits), part))
+
+
+def plan(rows: DataFrame, **settings) -> DataFrame:
+    """The rows of :func:`sized` with source_size, target, ramp and before (words of the source before the document)."""
     totals = rows.groupBy("source_key", "bucket").agg(F.min("source").alias("source"), F.sum("size").alias("size"))
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     goals = targets(totals, **settings)
@@ -95,7 +106,7 @@ def position(turn: int | Column) -> Column:
 
 def mixing(documents: DataFrame, repeats: int = REPEATS, **settings) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, first_position (null if nothing is taken); sorted by position."""
-    rows = plan(documents, repeats=repeats, **settings)
+    rows = plan(written(sized(documents), "sizes"), repeats=repeats, **settings)  # words are counted once
     words = taken(0)
     for turn in range(1, repeats):
         words = words + taken(turn)
@@ -107,7 +118,7 @@ def mixing(documents: DataFrame, repeats: int = REPEATS, **settings) -> DataFram
 def mixed_documents(documents: DataFrame, repeats: int = REPEATS, **settings) -> DataFrame:
     """The mix itself, in training order: a row of the documents' columns for each pass that takes words of a document, the text cut after the last word taken."""
     columns = documents.columns
-    rows = plan(documents, keep=tuple(columns), repeats=repeats, **settings)
+    rows = plan(sized(documents, tuple(columns)), repeats=repeats, **settings)
     turns = F.filter(F.array(*(F.struct(F.lit(k).alias("turn"), taken(k).cast("long").alias("words")) for k in range(repeats))), lambda t: t["words"] > 0)
     rows = rows.withColumn("turn", F.explode(turns)).withColumn("position", position(F.col("turn")["turn"])).withColumn("words", F.col("turn")["words"])
     rows = rows.orderBy("position", "id").select("row", "words", "size")

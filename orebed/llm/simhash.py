@@ -2,12 +2,13 @@
 
 A text's fingerprint has the bits that are set in over half of the XXH64 hashes
 (seed 42) of its word shingles.  Fingerprints that differ in at most ``radius``
-bits agree wholly in one of radius + 1 blocks of bits, so only fingerprints that
-share a block are compared: in tiles sorted by population count, by numpy's
-exclusive-or and bit counts, tile pairs whose population counts differ by more
-than the radius being skipped.  The result is exact; a block value that many
-fingerprints share is split into tile pairs.  Texts of equal fingerprint are one
-row there, and a tile reports a spanning forest of its links.
+bits agree wholly in two of radius + 2 blocks of bits, so only fingerprints that
+share a pair of blocks (25 or 26 bits, for a radius of 3) are compared: in tiles
+sorted by population count, by numpy's exclusive-or and bit counts, tile pairs
+whose population counts differ by more than the radius being skipped.  The result
+is exact; a pair's value that many fingerprints share is split into tile pairs.
+Texts of equal fingerprint are one row there, and a tile reports a spanning
+forest of its links.
 
 Defined results: a null or empty text has fingerprint 0 and links like any
 other; a text of fewer words than a shingle is one shingle; repeated rows and
@@ -19,6 +20,7 @@ columns are not read by :func:`near_duplicates` and are kept by :func:`one_of_ea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +73,11 @@ def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = 2048) -> DataFrame:
     """Edges u - v that join all rows of fp and id whose fp differ in at most ``radius`` bits: a forest of each tile pair's links."""
-    width = 64 // (radius + 1)
-    blocks = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1 if width < 64 else -1).alias("value")) for k in range(radius + 1)))
-    rows = distinct.select("fp", "id", F.bit_count("fp").alias("p"), F.explode(blocks).alias("b"))
-    rows = rows.select((F.col("b.value") * (radius + 1) + F.col("b.k")).alias("g"), "p", "id", "fp")
+    ends = [64 * k // (radius + 2) for k in range(radius + 3)]
+    block = lambda k: F.shiftrightunsigned("fp", ends[k]).bitwiseAND((1 << (ends[k + 1] - ends[k])) - 1)
+    both = list(combinations(range(radius + 2), 2))
+    keys = F.array(*((F.shiftleft(block(i), ends[j + 1] - ends[j]).bitwiseOR(block(j)) * len(both) + n).alias("g") for n, (i, j) in enumerate(both)))
+    rows = distinct.select(F.explode(keys).alias("g"), F.bit_count("fp").alias("p"), "id", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in tiles.whole_units(batches):
