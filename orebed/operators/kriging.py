@@ -106,7 +106,7 @@ def multi_pass(targets: DataFrame, samples: DataFrame, value: str, model: dict,
 
 
 def indicator_kriging(targets: DataFrame, samples: DataFrame, value: str, cutoffs: list[float], model: dict, target_id: str = "block_id", **settings) -> DataFrame:
-    """P(value <= cutoff) of every target and cutoff, order relations corrected (the mean of the running maximum and the reverse running minimum), and the mean and median of the distribution."""
+    """P(value <= cutoff) of every target and cutoff, order relations corrected (the mean of the running maximum and the reverse running minimum), and the mean of the distribution."""
     probabilities = None
     for k, c in enumerate(cutoffs):
         marked = samples.withColumn("_i", F.when(F.col(value).isNotNull(), (F.col(value) <= c).cast("double")))

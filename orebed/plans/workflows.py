@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import aggregates, economics as money, intervals, modelling, planning, processes, reporting, selection, simulation, spatial, structural, survey, timeseries, validation, variograms
+from ..operators import aggregates, economics as money, intervals, kriging, modelling, planning, processes, reporting, selection, simulation, spatial, structural, survey, timeseries, validation, variograms
 from . import tables as V
-from .queries import _DIST, _PAIRS, _PLANES, _planes, query, r, rounded
+from .queries import _DIST, _PAIRS, _PLANES, ORACLE_SQL, _planes, query, r, rounded
 
 # --- planning -------------------------------------------------------------------
 
@@ -175,11 +175,6 @@ def simulated_values(spark, sf_dir):
 _SCORES = f"o AS (SELECT sample_id, value, row_number() OVER (ORDER BY value, sample_id) AS k, count(*) OVER () AS n FROM samples), sc AS (SELECT sample_id, value, k, n, {_quantile('((k - 0.5::DOUBLE) / n)')} AS g FROM o)"
 
 
-@query(f"WITH {V.SAMPLES}, {_SCORES} SELECT sample_id, {r('g', 'normal_score')} FROM sc")
-def normal_score_values(spark, sf_dir):
-    return rounded(simulation.normal_scores(V.samples(spark, sf_dir), "value").select("sample_id", "normal_score"))
-
-
 @query(f"""WITH {V.SAMPLES}, {_SCORES},
  h AS (SELECT k, n, g, value AS v, g - lag(g) OVER w AS h0, lead(g) OVER w - g AS h1, (value - lag(value) OVER w) / (g - lag(g) OVER w) AS m0, (lead(value) OVER w - value) / (lead(g) OVER w - g) AS m1, (lead(value, 2) OVER w - lead(value) OVER w) / (lead(g, 2) OVER w - lead(g) OVER w) AS m2, lead(g, 2) OVER w - lead(g) OVER w AS h2, (lag(value) OVER w - lag(value, 2) OVER w) / (lag(g) OVER w - lag(g, 2) OVER w) AS mm, lag(g) OVER w - lag(g, 2) OVER w AS hh FROM sc WINDOW w AS (ORDER BY k)),
  e AS (SELECT *, ((2 * h1 + h2) * m1 - h1 * m2) / (h1 + h2) AS da, ((2 * h0 + hh) * m0 - h0 * mm) / (h0 + hh) AS dz FROM h),
@@ -638,3 +633,63 @@ def stratigraphy_order(spark, sf_dir):
     contacts = V.intervals(spark, sf_dir).select("hole_id", F.col("depth_to").alias("depth"), F.col("lith_code").alias("unit"))
     ranks = spark.createDataFrame([("A", 1), ("N", 2), ("R", 3)], "unit string, rank int")
     return structural.stratigraphy(contacts, ranks, 1)
+
+
+# --- kriging of few neighbours, whose systems have closed solutions --------------
+
+_MODEL = {"model": "spherical", "nugget": 20.0, "sill": 200.0, "range": 150.0}
+
+
+def _cov(h: str, nugget: float = 20.0, sill: float = 200.0, reach: float = 150.0) -> str:
+    return f"(CASE WHEN {h} <= 1e-12 THEN {nugget + sill}::DOUBLE WHEN {h} < {reach} THEN {sill} * (1 - 1.5 * ({h} / {reach}::DOUBLE) + 0.5 * ({h} / {reach}::DOUBLE) ** 3) ELSE 0 END)"
+
+
+def _between(a: str, b: str) -> str:
+    return f"sqrt(({a}.x - {b}.x) ** 2 + ({a}.y - {b}.y) ** 2 + ({a}.z - {b}.z) ** 2)"
+
+
+_NEAR = f"near AS (SELECT block_id, s.x, s.y, s.z, value, {_DIST} AS d, row_number() OVER (PARTITION BY block_id ORDER BY {_DIST}, sample_id) AS k FROM targets t, samples s)"
+_TWO = f"two AS (SELECT a.block_id, a.value AS v1, b.value AS v2, {_cov('a.d')} AS c1, {_cov('b.d')} AS c2, {_cov(_between('a', 'b'))} AS c12, 220 * (1 + 1e-10) AS c0 FROM near a JOIN near b ON a.block_id = b.block_id AND a.k = 1 AND b.k = 2), w AS (SELECT *, 0.5 + (c1 - c2) / (2 * (c0 - c12)) AS w1 FROM two), o AS (SELECT *, 1 - w1 AS w2, c1 - c0 * w1 - c12 * (1 - w1) AS mu FROM w)"
+
+
+@query(f"WITH {V.TARGETS}, {V.SAMPLES}, {_NEAR}, three AS (SELECT a.block_id, a.value AS v1, b.value AS v2, c.value AS v3, {_cov('a.d')} AS r1, {_cov('b.d')} AS r2, {_cov('c.d')} AS r3, {_cov(_between('a', 'b'))} AS p, {_cov(_between('a', 'c'))} AS q, {_cov(_between('b', 'c'))} AS s, 220 * (1 + 1e-10) AS o FROM near a JOIN near b ON a.block_id = b.block_id AND b.k = 2 JOIN near c ON a.block_id = c.block_id AND c.k = 3 WHERE a.k = 1), d AS (SELECT *, o * (o * o - s * s) - p * (p * o - s * q) + q * (p * s - o * q) AS det FROM three), w AS (SELECT *, (r1 * (o * o - s * s) - p * (r2 * o - s * r3) + q * (r2 * s - o * r3)) / det AS w1, (o * (r2 * o - s * r3) - r1 * (p * o - s * q) + q * (p * r3 - r2 * q)) / det AS w2, (o * (o * r3 - r2 * s) - p * (p * r3 - r2 * q) + r1 * (p * s - o * q)) / det AS w3 FROM d) SELECT block_id, {r('50 + w1 * (v1 - 50) + w2 * (v2 - 50) + w3 * (v3 - 50)', 'estimate', 3)}, {r('greatest(220 - w1 * r1 - w2 * r2 - w3 * r3, 0)', 'variance', 3)}, 3 AS n FROM w")
+def simple_kriging_of_three(spark, sf_dir):
+    return rounded(kriging.krige(V.targets(spark, sf_dir), V.samples(spark, sf_dir), "value", _MODEL, 3, kind="simple", mean=50.0), 3)
+
+
+@query(f"WITH {V.TARGETS}, {V.SAMPLES}, {_NEAR}, {_TWO} SELECT block_id, {r('w1 * v1 + w2 * v2', 'estimate')}, {r('greatest(220 - w1 * c1 - w2 * c2 - mu, 0)', 'variance')}, 2 AS n FROM o")
+def ordinary_kriging_of_two(spark, sf_dir):
+    return rounded(kriging.krige(V.targets(spark, sf_dir), V.samples(spark, sf_dir), "value", _MODEL, 2, least=2))
+
+
+@query(f"WITH {V.TARGETS}, {V.SAMPLES}, {_NEAR}, {_TWO}, p AS (SELECT block_id, least(greatest(w1 * (v1 <= 25)::INT + w2 * (v2 <= 25)::INT, 0), 1) AS a, least(greatest(w1 * (v1 <= 45)::INT + w2 * (v2 <= 45)::INT, 0), 1) AS b, least(greatest(w1 * (v1 <= 65)::INT + w2 * (v2 <= 65)::INT, 0), 1) AS c FROM o), f AS (SELECT block_id, (a + least(a, b, c)) / 2 AS a, (greatest(a, b) + least(b, c)) / 2 AS b, (greatest(a, b, c) + c) / 2 AS c FROM p) SELECT block_id, {r('a', 'p0')}, {r('b', 'p1')}, {r('c', 'p2')}, {r('a * 25 + (b - a) * 35 + (c - b) * 55 + (1 - c) * 65', 'mean')} FROM f")
+def indicator_kriging_of_two(spark, sf_dir):
+    return rounded(kriging.indicator_kriging(V.targets(spark, sf_dir), V.samples(spark, sf_dir), "value", [25.0, 45.0, 65.0], _MODEL, k=2, least=2))
+
+
+_OTHERS = f"near AS (SELECT t.sample_id AS block_id, s.x, s.y, s.z, s.value, {_DIST} AS d, row_number() OVER (PARTITION BY t.sample_id ORDER BY {_DIST}, s.sample_id) AS k FROM samples t, samples s WHERE s.sample_id <> t.sample_id)"
+
+
+@query(f"WITH {V.SAMPLES}, {_OTHERS}, {_TWO} SELECT block_id AS sample_id, {r('w1 * v1 + w2 * v2', 'estimate')}, {r('greatest(220 - w1 * c1 - w2 * c2 - mu, 0)', 'variance')}, 2 AS n, value AS actual FROM o JOIN samples ON sample_id = block_id")
+def cross_validation_of_two(spark, sf_dir):
+    return rounded(kriging.cross_validated(V.samples(spark, sf_dir), "value", _MODEL, k=2, least=2))
+
+
+# --- SQL of queries registered without it ----------------------------------------
+
+ORACLE_SQL["normal_scores"] = f"WITH {V.SAMPLES}, {_SCORES} SELECT sample_id, {r('g', 'normal_score')} FROM sc"
+ORACLE_SQL["bootstrap_grades"] = f"WITH {V.SAMPLES}, {_RESAMPLED.replace('range(1, 41)', 'range(1, 101)')}, m AS (SELECT iteration, sum(n * value) / sum(n) AS m FROM d GROUP BY 1) SELECT {r('avg(m)', 'mean')}, {r('stddev_samp(m)', 'std')}, {r('quantile_cont(m, 0.05)', 'low')}, {r('quantile_cont(m, 0.95)', 'high')} FROM m"
+ORACLE_SQL["gaussian_fields"] = f"WITH o AS (SELECT unnest({[b[0] for b in _BALL]}) AS i, unnest({[b[1] for b in _BALL]}) AS j, unnest({[b[2] for b in _BALL]}) AS k), n AS (SELECT id // 400 AS realisation, id % 400 AS block_id, id % 400 % 10 AS x, id % 400 // 10 % 10 AS y, id % 400 // 100 AS z FROM (SELECT unnest(range(3200)) AS id)), s AS (SELECT realisation, block_id, sum({_normal(1, 'realisation', 'x + i', 'y + j', 'z + k')}) * sqrt(0.9::DOUBLE / {len(_BALL)}) AS v FROM n, o GROUP BY ALL), f AS (SELECT block_id, v + {_normal(2, 'realisation', 'block_id')} * sqrt(0.1::DOUBLE) AS v FROM s) SELECT block_id, count(*) AS n, {r('avg(v)', 'mean')}, {r('stddev_pop(v)', 'std')}, {r('min(v)', 'min')}, {r('max(v)', 'max')}, {r('quantile_cont(v, 0.1)', 'p10')}, {r('quantile_cont(v, 0.5)', 'p50')}, {r('quantile_cont(v, 0.9)', 'p90')}, {r('stddev_pop(v) / avg(v)', 'cv')} FROM f GROUP BY block_id"
+_WORTH = "list_sum(list_transform(f, lambda v, i: v * pow(1 + {r}, -(i - 1))))"
+ORACLE_SQL["rates_of_return"] = f"WITH RECURSIVE {V.BLOCKS}, p AS (SELECT domain, period, sum(CASE WHEN period <= 3 THEN -value ELSE value / 2 END) AS v FROM blocks GROUP BY ALL), l AS (SELECT domain, list(v ORDER BY period) AS f FROM p GROUP BY 1), b AS (SELECT domain, f, 0 AS step, -0.9::DOUBLE AS a, 10::DOUBLE AS z FROM l UNION ALL SELECT domain, f, step + 1, CASE WHEN sign({_WORTH.format(r='(a + z) / 2')}) = sign({_WORTH.format(r='-0.9::DOUBLE')}) THEN (a + z) / 2 ELSE a END, CASE WHEN sign({_WORTH.format(r='(a + z) / 2')}) = sign({_WORTH.format(r='-0.9::DOUBLE')}) THEN z ELSE (a + z) / 2 END FROM b WHERE step < 60), c AS (SELECT domain, count(*) FILTER (sign(v) <> sign(pv))::INT AS sign_changes FROM (SELECT domain, v, lag(v) OVER (PARTITION BY domain ORDER BY period) AS pv FROM p WHERE abs(v) > 1e-9) GROUP BY 1) SELECT domain, {r('CASE WHEN sign(' + _WORTH.format(r='-0.9::DOUBLE') + ') <> sign(' + _WORTH.format(r='10::DOUBLE') + ') THEN (a + z) / 2 END', 'irr')}, sign_changes, {r(_WORTH.format(r='0.1::DOUBLE'), 'npv10')} FROM b JOIN c USING (domain) WHERE step = 60"
+_STATIONS = f"""one AS (SELECT hole_id, depth, min({{'a': azimuth, 'd': dip}}) AS s FROM surveys GROUP BY 1, 2), st AS (SELECT hole_id, depth, s.a AS azimuth, s.d AS dip FROM one UNION ALL SELECT hole_id, 0, arg_min(s.a, depth), arg_min(s.d, depth) FROM one GROUP BY hole_id HAVING min(depth) > 0),
+ u AS (SELECT *, cos(radians(dip)) * sin(radians(azimuth)) AS ux, cos(radians(dip)) * cos(radians(azimuth)) AS uy, sin(radians(dip)) AS uz FROM st),
+ l AS (SELECT *, lag(ux) OVER w AS px, lag(uy) OVER w AS py, lag(uz) OVER w AS pz, depth - lag(depth) OVER w AS step FROM u WINDOW w AS (PARTITION BY hole_id ORDER BY depth)),
+ b AS (SELECT *, acos(least(greatest(ux * px + uy * py + uz * pz, -1), 1)) AS bend FROM l), f AS (SELECT *, CASE WHEN bend > 1e-6 THEN 2 / bend * tan(bend / 2) ELSE 1 END AS rf FROM b),
+ stations AS (SELECT f.hole_id, depth, x + sum(coalesce(step / 2 * (ux + px) * rf, 0)) OVER w2 AS x, y + sum(coalesce(step / 2 * (uy + py) * rf, 0)) OVER w2 AS y, z + sum(coalesce(step / 2 * (uz + pz) * rf, 0)) OVER w2 AS z FROM f JOIN collars USING (hole_id) WINDOW w2 AS (PARTITION BY f.hole_id ORDER BY depth ROWS UNBOUNDED PRECEDING))"""
+_AT = "CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL AND b.depth > a.depth THEN a.{c} + (m - a.depth) / (b.depth - a.depth) * (b.{c} - a.{c}) ELSE coalesce(a.{c}, b.{c}, {d}) END"
+ORACLE_SQL["located_intervals"] = f"WITH {V.SURVEYS}, {V.COLLARS}, {_STATIONS}, i AS (SELECT hole_id, depth_from, (depth_from + depth_to) / 2 AS m FROM intervals), lo AS (SELECT i.hole_id, i.depth_from, i.m, s.depth, s.x, s.y, s.z FROM i ASOF LEFT JOIN stations s ON i.hole_id = s.hole_id AND i.m >= s.depth), up AS (SELECT i.hole_id, i.depth_from, s.depth, s.x, s.y, s.z FROM i ASOF LEFT JOIN stations s ON i.hole_id = s.hole_id AND i.m < s.depth) SELECT a.hole_id, a.depth_from, {r(_AT.format(c='x', d='c.x'), 'x', 3)}, {r(_AT.format(c='y', d='c.y'), 'y', 3)}, {r(_AT.format(c='z', d='c.z - m'), 'z', 3)} FROM lo a JOIN up b USING (hole_id, depth_from) LEFT JOIN collars c USING (hole_id)"
+ORACLE_SQL["interval_repair"] = f"WITH RECURSIVE {V.LOGGED}, {V.COLLARS}, k AS (SELECT l.*, c.length AS td, row_number() OVER (PARTITION BY l.hole_id ORDER BY depth_from, depth_to, grade, density, lith_code) AS k FROM logged l LEFT JOIN collars c USING (hole_id)), f AS (SELECT hole_id, k, grade, depth_from AS s, least(CASE WHEN depth_to <= depth_from THEN depth_from + 0.01::DOUBLE ELSE depth_to END, CASE WHEN td IS NULL THEN 1e300 ELSE greatest(td, depth_from) END) AS e FROM k WHERE k = 1 UNION ALL SELECT hole_id, k, grade, s, least(CASE WHEN depth_to <= s THEN s + 0.01::DOUBLE ELSE depth_to END, CASE WHEN td IS NULL THEN 1e300 ELSE greatest(td, s) END) AS e FROM (SELECT k.*, CASE WHEN k.depth_from - f.e <= 0.1::DOUBLE THEN f.e ELSE k.depth_from END AS s FROM f JOIN k ON k.hole_id = f.hole_id AND k.k = f.k + 1)) SELECT hole_id, {r('s', 'depth_from')}, {r('e', 'depth_to')}, {r('grade', 'grade')} FROM f"
+ORACLE_SQL["survey_repair"] = f"WITH {V.SURVEYS}, s AS (SELECT hole_id, depth, (azimuth % 360 + 360) % 360 AS azimuth, least(greatest(dip, -90), 90) AS dip FROM surveys), g AS (SELECT *, lead(depth) OVER w - depth AS gap, ((lead(azimuth) OVER w - azimuth + 180) % 360 + 360) % 360 - 180 AS turn, lead(dip) OVER w - dip AS fall FROM s WINDOW w AS (PARTITION BY hole_id ORDER BY depth)), n AS (SELECT *, greatest(coalesce(ceil(gap / 15::DOUBLE), 1), 1)::BIGINT AS n FROM g), k AS (SELECT *, unnest(range(n)) AS k FROM n) SELECT hole_id, {r('CASE WHEN k = 0 THEN depth ELSE depth + k / n::DOUBLE * gap END', 'depth')}, {r('CASE WHEN k = 0 THEN azimuth ELSE ((azimuth + k / n::DOUBLE * turn) % 360 + 360) % 360 END', 'azimuth')}, {r('CASE WHEN k = 0 THEN dip ELSE dip + k / n::DOUBLE * fall END', 'dip')}, k > 0 AS inserted FROM k"
+ORACLE_SQL["density_clusters"] = f"WITH RECURSIVE {V.SAMPLES}, near AS (SELECT t.sample_id AS a, s.sample_id AS b FROM samples t JOIN samples s ON {_DIST} <= 25), core AS (SELECT a AS c FROM near GROUP BY 1 HAVING count(*) >= 4), e AS (SELECT a, b FROM near WHERE a IN (SELECT c FROM core) AND b IN (SELECT c FROM core)), reached AS (SELECT a, b FROM e UNION SELECT reached.a, e.b FROM reached JOIN e ON e.a = reached.b), own AS (SELECT a, min(b) AS k FROM reached GROUP BY 1), border AS (SELECT b, arg_min(k, n.a) AS k FROM near n JOIN own USING (a) GROUP BY 1) SELECT sample_id, coalesce(own.k, border.k, -1) AS cluster FROM samples LEFT JOIN own ON own.a = sample_id LEFT JOIN border ON border.b = sample_id"
+ORACLE_SQL["economic_composites"] = f"WITH {V.INTERVALS}, o AS (SELECT *, (grade >= 5)::INT AS ore FROM intervals), s AS (SELECT *, CASE WHEN lag(ore) OVER w = ore AND depth_from - lag(depth_to) OVER w < 1e-3 THEN 0 ELSE 1 END AS s FROM o WINDOW w AS (PARTITION BY hole_id ORDER BY depth_from, depth_to)), i AS (SELECT *, sum(s) OVER (PARTITION BY hole_id ORDER BY depth_from, depth_to ROWS UNBOUNDED PRECEDING) AS i FROM s), g AS (SELECT hole_id, i, any_value(ore) AS ore, min(depth_from) AS a, max(depth_to) AS b, sum(depth_to - depth_from) AS l, sum(grade * (depth_to - depth_from)) AS m FROM i GROUP BY ALL), n AS (SELECT *, ore = 1 OR coalesce(l <= 20 AND (lag(m) OVER w + m + lead(m) OVER w) / (lag(l) OVER w + l + lead(l) OVER w) >= 5, false) AS inn FROM g WINDOW w AS (PARTITION BY hole_id ORDER BY a)), u AS (SELECT *, sum((NOT inn)::INT) OVER (PARTITION BY hole_id ORDER BY a ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM n) SELECT hole_id, run, {r('min(a)', 'depth_from')}, {r('max(b)', 'depth_to')}, {r('sum(l)', 'length')}, {r('sum(m) / sum(l)', 'grade')}, {r('sum(CASE WHEN ore = 0 THEN l ELSE 0 END)', 'waste_length')} FROM u WHERE inn GROUP BY hole_id, run HAVING sum(l) >= 5"
