@@ -1,19 +1,18 @@
-"""Kriging: neighbours by a Spark join, the small systems solved in batches by numpy.
+"""Kriging: neighbours by cells, the small systems of a group solved together by numpy.
 
-The kernels take Arrow batches of one row a target with its neighbours as
-arrays and solve all systems of equal size at once.
+Spark brings the targets of a cell and the samples around it together; the
+kernel solves all systems of equal size of a group at once, so neighbours never
+leave the task that found them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import AXES, nearest
+from .spatial import AXES, searched
 
 
 def covariance(h: np.ndarray, model: dict) -> np.ndarray:
@@ -34,8 +33,8 @@ def _drift(points: np.ndarray, centre: np.ndarray, kind: str) -> np.ndarray:
     return np.concatenate(columns, -1)
 
 
-def solve(targets: np.ndarray, points: np.ndarray, values: np.ndarray, model: dict, kind: str, mean: float | None, errors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates and variances of m targets from n points each (m x n x 3)."""
+def weights(targets: np.ndarray, points: np.ndarray, model: dict, kind: str, errors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and variances of m targets with n points each (m x n x 3)."""
     m, n, _ = points.shape
     between = covariance(np.linalg.norm(points[:, :, None] - points[:, None], axis=-1), model)
     between[:, np.arange(n), np.arange(n)] += 1e-10 * (model["nugget"] + model["sill"]) + (errors if errors is not None else 0.0)
@@ -43,7 +42,7 @@ def solve(targets: np.ndarray, points: np.ndarray, values: np.ndarray, model: di
     total = model["nugget"] + model["sill"]
     if kind == "simple":
         w = np.linalg.solve(between, to[..., None])[..., 0]
-        return mean + (w * (values - mean)).sum(1), np.maximum(total - (w * to).sum(1), 0.0)
+        return w, np.maximum(total - (w * to).sum(1), 0.0)
     base = _drift(np.concatenate([points, targets[:, None]], 1), targets[:, None], {"ordinary": "none", "universal": "linear", "quadratic": "quadratic"}[kind])
     p = base.shape[-1]
     left = np.zeros((m, n + p, n + p))
@@ -56,41 +55,52 @@ def solve(targets: np.ndarray, points: np.ndarray, values: np.ndarray, model: di
             w = np.linalg.solve(left, right[..., None])[..., 0]
         except np.linalg.LinAlgError:
             w = np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(left, right)])
-    return (w[:, :n] * values).sum(1), np.maximum(total - (w * right).sum(1), 0.0)
+    return w[:, :n], np.maximum(total - (w * right).sum(1), 0.0)
+
+
+def solve(targets: np.ndarray, points: np.ndarray, values: np.ndarray, model: dict, kind: str, mean: float | None, errors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and variances of m targets from n points each."""
+    w, variance = weights(targets, points, model, kind, errors)
+    return (mean + (w * (values - mean)).sum(1) if kind == "simple" else (w * values).sum(1)), variance
 
 
-def krige(targets: DataFrame, samples: DataFrame, value: str, model: dict, k: int = 12, target_id: str = "block_id", sample_id: str = "sample_id", kind: str = "ordinary", mean: float | None = None, start_radius: float | None = None, max_radius: float | None = None, least: int = 3, error: str | None = None, leave_out: bool = False) -> DataFrame:
+def krige(targets: DataFrame, samples: DataFrame, value: str, model: dict, k: int = 12, target_id: str = "block_id", sample_id: str = "sample_id", kind: str = "ordinary", mean: float | None = None, start_radius: float | None = None, max_radius: float | None = None, least: int = 3, error: str | None = None, leave_out: bool = False, cutoffs: list[float] | None = None) -> DataFrame:
     """target_id, estimate, variance, n of every target; fewer than ``least`` neighbours give nulls.
 
+    With ``cutoffs`` there is an estimate of value <= cutoff for each (p0, p1, ...)
+    in place of one, from the same weights.
+
     kind: ordinary, simple (about ``mean``), universal (linear drift), quadratic.
     ``error`` names a column of measurement-error variances (soft data);
     ``leave_out`` leaves a sample of the target's id out (cross validation).
     """
     extra = [error] if error else []
-    fine = samples.where(F.col(value).isNotNull()).select(sample_id, *AXES, value, *extra).withColumns({f"s{a}": F.col(a) for a in AXES})
-    near = nearest(targets, fine, k + int(leave_out), start_radius, target_id, sample_id, [value, *extra, *(f"s{a}" for a in AXES)], max_radius, spread="points")
-    if leave_out:
-        near = near.where(F.col("target") != F.col("point")).where(F.col("rank") <= k + 1)
-    item = F.struct("distance", "point", *(f"s{a}" for a in AXES), F.col(value).alias("v"), *(F.col(error).alias("e") for _ in extra))
-    rows = near.groupBy("target").agg(F.array_sort(F.collect_list(item)).alias("near")).join(targets.select(F.col(target_id).alias("target"), *AXES), "target")
-    columns = ["sx", "sy", "sz", "v", *(["e"] if error else [])]
-    rows = rows.select("target", *AXES, *(F.col(f"near.{c}").cast("array<double>").alias(f"n_{c}") for c in columns))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            size = part["n_v"].map(len).to_numpy()
-            estimate, variance = np.full(len(part), np.nan), np.full(len(part), np.nan)
-            for n in np.unique(size[size >= least]):
-                for at in np.array_split(np.flatnonzero(size == n), 1 + (size == n).sum() // 4096):
-                    some = part.iloc[at]
-                    arrays = {c: np.stack(some[f"n_{c}"].to_numpy()) for c in columns}
-                    points = np.stack([arrays["sx"], arrays["sy"], arrays["sz"]], -1)
-                    estimate[at], variance[at] = solve(some[list(AXES)].to_numpy(float), points, arrays["v"], model, kind, mean, arrays.get("e"))
-            yield pd.DataFrame({"target": part["target"], "estimate": estimate, "variance": variance, "n": size})
-
-    done = rows.mapInPandas(run, f"target {rows.schema['target'].dataType.simpleString()}, estimate double, variance double, n int")
+    names = [f"p{i}" for i in range(len(cutoffs))] if cutoffs else ["estimate"]
+    fine = samples.where(F.col(value).isNotNull())
+    kind_of = targets.schema[target_id].dataType.simpleString()
+
+    def emit(part, near, at, distance, found):
+        place = near[list(AXES)].to_numpy(float)
+        v, e = near[value].to_numpy(float), near[error].to_numpy(float) if error else None
+        size = found.copy()
+        if leave_out and len(part):  # the target's own sample, and else the one beyond k, goes
+            own = (near["point"].to_numpy()[at] == part["target"].to_numpy()[:, None]) & np.isfinite(distance) if len(near) else np.zeros(at.shape, bool)
+            at = np.take_along_axis(at, np.argsort(own, axis=1, kind="stable"), 1)[:, : k if at.shape[1] > k else at.shape[1]]
+            size = np.minimum(found - own.any(1), k)
+        where = part[list(AXES)].to_numpy(float)
+        estimate, variance = np.full((len(names), len(part)), np.nan), np.full(len(part), np.nan)
+        for n in np.unique(size[size >= least]):
+            for some in np.array_split(np.flatnonzero(size == n), 1 + (size == n).sum() // 4096):
+                pick = at[some, :n]
+                w, variance[some] = weights(where[some], place[pick], model, kind, e[pick] if error else None)
+                for row, c in zip(estimate, cutoffs or [None]):
+                    known = v[pick] if c is None else (v[pick] <= c).astype(float)
+                    row[some] = (mean + (w * (known - mean)).sum(1)) if kind == "simple" else (w * known).sum(1)
+        return pd.DataFrame({"target": part["target"].to_numpy(), **dict(zip(names, estimate)), "variance": variance, "n": size.astype(np.int32)})
+
+    done = searched(targets, fine, k + int(leave_out), start_radius, target_id, sample_id, [value, *extra], emit, f"target {kind_of}, {', '.join(f'{c} double' for c in names)}, variance double, n int", max_radius)
     value_or_null = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    done = done.select(F.col("target").alias(target_id), value_or_null("estimate"), value_or_null("variance"), "n")
+    done = done.select(F.col("target").alias(target_id), *map(value_or_null, (*names, "variance")), "n")
     return targets.select(target_id).join(done, target_id, "left").fillna(0, ["n"])
 
 
@@ -107,11 +117,8 @@ def multi_pass(targets: DataFrame, samples: DataFrame, value: str, model: dict,
 
 def indicator_kriging(targets: DataFrame, samples: DataFrame, value: str, cutoffs: list[float], model: dict, target_id: str = "block_id", **settings) -> DataFrame:
     """P(value <= cutoff) of every target and cutoff, order relations corrected (the mean of the running maximum and the reverse running minimum), and the mean of the distribution."""
-    probabilities = None
-    for k, c in enumerate(cutoffs):
-        marked = samples.withColumn("_i", F.when(F.col(value).isNotNull(), (F.col(value) <= c).cast("double")))
-        one = krige(targets, marked, "_i", model, target_id=target_id, **settings).select(target_id, F.greatest(F.least("estimate", F.lit(1.0)), F.lit(0.0)).alias(f"p{k}"))
-        probabilities = one if probabilities is None else probabilities.join(one, target_id)
+    probabilities = krige(targets, samples, value, model, target_id=target_id, cutoffs=cutoffs, **settings)
+    probabilities = probabilities.withColumns({f"p{k}": F.greatest(F.least(f"p{k}", F.lit(1.0)), F.lit(0.0)) for k in range(len(cutoffs))})
     p = [F.col(f"p{k}") for k in range(len(cutoffs))]
     up = [F.greatest(*p[: k + 1]) if k else p[0] for k in range(len(p))]
     down = [F.least(*p[k:]) if k < len(p) - 1 else p[k] for k in range(len(p))]

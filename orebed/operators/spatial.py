@@ -1,15 +1,21 @@
 """Neighbour searches without a tree: points are bucketed in grid cells.
 
 A radius search looks into the cells around a target, joined on the cell, which
-is exact.  A k-nearest search widens the radius for the targets that have not
-found k points within it yet, so the k-th neighbour is proven; each widening
-works on the remaining targets only.
+is exact.  A k-nearest search brings the targets of a cell together with the
+points of the cells around it and picks the k nearest there, many targets at a
+time; it widens the radius for the targets that have not found k points within
+it yet, so the k-th neighbour is proven, and each widening works on the
+remaining targets only.  A cell's targets are dealt to groups of bounded size,
+and a cell with very many points around it is joined instead, row by row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,35 +69,129 @@ def reach_of(points: DataFrame, k: int, axes=AXES) -> float:
     return max((2 * k * volume / row[0] / unit_ball) ** (1 / len(sides)), 1e-6)
 
 
-def nearest(targets: DataFrame, points: DataFrame, k: int, start_radius: float | None, target_id: str, point_id: str, values: list[str] = (), max_radius: float | None = None, rounds: int = 12, axes=AXES, spread: str = "targets") -> DataFrame:
-    """The k nearest points of every target with their rank (ties by point id).
-
-    Targets with fewer than k points within ``max_radius`` get those they have;
-    without it all get k points where the table has that many.  The radius
-    doubles for the targets that are left, and after ``rounds`` rounds grows
-    eightfold, until it is ``max_radius`` or the joint extent of targets and
-    points; a round's hits are written, so that no round runs
-    twice and plans stay short.
+#: Targets of a group, and points around a cell from which on they are joined and not brought together.
+GROUP_TARGETS, DENSE = 4096, 50_000
+
+
+def k_smallest(targets: np.ndarray, points: np.ndarray, k: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each target the places of its k nearest points in order (of equally near ones the first), their distances, and how many lie within the radius (k at most)."""
+    m, take = len(targets), min(k, len(points))
+    at, far, found = np.zeros((m, take), np.int64), np.full((m, take), np.inf), np.zeros(m, np.int64)
+    if not take:
+        return at, far, found
+    for a in range(0, m, max(1, (1 << 21) // len(points))):
+        some = slice(a, min(m, a + max(1, (1 << 21) // len(points))))
+        off = targets[some, None, :] - points[None]
+        distance = np.sqrt(np.einsum("ijk,ijk->ij", off, off))
+        distance[~(distance <= radius)] = np.inf
+        if take < len(points):
+            pick = np.sort(np.argpartition(distance, take - 1, axis=1)[:, :take], axis=1)
+            last = np.take_along_axis(distance, pick, 1).max(1, keepdims=True)
+            tied = np.flatnonzero((distance <= last).sum(1) > take)  # the choice among equals is by place
+            if len(tied):
+                pick[tied] = np.argsort(distance[tied], axis=1, kind="stable")[:, :take]
+        else:
+            pick = np.broadcast_to(np.arange(take), distance.shape)
+        near = np.take_along_axis(distance, pick, 1)
+        order = np.lexsort((pick, near), axis=1)
+        at[some], far[some] = np.take_along_axis(pick, order, 1), np.take_along_axis(near, order, 1)
+        found[some] = np.isfinite(far[some]).sum(1)
+    return at, far, found
+
+
+def searched(targets: DataFrame, points: DataFrame, k: int, start_radius: float | None, target_id: str, point_id: str, values: list[str], emit: Callable, schema: str, max_radius: float | None = None, rounds: int = 12, axes=AXES) -> DataFrame:
+    """The rows that ``emit`` makes of targets and their k nearest points.
+
+    ``emit(targets, points, at, distance, found)`` gets a data frame of targets
+    (target and axes), one of points (point, axes, values), the places of each
+    target's neighbours, their distances and their number, and returns a data
+    frame that has ``schema``.  Targets with fewer than k points within
+    ``max_radius`` come with those they have; without it all come with k points
+    where the table has that many.  The radius doubles for the targets that are
+    left, and after ``rounds`` rounds grows eightfold, until it is ``max_radius``
+    or the joint extent of targets and points.  A round's targets are written, so
+    that no round runs twice and plans stay short.
     """
-    order = Window.partitionBy("target").orderBy("distance", "point")
-    left, found, radius, limit, step = targets.select(target_id, *axes), [], start_radius or reach_of(points, k, axes), max_radius, 0
+    left = targets.select(F.col(target_id).alias("target"), *(F.col(a).cast("double").alias(a) for a in axes))
+    own = points.select(F.col(point_id).alias("point"), *(F.col(a).cast("double").alias(a) for a in axes), *values)
+    radius, limit, step, out = start_radius or reach_of(points, k, axes), max_radius, 0, []
     while True:
         radius = radius if limit is None else min(radius, limit)
-        hits = within(left, points, radius, target_id, point_id, values, axes, spread).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if limit is not None and radius >= limit:
-            found.append(hits)
+        last = limit is not None and radius >= limit
+        hits = _gathered(left, own, k, radius, values, emit, schema, last, axes)
+        if last:
+            out.append(hits.where("not _open").drop("_open", "_target"))
             break
         hits = written(hits, "hits")
-        done = hits.where(F.col("rank") == k).select(F.col("target").alias(target_id))
-        found.append(hits.join(done.withColumnRenamed(target_id, "target"), "target", "left_semi"))
-        left = written(left.join(done, target_id, "left_anti"), "left")
+        out.append(hits.where("not _open").drop("_open", "_target"))
+        left = written(left.join(hits.where("_open").select(F.col("_target").alias("target")), "target", "left_semi"), "left")
         if left.isEmpty():
             break
         if limit is None:
             limit = max(_extent(targets, points, axes), radius)
         step += 1
         radius *= 2 if step < rounds else 8
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _gathered(left: DataFrame, points: DataFrame, k: int, radius: float, values: list[str], emit: Callable, schema: str, last: bool, axes) -> DataFrame:
+    """The rows that ``emit`` makes of the targets that have k points within ``radius`` (all targets in the last round), and a row with _open and _target for each other target."""
+    cells = [f"_{a}" for a in axes]
+    rows, around = _cells(left, radius, axes), _around(points, radius, axes)
+    sizes = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("_m")).join(around.groupBy(*cells).agg(F.count(F.lit(1)).alias("_s")), cells, "left")
+    parts = sizes.select(*cells, F.ceil(F.col("_m") / GROUP_TARGETS).cast("int").alias("_parts"), (F.coalesce("_s", F.lit(0)) > DENSE).alias("_dense"))
+    rows = rows.join(parts, cells)
+    dense, rows = rows.where("_dense"), rows.where("not _dense").withColumn("_part", F.pmod(F.xxhash64("target"), F.col("_parts")).cast("int"))
+    around = around.join(parts.where("not _dense").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_dense"), cells)
+    kind = left.schema["target"].dataType.simpleString()
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def answer(part: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        near = near.sort_values("point", ignore_index=True)
+        at, far, found = k_smallest(part[list(axes)].to_numpy(float), near[list(axes)].to_numpy(float), k, radius)
+        ready = np.ones(len(part), bool) if last else found == k
+        done = emit(part[ready], near, at[ready], far[ready], found[ready])
+        done = done.assign(_open=False, _target=None)
+        wait = pd.DataFrame({"_open": True, "_target": part["target"][~ready]})
+        return pd.concat([done, wait.reindex(columns=done.columns)] if len(wait) else [done], ignore_index=True)[[*names, "_open", "_target"]]
+
+    def together(key, part: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        return answer(part, near) if len(part) else pd.DataFrame(columns=[*names, "_open", "_target"])
+
+    wide = f"{schema}, _open boolean, _target {kind}"
+    out = rows.select("target", *axes, *cells, "_part").groupBy(*cells, "_part").cogroup(around.select("point", *axes, *values, *cells, "_part").groupBy(*cells, "_part")).applyInPandas(together, wide)
+    if dense.isEmpty():
+        return out
+    # So many points around: the k nearest by a join and a window, then each target by itself.
+    order = Window.partitionBy("target").orderBy("distance", "point")
+    wanted = dense.select("target", *axes)
+    hits = within(wanted, points, radius, "target", "point", [*values, *axes], axes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    item = F.struct("distance", "point", *axes, *values)
+    listed = wanted.join(hits.groupBy("target").agg(F.array_sort(F.collect_list(item)).alias("near")), "target", "left")
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                part, near = batch.iloc[[i]][["target", *axes]].reset_index(drop=True), batch["near"].iloc[i]
+                near = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in (near if near is not None else [])], columns=["distance", "point", *axes, *values])
+                yield answer(part, near.drop(columns="distance"))
+
+    return out.unionByName(listed.select("target", *axes, "near").mapInPandas(alone, wide))
+
+
+def nearest(targets: DataFrame, points: DataFrame, k: int, start_radius: float | None, target_id: str, point_id: str, values: list[str] = (), max_radius: float | None = None, rounds: int = 12, axes=AXES) -> DataFrame:
+    """target, point, distance, values and rank of the k nearest points of every target (ties by point id), as :func:`searched` finds them."""
+    values = list(values)
+    kinds = points.schema
+    schema = ", ".join([f"target {targets.schema[target_id].dataType.simpleString()}", f"point {kinds[point_id].dataType.simpleString()}", "distance double", *(f"{v} {kinds[v].dataType.simpleString()}" for v in values), "rank int"])
+
+    def emit(part, near, at, distance, found):
+        who = np.repeat(np.arange(len(part)), found)
+        place = np.arange(len(who)) - np.repeat(np.cumsum(found) - found, found)
+        picked = near.iloc[at[who, place]]
+        return pd.DataFrame({"target": part["target"].to_numpy()[who], "point": picked["point"].to_numpy(), "distance": distance[who, place], **{v: picked[v].to_numpy() for v in values}, "rank": (place + 1).astype(np.int32)})
+
+    return searched(targets, points, k, start_radius, target_id, point_id, values, emit, schema, max_radius, rounds, axes)
 
 
 def _extent(targets: DataFrame, points: DataFrame, axes=AXES) -> float:

@@ -161,11 +161,6 @@ def test_money(spark):
     assert rows(money.allocated_trucks(trucks, 10.0), "route", "allocated") == [("a", 2.0), ("b", 8.0), ("c", 0.0)]
 
 
-def test_ultimate_pit(spark):
-    blocks = spark.createDataFrame([("s", 0, 10.0), ("s", 1, -4.0), ("s", 2, -3.0), ("s", 3, -9.0), ("s", 4, 5.0)], "sector string, block_id long, value double")
-    edges = spark.createDataFrame([(0, 1), (0, 2), (4, 3)], "block long, above long")
-    assert rows(money.ultimate_pit(blocks, edges, "sector"), "block") == [(0,), (1,), (2,)]
-
 
 def test_orientations(spark):
     frame = spark.createDataFrame([(30.0, 120.0), (80.0, 300.0), (0.0, 0.0)], "dip double, dd double")
