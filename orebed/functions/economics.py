@@ -61,3 +61,13 @@ def coefficient_of_variation(mean: Column, deviation: Column) -> Column:
 
 
 DOUBLES = T.ArrayType(T.DoubleType())
+
+
+#: Grams in the units that metal prices are quoted in.
+GRAMS = {"g": 1.0, "kg": 1000.0, "t": 1_000_000.0, "oz": 31.1034768, "lb": 453.59237}
+
+
+def price_per_gram(price: Column, unit: Column) -> Column:
+    """A price a gram from one a unit; null for a unit not known."""
+    table = F.create_map(*(F.lit(v) for pair in GRAMS.items() for v in pair))
+    return price / F.try_element_at(table, F.lower(unit))

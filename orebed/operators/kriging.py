@@ -133,3 +133,66 @@ def cross_validated(samples: DataFrame, value: str, model: dict, sample_id: str
     """Leave-one-out: sample, actual, estimate, variance."""
     rows = krige(samples, samples.withColumnRenamed(sample_id, "_s"), value, model, target_id=sample_id, sample_id="_s", leave_out=True, **settings)
     return rows.join(samples.select(sample_id, F.col(value).alias("actual")), sample_id)
+
+
+def collocated(targets: DataFrame, samples: DataFrame, value: str, secondary: str, model: dict, correlation: float, moments: tuple[float, float, float, float], k: int = 12, target_id: str = "block_id", sample_id: str = "sample_id", **search) -> DataFrame:
+    """Collocated co-kriging (Markov model): standardised simple kriging of ``value`` with the target's own ``secondary``.
+
+    ``moments`` are mean and deviation of the value and of the secondary.  The
+    cross covariance is ``correlation`` times the correlogram, so a target's
+    weights come from its neighbours alone and its secondary is joined after.
+    """
+    m1, s1, m2, s2 = moments
+    sill = model["nugget"] + model["sill"]
+
+    def emit(part, near, at, distance, found):
+        place, v = near[list(AXES)].to_numpy(float), (near[value].to_numpy(float) - m1) / s1
+        where, base, own = part[list(AXES)].to_numpy(float), np.zeros(len(part)), np.full(len(part), float(correlation))
+        variance = np.full(len(part), 1 - correlation**2)
+        for n in np.unique(found[found > 0]):
+            for some in np.array_split(np.flatnonzero(found == n), 1 + (found == n).sum() // 4096):
+                pick = at[some, :n]
+                points = place[pick]
+                left = np.ones((len(some), n + 1, n + 1))
+                left[:, :n, :n] = covariance(np.linalg.norm(points[:, :, None] - points[:, None], axis=-1), model) / sill
+                left[:, np.arange(n), np.arange(n)] += 1e-10
+                to = covariance(np.linalg.norm(points - where[some][:, None], axis=-1), model) / sill
+                left[:, :n, n] = left[:, n, :n] = correlation * to
+                right = np.concatenate([to, np.full((len(some), 1), correlation)], 1)
+                w = np.linalg.solve(left, right[..., None])[..., 0]
+                base[some], own[some] = (w[:, :n] * v[pick]).sum(1), w[:, n]
+                variance[some] = np.maximum(1 - (w * right).sum(1), 0.0)
+        return pd.DataFrame({"target": part["target"].to_numpy(), "base": base, "own": own, "variance": variance * s1 * s1, "n": found.astype(np.int32)})
+
+    kind = targets.schema[target_id].dataType.simpleString()
+    done = searched(targets, samples.where(F.col(value).isNotNull()), k, search.get("start_radius"), target_id, sample_id, [value], emit, f"target {kind}, base double, own double, variance double, n int", search.get("max_radius"))
+    both = targets.select(F.col(target_id).alias("target"), ((F.col(secondary) - m2) / s2).alias("_s")).join(done, "target")
+    return both.select(F.col("target").alias(target_id), (m1 + s1 * (F.col("base") + F.col("own") * F.col("_s"))).alias("estimate"), "variance", "n")
+
+
+#: Radial functions of distance and shape.
+RADIAL = {"linear": lambda r, e: r, "cubic": lambda r, e: r**3, "gaussian": lambda r, e: np.exp(-((e * r) ** 2)), "multiquadric": lambda r, e: np.sqrt(1 + (e * r) ** 2)}
+
+
+def radial(targets: DataFrame, samples: DataFrame, value: str, k: int = 20, function: str = "linear", shape: float = 1.0, smoothing: float = 0.0, target_id: str = "block_id", sample_id: str = "sample_id") -> DataFrame:
+    """Local radial basis functions: each target's k nearest samples are interpolated exactly (but for the smoothing) and read at the target."""
+    f = RADIAL[function]
+
+    def emit(part, near, at, distance, found):
+        place, v = near[list(AXES)].to_numpy(float), near[value].to_numpy(float)
+        estimate = np.full(len(part), np.nan)
+        for n in np.unique(found[found > 0]):
+            for some in np.array_split(np.flatnonzero(found == n), 1 + (found == n).sum() // 4096):
+                pick = at[some, :n]
+                left = f(np.linalg.norm(place[pick][:, :, None] - place[pick][:, None], axis=-1), shape)
+                left[:, np.arange(n), np.arange(n)] += smoothing
+                try:
+                    w = np.linalg.solve(left, v[pick][..., None])[..., 0]
+                except np.linalg.LinAlgError:
+                    w = np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(left, v[pick])])
+                estimate[some] = (w * f(distance[some, :n], shape)).sum(1)
+        return pd.DataFrame({"target": part["target"].to_numpy(), "estimate": estimate, "n": found.astype(np.int32)})
+
+    kind = targets.schema[target_id].dataType.simpleString()
+    done = searched(targets, samples.where(F.col(value).isNotNull()), k, None, target_id, sample_id, [value], emit, f"target {kind}, estimate double, n int")
+    return done.withColumnRenamed("target", target_id)

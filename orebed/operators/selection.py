@@ -111,3 +111,30 @@ def table_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     values = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (columns or df.columns)))
     part = F.conv(F.substring(F.md5(values), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part) % (1 << 60), F.lit(0)).cast("long").alias("hash"))
+
+
+#: Endings of the names of transformed columns.
+TRANSFORMED = ("_ns", "_nscore", "_gauss", "_log", "_log10", "_ln", "_sqrt", "_boxcox", "_norm")
+
+
+def untransformed(columns: list[str]) -> list[str]:
+    return [c for c in columns if not c.lower().endswith(TRANSFORMED)]
+
+
+def of_classes(blocks: DataFrame, classes: tuple[str, ...] = ("Measured", "Indicated"), column: str = "class", strict: bool = True) -> DataFrame:
+    """Blocks of the given resource classes; without the column an error, or, not strict, all of them."""
+    if column not in blocks.columns:
+        if strict:
+            raise ValueError(f"no column {column}; resources must be classified")
+        return blocks
+    return blocks.where(F.col(column).isin(*classes))
+
+
+def usable_variable(df: DataFrame, column: str) -> DataFrame:
+    """One row: whether a column exists, is numeric and has values, and the reason if not."""
+    if column not in df.columns:
+        return df.sparkSession.createDataFrame([(column, False, "not found")], "variable string, valid boolean, reason string")
+    if column not in numeric_columns(df):
+        return df.sparkSession.createDataFrame([(column, False, "not numeric")], "variable string, valid boolean, reason string")
+    known = F.count(F.when(~F.isnan(F.col(column).cast("double")), 1))
+    return df.agg(known.alias("_n")).select(F.lit(column).alias("variable"), (F.col("_n") > 0).alias("valid"), F.when(F.col("_n") == 0, "no values").alias("reason"))
