@@ -39,7 +39,7 @@ def read_structures(spark, sf_dir):
     return rounded(read.groupBy(F.lit(kind).alias("format"), "feature_type").agg(F.count(F.lit(1)).alias("n"), F.avg("dip").alias("dip")))
 
 
-@query("SELECT n_name AS name, 3::BIGINT AS version, n_nationkey * 3 AS npv FROM nation WHERE n_name = 'NATION_6' UNION ALL SELECT n_name, 1, n_nationkey FROM nation WHERE n_name = 'NATION_3'")
+@query("SELECT n_name AS name, 3::BIGINT AS version, (n_nationkey * 3)::BIGINT AS npv FROM nation WHERE n_name = 'NATION_6' UNION ALL SELECT n_name, 1, n_nationkey::BIGINT FROM nation WHERE n_name = 'NATION_3'")
 def stored_scenarios(spark, sf_dir):
     rows = V.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("version"), F.col("n_nationkey").alias("_k"))
     folder = _folder(spark)
