@@ -37,7 +37,7 @@ from . import tiles
 
 COSINE = 0.9
 HASHES, TABLES, PROBES, AXES, SEED = 3, 12, 6, 3, 5
-SIGNS = 128
+SIGNS, SALTS = 128, 8
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -242,8 +242,10 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     counts = found.groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
     grouped = components(found.select("u", "v")).withColumnRenamed("node", "id")
     named = distinct.select("id", "first", "n").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    per = named.join(least, "component").join(counts, "id", "left").select("id", F.col("least.vec_id").alias("component_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # A great component's vectors are dealt to several tasks; its name goes to each.
+    least = named.groupBy("component").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    per = named.join(least, ["component", "salt"]).join(counts, "id", "left").select("id", F.col("least.vec_id").alias("component_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     per = per.join(distinct.select("id", "embedding"), "id").drop("id")
     linked = rows.where("fine").join(per, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

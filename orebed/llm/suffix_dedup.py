@@ -47,6 +47,8 @@ from . import textarrays as T
 LENGTH, GRAM = 50, 25
 HOT_LEAST = 1000
 UNITS, SALTS = 1 << 15, 8
+#: Bytes of text of a chunk: the more, the more copies are settled before the shuffle.
+CHUNK_BYTES = 2 << 20
 _LOW = np.uint64((1 << 40) - 1)
 #: Marks a minimiser that very many documents hold.
 _HOT = np.uint64(1 << 63)
@@ -151,7 +153,7 @@ def _candidates(documents: DataFrame, n_buckets: int, length: int, gram: int) ->
     """Minimisers by bucket, packed: those of a chunk that stand alone in it, and of the others one each with its count; the others themselves pass (direct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buffer, offsets in T.chunks(batches):
+        for rows, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
             ids, texts = (np.asarray(rows.column(rows.schema.get_field_index(c))) for c in ("doc_id", "th"))
             position, hashes, _, _ = minimisers(buffer, offsets, length, gram)
             doc = T.document_of(position, offsets)
@@ -418,7 +420,7 @@ def _units(rows: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for part, buffer, offsets in T.chunks(_with_text(batches)):
+        for part, buffer, offsets in T.chunks(_with_text(batches), limit=CHUNK_BYTES):
             ids, texts = (np.asarray(part.column(part.schema.get_field_index(c))) for c in ("id", "th"))
             prefix = T.prefix_hashes(buffer)
             position, hashes, begin, end = minimisers(buffer, offsets, length, gram)
