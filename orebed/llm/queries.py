@@ -52,7 +52,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash)}
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that do not depend on the forest."""
+    rows = quality_rules.judge(_table(spark, sf_dir, "documents"), None)
+    return rows.select("doc_id", *quality_rules.COUNTS, "base_failed")
+
+
+QUERIES = {f.__name__: f for f in (rule_counts, op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op5_crosspolytope": crosspolytope.SQL, "op7_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op5_crosspolytope": crosspolytope.SQL, "op7_mixing": mixing.SQL, "rule_counts": quality_rules.SQL}
