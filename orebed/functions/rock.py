@@ -92,3 +92,25 @@ def rockburst_index(hazard: Column, rating: Column, stress: Column, weights=(0.6
     total = float(sum(weights))
     mass = F.when(rating < threshold, rating / threshold).otherwise(F.lit(0.5))
     return F.greatest(F.least((hazard * weights[0] + mass * weights[1] + stress * weights[2]) / total, F.lit(1.0)), F.lit(0.0))
+
+
+def material(rating: Column) -> dict[str, Column]:
+    """Friction angle, cohesion, unit weight and Hoek-Brown m, s, a of a rock mass by its geological strength index. The four classes."""
+    pick = lambda *v: F.when(rating >= 75, v[0]).when(rating >= 50, v[1]).when(rating >= 25, v[2]).otherwise(v[3])
+    weak = rating < 25
+    return {
+        "friction_angle": pick(45.0, 40.0, 35.0, 30.0),
+        "cohesion": pick(500.0, 300.0, 150.0, 50.0),
+        "unit_weight": pick(27.0, 26.0, 25.0, 24.0),
+        "mb": F.when(weak, 0.1 * rating).otherwise(0.5 + 0.01 * rating),
+        "s": F.when(weak, 0.001).otherwise(0.01 * (rating - 25) / 75),
+        "a": F.when(weak, 0.5).otherwise(0.5 - 0.01 * (rating - 25) / 75),
+    }
+
+
+def spacing_rules(range_: Column, spacing: Column, least: float = 10.0, most: float = 500.0) -> dict[str, Column]:
+    """Distances of the measured, indicated and inferred classes from a variogram's range and the holes' spacing: a quarter, two thirds and all of the range, not under 0.75, 1.5 and 2.5 spacings, the tighter class at most 0.8 of the next."""
+    inside = lambda d: F.greatest(F.least(d, F.lit(most)), F.lit(least))
+    m, i, f = (inside(F.greatest(k * range_, s * spacing)) for k, s in ((0.25, 0.75), (0.67, 1.5), (1.0, 2.5)))
+    m = F.greatest(F.least(m, 0.8 * i), F.lit(least))
+    return {"measured": m, "indicated": F.greatest(F.least(i, 0.8 * f), F.lit(least)), "inferred": f}

@@ -86,3 +86,26 @@ def first_of_cell(points: DataFrame, point_id: str, size: float) -> DataFrame:
     """One point a cell: that of the least id."""
     cell = [F.floor(F.col(a) / size) for a in ("x", "y", "z")]
     return points.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy(point_id))).where("_n = 1").drop("_n")
+
+
+def mesh_parts(faces: DataFrame, face_id: str, vertices: tuple[str, str, str] = ("a", "b", "c")) -> DataFrame:
+    """Connected parts of a mesh, named by their least vertex: each face's part, from links along its edges."""
+    a, b, c = vertices
+    edges = faces.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(faces.select(F.col(b).alias("u"), F.col(c).alias("v")))
+    groups = connected(edges)
+    return faces.join(groups.select(F.col("node").alias(a), F.col("component").alias("part")), a).select(face_id, "part")
+
+
+def grown_regions(points: DataFrame, point_id: str, k: int, angle: float) -> DataFrame:
+    """Regions of points with unit normals (nx, ny, nz): neighbours among the k nearest whose normals are within ``angle`` degrees grow together; a region is named by its least point."""
+    import math
+
+    from .spatial import nearest
+
+    near = nearest(points, points.withColumnRenamed(point_id, "_other"), k + 1, None, point_id, "_other").where(F.col("target") != F.col("point")).select(F.col("target").alias("u"), F.col("point").alias("v"))
+    normal = lambda n: points.select(F.col(point_id).alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("nx", "ny", "nz")))
+    both = near.join(normal("u"), "u").join(normal("v"), "v")
+    dot = F.abs(F.col("nx_u") * F.col("nx_v") + F.col("ny_u") * F.col("ny_v") + F.col("nz_u") * F.col("nz_v"))
+    edges = both.where(dot >= math.cos(math.radians(angle))).select("u", "v")
+    own = points.select(F.col(point_id).alias("u"), F.col(point_id).alias("v"))
+    return connected(edges.unionByName(own)).withColumnsRenamed({"node": point_id, "component": "region"})

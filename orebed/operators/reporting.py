@@ -179,3 +179,76 @@ def grouped_fragments(points: DataFrame, label: str) -> DataFrame:
     volume = F.col("dx") * F.col("dy") * F.col("dz")
     sides = F.array_sort(F.array("dx", "dy", "dz"))
     return out.withColumns({"volume": volume, "diameter": F.pow(6 * volume / 3.141592653589793, F.lit(1 / 3)), "flatness": F.try_divide(sides[0], sides[2])})
+
+
+def recommended_cell_size(curve: DataFrame, stable: float = 0.001) -> DataFrame:
+    """From size and declustered_mean: the least size whose mean differs from that of the size before by less than ``stable`` of it, else that of the least change, else the middle one."""
+    order = Window.orderBy("size")  # a curve has a row a size
+    rows = curve.withColumns({"_k": F.row_number().over(order) - 1, "_before": F.lag("declustered_mean").over(order)})
+    rows = rows.withColumn("_change", F.abs(F.col("declustered_mean") - F.col("_before")) / F.nullif(F.abs("_before"), F.lit(0.0)))
+    out = rows.agg(F.min(F.when(F.col("_change") < stable, F.col("size"))).alias("_stable"), F.min_by("size", F.when(F.col("_change").isNotNull(), F.struct("_change", "size"))).alias("_least"), F.count(F.lit(1)).alias("_n"), F.collect_list(F.struct("_k", "size")).alias("_all"))
+    middle = F.filter("_all", lambda x: x["_k"] == F.floor(F.col("_n") / 2))[0]["size"]
+    return out.select(F.coalesce("_stable", "_least", middle).alias("size"), F.col("_stable").isNotNull().alias("stable"))
+
+
+def contour_levels(df: DataFrame, value: str, count: int, kind: str = "linear") -> DataFrame:
+    """Levels of a density: equal steps to its greatest value, steps of its logarithm, or percentiles of its positive values from the tenth."""
+    rows = df.where(F.col(value) > 0)
+    if kind == "percentile":
+        names = {f"l{k}": 0.1 + 0.9 * k / (count - 1) for k in range(count)}
+        found = quantiles(rows, value, names)
+        return found.select(F.posexplode(F.array(*names)).alias("level", "value"))
+    ends = rows.agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"))
+    k = F.col("level")
+    at = F.col("_hi") / count * (k + 1) if kind == "linear" else F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), k / (count - 1))
+    return ends.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select("level", at.alias("value"))
+
+
+def correlations(df: DataFrame, inputs: list[str], outputs: list[str]) -> DataFrame:
+    """Correlation of each input with each output, one aggregation for all."""
+    table = F.array(*(F.struct(F.lit(i).alias("input"), F.lit(o).alias("output"), F.corr(i, o).alias("r")) for i in inputs for o in outputs))
+    return df.agg(table.alias("_t")).select(F.inline("_t"))
+
+
+def filtered_estimates(estimates: DataFrame, estimate: str, drift: str, data: DataFrame, value: str, contraction: float = 0.85, low: float = 0.005, high: float = 0.995, positive: bool = False) -> DataFrame:
+    """Estimates drawn towards their drift and cut at percentiles of the data (and at 0)."""
+    limits = quantiles(data, value, {"_lo": low, "_hi": high})
+    drawn = F.coalesce(F.col(drift) + contraction * (F.col(estimate) - F.col(drift)), F.col(estimate))
+    cut = F.greatest(F.least(drawn, F.col("_hi")), F.col("_lo"))
+    return estimates.crossJoin(F.broadcast(limits)).withColumn("filtered", F.greatest(cut, F.lit(0.0)) if positive else cut).drop("_lo", "_hi")
+
+
+def plain_resources(blocks: DataFrame, grade: str, operator: str, cutoff: float, volume: float, density: Column) -> DataFrame:
+    """Blocks, tonnes, plain mean grade and metal (in millions) of the blocks that meet a cutoff."""
+    from .selection import compared as met
+
+    rows = blocks.where(met(grade, operator, cutoff))
+    out = rows.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(density * volume), F.lit(0.0)).alias("tonnes"), F.avg(grade).alias("grade"))
+    return out.withColumn("metal", F.col("tonnes") * F.col("grade") / 1e6)
+
+
+def risk_profile(schedule: DataFrame, places: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Of each period: tonnes, mean of each hazard at its places (0 where unknown), and their weighted sum over all weights."""
+    rows = schedule.join(places, "block_id", "left")
+    out = rows.groupBy("period").agg(F.sum("tonnes").alias("tonnes"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in weights))
+    total = sum(weights.values())
+    return out.withColumn("risk", sum((F.col(c) * (w / total) for c, w in weights.items()), F.lit(0.0)))
+
+
+def profile_differences(base: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """A profile against the base, key by key; a key that one lacks counts 0 there."""
+    a, b = base.select(key, F.col(value).alias("base")), other.select(key, F.col(value).alias("other"))
+    both = a.join(b, key, "full").fillna(0.0, ["base", "other"])
+    return both.withColumns({"difference": F.col("other") - F.col("base"), "percent": 100 * (F.col("other") - F.col("base")) / F.nullif(F.col("base"), F.lit(0.0))})
+
+
+def scan_quality(points: DataFrame, cell: float) -> DataFrame:
+    """Points, missing coordinates, repeated places, extent and mean points a filled cell of a scan."""
+    rows = points.select(*(F.col(c).cast("double").alias(c) for c in "xyz"))
+    bad = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull() | F.isnan("x") | F.isnan("y") | F.isnan("z")
+    whole = rows.agg(F.count(F.lit(1)).alias("points"), F.count_if(bad).alias("missing"))
+    fine = rows.where(~bad)
+    places = fine.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("_n"))
+    cells = places.groupBy(*(F.floor(F.col(c) / cell).alias(f"_{c}") for c in "xyz")).agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") - 1).alias("_r"), *(f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+    out = cells.agg(F.sum("_r").alias("repeated"), F.avg("_m").alias("per_cell"), *((F.max(f"_hi{c}") - F.min(f"_lo{c}")).alias(f"d{c}") for c in "xyz"))
+    return whole.crossJoin(out)

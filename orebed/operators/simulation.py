@@ -216,3 +216,17 @@ def shell_probability(shells: DataFrame, block: str, mined: str, robust: float =
     """Share of scenarios that mine a block, and its class."""
     p = shells.groupBy(block).agg(F.avg(F.col(mined).cast("double")).alias("p_mined"))
     return p.withColumn("class", F.when(F.col("p_mined") >= robust, "robust").when(F.col("p_mined") <= fringe, "fringe").otherwise("marginal"))
+
+
+def grade_scenarios(blocks: DataFrame, grade: str, uncertainty: float, scenarios: int, block_id: str = "block_id", seed: int = 1) -> DataFrame:
+    """block_id, scenario, grade: independent lognormal grades of each block whose mean is its own; none for a grade of 0."""
+    rows = blocks.where(F.col(grade) > 0).withColumn("scenario", F.explode(F.sequence(F.lit(1), F.lit(scenarios))))
+    drawn = F.exp(F.log(grade) - 0.5 * uncertainty * uncertainty + uncertainty * standard_normal(seed, F.col("scenario"), F.col(block_id)))
+    return rows.select(block_id, "scenario", drawn.alias("grade"))
+
+
+def value_scenarios(grades: DataFrame, blocks: DataFrame, draws: DataFrame, rate: float) -> DataFrame:
+    """Value of each grade scenario in each draw of price and cost: metal by scenario and period is summed before it meets the draws."""
+    per = grades.join(blocks.select("block_id", "tonnes", "period"), "block_id").groupBy("scenario", "period").agg(F.sum(F.col("tonnes") * F.col("grade")).alias("_m"), F.sum("tonnes").alias("_t"))
+    flow = (F.col("_m") * F.col("recovery") * F.col("price") / 100 - F.col("_t") * (F.col("mining") + F.col("processing"))) * F.pow(F.lit(1.0 + rate), -F.col("period"))
+    return per.crossJoin(draws).groupBy("scenario", "draw").agg(F.sum(flow).alias("npv"))
