@@ -1,20 +1,23 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of all words and word pairs of the training texts are taken exactly, by
-hash bucket.  A filter then holds, for each n-gram of count c, the entries
-(n-gram, 1) to (n-gram, level(c)) with level(c) = 1 + floor(log_STEP c); a count
-is found again, but for the step, by probing levels until one is missing.  Every
-bucket has the segment of the filter that its n-grams hash to, as a row of a
-written table, of ``BITS_PER_ENTRY`` bits for each of its entries: the filter
-grows with the training texts and is never in one place.
-
-A chunk of documents asks each bucket for the levels of its distinct n-grams and
-for the exact counts of its words; the replies meet at the chunk, where they
-make the levels of every token.  The model mixes pair, word and uniform
-probabilities with weights fitted by leave-one-out expectation maximisation over
-all whole training texts: a token's three probabilities depend on three levels
-only, so the steps run on the number of tokens of each such triple, a table
-bounded by the levels and not by the texts.
+A chunk of documents sends each bucket its distinct words and word pairs with
+how often its training texts hold them; there the exact totals are taken.  A
+filter then holds, for each n-gram of total c, the entries (n-gram, 1) to
+(n-gram, level(c)) with level(c) = 1 + floor(log_STEP c); a count is found
+again, but for the step, by probing levels until one is missing.  The filter is
+made where its n-grams meet, a segment a bucket, of ``BITS_PER_ENTRY`` bits for
+each entry: it grows with the training texts and is never in one place.  The
+bucket answers each chunk with the levels of the n-grams that it sent and the
+exact counts of its words; the replies meet at the chunk, where they make the
+levels of every token.
+
+The model mixes pair, word and uniform probabilities with weights fitted by
+leave-one-out expectation maximisation over all whole training texts: a token's
+three probabilities depend on three levels only, so the steps run on the number
+of tokens of each such triple, a table bounded by the levels and not by the
+texts.  Word shares are of the sum of what the levels of all words stand for, so
+they add up to 1 but for false positives; pair shares are of what the level of
+the word before stands for, so their sum over the words after it is near 1 only.
 
 Besides the model's score there is the exact add-one score of single words.
 
@@ -45,8 +48,8 @@ COPIED = 0.9
 _KEY = np.uint64((1 << 48) - 1)
 #: Bytes of a key: words are counted exactly; pairs of equal bucket and 40 bits are far rarer than the filter's false positives.
 WIDTH = {"word": 6, "pair": 5}
-#: Bytes of text of a chunk: the more, the fewer n-grams are asked for twice.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text of a chunk: the more, the fewer n-grams are sent twice.
+CHUNK_BYTES = 4 << 20
 
 
 def tokens_of(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,54 +85,6 @@ def _wide(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _tallied(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if weights is None:
-        return keys[first], np.diff(np.append(first, len(keys)))
-    return keys[first], np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, np.int64)
-
-
-# --- counts -------------------------------------------------------------------
-
-_PART = "bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
-_SEGMENT = "bucket int, tokens long, kinds long, words binary, word_counts binary, bits binary"
-
-
-def counts(training: DataFrame, n_buckets: int) -> DataFrame:
-    """bucket, tokens, kinds (how many words, and distinct ones), words (48-bit keys, sorted), word_counts, bits (the filter's segment of all words and pairs)."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts"))])
-
-    segments = pa.schema([("bucket", pa.int32()), ("tokens", pa.int64()), ("kinds", pa.int64()), *((c, pa.binary()) for c in ("words", "word_counts", "bits"))])
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
-            hashes, _ = tokens_of(buffer, offsets)
-            out: dict[int, dict] = {}
-            for name, some in (("word", hashes), ("pair", pairs_of(hashes))):
-                keys, n = _tallied(some)
-                for b, at in _groups(bucket_of(keys, n_buckets)):
-                    row = out.setdefault(b, {"bucket": b, "words": b"", "word_counts": b"", "pairs": b"", "pair_counts": b""})
-                    row[f"{name}s"], row[f"{name}_counts"] = _cut(keys[at], WIDTH[name]), n[at].astype("<u4").tobytes()
-            yield pa.RecordBatch.from_pylist(list(out.values()), schema)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_buckets(batches):
-            found = {}
-            for name in ("word", "pair"):
-                keys = _wide(b"".join(table.column(f"{name}s").to_pylist()), WIDTH[name])
-                n = np.frombuffer(b"".join(table.column(f"{name}_counts").to_pylist()), "<u4").astype(np.int64)
-                found[name] = _tallied(keys, n)
-            keys, n = found["word"]
-            entries = sum(int(level(c).sum()) for _, c in found.values() if len(c))
-            row = {"bucket": table.column("bucket")[0].as_py(), "tokens": int(n.sum()), "kinds": len(n), "words": _cut(keys, 6), "word_counts": n.astype("<i8").tobytes()}
-            yield pa.RecordBatch.from_pylist([row | {"bits": segment(found["word"], found["pair"], size_for(entries))}], segments)
-
-    dealt = training.select("text").mapInArrow(tally, _PART).repartition(shards(training.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return written(dealt.mapInArrow(total, _SEGMENT), "segments")
-
-
 # --- the filter ---------------------------------------------------------------
 
 
@@ -187,12 +142,23 @@ def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.nd
 
 # --- scores -------------------------------------------------------------------
 
-_REQUEST = "bucket int, chunk long, n_words int, keys binary, state binary, bits binary"
+_REQUEST = "bucket int, chunk long, n_words int, keys binary, counts binary, state binary"
 _REPLY = "bucket long, source int, levels binary, counts binary"
-_LEVELS = "docs binary, own binary, pair binary"
-_DOC = np.dtype([("id", "<i8"), ("scored", "<i8"), ("learnt", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
+_LEVELS = "docs binary, own binary, pair binary, tokens long, kinds long, mass double"
+_DOC = np.dtype([("id", "<i8"), ("none", "?"), ("scored", "?"), ("learnt", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 _ROW = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_NULL = -(1 << 63)
+
+
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Small integers packed: byte planes, of which the upper ones are zeros."""
+    wide = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize)
+    return pa.compress(wide.T.tobytes(), "zstd", asbytes=True)
+
+
+def _from_planes(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = pa.decompress(data, n * width, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(width, -1).T).view(kind)[:, 0].astype(np.int64) if n else np.zeros(0, np.int64)
 
 
 def _asked(names: np.ndarray, tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -204,15 +170,28 @@ def _asked(names: np.ndarray, tokens: np.ndarray, n_buckets: int) -> tuple[np.nd
     return hashes, pair, list(_groups(bucket_of(hashes, n_buckets)))
 
 
-def token_levels(rows: DataFrame, table: DataFrame, n_buckets: int) -> DataFrame:
-    """The levels of every token's word and pair, with the documents' counts, packed by chunk; rows are doc_id, text, scored, learnt.
+def totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how often they occur in all, and the place of each given key among them."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(back, n, len(distinct)).astype(np.int64), back
+
+
+def made_filter(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> Filter:
+    """The segment of words and pairs with their totals, sized by its entries; what never occurs is not held."""
+    held = [(keys[n > 0], n[n > 0]) for keys, n in (words, pairs)]
+    size = size_for(sum(int(level(n).sum()) for _, n in held if len(n)))
+    return Filter(np.frombuffer(segment(*held, size), np.uint8), size, 1)
+
+
+def token_levels(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """The levels of every token's word and pair, with the documents' counts, packed by chunk, and rows of the buckets' training tokens, distinct words and their mass; rows are doc_id, text, scored, learnt.
 
     A chunk is named by its task and turn, so the rows of ``rows`` are taken to
     come in one order if a task runs again, as those of a stored table do.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("keys", "state", "bits"))])
+        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "state"))])
         chunk = TaskContext.get().partitionId() << 32
         for part, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
             column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
@@ -221,44 +200,62 @@ def token_levels(rows: DataFrame, table: DataFrame, n_buckets: int) -> DataFrame
             order = np.argsort(-n, kind="stable")  # places of frequent words are small and pack well
             names, tokens = names[order], np.argsort(order)[tokens]
             docs = np.zeros(len(offsets) - 1, _DOC)
-            docs["id"] = column("doc_id").fill_null(_NULL).to_numpy()
+            docs["id"], docs["none"] = column("doc_id").fill_null(0).to_numpy(), column("doc_id").is_null().to_numpy(zero_copy_only=False)
             docs["scored"], docs["learnt"] = (column(c).to_numpy(zero_copy_only=False) for c in ("scored", "learnt"))
             docs["tokens"] = np.bincount(doc, minlength=len(docs))
-            wanted, _, groups = _asked(names, tokens, n_buckets)
+            wanted, pair, groups = _asked(names, tokens, n_buckets)
+            learnt = docs["learnt"][doc]
+            count = np.concatenate([np.bincount(tokens[learnt], minlength=len(names)), np.bincount(pair[learnt], minlength=len(wanted) - len(names))])
             head = np.array([len(docs), len(names), len(tokens)], "<i8")
             state = b"".join((head.tobytes(), docs.tobytes(), names.astype("<u8").tobytes(), tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
             out = []
             for b, at in groups:
                 k = int(np.searchsorted(at, len(names)))
-                out.append({"bucket": b, "chunk": chunk, "n_words": k, "keys": _cut(wanted[at[:k]], WIDTH["word"]) + _cut(wanted[at[k:]], WIDTH["pair"])})
+                out.append({"bucket": b, "chunk": chunk, "n_words": k, "keys": _cut(wanted[at[:k]], WIDTH["word"]) + _cut(wanted[at[k:]], WIDTH["pair"]), "counts": _planes(count[at], "<u4")})
             yield pa.RecordBatch.from_pylist([*out, {"bucket": chunk % n_buckets, "chunk": chunk, "state": len(state).to_bytes(8, "little") + pa.compress(state, "zstd", asbytes=True)}], schema)
             chunk += 1
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("source", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())])
         for asked in whole_buckets(batches):
-            asked = asked.sort_by([("chunk", "ascending")])  # the segment, of chunk -1, comes first
-            keys, n, filter_ = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
-            for batch in asked.to_batches(max_chunksize=64):
-                out = []
-                for row in batch.to_pylist():
-                    if row["chunk"] < 0:
-                        keys, n = _wide(row["keys"], 6), np.frombuffer(row["state"], "<i8")
-                        filter_ = Filter(np.frombuffer(row["bits"], np.uint8), len(row["bits"]) * 8, 1)
-                    elif row["keys"] is None:
-                        out.append({"bucket": row["chunk"], "source": -1, "levels": row["state"]})
-                    else:
-                        cut = row["n_words"] * WIDTH["word"]
-                        wanted = _wide(row["keys"][:cut], WIDTH["word"])
-                        both = np.concatenate([wanted, _wide(row["keys"][cut:], WIDTH["pair"])])
-                        levels = filter_.levels(both) if filter_ else np.zeros(len(both), np.int64)
-                        at = np.searchsorted(keys, wanted).clip(0, max(len(keys) - 1, 0))
-                        found = np.where(keys[at] == wanted, n[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
-                        out.append({"bucket": row["chunk"], "source": row["bucket"], "levels": levels.astype(np.uint8).tobytes(), "counts": found.astype("<i8").tobytes()})
-                yield pa.RecordBatch.from_pylist(out, schema)
+            bucket, column = asked.column("bucket")[0].as_py(), lambda c: asked.column(c).to_pylist()  # noqa: B023, E731
+            chunks, n_words, keys, counts, states = map(column, ("chunk", "n_words", "keys", "counts", "state"))
+            words, pairs, word_n, pair_n, own = [], [], [], [], []
+            for i, k in enumerate(keys):
+                if k is None:
+                    yield pa.RecordBatch.from_pylist([{"bucket": chunks[i], "source": -1, "levels": states[i]}], schema)
+                    continue
+                cut = n_words[i] * WIDTH["word"]
+                words.append(_wide(k[:cut], WIDTH["word"]))
+                pairs.append(_wide(k[cut:], WIDTH["pair"]))
+                n = _from_planes(counts[i], len(words[-1]) + len(pairs[-1]), "<u4")
+                word_n.append(n[: n_words[i]])
+                pair_n.append(n[n_words[i] :])
+                own.append(i)
+            if not own:
+                continue
+            del keys, counts, states
+            word_key, word_total, word_at = totals(np.concatenate(words), np.concatenate(word_n))
+            pair_key, pair_total, pair_at = totals(np.concatenate(pairs), np.concatenate(pair_n))
+            filter_ = made_filter((word_key, word_total), (pair_key, pair_total))
+            word_level, pair_level = (filter_.levels(k).astype(np.uint8) for k in (word_key, pair_key))
+            some = word_total > 0
+            stats = np.array([word_total.sum(), some.sum(), count_at(level(word_total[some])).sum() if some.any() else 0.0], "<f8")
+            yield pa.RecordBatch.from_pylist([{"bucket": -1, "source": bucket, "counts": stats.tobytes()}], schema)
+            a = b = 0
+            for i, w, p in zip(own, words, pairs):
+                of = word_at[a : a + len(w)]
+                levels = np.concatenate([word_level[of], pair_level[pair_at[b : b + len(p)]]])
+                yield pa.RecordBatch.from_pylist([{"bucket": chunks[i], "source": bucket, "levels": pa.compress(levels.tobytes(), "zstd", asbytes=True), "counts": _planes(word_total[of], "<u8")}], schema)
+                a, b = a + len(w), b + len(p)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*((c, pa.binary()) for c in ("docs", "own", "pair")), ("tokens", pa.int64()), ("kinds", pa.int64()), ("mass", pa.float64())])
         for table_ in whole_buckets(batches):
+            if table_.column("bucket")[0].as_py() < 0:
+                found = [np.frombuffer(x, "<f8") for x in table_.column("counts").to_pylist()]
+                yield pa.RecordBatch.from_pylist([{"tokens": int(t), "kinds": int(k), "mass": m} for t, k, m in found], schema)
+                continue
             replies = {r["source"]: r for r in table_.to_pylist()}
             packed = replies[-1]["levels"]
             state = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
@@ -269,16 +266,16 @@ def token_levels(rows: DataFrame, table: DataFrame, n_buckets: int) -> DataFrame
             hashes, pair, groups = _asked(names, tokens, n_buckets)
             levels, known = np.zeros(len(hashes), np.uint8), np.zeros(n_names, np.int64)
             for b, at in groups:
-                levels[at] = np.frombuffer(replies[b]["levels"], np.uint8)
-                known[at[at < n_names]] = np.frombuffer(replies[b]["counts"], "<i8")
+                levels[at] = np.frombuffer(pa.decompress(replies[b]["levels"], len(at), "zstd", asbytes=True), np.uint8)
+                words = at[at < n_names]
+                known[words] = _from_planes(replies[b]["counts"], len(words), "<u8")
             doc = np.repeat(np.arange(n_docs), docs["tokens"])
             docs["known"] = np.bincount(doc[known[tokens] > 0], minlength=n_docs)
             docs["base"] = np.bincount(doc, np.log10(known + 1.0)[tokens], n_docs)
-            yield pa.RecordBatch.from_pydict({"docs": pa.array([docs.tobytes()], pa.binary()), "own": pa.array([levels[tokens].tobytes()], pa.binary()), "pair": pa.array([levels[n_names + pair].tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pylist([{"docs": docs.tobytes(), "own": levels[tokens].tobytes(), "pair": levels[n_names + pair].tobytes()}], schema)
 
     by_bucket = lambda rows: rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    given = table.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("n_words"), F.col("words").alias("keys"), F.col("word_counts").alias("state"), "bits")
-    replies = by_bucket(rows.mapInArrow(ask, _REQUEST).unionByName(given)).mapInArrow(answer, _REPLY)
+    replies = by_bucket(rows.mapInArrow(ask, _REQUEST)).mapInArrow(answer, _REPLY)
     return written(by_bucket(replies).mapInArrow(gather, _LEVELS), "levels")
 
 
@@ -289,11 +286,11 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, np.repeat(np.arange(len(docs)), docs["tokens"]), pair << 16 | np.concatenate([own[-1:], own[:-1]]) << 8 | own
 
 
-def _shares(codes: np.ndarray, total: int, kinds: int, out_of: int = 0) -> np.ndarray:
+def _shares(codes: np.ndarray, mass: float, kinds: int, out_of: int = 0) -> np.ndarray:
     """Pair, word and uniform probability of tokens of a code; ``out_of`` 1 leaves its own occurrence out."""
     pair, context, own = (count_at(codes >> k & 255) for k in (16, 8, 0))
     pair_share = np.where(context > out_of, np.minimum(np.maximum(pair - out_of, 0) / np.maximum(context - out_of, 1), 1.0), 0.0)
-    word_share = np.maximum(own - out_of, 0) / max(total - out_of, 1)
+    word_share = np.maximum(own - out_of, 0) / max(mass - out_of, 1)
     return np.column_stack([pair_share, word_share, np.full(len(codes), 1 / (kinds + 1))])
 
 
@@ -307,7 +304,7 @@ def mixture(shares: np.ndarray, n: np.ndarray, steps: int = 30) -> list[float]:
     return weights.tolist()
 
 
-def fit(levels: DataFrame, total: int, kinds: int) -> list[float]:
+def fit(levels: DataFrame, mass: float, kinds: int) -> list[float]:
     """The mixture's weights from all tokens of the texts that are learnt from; the number of tokens of each code reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,39 +312,36 @@ def fit(levels: DataFrame, total: int, kinds: int) -> list[float]:
             for row in batch.to_pylist():
                 docs, doc, codes = _unpacked(row)
                 distinct, back = np.unique(codes, return_inverse=True)
-                seen = np.bincount(doc, (_shares(distinct, total, kinds, 1)[:, 0] > 0)[back], len(docs)) / np.maximum(docs["tokens"], 1)
-                n = np.bincount(back[((docs["learnt"] > 0) & (seen < COPIED))[doc]], minlength=len(distinct))
+                seen = np.bincount(doc, (_shares(distinct, mass, kinds, 1)[:, 0] > 0)[back], len(docs)) / np.maximum(docs["tokens"], 1)
+                n = np.bincount(back[(docs["learnt"] & (seen < COPIED))[doc]], minlength=len(distinct))
                 yield pa.RecordBatch.from_pydict({"code": pa.array(distinct[n > 0], pa.int64()), "n": pa.array(n[n > 0], pa.int64())})
 
-    found = levels.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
-    return mixture(_shares(found["code"].to_numpy(np.int64), total, kinds, 1), found["n"].to_numpy(float))
+    found = levels.select("docs", "own", "pair").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
+    return mixture(_shares(found["code"].to_numpy(np.int64), mass, kinds, 1), found["n"].to_numpy(float))
 
 
 def scored(rows: DataFrame) -> DataFrame:
     """Per row that is scored: doc_id, n_tokens, n_known, train_tokens, base_score, score; rows are doc_id, text, scored, learnt."""
-    n_buckets = shards(rows.sparkSession)
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    table = counts(rows.where("learnt"), n_buckets)
-    rows.sparkSession.sparkContext._jvm.System.gc()  # Spark then drops the shuffle that the written table came from
-    total, kinds = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    levels = token_levels(rows, table, n_buckets)
-    weights = fit(levels, total, kinds)
+    found = token_levels(rows.withColumn("doc_id", F.col("doc_id").cast("long")), shards(rows.sparkSession))
+    levels = found.where("docs is not null")
+    total, kinds, mass = found.where("docs is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum(F.col("mass").cast("decimal(38,1)")).cast("double"), F.lit(0.0))).first()
+    weights = fit(levels, mass, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 docs, doc, codes = _unpacked(row)
                 distinct, back = np.unique(codes, return_inverse=True)
-                likely = np.bincount(doc, np.log10(_shares(distinct, total, kinds) @ np.array(weights))[back], len(docs))
+                likely = np.bincount(doc, np.log10(_shares(distinct, mass, kinds) @ np.array(weights))[back], len(docs))
                 base = docs["base"] - docs["tokens"] * np.log10(float(total + kinds + 1))
-                out = docs["scored"] > 0
+                out = docs["scored"]
                 docs = docs[out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs["id"], mask=docs["id"] == _NULL), pa.array(docs["tokens"]), pa.array(docs["known"]), pa.array(np.full(len(docs), total, np.int64)), pa.array(base[out]), pa.array(likely[out])],
+                    [pa.array(docs["id"], mask=docs["none"]), pa.array(docs["tokens"]), pa.array(docs["known"]), pa.array(np.full(len(docs), total, np.int64)), pa.array(base[out]), pa.array(likely[out])],
                     ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return levels.mapInArrow(run, _ROW)
+    return levels.select("docs", "own", "pair").mapInArrow(run, _ROW)
 
 
 def score(documents: DataFrame, training: DataFrame) -> DataFrame:

@@ -113,17 +113,29 @@ def test_filter_gives_counts_back():
     assert (lm_scoring.Filter(np.frombuffer(data, np.uint8), size, 4).levels(rng.integers(0, 1 << 63, 3000).astype(np.uint64)) == 0).mean() > 0.98
 
 
-def test_filter_holds_what_it_is_sized_for(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40) for _ in range(70 + j)) + f" o{i} e{i}") for i in range(20)], "doc_id long, text string")
-    found = {r["bucket"]: r["bits"] for r in lm_scoring.counts(docs, 4).collect()}
-    size = sum(map(len, found.values())) * 8
-    assert size > 20 * 40 * 2 * 11 * lm_scoring.BITS_PER_ENTRY  # each of these words and pairs has a count of 69 or more
-    assert all(np.unpackbits(np.frombuffer(x, np.uint8)).mean() < 0.5 for x in found.values())
-    name = lambda w: lm_scoring.tokens_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0]
-    once = np.array([lm_scoring.pairs_of(name(f"o{i} e{i}"))[1] for i in range(20)])
-    for b in range(4):
-        some = once[lm_scoring.bucket_of(once, 4) == b]
-        assert (lm_scoring.Filter(np.frombuffer(found[b], np.uint8), len(found[b]) * 8, 1).levels(some & np.uint64((1 << 8 * lm_scoring.WIDTH["pair"]) - 1)) >= 1).all()
+def test_filter_holds_what_it_is_sized_for():
+    texts = [" ".join(f"w{i}x{j}" for j in range(40) for _ in range(70 + j)) + f" o{i} e{i}" for i in range(20)]
+    data = "".join(texts).encode()
+    words, _ = lm_scoring.tokens_of(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))
+    narrow = lambda keys, kind: keys & np.uint64((1 << 8 * lm_scoring.WIDTH[kind]) - 1)
+    words, pairs = narrow(words, "word"), narrow(lm_scoring.pairs_of(words), "pair")
+    one = lambda keys: lm_scoring.totals(keys, np.ones(len(keys)))[:2]
+    found = lm_scoring.made_filter(one(words), one(pairs))
+    assert found.size > 20 * 40 * 2 * 11 * lm_scoring.BITS_PER_ENTRY  # each of these words and pairs has a count of 69 or more
+    assert np.unpackbits(found.data).mean() < 0.5
+    keys, n = one(pairs)
+    assert (found.levels(keys) >= lm_scoring.level(n)).all() and (n == 1).sum() >= 20  # pairs seen once are held too
+
+
+def test_word_shares_add_up():
+    """Over a vocabulary and the unknown word, the probabilities of a word after no known word sum to 1."""
+    n = np.random.default_rng(3).geometric(0.02, 200)
+    levels = lm_scoring.level(n)
+    mass = lm_scoring.count_at(levels).sum()
+    shares = lm_scoring._shares(np.append(levels, 0), mass, len(n))
+    assert np.isclose(shares[:, 1].sum(), 1.0) and np.isclose(shares[:, 2].sum(), 1.0) and (shares[:, 0] == 0).all()
+    for weights in ([0.3, 0.6, 0.1], [0.0, 0.5, 0.5]):
+        assert (shares @ np.array(weights)).sum() <= 1 + 1e-9
 
 
 def test_mixture_learns_from_whole_texts(spark):
