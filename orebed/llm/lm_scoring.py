@@ -75,16 +75,6 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
-def _cut(hashes: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _wide(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
-
-
 # --- the filter ---------------------------------------------------------------
 
 
@@ -142,7 +132,7 @@ def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.nd
 
 # --- scores -------------------------------------------------------------------
 
-_REQUEST = "bucket int, chunk long, n_words int, keys binary, counts binary, state binary"
+_REQUEST = "bucket int, chunk long, n_words int, n_pairs int, words binary, pairs binary, counts binary, state binary"
 _REPLY = "bucket long, source int, levels binary, counts binary"
 _LEVELS = "docs binary, own binary, pair binary, tokens long, kinds long, mass double"
 _DOC = np.dtype([("id", "<i8"), ("none", "?"), ("scored", "?"), ("learnt", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
@@ -161,13 +151,21 @@ def _from_planes(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(width, -1).T).view(kind)[:, 0].astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def _asked(names: np.ndarray, tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Hashes of a chunk's distinct words (as given) and then pairs, the pair of each token, and the places of the hashes by bucket."""
+def _narrow(hashes: np.ndarray, kind: str) -> np.ndarray:
+    return hashes & np.uint64((1 << 8 * WIDTH[kind]) - 1)
+
+
+def _asked(names: np.ndarray, tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Hashes of a chunk's distinct words (as given) and then pairs, the pair of each token, and by bucket the places of its words and of its pairs, each in the order of their keys."""
     tokens = tokens.astype(np.int64)
     end = tokens[-1:]  # every document ends with an end token
     codes, pair = np.unique(np.concatenate([end, tokens[:-1]]) * len(names) + tokens, return_inverse=True)
     hashes = np.concatenate([names, T.pair_hashes(names[codes // len(names)], names[codes % len(names)])])
-    return hashes, pair, list(_groups(bucket_of(hashes, n_buckets)))
+    groups = []
+    for b, at in _groups(bucket_of(hashes, n_buckets)):
+        words, pairs = np.split(at, [np.searchsorted(at, len(names))])
+        groups.append((b, words[np.argsort(_narrow(hashes[words], "word"))], pairs[np.argsort(_narrow(hashes[pairs], "pair"))]))
+    return hashes, pair, groups
 
 
 def totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +189,7 @@ def token_levels(rows: DataFrame, n_buckets: int) -> DataFrame:
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n_words", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "state"))])
+        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), *((c, pa.binary()) for c in ("words", "pairs", "counts", "state"))])
         chunk = TaskContext.get().partitionId() << 32
         for part, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
             column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
@@ -209,9 +207,9 @@ def token_levels(rows: DataFrame, n_buckets: int) -> DataFrame:
             head = np.array([len(docs), len(names), len(tokens)], "<i8")
             state = b"".join((head.tobytes(), docs.tobytes(), names.astype("<u8").tobytes(), tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
             out = []
-            for b, at in groups:
-                k = int(np.searchsorted(at, len(names)))
-                out.append({"bucket": b, "chunk": chunk, "n_words": k, "keys": _cut(wanted[at[:k]], WIDTH["word"]) + _cut(wanted[at[k:]], WIDTH["pair"]), "counts": _planes(count[at], "<u4")})
+            for b, words, pairs in groups:
+                steps = {f"{kind}s": _planes(np.diff(_narrow(wanted[at], kind), prepend=np.uint64(0)), "<u8") for kind, at in (("word", words), ("pair", pairs))}
+                out.append({"bucket": b, "chunk": chunk, "n_words": len(words), "n_pairs": len(pairs), **steps, "counts": _planes(count[np.concatenate([words, pairs])], "<u4")})
             yield pa.RecordBatch.from_pylist([*out, {"bucket": chunk % n_buckets, "chunk": chunk, "state": len(state).to_bytes(8, "little") + pa.compress(state, "zstd", asbytes=True)}], schema)
             chunk += 1
 
@@ -219,22 +217,21 @@ def token_levels(rows: DataFrame, n_buckets: int) -> DataFrame:
         schema = pa.schema([("bucket", pa.int64()), ("source", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())])
         for asked in whole_buckets(batches):
             bucket, column = asked.column("bucket")[0].as_py(), lambda c: asked.column(c).to_pylist()  # noqa: B023, E731
-            chunks, n_words, keys, counts, states = map(column, ("chunk", "n_words", "keys", "counts", "state"))
+            chunks, n_words, n_pairs, word_steps, pair_steps, counts, states = map(column, ("chunk", "n_words", "n_pairs", "words", "pairs", "counts", "state"))
             words, pairs, word_n, pair_n, own = [], [], [], [], []
-            for i, k in enumerate(keys):
-                if k is None:
-                    yield pa.RecordBatch.from_pylist([{"bucket": chunks[i], "source": -1, "levels": states[i]}], schema)
+            for i, state in enumerate(states):
+                if state is not None:
+                    yield pa.RecordBatch.from_pylist([{"bucket": chunks[i], "source": -1, "levels": state}], schema)
                     continue
-                cut = n_words[i] * WIDTH["word"]
-                words.append(_wide(k[:cut], WIDTH["word"]))
-                pairs.append(_wide(k[cut:], WIDTH["pair"]))
-                n = _from_planes(counts[i], len(words[-1]) + len(pairs[-1]), "<u4")
+                words.append(np.cumsum(_from_planes(word_steps[i], n_words[i], "<u8")).astype(np.uint64))
+                pairs.append(np.cumsum(_from_planes(pair_steps[i], n_pairs[i], "<u8")).astype(np.uint64))
+                n = _from_planes(counts[i], n_words[i] + n_pairs[i], "<u4")
                 word_n.append(n[: n_words[i]])
                 pair_n.append(n[n_words[i] :])
                 own.append(i)
             if not own:
                 continue
-            del keys, counts, states
+            del word_steps, pair_steps, counts, states
             word_key, word_total, word_at = totals(np.concatenate(words), np.concatenate(word_n))
             pair_key, pair_total, pair_at = totals(np.concatenate(pairs), np.concatenate(pair_n))
             filter_ = made_filter((word_key, word_total), (pair_key, pair_total))
@@ -265,9 +262,9 @@ def token_levels(rows: DataFrame, n_buckets: int) -> DataFrame:
             tokens = np.ascontiguousarray(np.frombuffer(state, np.uint8, 4 * n_tokens, 24 + docs.nbytes + names.nbytes).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
             hashes, pair, groups = _asked(names, tokens, n_buckets)
             levels, known = np.zeros(len(hashes), np.uint8), np.zeros(n_names, np.int64)
-            for b, at in groups:
+            for b, words, pairs in groups:
+                at = np.concatenate([words, pairs])
                 levels[at] = np.frombuffer(pa.decompress(replies[b]["levels"], len(at), "zstd", asbytes=True), np.uint8)
-                words = at[at < n_names]
                 known[words] = _from_planes(replies[b]["counts"], len(words), "<u8")
             doc = np.repeat(np.arange(n_docs), docs["tokens"])
             docs["known"] = np.bincount(doc[known[tokens] > 0], minlength=n_docs)

@@ -43,6 +43,8 @@ MAGIC = b"OREBITS2"
 HEADER = struct.Struct("<8sIIQQQ")  # magic, bits, ids a block, documents, ids, blocks
 BLOCK = 1 << 16
 FILE_IDS = 1 << 24
+#: Units of text that a worker remembers; it does little else that takes memory.
+TABLE_UNITS = 600_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -120,7 +122,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, fi
     spark = documents.sparkSession
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer, end_id)
+        encoder = tokens.encoder(tokenizer, end_id, TABLE_UNITS)
         bits, (where, path) = bits_for(encoder.vocabulary), fs.FileSystem.from_uri(folder)
         where.create_dir(path, recursive=True)
         part, k, held = TaskContext.get().partitionId(), 0, ([], [], [])

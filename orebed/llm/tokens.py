@@ -218,11 +218,12 @@ class Encoder:
         return ids, through[np.cumsum([0, *(len(p) + 1 for p in places)])]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(path: str, end_id: int = 0) -> Encoder:
+def encoder(path: str, end_id: int = 0, table_units: int = TABLE_UNITS) -> Encoder:
     """The worker's encoder of a file, kept from task to task."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    key = (path, end_id, table_units)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
