@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import ranked
 from ..operators.selection import canonical
 
 DELIMITERS = (",", "\t", ";", " ")
@@ -31,13 +32,13 @@ def read_text_table(spark: SparkSession, path: str, names: dict[str, str] | None
 
 
 def with_sizes(blocks: DataFrame) -> DataFrame:
-    """Blocks with dx, dy, dz: the least step between distinct coordinates along each axis."""
-    from pyspark.sql import Window
-
+    """Blocks with dx, dy, dz: the least step between distinct coordinates along each axis, neighbours being found by their rank."""
     for a in ("x", "y", "z"):
         if f"d{a}" not in blocks.columns:
-            values = blocks.select(a).distinct().withColumn("_step", F.lead(a).over(Window.orderBy(a)) - F.col(a))
-            blocks = blocks.crossJoin(F.broadcast(values.where("_step > 1e-9").agg(F.coalesce(F.min("_step"), F.lit(1.0)).alias(f"d{a}"))))
+            values = ranked(blocks.select(a).where(F.col(a).isNotNull()).distinct(), [a])
+            after = values.select((F.col("rank") - 1).alias("rank"), F.col(a).alias("_next"))
+            steps = values.join(after, "rank").select((F.col("_next") - F.col(a)).alias("_step")).where("_step > 1e-9")
+            blocks = blocks.crossJoin(F.broadcast(steps.agg(F.coalesce(F.min("_step"), F.lit(1.0)).alias(f"d{a}"))))
     return blocks
 
 
