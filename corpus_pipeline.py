@@ -2,6 +2,13 @@
 
 Each stage takes the documents that the stage before kept, as a table, and all
 but the last return the columns of ``documents``.
+
+Defined results: null and empty texts fail the base rules and go in the first
+stage; rows without an id, and rows that share one, are documents of their own
+in every stage, and only a copy of a kept text makes one of them go; rows
+without an id lose no passage to others; further columns are kept as they are,
+whatever they are called, but for ``n_chars``, which follows the text; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

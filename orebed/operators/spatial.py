@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -49,13 +50,24 @@ def within(targets: DataFrame, points: DataFrame, radius: float, target_id: str,
 
 
 def pairs(points: DataFrame, radius: float, point_id: str, values: list[str] = (), axes=AXES) -> DataFrame:
-    """i, j (i < j), the components d_<axis> and the values v_i, v_j of all pairs within ``radius``: one side looks around, the other stays."""
-    left = _around(points.select(F.col(point_id).alias("i"), *axes, *values), radius, axes).withColumnsRenamed({c: f"{c}_i" for c in (*axes, *values)})
-    right = _cells(points.select(F.col(point_id).alias("j"), *axes, *values), radius, axes).withColumnsRenamed({c: f"{c}_j" for c in (*axes, *values)})
-    both = left.join(right, [f"_{a}" for a in axes]).where("i < j")
-    both = both.withColumns({f"d_{a}": F.col(f"{a}_j") - F.col(f"{a}_i") for a in axes})
+    """i, j (i < j), the components d_<axis> and the values v_i, v_j of all pairs within ``radius``.
+
+    A point meets those of its own cell and of the cells on one side of it, so
+    each pair of cells is joined once.
+    """
+    ahead = [o for o in product((-1, 0, 1), repeat=len(axes)) if o >= (0,) * len(axes)]
+    own = _cells(points.select(F.col(point_id).alias("_id"), *axes, *values), radius, axes)
+    offsets = F.array(*(F.struct(*(F.lit(d).alias(a) for a, d in zip(axes, o)), F.lit(not any(o)).alias("same")) for o in ahead))
+    left = own.withColumn("_o", F.explode(offsets)).withColumns({f"_{a}": F.col(f"_{a}") + F.col(f"_o.{a}") for a in axes}).withColumn("_same", F.col("_o.same")).drop("_o")
+    left = left.withColumnsRenamed({c: f"{c}_p" for c in ("_id", *axes, *values)})
+    both = left.join(own.withColumnsRenamed({c: f"{c}_q" for c in ("_id", *axes, *values)}), [f"_{a}" for a in axes])
+    both = both.where((F.col("_id_p") < F.col("_id_q")) | (~F.col("_same") & (F.col("_id_p") != F.col("_id_q"))))
+    first = F.col("_id_p") < F.col("_id_q")
+    both = both.withColumns({f"d_{a}": F.when(first, F.col(f"{a}_q") - F.col(f"{a}_p")).otherwise(F.col(f"{a}_p") - F.col(f"{a}_q")) for a in axes})
     distance = F.sqrt(reduce(lambda p, q: p + q, (F.col(f"d_{a}") * F.col(f"d_{a}") for a in axes)))
-    return both.withColumn("distance", distance).where(F.col("distance") <= radius).select("i", "j", *(f"d_{a}" for a in axes), "distance", *(f"{v}_{s}" for v in values for s in "ij"))
+    ends = [F.when(first, F.col(f"{c}_p")).otherwise(F.col(f"{c}_q")).alias(f"{n}i") for c, n in (("_id", ""), *((v, f"{v}_") for v in values))]
+    ends += [F.when(first, F.col(f"{c}_q")).otherwise(F.col(f"{c}_p")).alias(f"{n}j") for c, n in (("_id", ""), *((v, f"{v}_") for v in values))]
+    return both.withColumn("distance", distance).where(F.col("distance") <= radius).select(*ends, *(f"d_{a}" for a in axes), "distance")
 
 
 def reach_of(points: DataFrame, k: int, axes=AXES) -> float:

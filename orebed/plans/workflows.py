@@ -42,7 +42,7 @@ def _shells(spark, sf_dir):
     return V.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("shell")).agg((F.sum("s_suppkey") * 100).cast("double").alias("tonnes"), F.sum("s_acctbal").alias("value"))
 
 
-@query(f"WITH RECURSIVE {_SHELLS}, k AS (SELECT *, row_number() OVER (ORDER BY value / tonnes DESC, shell) AS k, sum(tonnes) OVER () / 4 AS most FROM shells), g AS (SELECT k, shell, 1 AS p, tonnes AS used, tonnes, value FROM k WHERE k = 1 UNION ALL SELECT k.k, k.shell, CASE WHEN g.used >= most AND p < 4 THEN p + 1 ELSE p END, CASE WHEN g.used >= most AND p < 4 THEN 0 ELSE g.used END + k.tonnes, k.tonnes, k.value FROM g JOIN k ON k.k = g.k + 1) SELECT p AS pushback, count(*) AS shells, {r('sum(tonnes)', 'tonnes')}, {r('sum(value)', 'value')} FROM g GROUP BY 1")
+@query(f"WITH RECURSIVE {_SHELLS}, k AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN tonnes > 0 THEN value / tonnes ELSE 0 END DESC, shell) AS k, sum(tonnes) OVER () / 4 AS most FROM shells), g AS (SELECT k, shell, 1 AS p, tonnes AS used, tonnes, value FROM k WHERE k = 1 UNION ALL SELECT k.k, k.shell, CASE WHEN g.used >= most AND p < 4 THEN p + 1 ELSE p END, CASE WHEN g.used >= most AND p < 4 THEN 0 ELSE g.used END + k.tonnes, k.tonnes, k.value FROM g JOIN k ON k.k = g.k + 1) SELECT p AS pushback, count(*) AS shells, {r('sum(tonnes)', 'tonnes')}, {r('sum(value)', 'value')} FROM g GROUP BY 1")
 def pushbacks_by_value(spark, sf_dir):
     shells = _shells(spark, sf_dir)
     return rounded(planning.pushback_totals(shells, planning.pushbacks_by_value(shells, 4)))
