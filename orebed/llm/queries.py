@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the corpus operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, toxicity
+from . import crosspolytope, elkan, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +52,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(_table(spark, sf_dir, "documents"))
 
 
+def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.elkan_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that do not depend on the forest."""
     rows = quality_rules.judge(_table(spark, sf_dir, "documents"), None)
     return rows.select("doc_id", *quality_rules.COUNTS, "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (rule_counts, op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (rule_counts, op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash, op11_elkan_clusters)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op5_crosspolytope": crosspolytope.SQL, "op7_mixing": mixing.SQL, "rule_counts": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op5_crosspolytope": crosspolytope.SQL, "op7_mixing": mixing.SQL, "rule_counts": quality_rules.SQL, "op11_elkan_clusters": elkan.SQL}
