@@ -32,3 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shards(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def removed(df: DataFrame) -> None:
+    """Remove a table that :func:`written` made and nothing will read again."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    own = [p for p in paths if p.rstrip("/").rsplit("/", 1)[0].removeprefix("file:").lstrip("/") == folder.removeprefix("file:").lstrip("/")]
+    for p in own:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
