@@ -26,3 +26,18 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, per_class: int
         part = ids.where(F.col("label") == y).orderBy("turn", "doc_id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
     return documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+
+
+def crc32_table() -> list[int]:
+    """The 256 steps of the reflected polynomial 0xEDB88320."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned crc32 of the UTF-8 bytes of a text."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    step = f"xor(c >> 8, ({crc32_table()})[(xor(c, b) & 255) + 1])"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {step}))::BIGINT"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, elkan, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, toxicity
+from . import crosspolytope, elkan, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, spelling, suffix_dedup, toxicity, virtual_slots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +56,21 @@ def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.elkan_clusters(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual_slots.placed(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that do not depend on the forest."""
     rows = quality_rules.judge(_table(spark, sf_dir, "documents"), None)
     return rows.select("doc_id", *quality_rules.COUNTS, "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (rule_counts, op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash, op11_elkan_clusters)}
+QUERIES = {f.__name__: f for f in (rule_counts, op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash, op11_elkan_clusters, op12_virtual_slots, op13_spelling_variants)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op5_crosspolytope": crosspolytope.SQL, "op7_mixing": mixing.SQL, "rule_counts": quality_rules.SQL, "op11_elkan_clusters": elkan.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op5_crosspolytope": crosspolytope.SQL, "op7_mixing": mixing.SQL, "rule_counts": quality_rules.SQL, "op11_elkan_clusters": elkan.SQL, "op12_virtual_slots": virtual_slots.SQL, "op13_spelling_variants": spelling.SQL}
