@@ -70,11 +70,11 @@ def word_counts(documents: DataFrame, least_length: int = LEAST_LENGTH, least_co
         for batch in batches:
             ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
             for i, text in zip(ids, texts):
-                found = Counter(pattern.findall((text.as_py() or "").translate(_LOWER)))
+                found = Counter(pattern.findall(text.as_py() or ""))
                 state = zlib.crc32(f"{'' if i.as_py() is None else i.as_py()}:".encode())
                 for word, n in found.items():
                     if len(word) >= least_length:  # a deletion only shortens
-                        counts[_noisy(word, state, every)] += n
+                        counts[_noisy(word.lower() if word.isascii() else word.translate(_LOWER), state, every)] += n
                 if len(counts) > HELD:
                     yield out(counts)
                     counts = Counter()
