@@ -1,12 +1,14 @@
 """Neighbour searches without a tree: points are bucketed in grid cells.
 
 A radius search looks into the cells around a target, joined on the cell, which
-is exact.  A k-nearest search brings the targets of a cell together with the
-points of the cells around it and picks the k nearest there, many targets at a
-time; it widens the radius for the targets that have not found k points within
-it yet, so the k-th neighbour is proven, and each widening works on the
-remaining targets only.  A cell's targets are dealt to groups of bounded size,
-and a cell with very many points around it is joined instead, row by row.
+is exact.  A k-nearest search brings the targets of a cube of cells together with
+the points of the cube and of the cells around it, and looks through the cells
+there with numpy, many targets at a time; the cube is as large as it takes for a
+group to have some thousand targets.  It widens the radius for the targets that
+have not found k points within it yet, so the k-th neighbour is proven, and each
+widening works on the remaining targets only.  A cube's targets are dealt to
+groups of bounded size; a cube with very many points around it is taken cell by
+cell, and such a cell is joined instead, row by row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stored import written
+from .stored import shards, written
 
 AXES = ("x", "y", "z")
 
@@ -70,19 +72,18 @@ def pairs(points: DataFrame, radius: float, point_id: str, values: list[str] = (
     return both.withColumn("distance", distance).where(F.col("distance") <= radius).select(*ends, *(f"d_{a}" for a in axes), "distance")
 
 
-def reach_of(points: DataFrame, k: int, axes=AXES) -> float:
-    """A radius that holds about 2 k of the points where they are spread evenly over their extent."""
-    row = points.agg(F.count(F.lit(1)), *(F.max(a) - F.min(a) for a in axes)).first()
-    sides = [float(v) for v in row[1:] if v]
-    if not row[0] or not sides:
+def reach_of(box: tuple, k: int) -> float:
+    """A radius that holds about 2 k of the rows where they are spread evenly over their box (their number, then its sides)."""
+    sides = [v for v in box[1:] if v]
+    if not box[0] or not sides:
         return 1.0
     volume = reduce(lambda p, q: p * q, sides)
     unit_ball = {1: 2.0, 2: 3.14159, 3: 4.18879}[len(sides)]
-    return max((2 * k * volume / row[0] / unit_ball) ** (1 / len(sides)), 1e-6)
+    return max((2 * k * volume / box[0] / unit_ball) ** (1 / len(sides)), 1e-6)
 
 
-#: Targets of a group, and points around a cell from which on they are joined and not brought together.
-GROUP_TARGETS, DENSE = 4096, 50_000
+#: Targets that a group should have, points around it from which on it is taken cell by cell (and a cell row by row), and cells of a group along an axis at most.
+GROUP_TARGETS, DENSE, WIDEST = 4096, 50_000, 1024
 
 
 def k_smallest(targets: np.ndarray, points: np.ndarray, k: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +112,68 @@ def k_smallest(targets: np.ndarray, points: np.ndarray, k: int, radius: float) -
     return at, far, found
 
 
+def k_nearest(targets: np.ndarray, target_cells: np.ndarray, points: np.ndarray, point_cells: np.ndarray, k: int, radius: float, pairs: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`k_smallest`, looking only into the cells (of side ``radius``) around each target; about ``pairs`` candidates at a time."""
+    m, take = len(targets), min(k, len(points))
+    at, far, found = np.zeros((m, take), np.int64), np.full((m, take), np.inf), np.zeros(m, np.int64)
+    if not take or not m:
+        return at, far, found
+    base = np.minimum(target_cells.min(0), point_cells.min(0)) - 1
+    spans = np.maximum(target_cells.max(0), point_cells.max(0)) - base + 2
+    name = lambda cells: np.ravel_multi_index(tuple((cells - base).T), spans)
+    keys = name(point_cells)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    # Cells that differ in the last axis only are neighbours in the order: a target's cells are a few runs.
+    d = target_cells.shape[1]
+    aside = np.array(list(product((-1, 0, 1), repeat=d - 1)), np.int64).reshape(3 ** (d - 1), d - 1)
+    beside = np.concatenate([aside, np.zeros((len(aside), 1), np.int64)], 1)
+    middle = name((target_cells[:, None] + beside[None]).reshape(-1, d)).reshape(m, -1)
+    low, high = np.searchsorted(keys, middle - 1), np.searchsorted(keys, middle + 1, side="right")
+    # Where many targets share a cell its points are gathered once, else a target's candidates are listed one by one.
+    home = np.argsort(middle[:, 0], kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(middle[home, 0]) != 0]))
+    many = np.diff(np.append(starts, m)) >= SHARING
+    for s, e in zip(starts[many], np.append(starts, m)[1:][many]):
+        some = home[s:e]
+        place = np.sort(np.concatenate([order[x:y] for x, y in zip(low[some[0]], high[some[0]])]))
+        pick, far_, found[some] = k_smallest(targets[some], points[place], k, radius)
+        if pick.shape[1]:
+            at[some, : pick.shape[1]], far[some, : pick.shape[1]] = place[pick], far_
+    alone = np.sort(np.concatenate([home[s:e] for s, e in zip(starts[~many], np.append(starts, m)[1:][~many])])) if (~many).any() else home[:0]
+    at[alone], far[alone], found[alone] = _listed(targets[alone], points, order, low[alone], high[alone], take, radius, pairs)
+    return at, far, found
+
+
+#: Targets of a cell from which on its candidates are compared as one matrix.
+SHARING = 24
+
+
+def _listed(targets: np.ndarray, points: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, take: int, radius: float, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`k_smallest`, of candidates order[low:high] of each target (several runs a target)."""
+    m = len(targets)
+    at, far, found = np.zeros((m, take), np.int64), np.full((m, take), np.inf), np.zeros(m, np.int64)
+    upto = np.cumsum((high - low).sum(1))
+    a = 0
+    while a < m:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + pairs, side="right")))
+        n = (high[a:b] - low[a:b]).ravel()
+        place = order[np.repeat(low[a:b].ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        who = np.repeat(np.repeat(np.arange(b - a), low.shape[1]), n)
+        off = targets[a:b][who] - points[place]
+        distance = np.sqrt(np.einsum("ij,ij->i", off, off))
+        near = np.flatnonzero(distance <= radius)
+        near = near[np.lexsort((place[near], distance[near], who[near]))]
+        who = who[near]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        first = rank < take
+        near, who, rank = near[first], who[first], rank[first]
+        at[a + who, rank], far[a + who, rank] = place[near], distance[near]
+        found[a:b] = np.bincount(who, minlength=b - a)
+        a = b
+    return at, far, found
+
+
 def searched(targets: DataFrame, points: DataFrame, k: int, start_radius: float | None, target_id: str, point_id: str, values: list[str], emit: Callable, schema: str, max_radius: float | None = None, rounds: int = 12, axes=AXES) -> DataFrame:
     """The rows that ``emit`` makes of targets and their k nearest points.
 
@@ -126,11 +189,13 @@ def searched(targets: DataFrame, points: DataFrame, k: int, start_radius: float
     """
     left = targets.select(F.col(target_id).alias("target"), *(F.col(a).cast("double").alias(a) for a in axes))
     own = points.select(F.col(point_id).alias("point"), *(F.col(a).cast("double").alias(a) for a in axes), *values)
-    radius, limit, step, out = start_radius or reach_of(points, k, axes), max_radius, 0, []
+    box = _Box.of(own, axes)
+    radius, limit, step, out = start_radius or reach_of(box, k), max_radius, 0, []
     while True:
         radius = radius if limit is None else min(radius, limit)
         last = limit is not None and radius >= limit
-        hits = _gathered(left, own, k, radius, values, emit, schema, last, axes)
+        side = _side(_Box.of(left, axes), box, radius, shards(left.sparkSession))
+        hits = _gathered(left, own, k, radius, values, emit, schema, last, axes, side)
         if last:
             out.append(hits.where("not _open").drop("_open", "_target"))
             break
@@ -146,21 +211,51 @@ def searched(targets: DataFrame, points: DataFrame, k: int, start_radius: float
     return reduce(DataFrame.unionByName, out)
 
 
-def _gathered(left: DataFrame, points: DataFrame, k: int, radius: float, values: list[str], emit: Callable, schema: str, last: bool, axes) -> DataFrame:
-    """The rows that ``emit`` makes of the targets that have k points within ``radius`` (all targets in the last round), and a row with _open and _target for each other target."""
-    cells = [f"_{a}" for a in axes]
-    rows, around = _cells(left, radius, axes), _around(points, radius, axes)
-    sizes = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("_m")).join(around.groupBy(*cells).agg(F.count(F.lit(1)).alias("_s")), cells, "left")
-    parts = sizes.select(*cells, F.ceil(F.col("_m") / GROUP_TARGETS).cast("int").alias("_parts"), (F.coalesce("_s", F.lit(0)) > DENSE).alias("_dense"))
-    rows = rows.join(parts, cells)
+class _Box(tuple):
+    """Number of rows and sides of the box around the finite ones."""
+
+    @classmethod
+    def of(cls, rows: DataFrame, axes) -> "_Box":
+        finite = [F.when(F.abs(F.col(a)) < float("inf"), F.col(a)) for a in axes]
+        n, *sides = rows.agg(F.count(F.lit(1)), *(F.max(a) - F.min(a) for a in finite)).first()
+        return cls((n, *(float(v or 0) for v in sides)))
+
+    def a_cell(self, size: float) -> float:
+        """Rows of a cell of the size, on average over the box."""
+        return self[0] / reduce(lambda p, q: p * q, (v / size + 1 for v in self[1:]))
+
+
+def _side(targets: _Box, points: _Box, radius: float, n: int) -> int:
+    """Cells along a group's axis, for groups of some thousand targets, as far as the points around them stay few on average."""
+    axes = len(targets) - 1
+    aim = min(GROUP_TARGETS, max(1024, targets[0] // (2 * n)))
+    wanted = (aim / max(targets.a_cell(radius), 1e-9)) ** (1 / axes)
+    most = (DENSE / 4 / max(points.a_cell(radius), 1e-9)) ** (1 / axes) - 2
+    return int(max(1, min(wanted, most, WIDEST)))
+
+
+def _gathered(left: DataFrame, points: DataFrame, k: int, radius: float, values: list[str], emit: Callable, schema: str, last: bool, axes, side: int) -> DataFrame:
+    """The rows that ``emit`` makes of the targets that have k points within ``radius`` (all targets in the last round), and a row with _open and _target for each other target.
+
+    Targets are grouped by cubes of ``side`` cells of the radius, which bring
+    their points and those of the cells around them once; a cube of too many
+    targets is dealt to several groups, one with too many points is taken apart.
+    """
+    cells, cubes = [f"_{a}" for a in axes], [f"_c{a}" for a in axes]
+    rows, own = _cells(left, radius, axes), _cells(points, radius, axes)
+    rows = rows.withColumns({c: F.floor(F.col(a) / side).cast("long") for c, a in zip(cubes, cells)})
+    around = own
+    for c, a in zip(cubes, cells):
+        around = around.withColumn(c, F.explode(F.array_distinct(F.array(*(F.floor((F.col(a) + i) / side).cast("long") for i in (-1, 0, 1))))))
+    sizes = rows.groupBy(*cubes).agg(F.count(F.lit(1)).alias("_m")).join(around.groupBy(*cubes).agg(F.count(F.lit(1)).alias("_s")), cubes, "left")
+    parts = written(sizes.select(*cubes, F.ceil(F.col("_m") / GROUP_TARGETS).cast("int").alias("_parts"), (F.coalesce("_s", F.lit(0)) > DENSE).alias("_dense")), "parts")
+    rows = rows.join(parts, cubes)
     dense, rows = rows.where("_dense"), rows.where("not _dense").withColumn("_part", F.pmod(F.xxhash64("target"), F.col("_parts")).cast("int"))
-    around = around.join(parts.where("not _dense").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_dense"), cells)
+    around = around.join(parts.where("not _dense").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_dense"), cubes)
     kind = left.schema["target"].dataType.simpleString()
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def answer(part: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        near = near.sort_values("point", ignore_index=True)
-        at, far, found = k_smallest(part[list(axes)].to_numpy(float), near[list(axes)].to_numpy(float), k, radius)
+    def answer(part: pd.DataFrame, near: pd.DataFrame, at: np.ndarray, far: np.ndarray, found: np.ndarray) -> pd.DataFrame:
         ready = np.ones(len(part), bool) if last else found == k
         done = emit(part[ready], near, at[ready], far[ready], found[ready])
         done = done.assign(_open=False, _target=None)
@@ -168,13 +263,18 @@ def _gathered(left: DataFrame, points: DataFrame, k: int, radius: float, values:
         return pd.concat([done, wait.reindex(columns=done.columns)] if len(wait) else [done], ignore_index=True)[[*names, "_open", "_target"]]
 
     def together(key, part: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        return answer(part, near) if len(part) else pd.DataFrame(columns=[*names, "_open", "_target"])
+        if not len(part):
+            return pd.DataFrame(columns=[*names, "_open", "_target"])
+        near = near.sort_values("point", ignore_index=True)
+        return answer(part, near, *k_nearest(part[list(axes)].to_numpy(float), part[cells].to_numpy(np.int64), near[list(axes)].to_numpy(float), near[cells].to_numpy(np.int64), k, radius))
 
     wide = f"{schema}, _open boolean, _target {kind}"
-    out = rows.select("target", *axes, *cells, "_part").groupBy(*cells, "_part").cogroup(around.select("point", *axes, *values, *cells, "_part").groupBy(*cells, "_part")).applyInPandas(together, wide)
-    if dense.isEmpty():
+    out = rows.select("target", *axes, *cells, *cubes, "_part").groupBy(*cubes, "_part").cogroup(around.select("point", *axes, *values, *cells, *cubes, "_part").groupBy(*cubes, "_part")).applyInPandas(together, wide)
+    if parts.where("_dense").isEmpty():
         return out
-    # So many points around: the k nearest by a join and a window, then each target by itself.
+    if side > 1:
+        return out.unionByName(_gathered(dense.select("target", *axes), points, k, radius, values, emit, schema, last, axes, 1))
+    # So many points around a cell: the k nearest by a join and a window, then each target by itself.
     order = Window.partitionBy("target").orderBy("distance", "point")
     wanted = dense.select("target", *axes)
     hits = within(wanted, points, radius, "target", "point", [*values, *axes], axes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -185,8 +285,8 @@ def _gathered(left: DataFrame, points: DataFrame, k: int, radius: float, values:
         for batch in batches:
             for i in range(len(batch)):
                 part, near = batch.iloc[[i]][["target", *axes]].reset_index(drop=True), batch["near"].iloc[i]
-                near = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in (near if near is not None else [])], columns=["distance", "point", *axes, *values])
-                yield answer(part, near.drop(columns="distance"))
+                near = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in (near if near is not None else [])], columns=["distance", "point", *axes, *values]).sort_values("point", ignore_index=True)
+                yield answer(part, near, *k_smallest(part[list(axes)].to_numpy(float), near[list(axes)].to_numpy(float), k, radius))
 
     return out.unionByName(listed.select("target", *axes, "near").mapInPandas(alone, wide))
 

@@ -35,6 +35,38 @@ def test_equal_distances_go_by_place():
     assert spatial.k_smallest(np.zeros((1, 3)), points, 5, 2.0)[2].tolist() == [4]
 
 
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_looking_into_cells_equals_looking_at_all(d, monkeypatch):
+    rng = np.random.default_rng(d)
+    points, targets = np.round(rng.uniform(0, 6, (400, d)), 1), np.round(rng.uniform(0, 6, (300, d)), 1)
+    cells = lambda x: np.floor(x / 0.9).astype(np.int64)
+    expected = spatial.k_smallest(targets, points, 7, 0.9)
+    for sharing in (1, 5, 10**6):
+        monkeypatch.setattr(spatial, "SHARING", sharing)
+        at, far, found = spatial.k_nearest(targets, cells(targets), points, cells(points), 7, 0.9, pairs=500)
+        assert (found == expected[2]).all()
+        for t in range(300):
+            assert at[t, : found[t]].tolist() == expected[0][t, : found[t]].tolist()
+            assert far[t, : found[t]].tolist() == expected[1][t, : found[t]].tolist()
+
+
+def test_groups_are_few(spark):
+    """One Python call for about a thousand targets, however small the cells: by their number, not by the radius."""
+    targets, _ = _cloud(spark, 20000, 4)
+    points, _ = _cloud(spark, 20000, 5)
+    calls = spark.sparkContext.accumulator(0)
+    far = spark.sparkContext.accumulator(0)
+
+    def emit(part, near, at, distance, found):
+        calls.add(1)
+        far.add(len(near))
+        return part[["target"]].assign(n=found)
+
+    out = spatial.searched(targets, points, 4, 3.5, "id", "id", [], emit, "target long, n long", 3.5)
+    assert out.count() == 20000
+    assert 2 <= calls.value <= 20000 / 1000 * 2 and far.value < 20000 * 8
+
+
 def test_running_sums_ranks_and_quantiles(spark):
     rng = np.random.default_rng(5)
     values = [None if i % 11 == 0 else float(v) for i, v in enumerate(np.round(rng.normal(size=500), 1))]
