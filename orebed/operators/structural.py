@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .stored import written
 
 
 def rose(df: DataFrame, direction: Column, bins: int, is_axial: bool = False, weight: Column | None = None) -> DataFrame:
@@ -97,3 +99,93 @@ def stratigraphy(contacts: DataFrame, ranks: DataFrame, allowed: int = 0) -> Dat
     rows = contacts.join(ranks, "unit").withColumn("_next", F.lead("rank").over(order))
     out = rows.groupBy("hole_id").agg(F.count(F.when(F.col("_next") < F.col("rank"), 1)).alias("inversions"))
     return out.withColumn("severity", F.when(F.col("inversions") > allowed, "ERROR").when(F.col("inversions") > 0, "WARNING").otherwise("OK"))
+
+
+_PRODUCTS = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+def _axes(df: DataFrame, row_id: str, columns: tuple[str, str, str]) -> DataFrame:
+    """row_id and unit vectors ax, ay, az; rows without a direction are left out."""
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0)))
+    rows = df.select(row_id, *(F.col(c).cast("double").alias(c) for c in columns)).withColumn("_l", length).where((F.col("_l") > 1e-12) & (F.col("_l") < float("inf")))
+    return rows.select(row_id, *((F.col(c) / F.col("_l")).alias(f"a{k}") for c, k in zip(columns, "xyz")))
+
+
+def _orientation_sums(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of the products of the components: the orientation matrix of each group; a row's sign does not matter."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"a{'xyz'[i]}") * F.col(f"a{'xyz'[j]}")).alias(f"s{i}{j}") for i, j in _PRODUCTS))
+
+
+def _leading(row) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (largest first) and the leading eigenvector, pointing down, of a row of sums."""
+    m = np.zeros((3, 3))
+    for i, j in _PRODUCTS:
+        m[i, j] = m[j, i] = row[f"s{i}{j}"]
+    values, vectors = np.linalg.eigh(m)
+    v = vectors[:, 2]
+    return values[::-1], (-v if (v[2], v[1], v[0]) > (0, 0, 0) else v)
+
+
+def axial_clusters(df: DataFrame, row_id: str, columns: tuple[str, str, str], k: int, rounds: int = 20) -> tuple[DataFrame, list[np.ndarray]]:
+    """row_id, cluster and angle (degrees to the centre) of every axis, and the centres: k-means of axes, whose sign means nothing.
+
+    An axis belongs to the centre of largest absolute cosine (of equals the
+    first); a centre is the leading eigenvector of its axes' orientation matrix,
+    so a round is one aggregation of six sums a cluster.  Centres start at the
+    axis of the smallest id and then, one by one, at the axis furthest from all
+    before.  Rounds end when no centre moves.  Null and zero vectors are left
+    out; fewer axes than k give fewer centres.
+    """
+    rows = written(_axes(df, row_id, columns), "axes")
+    cosine = lambda c: F.abs(sum((F.col(f"a{x}") * float(v) for x, v in zip("xyz", c)), F.lit(0.0)))
+    first = rows.orderBy(row_id, "ax", "ay", "az").first()
+    if first is None:
+        return rows.select(row_id, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("angle")), []
+    centres = [np.array(first[1:])]
+    while len(centres) < k:
+        near = F.array_max(F.array(*map(cosine, centres)))
+        far = rows.agg(F.min(F.struct(F.round(near, 12).alias("near"), row_id, "ax", "ay", "az"))).first()[0]
+        if far["near"] > 1 - 1e-9:
+            break
+        centres.append(np.array([far["ax"], far["ay"], far["az"]]))
+
+    def assigned() -> DataFrame:
+        near = F.transform(F.array(*map(cosine, centres)), lambda c: F.round(c, 12))
+        return rows.withColumn("_near", near).withColumn("cluster", F.array_position("_near", F.array_max("_near")).cast("int") - 1)
+
+    for _ in range(rounds):
+        moved = 0.0
+        for r in _orientation_sums(assigned(), ["cluster"]).collect():  # a row a centre
+            new = _leading(r)[1]
+            moved = max(moved, 1 - abs(float(new @ centres[r["cluster"]])))
+            centres[r["cluster"]] = new
+        if moved < 1e-14:
+            break
+    found = assigned()
+    return found.select(row_id, "cluster", F.degrees(F.acos(F.least(F.array_max(F.array(*map(cosine, centres))), F.lit(1.0)))).alias("angle")), centres
+
+
+def axial_density_clusters(df: DataFrame, row_id: str, columns: tuple[str, str, str], angle: float, least: int) -> DataFrame:
+    """row_id and cluster (least id of its axes; -1: noise) of axes that have ``least`` axes within ``angle`` degrees, themselves included, and of those around them.
+
+    Each axis stands on the sphere twice, at both its ends, and is clustered
+    there in cells of the chord of the angle; the two images of a cluster count
+    as one.  The angle is below 90 degrees; ids are integers.
+    """
+    from .clustering import density_clusters
+
+    rows = _axes(df, row_id, columns)
+    ends = rows.select((F.col(row_id) * 2).alias("_end"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z")).unionByName(rows.select((F.col(row_id) * 2 + 1).alias("_end"), (-F.col("ax")).alias("x"), (-F.col("ay")).alias("y"), (-F.col("az")).alias("z")))
+    found = density_clusters(ends, "_end", 2 * math.sin(math.radians(angle) / 2), least)
+    return found.groupBy(F.floor(F.col("_end") / 2).cast("long").alias(row_id)).agg(F.floor(F.min("cluster") / 2).cast("long").alias("cluster"))
+
+
+def axial_sets(df: DataFrame, row_id: str, columns: tuple[str, str, str], clusters: DataFrame) -> list[dict]:
+    """For every cluster (sets are few): number of axes, mean axis, its dip and dip direction as a plane's pole, the eigenvalues' shares and the mean resultant length about the axis."""
+    rows = _axes(df, row_id, columns).join(clusters.select(row_id, "cluster"), row_id)
+    out = []
+    for r in sorted(_orientation_sums(rows, ["cluster"]).collect(), key=lambda r: r["cluster"]):
+        values, axis = _leading(r)
+        dip = math.degrees(math.acos(min(1.0, abs(axis[2]))))
+        out.append({"cluster": r["cluster"], "n": r["n"], "x": float(axis[0]), "y": float(axis[1]), "z": float(axis[2]), "dip": dip, "dip_direction": math.degrees(math.atan2(-axis[0], -axis[1])) % 360, **{f"share{i + 1}": float(v / r["n"]) for i, v in enumerate(values)}, "woodcock": math.log(max(values[0], 1e-300) / max(values[1], 1e-300)) / max(math.log(max(values[1], 1e-300) / max(values[2], 1e-300)), 1e-12) if values[2] > 1e-12 * r["n"] else None})
+    return out

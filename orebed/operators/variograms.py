@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +100,63 @@ def fitted(curve: DataFrame, model: str = "spherical", ranges: int = 60) -> dict
         if best is None or error < best[0]:
             best = (error, nugget, sill, r)
     return {"nugget": best[1], "sill": best[2], "range": best[3]}
+
+
+def _least(moments: np.ndarray, right: np.ndarray, square: float) -> tuple[float, np.ndarray]:
+    """Least weighted squares with no negative coefficient: the error and the coefficients of the best of all sets of columns that come out positive."""
+    best, n = (square, np.zeros(len(right))), len(right)
+    for size in range(1, n + 1):
+        for some in combinations(range(n), size):
+            own = moments[np.ix_(some, some)]
+            if np.linalg.det(own) <= 1e-10 * np.prod(np.diag(own)):
+                continue
+            found = np.linalg.solve(own, right[list(some)])
+            error = square - right[list(some)] @ found
+            if (found >= 0).all() and error < best[0] - 1e-9 * abs(square):
+                full = np.zeros(n)
+                full[list(some)] = found
+                best = (error, full)
+    return best
+
+
+def nested_ranges(longest: float, tries: int) -> list[float]:
+    """The grid of ranges: equal steps to one and a half times the longest lag."""
+    return [1.5 * longest * (k + 1) / tries for k in range(tries)]
+
+
+def fitted_nested(curve: DataFrame, models: tuple[str, ...] = ("spherical", "spherical"), tries: int = 12, nugget: float | None = None) -> list[dict]:
+    """A nugget and one structure a model, the ranges increasing: dictionaries of structure (0: the nugget), model, range and sill.
+
+    Weighted (by pairs) least squares of the experimental curve: ranges on a
+    grid, and for each combination of ranges the non-negative sills in closed
+    form.  The moments of all combinations come from one aggregation of the curve
+    (columns distance, gamma, pairs); what is compared on the driver are
+    (models * tries) squared numbers, however long the curve is.  Errors that
+    agree to 1e-9 of the whole count as equal; the smaller ranges win then.  A
+    given ``nugget`` is held; fewer lags than coefficients leave sills at 0; an
+    empty curve gives an empty list.
+    """
+    from ..functions.variogram import MODELS
+
+    rows = curve.where(F.col("distance").isNotNull() & F.col("gamma").isNotNull() & (F.col("pairs") > 0))
+    longest = rows.agg(F.max("distance")).first()[0]
+    if not longest:
+        return []
+    ranges = nested_ranges(float(longest), tries)
+    columns = [F.lit(1.0), *(MODELS[m](F.col("distance"), a, 1.0) for m in models for a in ranges)]
+    w, g = F.col("pairs").cast("double"), F.col("gamma") - (nugget or 0.0)
+    wide = rows.select(w.alias("w"), g.alias("g"), *(c.alias(f"c{i}") for i, c in enumerate(columns)))
+    n = len(columns)
+    pairs_ = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = wide.agg(F.sum(F.col("w") * F.col("g") * F.col("g")), *(F.sum(F.col("w") * F.col("g") * F.col(f"c{i}")) for i in range(n)), *(F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs_)).first()
+    square, right, moments = sums[0], np.array(sums[1 : n + 1]), np.zeros((n, n))
+    for (i, j), v in zip(pairs_, sums[n + 1 :]):
+        moments[i, j] = moments[j, i] = v
+    best = None
+    for chosen in combinations(range(tries), len(models)):
+        at = [*([0] if nugget is None else []), *(1 + m * tries + a for m, a in enumerate(chosen))]
+        error, found = _least(moments[np.ix_(at, at)], right[at], square)
+        if best is None or error < best[0] - 1e-9 * square:
+            best = (error, found, chosen)
+    sills = [float(v) for v in best[1]] if nugget is None else [float(nugget), *map(float, best[1])]
+    return [{"structure": 0, "model": "nugget", "range": 0.0, "sill": sills[0]}, *({"structure": k + 1, "model": m, "range": ranges[a], "sill": s} for k, (m, a, s) in enumerate(zip(models, best[2], sills[1:])))]
