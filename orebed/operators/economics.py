@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import economics as E
-from .running import running
+from .running import quantiles, running
+from .stored import written
 
 
 def net_present_value(schedule: DataFrame, blocks: DataFrame, value: str, rate: float, block: str = "block_id", period: str = "period") -> DataFrame:
@@ -132,3 +133,21 @@ def emissions(activity: DataFrame, factors: DataFrame) -> DataFrame:
     """CO2e of each row of (period, kind, amount) by the kind's factor (0 without one), with the period's total."""
     rows = activity.join(factors, "kind", "left").withColumn("co2e", F.col("amount") * F.coalesce("factor", F.lit(0.0)))
     return rows.groupBy("period").agg(F.sum("co2e").alias("co2e"))
+
+
+def risk_adjusted_rate(flows: DataFrame, scenario: str, period: str, flow: str, alpha: float = 0.8) -> DataFrame:
+    """One row: the rate of return that a share ``alpha`` of the scenarios reaches, and what the scenarios are like.
+
+    rate (the 1 - alpha quantile of their internal rates), scenarios, valid (those
+    with a rate: others keep their sign or lose money at every rate, and count as
+    not reaching any), mean_rate, deviation, reached (share of all scenarios whose
+    rate is at least that), more_rates (scenarios whose flows change sign more
+    than once, whose rate is one of several), mean_npv10, least_npv10.  A
+    scenario's flows are as many as it has periods; everything else is aggregated.
+    """
+    rows = written(rates_of_return(flows, scenario, period, flow), "rates")
+    found = quantiles(rows, "irr", {"rate": 1.0 - alpha})
+    sums = rows.agg(F.count(F.lit(1)).alias("scenarios"), F.count("irr").alias("valid"), F.avg("irr").alias("mean_rate"), F.stddev_pop("irr").alias("deviation"), F.count(F.when(F.col("sign_changes") > 1, 1)).alias("more_rates"), F.avg("npv10").alias("mean_npv10"), F.min("npv10").alias("least_npv10"))
+    both = sums.crossJoin(F.broadcast(found))
+    reached = rows.crossJoin(F.broadcast(found)).agg(F.avg(F.when(F.col("irr") >= F.col("rate"), 1.0).otherwise(0.0)).alias("reached"))
+    return both.crossJoin(F.broadcast(reached)).select("rate", "scenarios", "valid", "mean_rate", "deviation", "reached", "more_rates", "mean_npv10", "least_npv10")

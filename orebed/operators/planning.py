@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import ranked, running
+from .stored import written
 
 
 def phased_schedule(schedule: DataFrame, blocks: DataFrame, share: float = 0.75) -> DataFrame:
@@ -212,3 +213,51 @@ def allocated_hours(routes: DataFrame, total: float) -> DataFrame:
     """Truck hours by need, the largest first, until the fleet's hours are used up; the running sum is two-level."""
     rows = running(routes, [F.desc("required"), "route"], "required", "_before")
     return rows.withColumn("allocated", F.greatest(F.least(F.col("required"), F.lit(float(total)) - F.col("_before")), F.lit(0.0))).drop("_before")
+
+
+def waves(tasks: DataFrame, links: DataFrame, task: str = "task", before: str = "before", most: int = 10_000) -> DataFrame:
+    """The tasks with their wave: 0 without predecessors, else one more than the latest of them; null on or behind a cycle.
+
+    A wave is one join of what is open with the links of what the last wave
+    closed; the rounds are the longest chain, and end when nothing opens.  Links
+    of unknown tasks do not count.
+    """
+    known = tasks.select(task).distinct()
+    links = links.select(task, before).where(f"{task} is not null").distinct().join(known, task, "left_semi").join(known.withColumnRenamed(task, before), before, "left_semi")
+    links = written(links, "links")
+    waiting = written(known.join(links.groupBy(task).agg(F.count(F.lit(1)).alias("_open")), task, "left").fillna(0, ["_open"]), "waiting")
+    done = None
+    for wave in range(most):
+        ready = written(waiting.where("_open = 0").select(task, F.lit(wave).alias("wave")), "wave")
+        if ready.isEmpty():
+            break
+        done = ready if done is None else done.unionByName(ready)
+        closed = links.join(ready.select(F.col(task).alias(before)), before, "left_semi").groupBy(task).agg(F.count(F.lit(1)).alias("_closed"))
+        left = waiting.where("_open > 0").join(closed, task, "left")
+        waiting = written(left.select(task, (F.col("_open") - F.coalesce("_closed", F.lit(0))).alias("_open")), "waiting")
+    return tasks.join(done, task, "left") if done is not None else tasks.withColumn("wave", F.lit(None).cast("int"))
+
+
+def development_schedule(tasks: DataFrame, links: DataFrame, rate: float, periods: int, task: str = "task", length: str = "length") -> DataFrame:
+    """The tasks with wave, turn (their place in the order, from 1) and period (from 1; null: not reached).
+
+    Tasks go in the order of their wave, then their id; those on or behind a
+    cycle come last, ignoring their predecessors.  A task that does not fit what a
+    period has left of its ``rate`` of metres opens the next, also one longer than
+    the rate.  The periods, which are few, are closed one after the other by a
+    lookup in the running sum of lengths; the rows never meet in a task.
+    """
+    rows = waves(tasks, links, task).withColumn("_wave", F.coalesce("wave", F.lit(2**31 - 1)))
+    order = ["_wave", task]
+    rows = running(rows, order, F.coalesce(F.col(length).cast("double"), F.lit(0.0)), "_before")
+    rows = written(ranked(rows, order, "turn").withColumn("_to", F.col("_before") + F.coalesce(F.col(length).cast("double"), F.lit(0.0))), "development")
+    starts, base, turn = [], 0.0, 0
+    for _ in range(periods + 1):
+        # The first task after the last start that ends beyond the period's metres; a start itself always belongs to its period.
+        first = rows.where((F.col("turn") > turn) & (F.col("_to") > base + rate * (1 + 1e-12))).agg(F.min(F.struct("turn", "_before"))).first()[0]
+        if first is None:
+            break
+        turn, base = first["turn"], first["_before"]
+        starts.append(turn)
+    period = F.lit(1) + sum((F.when(F.col("turn") >= s, 1).otherwise(0) for s in starts), F.lit(0))
+    return rows.withColumn("period", F.when(period <= periods, period)).drop("_wave", "_before", "_to")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +104,15 @@ def fitted(curve: DataFrame, model: str = "spherical", ranges: int = 60) -> dict
     return {"nugget": best[1], "sill": best[2], "range": best[3]}
 
 
+#: Models of sill 1 by distance over range.
+SHAPES = {
+    "spherical": lambda r: np.where(r < 1, 1.5 * r - 0.5 * r**3, 1.0),
+    "exponential": lambda r: 1 - np.exp(-3 * r),
+    "gaussian": lambda r: 1 - np.exp(-3 * r * r),
+    "linear": lambda r: np.minimum(r, 1.0),
+}
+
+
 def _least(moments: np.ndarray, right: np.ndarray, square: float) -> tuple[float, np.ndarray]:
     """Least weighted squares with no negative coefficient: the error and the coefficients of the best of all sets of columns that come out positive."""
     best, n = (square, np.zeros(len(right))), len(right)
@@ -136,22 +147,24 @@ def fitted_nested(curve: DataFrame, models: tuple[str, ...] = ("spherical", "sph
     given ``nugget`` is held; fewer lags than coefficients leave sills at 0; an
     empty curve gives an empty list.
     """
-    from ..functions.variogram import MODELS
-
     rows = curve.where(F.col("distance").isNotNull() & F.col("gamma").isNotNull() & (F.col("pairs") > 0))
     longest = rows.agg(F.max("distance")).first()[0]
     if not longest:
         return []
     ranges = nested_ranges(float(longest), tries)
-    columns = [F.lit(1.0), *(MODELS[m](F.col("distance"), a, 1.0) for m in models for a in ranges)]
-    w, g = F.col("pairs").cast("double"), F.col("gamma") - (nugget or 0.0)
-    wide = rows.select(w.alias("w"), g.alias("g"), *(c.alias(f"c{i}") for i, c in enumerate(columns)))
-    n = len(columns)
-    pairs_ = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = wide.agg(F.sum(F.col("w") * F.col("g") * F.col("g")), *(F.sum(F.col("w") * F.col("g") * F.col(f"c{i}")) for i in range(n)), *(F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs_)).first()
-    square, right, moments = sums[0], np.array(sums[1 : n + 1]), np.zeros((n, n))
-    for (i, j), v in zip(pairs_, sums[n + 1 :]):
-        moments[i, j] = moments[j, i] = v
+    held, n = nugget or 0.0, 1 + len(models) * tries
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            h, w, g = (part[c].to_numpy(float) for c in ("distance", "pairs", "gamma"))
+            columns = np.stack([g - held, np.ones(len(h)), *(SHAPES[m](h / a) for m in models for a in ranges)])
+            yield pd.DataFrame({"at": np.arange((n + 1) ** 2), "v": ((columns * w) @ columns.T).ravel()})
+
+    sums = np.zeros((n + 1) ** 2)
+    for r in rows.select("distance", "gamma", "pairs").mapInPandas(products, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        sums[r["at"]] = r["v"]
+    sums = sums.reshape(n + 1, n + 1)
+    square, right, moments = sums[0, 0], sums[0, 1:], sums[1:, 1:]
     best = None
     for chosen in combinations(range(tries), len(models)):
         at = [*([0] if nugget is None else []), *(1 + m * tries + a for m, a in enumerate(chosen))]
