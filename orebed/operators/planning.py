@@ -249,15 +249,15 @@ def development_schedule(tasks: DataFrame, links: DataFrame, rate: float, period
     """
     rows = waves(tasks, links, task).withColumn("_wave", F.coalesce("wave", F.lit(2**31 - 1)))
     order = ["_wave", task]
-    rows = running(rows, order, F.coalesce(F.col(length).cast("double"), F.lit(0.0)), "_before")
-    rows = written(ranked(rows, order, "turn").withColumn("_to", F.col("_before") + F.coalesce(F.col(length).cast("double"), F.lit(0.0))), "development")
+    rows = running(rows, order, F.coalesce(F.col(length).cast("double"), F.lit(0.0)), "_metres")
+    rows = written(ranked(rows, order, "turn").withColumn("_to", F.col("_metres") + F.coalesce(F.col(length).cast("double"), F.lit(0.0))), "development")
     starts, base, turn = [], 0.0, 0
     for _ in range(periods + 1):
         # The first task after the last start that ends beyond the period's metres; a start itself always belongs to its period.
-        first = rows.where((F.col("turn") > turn) & (F.col("_to") > base + rate * (1 + 1e-12))).agg(F.min(F.struct("turn", "_before"))).first()[0]
+        first = rows.where((F.col("turn") > turn) & (F.col("_to") > base + rate * (1 + 1e-12))).agg(F.min(F.struct("turn", "_metres"))).first()[0]
         if first is None:
             break
-        turn, base = first["turn"], first["_before"]
+        turn, base = first["turn"], first["_metres"]
         starts.append(turn)
     period = F.lit(1) + sum((F.when(F.col("turn") >= s, 1).otherwise(0) for s in starts), F.lit(0))
-    return rows.withColumn("period", F.when(period <= periods, period)).drop("_wave", "_before", "_to")
+    return rows.withColumn("period", F.when(period <= periods, period)).drop("_wave", "_metres", "_to")

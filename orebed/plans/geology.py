@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -261,7 +261,7 @@ def pattern_probabilities(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE tasks AS (SELECT p_partkey AS task, (p_size + 5)::DOUBLE AS length FROM part), links AS (SELECT task, task // 2 AS before FROM tasks WHERE task // 2 IN (SELECT task FROM tasks) UNION SELECT task, task // 3 FROM tasks WHERE task // 3 IN (SELECT task FROM tasks)),
+    """WITH RECURSIVE tasks AS (SELECT p_partkey + 1 AS task, (p_size + 5)::DOUBLE AS length FROM part), links AS (SELECT task, task // 2 AS before FROM tasks WHERE task // 2 IN (SELECT task FROM tasks) UNION SELECT task, task // 3 FROM tasks WHERE task // 3 IN (SELECT task FROM tasks)),
  w AS (SELECT task, 0 AS wave FROM tasks WHERE task NOT IN (SELECT task FROM links) UNION SELECT l.task, wave + 1 FROM w JOIN links l ON l.before = w.task), waves AS (SELECT task, max(wave) AS wave FROM w GROUP BY 1),
  o AS (SELECT task, length, wave, row_number() OVER (ORDER BY wave, task) AS turn FROM tasks JOIN waves USING (task)),
  f AS (SELECT 0::BIGINT AS turn, 1 AS period, 0::DOUBLE AS held UNION ALL SELECT o.turn, CASE WHEN held + length > 900 THEN period + 1 ELSE period END, CASE WHEN held + length > 900 THEN length ELSE held + length END FROM f JOIN o ON o.turn = f.turn + 1)
@@ -269,7 +269,7 @@ def pattern_probabilities(spark, sf_dir):
 )
 def development_schedule(spark, sf_dir):
     key = F.col("p_partkey")
-    tasks = V.table(spark, sf_dir, "part").select(key.alias("task"), (F.col("p_size") + 5).cast("double").alias("length"))
+    tasks = V.table(spark, sf_dir, "part").select((key + 1).alias("task"), (F.col("p_size") + 5).cast("double").alias("length"))
     links = tasks.select("task", F.floor(F.col("task") / 2).alias("before")).unionByName(tasks.select("task", F.floor(F.col("task") / 3).alias("before")))
     return planning.development_schedule(tasks, links, 900.0, 40).select("task", "length", "wave", "turn", F.col("period").cast("int").alias("period"))
 
