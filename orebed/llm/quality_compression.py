@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as T
@@ -86,20 +86,20 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
     return float(a), float(b)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, sample_chars: int = 8192):
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, train_bytes: int = 6 << 20):
     """(good dictionary, bad dictionary, slope, intercept).
 
     The sample is at most ``per_class`` rows of each class: those of the even
-    turns train the dictionaries (on the driver, at most per_class *
-    sample_chars characters), a text longer than ``sample_chars`` by pieces
-    spread evenly from its beginning to its end; whole texts of the odd ones
-    calibrate, of which only the measures reach the driver.
+    turns train the dictionaries (on the driver) with their whole texts, as many,
+    in the order of their turn, as have ``train_bytes`` bytes a class in all, a
+    longer one left out; whole texts of the odd ones calibrate, of which only the
+    measures reach the driver.
     """
     rows = labelled(documents, labels, label, per_class)
-    n = max(2, sample_chars // PIECE_BYTES)
-    spread = f"transform(sequence(0, {n - 1}), i -> substr(text, 1 + cast(floor(i * (length(text) - {PIECE_BYTES}) / {n - 1}) as int), {PIECE_BYTES}))"
-    text = F.expr(f"CASE WHEN length(text) > {n * PIECE_BYTES} THEN array_join({spread}, '') ELSE text END")
-    texts = rows.where("turn % 2 = 0").select("label", text.alias("text"), "turn", "doc_id").where("text is not null").toPandas().sort_values(["turn", "doc_id", "text"])
+    size = F.octet_length("text").cast("long")
+    train = rows.where((F.col("turn") % 2 == 0) & (size <= train_bytes))
+    upto = Window.partitionBy("label").orderBy("turn", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # over the sample's rows
+    texts = train.withColumn("upto", F.sum(size).over(upto)).where(F.col("upto") <= train_bytes).select("label", "text", "turn", "doc_id").toPandas().sort_values(["turn", "doc_id", "text"])
     good, bad = (dictionary([t.encode() for t in texts["text"][texts["label"] == y]]) for y in (1, 0))
     shares = {r["label"]: r["count"] for r in labels.where((fold() != 0) & F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("label")).count().collect()}
     share = shares.get(1, 0) / sum(shares.values()) if shares else 1.0
