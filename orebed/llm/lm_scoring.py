@@ -12,7 +12,8 @@ exact counts of its words; the replies meet at the chunk, where they make the
 levels of every token.
 
 The model mixes pair, word and uniform probabilities with weights fitted by
-leave-one-out expectation maximisation over all whole training texts: a token's
+leave-one-out expectation maximisation over all whole training texts, copies
+among them, as texts to be scored have copies there too: a token's
 three probabilities depend on three levels only, so the steps run on the number
 of tokens of each such triple, a table bounded by the levels and not by the
 texts.  Word shares are of the sum of what the levels of all words stand for, so
@@ -43,8 +44,6 @@ from .suffix_dedup import _groups, whole_buckets
 
 END = np.uint64(0x5851F42D4C957F2D)
 STEP, BITS_PER_ENTRY, PROBES = 1.5, 12, 6
-#: Training texts with this share of their pairs found elsewhere have copies in the corpus, and would teach the mixture to trust pairs; they are left out of it.
-COPIED = 0.9
 _KEY = np.uint64((1 << 48) - 1)
 #: Bytes of a key: words are counted exactly; pairs of equal bucket and 40 bits are far rarer than the filter's false positives.
 WIDTH = {"word": 6, "pair": 5}
@@ -308,10 +307,8 @@ def fit(levels: DataFrame, mass: float, kinds: int) -> list[float]:
         for batch in batches:
             for row in batch.to_pylist():
                 docs, doc, codes = _unpacked(row)
-                distinct, back = np.unique(codes, return_inverse=True)
-                seen = np.bincount(doc, (_shares(distinct, mass, kinds, 1)[:, 0] > 0)[back], len(docs)) / np.maximum(docs["tokens"], 1)
-                n = np.bincount(back[(docs["learnt"] & (seen < COPIED))[doc]], minlength=len(distinct))
-                yield pa.RecordBatch.from_pydict({"code": pa.array(distinct[n > 0], pa.int64()), "n": pa.array(n[n > 0], pa.int64())})
+                distinct, n = np.unique(codes[docs["learnt"][doc]], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"code": pa.array(distinct, pa.int64()), "n": pa.array(n, pa.int64())})
 
     found = levels.select("docs", "own", "pair").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
     return mixture(_shares(found["code"].to_numpy(np.int64), mass, kinds, 1), found["n"].to_numpy(float))
@@ -347,11 +344,8 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
     return scored(given.unionByName(learnt))
 
 
-def lm_scoring(documents: DataFrame, parts: int = 7, held: int = 2, hot_words: int | None = None) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that are not held out.
-
-    ``hot_words`` is of no effect: no word's count is sent to all workers any more.
-    """
+def lm_scoring(documents: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that are not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
     rows = scored(documents.select("doc_id", "text", F.lit(True).alias("scored"), (~held_out).alias("learnt")))
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

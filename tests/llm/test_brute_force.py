@@ -88,7 +88,7 @@ def test_suffixes_are_sorted():
 
 
 def test_language_model_counts(spark, docs, texts):
-    found = {r["doc_id"]: r for r in lm_scoring.lm_scoring(docs, hot_words=50).collect()}
+    found = {r["doc_id"]: r for r in lm_scoring.lm_scoring(docs).collect()}
     lower = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) + [None]
     count = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in lower(t))
     total, kinds = sum(count.values()), len(count)
