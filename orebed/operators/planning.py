@@ -50,17 +50,24 @@ def pushback_totals(shells: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def pushbacks_by_value(shells: DataFrame, count: int) -> DataFrame:
-    """Shells by value a tonne, the richest first; a pushback is closed once it holds 1 / ``count`` of all tonnes. Shells are few: the fold is over one array of them."""
-    rate = F.when(F.col("tonnes") > 0, F.col("value") / F.col("tonnes")).otherwise(0.0)
-    rows = shells.agg(F.array_sort(F.collect_list(F.struct((-rate).alias("k"), "shell", F.col("tonnes").cast("double").alias("t")))).alias("_all"), (F.sum("tonnes") / count).alias("_most"))
-    start = F.struct(F.lit(1).alias("p"), F.lit(0.0).alias("used"), F.array().cast("array<struct<shell:bigint,pushback:int>>").alias("out"))
-
-    def step(s, x):
-        closed = (s["used"] >= F.col("_most")) & (s["p"] < count)
-        p, used = F.when(closed, s["p"] + 1).otherwise(s["p"]), F.when(closed, 0.0).otherwise(s["used"])
-        return F.struct(p.alias("p"), (used + x["t"]).alias("used"), F.concat(s["out"], F.array(F.struct(x["shell"].cast("bigint").alias("shell"), p.alias("pushback")))).alias("out"))
+    """shell, pushback: shells by value a tonne, the richest first; a pushback is closed once it holds 1 / ``count`` of all tonnes.
 
-    return rows.select(F.inline(F.aggregate("_all", start, step)["out"]))
+    The running sum of tonnes is two-level; each of the ``count`` pushbacks is
+    closed by one lookup in it.
+    """
+    rate = F.when(F.col("tonnes") > 0, F.col("value") / F.col("tonnes")).otherwise(0.0)
+    rows = shells.select(F.col("shell").cast("bigint").alias("shell"), (-rate).alias("_k"), F.col("tonnes").cast("double").alias("_t"))
+    rows = ranked(running(rows, ["_k", "shell"], "_t", "_held"), ["_k", "shell"], "_turn")
+    rows = written(rows, "pushbacks")
+    total = rows.agg(F.sum("_t")).first()[0]
+    starts, base = [1], 0.0
+    while total is not None and len(starts) < count:
+        first = rows.where((F.col("_turn") > starts[-1]) & (F.col("_held") - base >= total / count)).agg(F.min(F.struct("_turn", "_held"))).first()[0]
+        if first is None:
+            break
+        starts.append(first["_turn"])
+        base = first["_held"]
+    return rows.select("shell", sum((F.when(F.col("_turn") >= s, 1).otherwise(0) for s in starts), F.lit(0)).cast("int").alias("pushback"))
 
 
 def shells_in_periods(shells: DataFrame, capacity: float, periods: int) -> DataFrame:

@@ -123,11 +123,15 @@ def from_distribution(blocks: DataFrame, probabilities: list[str], cutoffs: list
     return rows.select(block_id, "realisation", draw.alias("value"))
 
 
+#: Draws that a row may have: of a Poisson(1) number more have a probability below 2 ** -53, which no double in (0, 1) tells.
+MOST_DRAWS = 18
+
+
 def _drawn(df: DataFrame, row_id: str, iterations: int, seed: int) -> DataFrame:
     """Every row with every iteration and _n, how often it is drawn there: Poisson(1), by hash, so no row is moved."""
     rows = df.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     u, steps, total, term = uniform(seed, F.col("iteration"), F.col(row_id)), F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(1, 9):
+    for k in range(1, MOST_DRAWS + 1):
         total += term
         steps = steps + F.when(u > total, 1).otherwise(0)
         term /= k

@@ -199,7 +199,7 @@ def moving_average_values(spark, sf_dir):
 
 def _poisson(u: str) -> str:
     total, term, out = 0.0, 0.36787944117144233, []
-    for k in range(1, 9):
+    for k in range(1, simulation.MOST_DRAWS + 1):
         total += term
         out.append(f"CASE WHEN {u} > {total!r}::DOUBLE THEN 1 ELSE 0 END")
         term /= k
