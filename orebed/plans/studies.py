@@ -75,18 +75,18 @@ def rock_materials(spark, sf_dir):
     return rounded(rows.select("id", *(c.alias(n) for n, c in both.items())), 6)
 
 
-@query("WITH RECURSIVE f AS (SELECT p_partkey AS id, p_partkey * 3 AS a, p_partkey * 3 + 1 AS b, CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 3 + 2 ELSE (p_partkey + 1) * 3 END AS c FROM part WHERE p_partkey < 300), e AS (SELECT a AS u, b AS v FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT b, a FROM f UNION ALL SELECT c, b FROM f), reached AS (SELECT u, v FROM e UNION SELECT reached.u, e.v FROM reached JOIN e ON e.u = reached.v) SELECT id, min(v) AS part FROM f JOIN reached ON u = a GROUP BY id")
+@query("WITH RECURSIVE f AS (SELECT p_partkey AS id, p_partkey * 3 AS a, p_partkey * 3 + 1 AS b, CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 3 + 2 ELSE (p_partkey + 1) * 3 END AS c FROM part), e AS (SELECT a AS u, b AS v FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT b, a FROM f UNION ALL SELECT c, b FROM f), reached AS (SELECT u, v FROM e UNION SELECT reached.u, e.v FROM reached JOIN e ON e.u = reached.v) SELECT id, min(v) AS part FROM f JOIN reached ON u = a GROUP BY id")
 def mesh_parts(spark, sf_dir):
     key = F.col("p_partkey")
-    faces = V.table(spark, sf_dir, "part").where("p_partkey < 300").select(key.alias("id"), (key * 3).alias("a"), (key * 3 + 1).alias("b"), F.when(key % 5 == 0, key * 3 + 2).otherwise((key + 1) * 3).alias("c"))
+    faces = V.table(spark, sf_dir, "part").select(key.alias("id"), (key * 3).alias("a"), (key * 3 + 1).alias("b"), F.when(key % 5 == 0, key * 3 + 2).otherwise((key + 1) * 3).alias("c"))
     return clustering.mesh_parts(faces, "id")
 
 
-@query(f"WITH RECURSIVE {V.SAMPLES}, n AS (SELECT sample_id, x, y, z, -sin(radians(sample_id * 13 % 90)) * sin(radians(sample_id * 29 % 360)) AS nx, -sin(radians(sample_id * 13 % 90)) * cos(radians(sample_id * 29 % 360)) AS ny, -cos(radians(sample_id * 13 % 90)) AS nz FROM samples WHERE sample_id <= 600), k AS (SELECT t.sample_id AS u, s.sample_id AS v, abs(t.nx * s.nx + t.ny * s.ny + t.nz * s.nz) AS dot, row_number() OVER (PARTITION BY t.sample_id ORDER BY {_DIST}, s.sample_id) AS k FROM n t, n s), e AS (SELECT u, v FROM k WHERE k <= 5 AND u <> v AND dot >= cos(radians(25)) UNION SELECT v, u FROM k WHERE k <= 5 AND u <> v AND dot >= cos(radians(25)) UNION SELECT sample_id, sample_id FROM n), reached AS (SELECT u, v FROM e UNION SELECT reached.u, e.v FROM reached JOIN e ON e.u = reached.v) SELECT u AS sample_id, min(v) AS region FROM reached GROUP BY u")
+@query(f"WITH RECURSIVE {V.SAMPLES}, n AS (SELECT sample_id, x, y, z, -sin(radians(sample_id * 13 % 90)) * sin(radians(sample_id * 29 % 360)) AS nx, -sin(radians(sample_id * 13 % 90)) * cos(radians(sample_id * 29 % 360)) AS ny, -cos(radians(sample_id * 13 % 90)) AS nz FROM samples), k AS (SELECT t.sample_id AS u, s.sample_id AS v, abs(t.nx * s.nx + t.ny * s.ny + t.nz * s.nz) AS dot, row_number() OVER (PARTITION BY t.sample_id ORDER BY {_DIST}, s.sample_id) AS k FROM n t, n s), e AS (SELECT u, v FROM k WHERE k <= 5 AND u <> v AND dot >= cos(radians(25)) UNION SELECT v, u FROM k WHERE k <= 5 AND u <> v AND dot >= cos(radians(25)) UNION SELECT sample_id, sample_id FROM n), reached AS (SELECT u, v FROM e UNION SELECT reached.u, e.v FROM reached JOIN e ON e.u = reached.v) SELECT u AS sample_id, min(v) AS region FROM reached GROUP BY u")
 def grown_regions(spark, sf_dir):
     key = F.col("sample_id")
     normal = geometry.pole((key * 13 % 90).cast("double"), (key * 29 % 360).cast("double"))
-    points = V.samples(spark, sf_dir).where("sample_id <= 600").select("sample_id", "x", "y", "z", *(c.alias(n) for c, n in zip(normal, ("nx", "ny", "nz"))))
+    points = V.samples(spark, sf_dir).select("sample_id", "x", "y", "z", *(c.alias(n) for c, n in zip(normal, ("nx", "ny", "nz"))))
     return clustering.grown_regions(points, "sample_id", 4, 25.0)
 
 
@@ -100,9 +100,9 @@ def value_scenarios(spark, sf_dir):
     return rounded(simulation.value_scenarios(grades, blocks, _draws(spark), 0.08), 2)
 
 
-@query(f"WITH lines AS (SELECT p_partkey AS id, p_size::DOUBLE AS size, (p_partkey * 7 % 101)::DOUBLE AS share FROM part WHERE p_partkey <= 200), d AS (SELECT id, least(greatest(share + ({_u(1, 'id', 'i')} - 0.5) * 20, 0), 100) AS rmr, 30 + size AS angle FROM lines, (SELECT unnest(range(15)) AS i)), c AS (SELECT id, least(greatest((100 - rmr) / 100 * 40 + least(30, greatest(angle - CASE WHEN rmr >= 80 THEN 70 WHEN rmr >= 60 THEN 60 WHEN rmr >= 40 THEN 50 WHEN rmr >= 20 THEN 40 ELSE 30 END, 0) / 10 * 30) + 10, 0), 100) AS i FROM d) SELECT id, count(*) AS n, {r('avg(i)', 'risk_index')}, {r('avg(CASE WHEN i < 25 THEN 0.05 WHEN i < 50 THEN 0.15 WHEN i < 75 THEN 0.4 ELSE 0.7 END)', 'failure_probability')} FROM c GROUP BY id")
+@query(f"WITH lines AS (SELECT p_partkey AS id, p_size::DOUBLE AS size, (p_partkey * 7 % 101)::DOUBLE AS share FROM part), d AS (SELECT id, least(greatest(share + ({_u(1, 'id', 'i')} - 0.5) * 20, 0), 100) AS rmr, 30 + size AS angle FROM lines, (SELECT unnest(range(15)) AS i)), c AS (SELECT id, least(greatest((100 - rmr) / 100 * 40 + least(30, greatest(angle - CASE WHEN rmr >= 80 THEN 70 WHEN rmr >= 60 THEN 60 WHEN rmr >= 40 THEN 50 WHEN rmr >= 20 THEN 40 ELSE 30 END, 0) / 10 * 30) + 10, 0), 100) AS i FROM d) SELECT id, count(*) AS n, {r('avg(i)', 'risk_index')}, {r('avg(CASE WHEN i < 25 THEN 0.05 WHEN i < 50 THEN 0.15 WHEN i < 75 THEN 0.4 ELSE 0.7 END)', 'failure_probability')} FROM c GROUP BY id")
 def sampled_slopes(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("id <= 200").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(14))))
+    rows = _lines(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(14))))
     rating = F.greatest(F.least(F.col("share") + (simulation.uniform(1, F.col("id"), F.col("i")) - 0.5) * 20, F.lit(100.0)), F.lit(0.0))
     risk = rock.slope_risk(F.col("rmr"), 30 + F.col("size"), F.lit(0.0), F.lit(True))
     rows = rows.withColumn("rmr", rating)

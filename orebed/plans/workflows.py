@@ -518,10 +518,10 @@ def validation_verdict(spark, sf_dir):
     return validation.verdict(validation.surveys(V.surveys(spark, sf_dir), V.collars(spark, sf_dir)))
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey < 500 AND p_partkey > 2), a AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM e UNION ALL SELECT a.node, e.parent, distance + 1 FROM a JOIN e ON e.child = a.ancestor) SELECT node, ancestor, min(distance) AS distance FROM a GROUP BY ALL")
+@query("WITH RECURSIVE e AS (SELECT p_partkey + 1 AS child, (p_partkey + 1) // 3 AS parent FROM part), a AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM e UNION ALL SELECT a.node, e.parent, distance + 1 FROM a JOIN e ON e.child = a.ancestor) SELECT node, ancestor, min(distance) AS distance FROM a GROUP BY ALL")
 def lineages(spark, sf_dir):
     key = F.col("p_partkey")
-    return survey.lineages(V.table(spark, sf_dir, "part").where("p_partkey < 500 and p_partkey > 2").select(key.alias("child"), F.floor(key / 3).alias("parent")))
+    return survey.lineages(V.table(spark, sf_dir, "part").select((key + 1).alias("child"), F.floor((key + 1) / 3).alias("parent")))
 
 
 @query(f"WITH {V.SAMPLES}, {_PAIRS.format(d=_DIST, R=60).replace('t.value AS vj', 't.value AS vj, s.z AS zi, t.z AS zj')} SELECT ceil(d / 10)::BIGINT AS lag, {r('avg(d)', 'distance')}, {r('avg((vi - vj) * (zi - zj) / 2)', 'gamma')}, count(*) AS pairs FROM p WHERE d > 0 GROUP BY 1")
@@ -621,10 +621,10 @@ def pole_density(spark, sf_dir):
     return rounded(structural.density(poles, grid, 20.0))
 
 
-@query("WITH p AS (SELECT p_partkey AS id, radians(40 + p_partkey * 7 % 45) AS d, radians(p_partkey * 37 % 360) AS a FROM part WHERE p_partkey <= 40), n AS (SELECT id, -sin(d) * sin(a) AS x, -sin(d) * cos(a) AS y, -cos(d) AS z FROM p), c AS (SELECT a.id AS i, b.id AS j, a.y * b.z - a.z * b.y AS x, a.z * b.x - a.x * b.z AS y, a.x * b.y - a.y * b.x AS z FROM n a JOIN n b ON a.id < b.id), l AS (SELECT *, CASE WHEN z > 0 THEN -1 ELSE 1 END AS f, sqrt(x * x + y * y + z * z) AS l FROM c WHERE x * x + y * y + z * z > 1e-12), t AS (SELECT i, j, degrees(asin(least(abs(z) / l, 1))) AS plunge, (degrees(atan2(f * x, f * y)) + 360) % 360 AS trend FROM l) SELECT i, j, " + r("plunge", "plunge") + ", " + r("trend", "trend", 3) + ", cos(radians(trend - 120)) > 0 AND plunge > 30 AND plunge < degrees(atan(tan(radians(65::DOUBLE)) * cos(radians(trend - 120)))) AS feasible FROM t")
+@query("WITH p AS (SELECT p_partkey % 40 AS id, radians(40 + avg(p_partkey * 7 % 45)) AS d, radians(avg(p_partkey % 40 * 37 % 360 + p_partkey % 7)) AS a FROM part GROUP BY 1), n AS (SELECT id, -sin(d) * sin(a) AS x, -sin(d) * cos(a) AS y, -cos(d) AS z FROM p), c AS (SELECT a.id AS i, b.id AS j, a.y * b.z - a.z * b.y AS x, a.z * b.x - a.x * b.z AS y, a.x * b.y - a.y * b.x AS z FROM n a JOIN n b ON a.id < b.id), l AS (SELECT *, CASE WHEN z > 0 THEN -1 ELSE 1 END AS f, sqrt(x * x + y * y + z * z) AS l FROM c WHERE x * x + y * y + z * z > 1e-12), t AS (SELECT i, j, degrees(asin(least(abs(z) / l, 1))) AS plunge, (degrees(atan2(f * x, f * y)) + 360) % 360 AS trend FROM l) SELECT i, j, " + r("plunge", "plunge") + ", " + r("trend", "trend", 3) + ", cos(radians(trend - 120)) > 0 AND plunge > 30 AND plunge < degrees(atan(tan(radians(65::DOUBLE)) * cos(radians(trend - 120)))) AS feasible FROM t")
 def wedges(spark, sf_dir):
     key = F.col("p_partkey")
-    sets = V.table(spark, sf_dir, "part").where("p_partkey <= 40").select(key.alias("id"), (40 + key * 7 % 45).cast("double").alias("dip"), (key * 37 % 360).cast("double").alias("dip_direction"))
+    sets = V.table(spark, sf_dir, "part").groupBy((key % 40).alias("id")).agg((40 + F.avg(key * 7 % 45)).alias("dip"), F.avg(key % 40 * 37 % 360 + key % 7).alias("dip_direction"))  # the means of forty sets
     return rounded(structural.wedges(sets, "id", 65.0, 120.0, 30.0).withColumn("trend", F.round("trend", 3)))
 
 
