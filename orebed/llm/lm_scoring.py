@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stored import shards, written
 from . import textarrays as T
+from .common import crc32_sql
 from .suffix_dedup import _groups, whole_buckets
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -349,3 +350,20 @@ def lm_scoring(documents: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
     rows = scored(documents.select("doc_id", "text", F.lit(True).alias("scored"), (~held_out).alias("learnt")))
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: The exact columns: tokens, known ones and the add-one score of single words.
+SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce({crc32_sql("doc_id::VARCHAR")} % 7 = 2, false) AS held_out,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents),
+tokens AS (
+  SELECT rid, held_out, unnest(list_append(list_transform(words, lambda w: 'w' || w), 'end')) AS token FROM docs),
+counts AS (SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token),
+whole AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM counts),
+per AS (
+  SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (any_n + any_v + 1)::DOUBLE)) AS base
+  FROM (SELECT t.rid, c, n AS any_n, v AS any_v FROM tokens t LEFT JOIN counts USING (token), whole) GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 4) AS base_score FROM docs JOIN per USING (rid), whole
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import crosspolytope, elkan, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, spelling, suffix_dedup, toxicity, virtual_slots
 
@@ -70,7 +71,13 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.COUNTS, "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (rule_counts, op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash, op11_elkan_clusters, op12_virtual_slots, op13_spelling_variants)}
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that do not depend on the filter."""
+    rows = op3_lm_scoring(spark, sf_dir).drop("score")
+    return rows.withColumn("base_score", F.round("base_score", 4))
+
+
+QUERIES = {f.__name__: f for f in (rule_counts, lm_base, op1_quality_compression, op2_suffix_dedup, op3_lm_scoring, op4_toxicity, op5_crosspolytope, op6_packed_ids, op7_mixing, op8_quality_rules, op9_packing, op10_simhash, op11_elkan_clusters, op12_virtual_slots, op13_spelling_variants)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op5_crosspolytope": crosspolytope.SQL, "op7_mixing": mixing.SQL, "rule_counts": quality_rules.SQL, "op11_elkan_clusters": elkan.SQL, "op12_virtual_slots": virtual_slots.SQL, "op13_spelling_variants": spelling.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op5_crosspolytope": crosspolytope.SQL, "op7_mixing": mixing.SQL, "rule_counts": quality_rules.SQL, "lm_base": lm_scoring.SQL, "op11_elkan_clusters": elkan.SQL, "op12_virtual_slots": virtual_slots.SQL, "op13_spelling_variants": spelling.SQL}
