@@ -252,3 +252,44 @@ def scan_quality(points: DataFrame, cell: float) -> DataFrame:
     cells = places.groupBy(*(F.floor(F.col(c) / cell).alias(f"_{c}") for c in "xyz")).agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") - 1).alias("_r"), *(f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
     out = cells.agg(F.sum("_r").alias("repeated"), F.avg("_m").alias("per_cell"), *((F.max(f"_hi{c}") - F.min(f"_lo{c}")).alias(f"d{c}") for c in "xyz"))
     return whole.crossJoin(out)
+
+
+def indicator_audit(samples: DataFrame, blocks: DataFrame, value: str, cutoffs: list[float], probabilities: list[str], within: float, sample_id: str = "sample_id", block_id: str = "block_id") -> DataFrame:
+    """cutoff, n, share (of samples at or below it), probability (mean of their blocks), correlation, good (over 0.7) of samples against their nearest blocks, as far as one lies within the distance.
+
+    Null where nothing varies or no sample has a block.
+    """
+    from .spatial import nearest
+
+    own = samples.where(F.col(value).isNotNull())
+    near = nearest(own, blocks, 1, None, sample_id, block_id, probabilities, max_radius=within).where(F.col("distance") < within)
+    rows = near.join(own.select(F.col(sample_id).alias("target"), F.col(value).alias("_value")), "target")
+    pairs = F.array(*(F.struct(F.lit(float(c)).alias("cutoff"), F.when(F.col("_value") <= c, 1.0).otherwise(0.0).alias("i"), F.col(p).cast("double").alias("p")) for c, p in zip(cutoffs, probabilities)))
+    rows = rows.select(F.inline(pairs))
+    out = rows.groupBy("cutoff").agg(F.count(F.lit(1)).alias("n"), F.avg("i").alias("share"), F.avg("p").alias("probability"), F.covar_pop("i", "p").alias("_c"), F.stddev_pop("i").alias("_i"), F.stddev_pop("p").alias("_p"))
+    correlation = F.when((F.col("_i") > 1e-12) & (F.col("_p") > 1e-12), F.col("_c") / (F.col("_i") * F.col("_p")))
+    return out.select("cutoff", "n", "share", "probability", correlation.alias("correlation"), F.coalesce(correlation > 0.7, F.lit(False)).alias("good"))
+
+
+def _nice(v: Column) -> Column:
+    """To a tenth below 2, a whole below 5, a quarter of ten below 10, five below 50, else ten; halves to even."""
+    return F.when(v < 2, F.bround(v, 1)).when(v < 5, F.bround(v)).when(v < 10, F.bround(v / 2.5) * 2.5).when(v < 50, F.bround(v / 5) * 5).otherwise(F.bround(v / 10) * 10)
+
+
+def suggested_cells(samples: DataFrame, sample_id: str = "sample_id") -> DataFrame:
+    """One row: spacing (median distance in plan to the nearest other sample), step (median of the differences over 0.1 of successive levels), and the cell sizes that follow, cell (twice the spacing, 5 to 200) and height (three times the step, 2 to 100; the cell's without one), rounded.
+
+    Every sample is looked at; nulls are left out; fewer than two samples give 25.
+    """
+    from .running import ranked
+    from .spatial import nearest
+
+    rows = samples.where("x is not null and y is not null").select(sample_id, "x", "y")
+    near = nearest(rows, rows.withColumnRenamed(sample_id, "_other"), 2, None, sample_id, "_other", axes=("x", "y")).where(F.col("target") != F.col("point"))
+    spacing = quantiles(near.groupBy("target").agg(F.min("distance").alias("d")), "d", {"spacing": 0.5})
+    levels = ranked(samples.where("z is not null").select(F.col("z").cast("double").alias("z")).distinct(), ["z"], "_k")
+    steps = levels.join(levels.select((F.col("_k") - 1).alias("_k"), F.col("z").alias("_up")), "_k").select((F.col("_up") - F.col("z")).alias("d")).where("d > 0.1")
+    both = spacing.agg(F.max("spacing").alias("spacing")).crossJoin(F.broadcast(quantiles(steps, "d", {"step": 0.5}).agg(F.max("step").alias("step"))))
+    cell = F.coalesce(F.greatest(F.least(F.col("spacing") * 2, F.lit(200.0)), F.lit(5.0)), F.lit(25.0))
+    height = F.when(F.col("spacing").isNull(), 25.0).otherwise(F.coalesce(F.greatest(F.least(F.col("step") * 3, F.lit(100.0)), F.lit(2.0)), cell))
+    return both.select("spacing", "step", _nice(cell).alias("cell"), _nice(height).alias("height"))

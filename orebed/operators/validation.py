@@ -127,3 +127,26 @@ def fixed_surveys(rows: DataFrame, spacing: float = 30.0, low: float = -90.0, hi
     share = F.col("_k") / F.col("_n")
     move = lambda c, by: F.when(F.col("_k") == 0, F.col(c)).otherwise(F.col(c) + share * F.col(by))
     return rows.select(HOLE, move("depth", "_gap").alias("depth"), F.pmod(move("azimuth", "_turn"), F.lit(360.0)).alias("azimuth"), move("dip", "_fall").alias("dip"), (F.col("_k") > 0).alias("inserted"))
+
+
+def fixed(rows: DataFrame, table: str, fixes: list[tuple[str, Column, str, str, float]], key: str = HOLE) -> tuple[DataFrame, DataFrame]:
+    """The rows with the fixes (column, new value, rule_code, reason, confidence) applied, and a log of what they changed.
+
+    The log has a row for each value that a fix changes: table_name, rule_code,
+    hole_id (as it was), column, old, new (as text), reason, confidence.  All new
+    values are taken from the rows as they were; a value may become or stop being
+    null, which counts as a change; further columns are kept.
+    """
+    entries = [F.when(~F.col(c).eqNullSafe(new), F.struct(F.lit(rule).alias("rule_code"), F.lit(c).alias("column"), F.col(c).cast("string").alias("old"), new.cast("string").alias("new"), F.lit(reason).alias("reason"), F.lit(float(sure)).alias("confidence"))) for c, new, rule, reason, sure in fixes]
+    log = rows.select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias(HOLE), F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+    return rows.withColumns({c: new for c, new, *_ in fixes}), log.select("table_name", "e.rule_code", HOLE, "e.column", "e.old", "e.new", "e.reason", "e.confidence")
+
+
+def fixed_collars(rows: DataFrame, key: str = HOLE) -> tuple[DataFrame, DataFrame]:
+    """Collars with ids trimmed and in upper case, and the log."""
+    return fixed(rows, "collars", [(key, F.upper(F.trim(F.col(key).cast("string"))), "HOLE_ID", "id trimmed and in upper case", 1.0)], key)
+
+
+def fixed_directions(rows: DataFrame, key: str = HOLE) -> tuple[DataFrame, DataFrame]:
+    """Surveys with azimuths from 0 to below 360, and the log."""
+    return fixed(rows, "surveys", [("azimuth", F.pmod(F.col("azimuth").cast("double"), F.lit(360.0)), "AZIMUTH", "azimuth turned into 0 to 360", 0.99)], key)

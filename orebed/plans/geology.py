@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import economics, fields, octree, patterns, planes, planning, structural, variograms
+from ..operators import economics, fields, octree, patterns, planes, planning, reporting, structural, validation, variograms
 from . import tables as V
 from .queries import _DIST, _PAIRS, query, r, rounded
 from .workflows import _DRAWS, _draws, _u
@@ -296,3 +296,44 @@ def risk_adjusted_rate(spark, sf_dir):
     first = draws.crossJoin(F.broadcast(outlay)).select("draw", F.lit(0).alias("period"), (-0.9 * F.col("s") * (0.6 + uniform(9, F.col("draw")))).alias("flow"))
     out = economics.risk_adjusted_rate(flows.unionByName(first), "draw", "period", "flow", 0.8)
     return rounded(out, 5).withColumns({c: F.round(c, 1) for c in ("mean_npv10", "least_npv10")})
+
+
+# --- fixes, audits, cell sizes --------------------------------------------------------
+
+
+@query(
+    f"""WITH {V.SURVEYS}, {V.COLLARS}, c AS (SELECT CASE hole_id % 4 WHEN 0 THEN ' h' || hole_id WHEN 1 THEN 'H' || hole_id WHEN 2 THEN 'h' || hole_id || '  ' ELSE 'H' || hole_id END AS h FROM collars), s AS (SELECT 'H' || hole_id AS h, depth, azimuth * 3 - 200 AS a FROM surveys)
+ SELECT table_name, rule_code, hole_id, "column", CASE WHEN table_name = 'surveys' THEN NULL ELSE old END AS old, CASE WHEN table_name = 'surveys' THEN NULL ELSE new END AS new, count(*) AS n FROM (
+ SELECT 'collars' AS table_name, 'HOLE_ID' AS rule_code, h AS hole_id, 'hole_id' AS "column", h AS old, upper(trim(h)) AS new FROM c WHERE h <> upper(trim(h))
+ UNION ALL SELECT 'surveys', 'AZIMUTH', h, 'azimuth', '', '' FROM s WHERE a < 0 OR a >= 360) GROUP BY ALL"""
+)
+def logged_fixes(spark, sf_dir):
+    """The fixes of collars and surveys by hole; of azimuths, which are doubles, the number."""
+    key, h = F.col("hole_id"), F.concat(F.lit("H"), "hole_id")
+    messy = F.when(key % 4 == 0, F.concat(F.lit(" "), F.lower(h))).when(key % 4 == 2, F.concat(F.lower(h), F.lit("  "))).otherwise(h)
+    _, collars = validation.fixed_collars(V.collars(spark, sf_dir).withColumn("hole_id", messy))
+    _, surveys = validation.fixed_directions(V.surveys(spark, sf_dir).withColumns({"hole_id": h, "azimuth": F.col("azimuth") * 3 - 200}))
+    rows = collars.unionByName(surveys.withColumns({"old": F.lit(None).cast("string"), "new": F.lit(None).cast("string")}))
+    return rows.groupBy("table_name", "rule_code", "hole_id", "column", "old", "new").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {V.SAMPLES}, {V.TARGETS}, n AS (SELECT s.value, t.block_id % 11 / 10::DOUBLE AS p0, least(t.block_id % 11 / 10::DOUBLE + 0.2, 1) AS p1, {_DIST} AS d, row_number() OVER (PARTITION BY s.sample_id ORDER BY {_DIST}, t.block_id) AS k FROM targets t, samples s),
+ r AS (SELECT unnest([30, 55])::DOUBLE AS cutoff, (value <= unnest([30, 55]))::INT::DOUBLE AS i, unnest([p0, p1]) AS p FROM n WHERE k = 1 AND d < 80)
+ SELECT cutoff, count(*) AS n, {r('avg(i)', 'share')}, {r('avg(p)', 'probability')}, {r('covar_pop(i, p) / (stddev_pop(i) * stddev_pop(p))', 'correlation')}, coalesce(covar_pop(i, p) / (stddev_pop(i) * stddev_pop(p)) > 0.7, false) AS good FROM r GROUP BY 1"""
+)
+def indicator_audit(spark, sf_dir):
+    share = F.col("block_id") % 11 / 10.0
+    blocks = V.targets(spark, sf_dir).withColumns({"p0": share, "p1": F.least(share + 0.2, F.lit(1.0))})
+    return rounded(reporting.indicator_audit(V.samples(spark, sf_dir), blocks, "value", [30.0, 55.0], ["p0", "p1"], 80.0))
+
+
+_NICE = "CASE WHEN {v} < 2 THEN round_even({v}, 1) WHEN {v} < 5 THEN round_even({v}, 0) WHEN {v} < 10 THEN round_even({v} / 2.5, 0) * 2.5 WHEN {v} < 50 THEN round_even({v} / 5, 0) * 5 ELSE round_even({v} / 10, 0) * 10 END::DOUBLE"
+
+
+@query(
+    f"""WITH {V.SAMPLES}, d AS (SELECT min(sqrt((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y))) AS d FROM samples t JOIN samples s ON s.sample_id <> t.sample_id GROUP BY t.sample_id), z AS (SELECT z - lag(z) OVER (ORDER BY z) AS d FROM (SELECT DISTINCT z FROM samples)),
+ m AS (SELECT (SELECT median(d) FROM d) AS spacing, (SELECT median(d) FROM z WHERE d > 0.1) AS step), c AS (SELECT *, greatest(least(spacing * 2, 200), 5) AS a, greatest(least(step * 3, 100), 2) AS b FROM m) SELECT {r('spacing', 'spacing')}, {r('step', 'step')}, {_NICE.format(v='a')} AS cell, {_NICE.format(v='b')} AS height FROM c"""
+)
+def suggested_cells(spark, sf_dir):
+    return rounded(reporting.suggested_cells(V.samples(spark, sf_dir)))
