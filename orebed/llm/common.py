@@ -17,7 +17,9 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, per_class: int
     At most ``per_class`` ids of each class, those with the smallest hash of
     their id; null labels are unlabelled, an id with both labels counts as 0.
     The sample of ids is broadcast; its size is bounded by ``per_class``.
-    ``turn`` numbers the ids of a class in the order of that hash.
+    ``turn`` numbers the ids of a class in the order of that hash.  Of rows that
+    share an id the one of the smallest text hash counts, one without a text last,
+    so the rows are as many as the ids.
     """
     ids = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", parts) != 0))
     ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("turn", F.xxhash64(F.col("doc_id").cast("long")))
@@ -25,7 +27,9 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, per_class: int
     for y in (0, 1):
         part = ids.where(F.col("label") == y).orderBy("turn", "doc_id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
-    return documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = F.min_by("text", F.struct(F.isnull("text"), F.xxhash64("text")))
+    return rows.groupBy("doc_id", "label", "turn").agg(one.alias("text")).select("doc_id", "text", "label", "turn")
 
 
 def crc32_table() -> list[int]:

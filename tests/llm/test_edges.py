@@ -1,10 +1,12 @@
 """Every operator over awkward tables: nulls, empty and long texts, repeated rows, clashing columns, no rows."""
 
+import zlib
+
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
 
-from orebed.llm import crosspolytope, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, toxicity
+from orebed.llm import common, crosspolytope, lm_scoring, mixing, packed_ids, packing, quality_compression, quality_rules, simhash, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, bucket int, n_words string"
 LONG = " ".join(f"word{i % 997}" for i in range(20000))
@@ -99,3 +101,13 @@ def test_results_do_not_depend_on_partitions(spark):
                 assert abs(one[c] - two[c]).max() <= 1e-9 * abs(one[c]).max(), (name, c)
             else:
                 assert (one[c] == two[c]).all(), (name, c)
+
+
+def test_a_repeated_id_is_one_row_of_a_label_sample(spark):
+    docs = spark.range(10_000).selectExpr("3L as doc_id", "case when id % 2 = 0 then concat('text ', id) end as text").unionByName(spark.createDataFrame([(4, None), (6, "six")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    rows = common.labelled(docs, labels, "quality", 100).collect()
+    assert sorted(r["doc_id"] for r in rows) == [i for i in (3, 4, 6) if zlib.crc32(str(i).encode()) % 5]
+    assert all((r["text"] is None) == (r["doc_id"] == 4) for r in rows)
+    again = common.labelled(docs.repartition(7), labels, "quality", 100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
