@@ -1,15 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-A chunk of documents sends each bucket its distinct words and word pairs with
-how often its training texts hold them; there the exact totals are taken.  A
-filter then holds, for each n-gram of total c, the entries (n-gram, 1) to
-(n-gram, level(c)) with level(c) = 1 + floor(log_STEP c); a count is found
-again, but for the step, by probing levels until one is missing.  The filter is
-made where its n-grams meet, a segment a bucket, of ``BITS_PER_ENTRY`` bits for
-each entry: it grows with the training texts and is never in one place.  The
-bucket answers each chunk with the levels of the n-grams that it sent and the
-exact counts of its words; the replies meet at the chunk, where they make the
-levels of every token.
+Counting: a chunk of documents sends each bucket its distinct words, and the word
+pairs of its training texts, with how often those hold them; there the exact
+totals are taken.  A filter then holds, for each n-gram of total c, the entries
+(n-gram, 1) to (n-gram, level(c)) with level(c) = 1 + floor(log_STEP c); a count is
+found again, but for the step, by probing levels until one is missing.  The filter
+is made where its n-grams meet, a segment a bucket, of ``BITS_PER_ENTRY`` bits for
+each entry, and written as a table: it grows with the training texts.  The chunks
+are written too, with the exact counts of their words, which only the add-one score
+needs.
+
+Probing: the model's score reads nothing but the filter.  Its size is measured; up
+to ``broadcast_bytes`` it is broadcast and each chunk probes it in place.  A greater
+one stays in its segments: each chunk sends a segment the n-grams that may be in it
+and gets their levels back.  Both ways give the same levels.
 
 The model mixes pair, word and uniform probabilities with weights fitted by
 leave-one-out expectation maximisation over all whole training texts, copies
@@ -38,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stored import shards, written
+from ..operators.stored import removed, shards, written
 from . import textarrays as T
 from .common import crc32_sql
 from .suffix_dedup import _groups, whole_buckets
@@ -50,6 +54,8 @@ _KEY = np.uint64((1 << 48) - 1)
 WIDTH = {"word": 6, "pair": 5}
 #: Bytes of text of a chunk: the more, the fewer n-grams are sent twice.
 CHUNK_BYTES = 4 << 20
+#: A filter of so many bytes at most is broadcast.
+BROADCAST_BYTES = 128 << 20
 
 
 def tokens_of(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,28 +94,31 @@ def count_at(levels: np.ndarray) -> np.ndarray:
     return np.where(levels <= 1, np.minimum(levels, 1), (np.ceil(low - 1e-9) + np.maximum(np.ceil(low), np.ceil(low * STEP - 1e-9) - 1)) / 2)
 
 
-def _bits(keys: np.ndarray, j: int, probe: int, size: int) -> np.ndarray:
+def _bits(keys: np.ndarray, j: int, probe: int, size: int | np.ndarray) -> np.ndarray:
     """The place in its segment of probe ``probe`` for entry (key, j)."""
     entry = T.mix(keys * np.uint64(0x9FB21C651E98DF25) + np.uint64(j))
-    return ((entry + np.uint64(probe) * (T.mix(entry) | np.uint64(1))) % np.uint64(size)).astype(np.int64)
+    return ((entry + np.uint64(probe) * (T.mix(entry) | np.uint64(1))) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
 class Filter:
-    """Segments of ``size`` bits, one a bucket; keys are full hashes."""
+    """Segments, one a bucket, end to end; ``size`` is the bits of each, or one number if they are alike."""
 
-    def __init__(self, data: np.ndarray, size: int, n_buckets: int):
+    def __init__(self, data: np.ndarray, size: int | np.ndarray, n_buckets: int):
         self.data, self.size, self.n_buckets = data, size, n_buckets
+        self.sizes = np.broadcast_to(np.asarray(size, np.uint64), n_buckets)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int64) // 8
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The highest level each n-gram is found up to, by repeated membership probes."""
+    def levels(self, hashes: np.ndarray, buckets: np.ndarray | None = None) -> np.ndarray:
+        """The highest level each n-gram is found up to, by repeated membership probes; ``buckets`` are given where the hashes are narrowed."""
         out = np.zeros(len(hashes), np.int64)
-        base = bucket_of(hashes, self.n_buckets) * (self.size // 8)
+        buckets = bucket_of(hashes, self.n_buckets) if buckets is None else buckets
         keys, active, j = hashes & _KEY, np.arange(len(hashes)), 0
         while len(active):
             j += 1
             for probe in range(PROBES):
-                at = _bits(keys[active], j, probe, self.size)
-                active = active[(self.data[base[active] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0]
+                of = buckets[active]
+                at = _bits(keys[active], j, probe, self.sizes[of])
+                active = active[(self.data[self.starts[of] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0]
             out[active] = j
         return out
 
@@ -133,8 +142,9 @@ def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.nd
 # --- scores -------------------------------------------------------------------
 
 _REQUEST = "bucket int, chunk long, n_words int, n_pairs int, words binary, pairs binary, counts binary, state binary"
-_REPLY = "bucket long, source int, levels binary, counts binary"
-_LEVELS = "docs binary, own binary, pair binary, tokens long, kinds long, mass double"
+_REPLY = "bucket long, source int, part binary, counts binary"
+_COUNTED = "bucket int, chunk long, docs binary, state binary, segment binary, tokens long, kinds long, mass double"
+_LEVELS = "docs binary, own binary, pair binary"
 _DOC = np.dtype([("id", "<i8"), ("none", "?"), ("scored", "?"), ("learnt", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 _ROW = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -155,17 +165,44 @@ def _narrow(hashes: np.ndarray, kind: str) -> np.ndarray:
     return hashes & np.uint64((1 << 8 * WIDTH[kind]) - 1)
 
 
-def _asked(names: np.ndarray, tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Hashes of a chunk's distinct words (as given) and then pairs, the pair of each token, and by bucket the places of its words and of its pairs, each in the order of their keys."""
+def _pairs(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a chunk's distinct pairs and the pair of each token."""
     tokens = tokens.astype(np.int64)
     end = tokens[-1:]  # every document ends with an end token
     codes, pair = np.unique(np.concatenate([end, tokens[:-1]]) * len(names) + tokens, return_inverse=True)
-    hashes = np.concatenate([names, T.pair_hashes(names[codes // len(names)], names[codes % len(names)])])
+    return T.pair_hashes(names[codes // len(names)], names[codes % len(names)]), pair
+
+
+def _asked(words: np.ndarray, pairs: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """By bucket the places of its words and of its pairs, each in the order of their keys."""
     groups = []
-    for b, at in _groups(bucket_of(hashes, n_buckets)):
-        words, pairs = np.split(at, [np.searchsorted(at, len(names))])
-        groups.append((b, words[np.argsort(_narrow(hashes[words], "word"))], pairs[np.argsort(_narrow(hashes[pairs], "pair"))]))
-    return hashes, pair, groups
+    for b, at in _groups(bucket_of(np.concatenate([words, pairs]), n_buckets)):
+        w, p = np.split(at, [np.searchsorted(at, len(words))])
+        groups.append((b, w[np.argsort(_narrow(words[w], "word"))], (p := p - len(words))[np.argsort(_narrow(pairs[p], "pair"))]))
+    return groups
+
+
+def _message(bucket: int, chunk: int, words: np.ndarray, pairs: np.ndarray) -> dict:
+    """Hashes of one bucket, each kind in the order of its keys, as packed differences."""
+    steps = {f"{kind}s": _planes(np.diff(_narrow(hashes, kind), prepend=np.uint64(0)), "<u8") for kind, hashes in (("word", words), ("pair", pairs))}
+    return {"bucket": bucket, "chunk": chunk, "n_words": len(words), "n_pairs": len(pairs), **steps}
+
+
+def _keys(steps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_from_planes(steps, n, "<u8")).astype(np.uint64)
+
+
+def _packed_tokens(names: np.ndarray, tokens: np.ndarray) -> bytes:
+    """A chunk's words and the word of each token."""
+    state = b"".join((np.array([len(names), len(tokens)], "<i8").tobytes(), names.astype("<u8").tobytes(), tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+    return len(state).to_bytes(8, "little") + pa.compress(state, "zstd", asbytes=True)
+
+
+def _tokens(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    state = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    n_names, n_tokens = np.frombuffer(state, "<i8", 2).tolist()
+    names = np.frombuffer(state, "<u8", n_names, 16)
+    return names, np.ascontiguousarray(np.frombuffer(state, np.uint8, 4 * n_tokens, 16 + names.nbytes).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
 
 
 def totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,15 +218,23 @@ def made_filter(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, n
     return Filter(np.frombuffer(segment(*held, size), np.uint8), size, 1)
 
 
-def token_levels(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """The levels of every token's word and pair, with the documents' counts, packed by chunk, and rows of the buckets' training tokens, distinct words and their mass; rows are doc_id, text, scored, learnt.
+def _by_bucket(rows: DataFrame, n_buckets: int) -> DataFrame:
+    return rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def _batch(rows: list[dict], like: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds[t]) for c, t in (x.split() for x in like.split(", "))]))
+
+
+def counted(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """A written table of chunks (documents with the exact counts of their words, tokens) and of the filter's segments with their training tokens, distinct words and mass; rows are doc_id, text, scored, learnt.
 
     A chunk is named by its task and turn, so the rows of ``rows`` are taken to
     come in one order if a task runs again, as those of a stored table do.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), *((c, pa.binary()) for c in ("words", "pairs", "counts", "state"))])
         chunk = TaskContext.get().partitionId() << 32
         for part, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
             column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
@@ -201,30 +246,25 @@ def token_levels(rows: DataFrame, n_buckets: int) -> DataFrame:
             docs["id"], docs["none"] = column("doc_id").fill_null(0).to_numpy(), column("doc_id").is_null().to_numpy(zero_copy_only=False)
             docs["scored"], docs["learnt"] = (column(c).to_numpy(zero_copy_only=False) for c in ("scored", "learnt"))
             docs["tokens"] = np.bincount(doc, minlength=len(docs))
-            wanted, pair, groups = _asked(names, tokens, n_buckets)
             learnt = docs["learnt"][doc]
-            count = np.concatenate([np.bincount(tokens[learnt], minlength=len(names)), np.bincount(pair[learnt], minlength=len(wanted) - len(names))])
-            head = np.array([len(docs), len(names), len(tokens)], "<i8")
-            state = b"".join((head.tobytes(), docs.tobytes(), names.astype("<u8").tobytes(), tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
-            out = []
-            for b, words, pairs in groups:
-                steps = {f"{kind}s": _planes(np.diff(_narrow(wanted[at], kind), prepend=np.uint64(0)), "<u8") for kind, at in (("word", words), ("pair", pairs))}
-                out.append({"bucket": b, "chunk": chunk, "n_words": len(words), "n_pairs": len(pairs), **steps, "counts": _planes(count[np.concatenate([words, pairs])], "<u4")})
-            yield pa.RecordBatch.from_pylist([*out, {"bucket": chunk % n_buckets, "chunk": chunk, "state": len(state).to_bytes(8, "little") + pa.compress(state, "zstd", asbytes=True)}], schema)
+            pairs, pair = _pairs(names, tokens)
+            word_n, pair_n = np.bincount(tokens[learnt], minlength=len(names)), np.bincount(pair[learnt], minlength=len(pairs))
+            pairs, pair_n = pairs[pair_n > 0], pair_n[pair_n > 0]
+            out = [_message(b, chunk, names[w], pairs[p]) | {"counts": _planes(np.concatenate([word_n[w], pair_n[p]]), "<u4")} for b, w, p in _asked(names, pairs, n_buckets)]
+            yield _batch([*out, {"bucket": chunk % n_buckets, "chunk": chunk, "state": _packed_tokens(names, tokens), "words": docs.tobytes()}], _REQUEST)
             chunk += 1
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("source", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())])
         for asked in whole_buckets(batches):
             bucket, column = asked.column("bucket")[0].as_py(), lambda c: asked.column(c).to_pylist()  # noqa: B023, E731
             chunks, n_words, n_pairs, word_steps, pair_steps, counts, states = map(column, ("chunk", "n_words", "n_pairs", "words", "pairs", "counts", "state"))
             words, pairs, word_n, pair_n, own = [], [], [], [], []
             for i, state in enumerate(states):
                 if state is not None:
-                    yield pa.RecordBatch.from_pylist([{"bucket": chunks[i], "source": -1, "levels": state}], schema)
+                    yield _batch([{"bucket": chunks[i], "source": -1, "part": state, "counts": word_steps[i]}], _REPLY)
                     continue
-                words.append(np.cumsum(_from_planes(word_steps[i], n_words[i], "<u8")).astype(np.uint64))
-                pairs.append(np.cumsum(_from_planes(pair_steps[i], n_pairs[i], "<u8")).astype(np.uint64))
+                words.append(_keys(word_steps[i], n_words[i]))
+                pairs.append(_keys(pair_steps[i], n_pairs[i]))
                 n = _from_planes(counts[i], n_words[i] + n_pairs[i], "<u4")
                 word_n.append(n[: n_words[i]])
                 pair_n.append(n[n_words[i] :])
@@ -233,47 +273,96 @@ def token_levels(rows: DataFrame, n_buckets: int) -> DataFrame:
                 continue
             del word_steps, pair_steps, counts, states
             word_key, word_total, word_at = totals(np.concatenate(words), np.concatenate(word_n))
-            pair_key, pair_total, pair_at = totals(np.concatenate(pairs), np.concatenate(pair_n))
-            filter_ = made_filter((word_key, word_total), (pair_key, pair_total))
-            word_level, pair_level = (filter_.levels(k).astype(np.uint8) for k in (word_key, pair_key))
+            pair_key, pair_total, _ = totals(np.concatenate(pairs), np.concatenate(pair_n))
             some = word_total > 0
             stats = np.array([word_total.sum(), some.sum(), count_at(level(word_total[some])).sum() if some.any() else 0.0], "<f8")
-            yield pa.RecordBatch.from_pylist([{"bucket": -1, "source": bucket, "counts": stats.tobytes()}], schema)
-            a = b = 0
-            for i, w, p in zip(own, words, pairs):
-                of = word_at[a : a + len(w)]
-                levels = np.concatenate([word_level[of], pair_level[pair_at[b : b + len(p)]]])
-                yield pa.RecordBatch.from_pylist([{"bucket": chunks[i], "source": bucket, "levels": pa.compress(levels.tobytes(), "zstd", asbytes=True), "counts": _planes(word_total[of], "<u8")}], schema)
-                a, b = a + len(w), b + len(p)
+            held = made_filter((word_key, word_total), (pair_key, pair_total)).data.tobytes()
+            yield _batch([{"bucket": -1 - bucket, "source": bucket, "part": held, "counts": stats.tobytes()}], _REPLY)
+            a = 0
+            for i, w in zip(own, words):
+                if len(w):
+                    yield _batch([{"bucket": chunks[i], "source": bucket, "counts": _planes(word_total[word_at[a : a + len(w)]], "<u8")}], _REPLY)
+                a += len(w)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*((c, pa.binary()) for c in ("docs", "own", "pair")), ("tokens", pa.int64()), ("kinds", pa.int64()), ("mass", pa.float64())])
         for table_ in whole_buckets(batches):
-            if table_.column("bucket")[0].as_py() < 0:
-                found = [np.frombuffer(x, "<f8") for x in table_.column("counts").to_pylist()]
-                yield pa.RecordBatch.from_pylist([{"tokens": int(t), "kinds": int(k), "mass": m} for t, k, m in found], schema)
+            chunk, replies = table_.column("bucket")[0].as_py(), {r["source"]: r for r in table_.to_pylist()}
+            if chunk < 0:
+                (bucket, r), = replies.items()
+                tokens, kinds, mass = np.frombuffer(r["counts"], "<f8")
+                yield _batch([{"bucket": bucket, "segment": r["part"], "tokens": int(tokens), "kinds": int(kinds), "mass": mass}], _COUNTED)
                 continue
-            replies = {r["source"]: r for r in table_.to_pylist()}
-            packed = replies[-1]["levels"]
-            state = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
-            n_docs, n_names, n_tokens = np.frombuffer(state, "<i8", 3).tolist()
-            docs = np.frombuffer(state, _DOC, n_docs, 24).copy()
-            names = np.frombuffer(state, "<u8", n_names, 24 + docs.nbytes)
-            tokens = np.ascontiguousarray(np.frombuffer(state, np.uint8, 4 * n_tokens, 24 + docs.nbytes + names.nbytes).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
-            hashes, pair, groups = _asked(names, tokens, n_buckets)
-            levels, known = np.zeros(len(hashes), np.uint8), np.zeros(n_names, np.int64)
-            for b, words, pairs in groups:
-                at = np.concatenate([words, pairs])
-                levels[at] = np.frombuffer(pa.decompress(replies[b]["levels"], len(at), "zstd", asbytes=True), np.uint8)
+            names, tokens = _tokens(replies[-1]["part"])
+            docs = np.frombuffer(replies[-1]["counts"], _DOC).copy()
+            known = np.zeros(len(names), np.int64)
+            for b, words, _ in _asked(names, np.zeros(0, np.uint64), n_buckets):
                 known[words] = _from_planes(replies[b]["counts"], len(words), "<u8")
-            doc = np.repeat(np.arange(n_docs), docs["tokens"])
-            docs["known"] = np.bincount(doc[known[tokens] > 0], minlength=n_docs)
-            docs["base"] = np.bincount(doc, np.log10(known + 1.0)[tokens], n_docs)
-            yield pa.RecordBatch.from_pylist([{"docs": docs.tobytes(), "own": levels[tokens].tobytes(), "pair": levels[n_names + pair].tobytes()}], schema)
+            doc = np.repeat(np.arange(len(docs)), docs["tokens"])
+            docs["known"] = np.bincount(doc[known[tokens] > 0], minlength=len(docs))
+            docs["base"] = np.bincount(doc, np.log10(known + 1.0)[tokens], len(docs))
+            yield _batch([{"chunk": chunk, "docs": docs.tobytes(), "state": replies[-1]["part"]}], _COUNTED)
+
+    replies = _by_bucket(rows.mapInArrow(ask, _REQUEST), n_buckets).mapInArrow(answer, _REPLY)
+    return written(_by_bucket(replies, n_buckets).mapInArrow(gather, _COUNTED), "counted")
+
+
+def _probed(table: DataFrame, n_buckets: int) -> DataFrame:
+    """The levels of every token's word and pair by chunk, from a broadcast filter; its size is to be checked before."""
+    held = dict(table.where("segment is not null").select("bucket", "segment").collect())
+    parts = [np.frombuffer(held.get(b, bytes(8)), np.uint8) for b in range(n_buckets)]
+    shared = table.sparkSession.sparkContext.broadcast((np.concatenate(parts), np.array([8 * len(p) for p in parts], np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = Filter(*shared.value, n_buckets)
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, tokens = _tokens(row["state"])
+                pairs, pair = _pairs(names, tokens)
+                own, two = (filter_.levels(_narrow(h, kind), bucket_of(h, n_buckets)).astype(np.uint8) for h, kind in ((names, "word"), (pairs, "pair")))
+                yield _batch([{"docs": row["docs"], "own": own[tokens].tobytes(), "pair": two[pair].tobytes()}], _LEVELS)
+
+    return table.where("docs is not null").select("docs", "state").mapInArrow(run, _LEVELS)
+
+
+def _probed_by_segment(table: DataFrame, n_buckets: int) -> DataFrame:
+    """As :func:`_probed`, the n-grams sent to the segments of the filter that may hold them."""
+    question = "bucket int, chunk long, n_words int, n_pairs int, words binary, pairs binary, segment binary"
+    reply = "bucket long, source int, levels binary, docs binary, state binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["segment"] is not None:
+                    yield _batch([{"bucket": row["bucket"], "segment": row["segment"]}], question)
+                    continue
+                names, tokens = _tokens(row["state"])
+                pairs, _ = _pairs(names, tokens)
+                yield _batch([_message(b, row["chunk"], names[w], pairs[p]) for b, w, p in _asked(names, pairs, n_buckets)], question)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asked in whole_buckets(batches):
+            rows = asked.to_pylist()
+            data = np.frombuffer(next((r["segment"] for r in rows if r["segment"] is not None), bytes(8)), np.uint8)
+            filter_ = Filter(data, 8 * len(data), 1)
+            for r in rows:
+                if r["segment"] is None:
+                    levels = filter_.levels(np.concatenate([_keys(r["words"], r["n_words"]), _keys(r["pairs"], r["n_pairs"])]))
+                    yield _batch([{"bucket": r["chunk"], "source": r["bucket"], "levels": pa.compress(levels.astype(np.uint8).tobytes(), "zstd", asbytes=True)}], reply)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table_ in whole_buckets(batches):
+            replies = {r["source"]: r for r in table_.to_pylist()}
+            names, tokens = _tokens(replies[-1]["state"])
+            pairs, pair = _pairs(names, tokens)
+            own, two = np.zeros(len(names), np.uint8), np.zeros(len(pairs), np.uint8)
+            for b, w, p in _asked(names, pairs, n_buckets):
+                found = np.frombuffer(pa.decompress(replies[b]["levels"], len(w) + len(p), "zstd", asbytes=True), np.uint8)
+                own[w], two[p] = np.split(found, [len(w)])
+            yield _batch([{"docs": replies[-1]["docs"], "own": own[tokens].tobytes(), "pair": two[pair].tobytes()}], _LEVELS)
 
-    by_bucket = lambda rows: rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    replies = by_bucket(rows.mapInArrow(ask, _REQUEST)).mapInArrow(answer, _REPLY)
-    return written(by_bucket(replies).mapInArrow(gather, _LEVELS), "levels")
+    replies = _by_bucket(table.select("bucket", "chunk", "state", "segment").mapInArrow(ask, question), n_buckets).mapInArrow(answer, reply)
+    chunks = table.where("docs is not null").select(F.col("chunk").alias("bucket"), F.lit(-1).alias("source"), F.lit(None).cast("binary").alias("levels"), "docs", "state")
+    return _by_bucket(replies.unionByName(chunks), n_buckets).mapInArrow(gather, _LEVELS)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,11 +404,14 @@ def fit(levels: DataFrame, mass: float, kinds: int) -> list[float]:
     return mixture(_shares(found["code"].to_numpy(np.int64), mass, kinds, 1), found["n"].to_numpy(float))
 
 
-def scored(rows: DataFrame) -> DataFrame:
+def scored(rows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row that is scored: doc_id, n_tokens, n_known, train_tokens, base_score, score; rows are doc_id, text, scored, learnt."""
-    found = token_levels(rows.withColumn("doc_id", F.col("doc_id").cast("long")), shards(rows.sparkSession))
-    levels = found.where("docs is not null")
-    total, kinds, mass = found.where("docs is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum(F.col("mass").cast("decimal(38,1)")).cast("double"), F.lit(0.0))).first()
+    n_buckets = shards(rows.sparkSession)
+    table = counted(rows.withColumn("doc_id", F.col("doc_id").cast("long")), n_buckets)
+    sums = (F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", F.length("segment")))
+    total, kinds, held, mass = table.where("segment is not null").agg(*sums, F.coalesce(F.sum(F.col("mass").cast("decimal(38,1)")).cast("double"), F.lit(0.0))).first()
+    levels = written((_probed if held <= broadcast_bytes else _probed_by_segment)(table, n_buckets), "levels")
+    removed(table)
     weights = fit(levels, mass, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,16 +431,16 @@ def scored(rows: DataFrame) -> DataFrame:
     return levels.select("docs", "own", "pair").mapInArrow(run, _ROW)
 
 
-def score(documents: DataFrame, training: DataFrame) -> DataFrame:
+def score(documents: DataFrame, training: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score; learnt from ``training``."""
     given, learnt = (df.select("doc_id", "text", F.lit(x).alias("scored"), F.lit(not x).alias("learnt")) for df, x in ((documents, True), (training, False)))
-    return scored(given.unionByName(learnt))
+    return scored(given.unionByName(learnt), broadcast_bytes)
 
 
-def lm_scoring(documents: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
+def lm_scoring(documents: DataFrame, parts: int = 7, held: int = 2, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that are not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
-    rows = scored(documents.select("doc_id", "text", F.lit(True).alias("scored"), (~held_out).alias("learnt")))
+    rows = scored(documents.select("doc_id", "text", F.lit(True).alias("scored"), (~held_out).alias("learnt")), broadcast_bytes)
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
