@@ -7,8 +7,7 @@ totals are taken.  A filter then holds, for each n-gram of total c, the entries
 found again, but for the step, by probing levels until one is missing.  The filter
 is made where its n-grams meet, a segment a bucket, of ``BITS_PER_ENTRY`` bits for
 each entry, and written as a table: it grows with the training texts.  The chunks
-are written too, with the exact counts of their words, which only the add-one score
-needs.
+are written too; the exact counts of their words serve the add-one score alone.
 
 Probing: the model's score reads nothing but the filter.  Its size is measured; up
 to ``broadcast_bytes`` it is broadcast and each chunk probes it in place.  A greater
@@ -141,10 +140,11 @@ def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.nd
 
 # --- scores -------------------------------------------------------------------
 
-_REQUEST = "bucket int, chunk long, n_words int, n_pairs int, words binary, pairs binary, counts binary, state binary"
+_CHUNK = "chunk long, docs binary, state binary"
+_REQUEST = "bucket int, chunk long, n_words int, n_pairs int, words binary, pairs binary, counts binary"
 _REPLY = "bucket long, source int, part binary, counts binary"
-_COUNTED = "bucket int, chunk long, docs binary, state binary, segment binary, tokens long, kinds long, mass double"
-_LEVELS = "docs binary, own binary, pair binary"
+_COUNTED = "bucket int, chunk long, docs binary, segment binary, tokens long, kinds long, mass double"
+_LEVELS = "chunk long, docs binary, own binary, pair binary"
 _DOC = np.dtype([("id", "<i8"), ("none", "?"), ("scored", "?"), ("learnt", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 _ROW = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -227,14 +227,25 @@ def _batch(rows: list[dict], like: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds[t]) for c, t in (x.split() for x in like.split(", "))]))
 
 
-def counted(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """A written table of chunks (documents with the exact counts of their words, tokens) and of the filter's segments with their training tokens, distinct words and mass; rows are doc_id, text, scored, learnt.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: each holds a chunk, so no more than one is copied at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
-    A chunk is named by its task and turn, so the rows of ``rows`` are taken to
-    come in one order if a task runs again, as those of a stored table do.
+
+def _token_levels(chunk: int, docs: bytes, own: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+    return _batch([{"chunk": chunk, "docs": docs, "own": pa.compress(own.tobytes(), "zstd", asbytes=True), "pair": pa.compress(pair.tobytes(), "zstd", asbytes=True)}], _LEVELS)
+
+
+def counted(rows: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: chunks of documents and their tokens; the chunks' documents with the exact counts of their words, and the filter's segments with their training tokens, distinct words and mass.  Rows are doc_id, text, scored, learnt.
+
+    The chunks are written before they ask, so that a task that runs again, with its rows
+    in another order perhaps, changes no chunk that others have seen.
     """
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for part, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
             column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
@@ -246,32 +257,31 @@ def counted(rows: DataFrame, n_buckets: int) -> DataFrame:
             docs["id"], docs["none"] = column("doc_id").fill_null(0).to_numpy(), column("doc_id").is_null().to_numpy(zero_copy_only=False)
             docs["scored"], docs["learnt"] = (column(c).to_numpy(zero_copy_only=False) for c in ("scored", "learnt"))
             docs["tokens"] = np.bincount(doc, minlength=len(docs))
-            learnt = docs["learnt"][doc]
+            yield _batch([{"chunk": chunk, "docs": docs.tobytes(), "state": _packed_tokens(names, tokens)}], _CHUNK)
+            chunk += 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            names, tokens = _tokens(row["state"])
+            docs = np.frombuffer(row["docs"], _DOC)
+            learnt = np.repeat(docs["learnt"], docs["tokens"])
             pairs, pair = _pairs(names, tokens)
             word_n, pair_n = np.bincount(tokens[learnt], minlength=len(names)), np.bincount(pair[learnt], minlength=len(pairs))
             pairs, pair_n = pairs[pair_n > 0], pair_n[pair_n > 0]
-            out = [_message(b, chunk, names[w], pairs[p]) | {"counts": _planes(np.concatenate([word_n[w], pair_n[p]]), "<u4")} for b, w, p in _asked(names, pairs, n_buckets)]
-            yield _batch([*out, {"bucket": chunk % n_buckets, "chunk": chunk, "state": _packed_tokens(names, tokens), "words": docs.tobytes()}], _REQUEST)
-            chunk += 1
+            yield _batch([_message(b, row["chunk"], names[w], pairs[p]) | {"counts": _planes(np.concatenate([word_n[w], pair_n[p]]), "<u4")} for b, w, p in _asked(names, pairs, n_buckets)], _REQUEST)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for asked in whole_buckets(batches):
             bucket, column = asked.column("bucket")[0].as_py(), lambda c: asked.column(c).to_pylist()  # noqa: B023, E731
-            chunks, n_words, n_pairs, word_steps, pair_steps, counts, states = map(column, ("chunk", "n_words", "n_pairs", "words", "pairs", "counts", "state"))
-            words, pairs, word_n, pair_n, own = [], [], [], [], []
-            for i, state in enumerate(states):
-                if state is not None:
-                    yield _batch([{"bucket": chunks[i], "source": -1, "part": state, "counts": word_steps[i]}], _REPLY)
-                    continue
+            chunks, n_words, n_pairs, word_steps, pair_steps, counts = map(column, ("chunk", "n_words", "n_pairs", "words", "pairs", "counts"))
+            words, pairs, word_n, pair_n = [], [], [], []
+            for i in range(len(chunks)):
                 words.append(_keys(word_steps[i], n_words[i]))
                 pairs.append(_keys(pair_steps[i], n_pairs[i]))
                 n = _from_planes(counts[i], n_words[i] + n_pairs[i], "<u4")
                 word_n.append(n[: n_words[i]])
                 pair_n.append(n[n_words[i] :])
-                own.append(i)
-            if not own:
-                continue
-            del word_steps, pair_steps, counts, states
+            del word_steps, pair_steps, counts
             word_key, word_total, word_at = totals(np.concatenate(words), np.concatenate(word_n))
             pair_key, pair_total, _ = totals(np.concatenate(pairs), np.concatenate(pair_n))
             some = word_total > 0
@@ -279,9 +289,9 @@ def counted(rows: DataFrame, n_buckets: int) -> DataFrame:
             held = made_filter((word_key, word_total), (pair_key, pair_total)).data.tobytes()
             yield _batch([{"bucket": -1 - bucket, "source": bucket, "part": held, "counts": stats.tobytes()}], _REPLY)
             a = 0
-            for i, w in zip(own, words):
+            for chunk, w in zip(chunks, words):
                 if len(w):
-                    yield _batch([{"bucket": chunks[i], "source": bucket, "counts": _planes(word_total[word_at[a : a + len(w)]], "<u8")}], _REPLY)
+                    yield _batch([{"bucket": chunk, "source": bucket, "counts": _planes(word_total[word_at[a : a + len(w)]], "<u8")}], _REPLY)
                 a += len(w)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,44 +310,45 @@ def counted(rows: DataFrame, n_buckets: int) -> DataFrame:
             doc = np.repeat(np.arange(len(docs)), docs["tokens"])
             docs["known"] = np.bincount(doc[known[tokens] > 0], minlength=len(docs))
             docs["base"] = np.bincount(doc, np.log10(known + 1.0)[tokens], len(docs))
-            yield _batch([{"chunk": chunk, "docs": docs.tobytes(), "state": replies[-1]["part"]}], _COUNTED)
+            yield _batch([{"chunk": chunk, "docs": docs.tobytes()}], _COUNTED)
 
-    replies = _by_bucket(rows.mapInArrow(ask, _REQUEST), n_buckets).mapInArrow(answer, _REPLY)
-    return written(_by_bucket(replies, n_buckets).mapInArrow(gather, _COUNTED), "counted")
+    chunks = written(rows.mapInArrow(cut, _CHUNK), "chunks")
+    replies = _by_bucket(chunks.mapInArrow(ask, _REQUEST), n_buckets).mapInArrow(answer, _REPLY)
+    states = chunks.select(F.col("chunk").alias("bucket"), F.lit(-1).alias("source"), F.col("state").alias("part"), F.col("docs").alias("counts"))
+    return chunks, written(_by_bucket(replies.unionByName(states), n_buckets).mapInArrow(gather, _COUNTED), "counted")
 
 
-def _probed(table: DataFrame, n_buckets: int) -> DataFrame:
+def _probed(chunks: DataFrame, segments: DataFrame, n_buckets: int) -> DataFrame:
     """The levels of every token's word and pair by chunk, from a broadcast filter; its size is to be checked before."""
-    held = dict(table.where("segment is not null").select("bucket", "segment").collect())
-    parts = [np.frombuffer(held.get(b, bytes(8)), np.uint8) for b in range(n_buckets)]
-    shared = table.sparkSession.sparkContext.broadcast((np.concatenate(parts), np.array([8 * len(p) for p in parts], np.uint64)))
+    sizes = np.full(n_buckets, 8, np.int64)
+    for bucket, n in segments.select("bucket", F.length("segment")).collect():
+        sizes[bucket] = n
+    starts, data = np.cumsum(sizes) - sizes, np.zeros(sizes.sum(), np.uint8)
+    for bucket, part in segments.select("bucket", "segment").toLocalIterator():
+        data[starts[bucket] : starts[bucket] + sizes[bucket]] = np.frombuffer(part, np.uint8)
+    shared = chunks.sparkSession.sparkContext.broadcast((data, 8 * sizes.astype(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = Filter(*shared.value, n_buckets)
-        for batch in batches:
-            for row in batch.to_pylist():
-                names, tokens = _tokens(row["state"])
-                pairs, pair = _pairs(names, tokens)
-                own, two = (filter_.levels(_narrow(h, kind), bucket_of(h, n_buckets)).astype(np.uint8) for h, kind in ((names, "word"), (pairs, "pair")))
-                yield _batch([{"docs": row["docs"], "own": own[tokens].tobytes(), "pair": two[pair].tobytes()}], _LEVELS)
+        for row in _rows(batches):
+            names, tokens = _tokens(row["state"])
+            pairs, pair = _pairs(names, tokens)
+            own, two = (filter_.levels(_narrow(h, kind), bucket_of(h, n_buckets)).astype(np.uint8) for h, kind in ((names, "word"), (pairs, "pair")))
+            yield _token_levels(row["chunk"], row["docs"], own[tokens], two[pair])
 
-    return table.where("docs is not null").select("docs", "state").mapInArrow(run, _LEVELS)
+    return chunks.mapInArrow(run, _LEVELS)
 
 
-def _probed_by_segment(table: DataFrame, n_buckets: int) -> DataFrame:
+def _probed_by_segment(chunks: DataFrame, segments: DataFrame, n_buckets: int) -> DataFrame:
     """As :func:`_probed`, the n-grams sent to the segments of the filter that may hold them."""
     question = "bucket int, chunk long, n_words int, n_pairs int, words binary, pairs binary, segment binary"
     reply = "bucket long, source int, levels binary, docs binary, state binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["segment"] is not None:
-                    yield _batch([{"bucket": row["bucket"], "segment": row["segment"]}], question)
-                    continue
-                names, tokens = _tokens(row["state"])
-                pairs, _ = _pairs(names, tokens)
-                yield _batch([_message(b, row["chunk"], names[w], pairs[p]) for b, w, p in _asked(names, pairs, n_buckets)], question)
+        for row in _rows(batches):
+            names, tokens = _tokens(row["state"])
+            pairs, _ = _pairs(names, tokens)
+            yield _batch([_message(b, row["chunk"], names[w], pairs[p]) for b, w, p in _asked(names, pairs, n_buckets)], question)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for asked in whole_buckets(batches):
@@ -358,17 +369,18 @@ def _probed_by_segment(table: DataFrame, n_buckets: int) -> DataFrame:
             for b, w, p in _asked(names, pairs, n_buckets):
                 found = np.frombuffer(pa.decompress(replies[b]["levels"], len(w) + len(p), "zstd", asbytes=True), np.uint8)
                 own[w], two[p] = np.split(found, [len(w)])
-            yield _batch([{"docs": replies[-1]["docs"], "own": own[tokens].tobytes(), "pair": two[pair].tobytes()}], _LEVELS)
+            yield _token_levels(table_.column("bucket")[0].as_py(), replies[-1]["docs"], own[tokens], two[pair])
 
-    replies = _by_bucket(table.select("bucket", "chunk", "state", "segment").mapInArrow(ask, question), n_buckets).mapInArrow(answer, reply)
-    chunks = table.where("docs is not null").select(F.col("chunk").alias("bucket"), F.lit(-1).alias("source"), F.lit(None).cast("binary").alias("levels"), "docs", "state")
-    return _by_bucket(replies.unionByName(chunks), n_buckets).mapInArrow(gather, _LEVELS)
+    held = segments.select("bucket", "segment").mapInArrow(lambda batches: (_batch([row], question) for row in _rows(batches)), question)
+    replies = _by_bucket(chunks.mapInArrow(ask, question).unionByName(held), n_buckets).mapInArrow(answer, reply)
+    states = chunks.select(F.col("chunk").alias("bucket"), F.lit(-1).alias("source"), F.lit(None).cast("binary").alias("levels"), "docs", "state")
+    return _by_bucket(replies.unionByName(states), n_buckets).mapInArrow(gather, _LEVELS)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's documents, the document of each token, and its code: the levels of its pair, of the word before and of its own, a byte each."""
     docs = np.frombuffer(row["docs"], _DOC)
-    own, pair = (np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("own", "pair"))
+    own, pair = (np.frombuffer(pa.decompress(row[c], int(docs["tokens"].sum()), "zstd", asbytes=True), np.uint8).astype(np.int64) for c in ("own", "pair"))
     return docs, np.repeat(np.arange(len(docs)), docs["tokens"]), pair << 16 | np.concatenate([own[-1:], own[:-1]]) << 8 | own
 
 
@@ -394,11 +406,10 @@ def fit(levels: DataFrame, mass: float, kinds: int) -> list[float]:
     """The mixture's weights from all tokens of the texts that are learnt from; the number of tokens of each code reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                docs, doc, codes = _unpacked(row)
-                distinct, n = np.unique(codes[docs["learnt"][doc]], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"code": pa.array(distinct, pa.int64()), "n": pa.array(n, pa.int64())})
+        for row in _rows(batches):
+            docs, doc, codes = _unpacked(row)
+            distinct, n = np.unique(codes[docs["learnt"][doc]], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"code": pa.array(distinct, pa.int64()), "n": pa.array(n, pa.int64())})
 
     found = levels.select("docs", "own", "pair").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
     return mixture(_shares(found["code"].to_numpy(np.int64), mass, kinds, 1), found["n"].to_numpy(float))
@@ -407,28 +418,33 @@ def fit(levels: DataFrame, mass: float, kinds: int) -> list[float]:
 def scored(rows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row that is scored: doc_id, n_tokens, n_known, train_tokens, base_score, score; rows are doc_id, text, scored, learnt."""
     n_buckets = shards(rows.sparkSession)
-    table = counted(rows.withColumn("doc_id", F.col("doc_id").cast("long")), n_buckets)
+    chunks, table = counted(rows.withColumn("doc_id", F.col("doc_id").cast("long")), n_buckets)
+    segments = table.where("segment is not null")
     sums = (F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", F.length("segment")))
-    total, kinds, held, mass = table.where("segment is not null").agg(*sums, F.coalesce(F.sum(F.col("mass").cast("decimal(38,1)")).cast("double"), F.lit(0.0))).first()
-    levels = written((_probed if held <= broadcast_bytes else _probed_by_segment)(table, n_buckets), "levels")
-    removed(table)
+    total, kinds, held, mass = segments.agg(*sums, F.coalesce(F.sum(F.col("mass").cast("decimal(38,1)")).cast("double"), F.lit(0.0))).first()
+    levels = written((_probed if held <= broadcast_bytes else _probed_by_segment)(chunks, segments, n_buckets), "levels")
+    removed(chunks)
     weights = fit(levels, mass, kinds)
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            docs, doc, codes = _unpacked(row)
+            distinct, back = np.unique(codes, return_inverse=True)
+            found = np.bincount(doc, np.log10(_shares(distinct, mass, kinds) @ np.array(weights))[back], len(docs))
+            yield _batch([{"chunk": row["chunk"], "likely": found.tobytes()}], "chunk long, likely binary")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                docs, doc, codes = _unpacked(row)
-                distinct, back = np.unique(codes, return_inverse=True)
-                likely = np.bincount(doc, np.log10(_shares(distinct, mass, kinds) @ np.array(weights))[back], len(docs))
-                base = docs["base"] - docs["tokens"] * np.log10(float(total + kinds + 1))
-                out = docs["scored"]
-                docs = docs[out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs["id"], mask=docs["none"]), pa.array(docs["tokens"]), pa.array(docs["known"]), pa.array(np.full(len(docs), total, np.int64)), pa.array(base[out]), pa.array(likely[out])],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return levels.select("docs", "own", "pair").mapInArrow(run, _ROW)
+        for row in _rows(batches):
+            docs = np.frombuffer(row["docs"], _DOC)
+            out = docs["scored"]
+            found, docs = np.frombuffer(row["likely"], "<f8")[out], docs[out]
+            base = docs["base"] - docs["tokens"] * np.log10(float(total + kinds + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs["id"], mask=docs["none"]), pa.array(docs["tokens"]), pa.array(docs["known"]), pa.array(np.full(len(docs), total, np.int64)), pa.array(base), pa.array(found)],
+                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return table.where("docs is not null").select("chunk", "docs").join(levels.mapInArrow(likely, "chunk long, likely binary"), "chunk").select("docs", "likely").mapInArrow(run, _ROW)
 
 
 def score(documents: DataFrame, training: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -107,11 +107,12 @@ def test_a_filter_too_large_to_broadcast_gives_the_same(spark, docs):
     """The levels come from the broadcast filter or from its segments; the exact counts are not read."""
     rows = {way: sorted(map(tuple, lm_scoring.lm_scoring(docs, broadcast_bytes=bound).collect())) for way, bound in (("broadcast", 1 << 30), ("segments", 0))}
     assert rows["broadcast"] == rows["segments"] and len({r[-1] for r in rows["segments"]}) > 10
-    table = lm_scoring.counted(docs.selectExpr("doc_id", "text", "true scored", "doc_id % 2 = 0 learnt"), 7)
-    levels = {way.__name__: sorted(map(tuple, way(table, 7).collect())) for way in (lm_scoring._probed, lm_scoring._probed_by_segment)}
+    chunks, table = lm_scoring.counted(docs.selectExpr("doc_id", "text", "true scored", "doc_id % 2 = 0 learnt"), 7)
+    segments = table.where("segment is not null")
+    levels = {way.__name__: sorted(map(tuple, way(chunks, segments, 7).collect())) for way in (lm_scoring._probed, lm_scoring._probed_by_segment)}
     assert levels["_probed"] == levels["_probed_by_segment"]
-    empty = table.withColumn("segment", F.when(F.col("segment").isNotNull(), F.lit(bytes(8))))
-    assert not any(any(r["own"]) or any(r["pair"]) for r in lm_scoring._probed(empty, 7).collect())  # an empty filter knows nothing
+    empty = segments.withColumn("segment", F.lit(bytes(8)))
+    assert not any(lm_scoring._unpacked(r.asDict())[2].any() for r in lm_scoring._probed(chunks, empty, 7).collect())  # an empty filter knows nothing
 
 
 
