@@ -11,9 +11,8 @@ are written too; the exact counts of their words serve the add-one score alone.
 
 Probing: the levels that make the model's score come from the filter alone; besides
 them it reads the number of distinct words and the sum of their levels' counts.  The
-filter's size is measured; up
-to ``broadcast_bytes`` it is broadcast and each chunk probes it in place.  A greater
-one stays in its segments: each chunk sends a segment the n-grams that may be in it
+filter's size is measured; up to ``broadcast_bytes`` it is broadcast and each chunk
+probes it in place.  A greater one stays in its segments: each chunk sends a segment the n-grams that may be in it
 and gets their levels back.  Both ways give the same levels.
 
 The model mixes pair, word and uniform probabilities with weights fitted by
