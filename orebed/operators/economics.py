@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import economics as E
-from .running import quantiles, running
+from .running import folded, quantiles, running
 from .stored import written
 
 
@@ -14,7 +14,7 @@ def net_present_value(schedule: DataFrame, blocks: DataFrame, value: str, rate:
     """Mined blocks' value by period, discounted (period 1 by one year), with its running sum."""
     flows = schedule.where("mined = 1").join(blocks.select(block, value), block, "left").groupBy(period).agg(F.sum(value).alias("cash_flow"), F.count(F.lit(1)).alias("blocks"))
     flows = flows.withColumn("discounted", F.col("cash_flow") * E.discount_factor(F.col(period), rate))
-    return flows.withColumn("npv", F.sum("discounted").over(Window.orderBy(period).rowsBetween(Window.unboundedPreceding, 0)))
+    return running(flows, [period], "discounted", "_before").withColumn("npv", F.coalesce(F.col("_before") + F.col("discounted"), F.col("discounted"))).drop("_before")
 
 
 def rates_of_return(flows: DataFrame, scenario: str, period: str, flow: str) -> DataFrame:
@@ -77,19 +77,15 @@ def greedy_schedule(blocks: DataFrame, capacity: float, order: list, tonnes: str
 
 
 def bucket_filled(units: DataFrame, capacity: float, group: str, order: list[str], tonnes: str = "tonnes") -> DataFrame:
-    """Periods per group with reset on overflow: a unit that does not fit opens the next period. The recurrence is a fold over the group's ordered array."""
-    item = F.struct(*order, tonnes, *(c for c in units.columns if c not in (group, tonnes, *order)))
-    rows = units.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    kind = rows.schema["_all"].dataType.elementType.simpleString()
-    start = F.struct(F.lit(1).alias("period"), F.lit(0.0).alias("used"), F.array().cast(f"array<struct<u:{kind},period:int>>").alias("out"))
+    """Periods per group with reset on overflow: a unit that does not fit opens the next period, an oversized one fills one alone; unknown tonnes count as none."""
 
-    def step(s, x):
-        fits = (s["used"] + x[tonnes] <= capacity) | (s["used"] == 0)
-        period = F.when(fits, s["period"]).otherwise(s["period"] + 1)
-        used = F.when(fits, s["used"]).otherwise(F.lit(0.0)) + x[tonnes]
-        return F.struct(period.alias("period"), used.cast("double").alias("used"), F.concat(s["out"], F.array(F.struct(x.alias("u"), period.alias("period")))).alias("out"))
+    def step(state, x):
+        used, t = state[0] if state else 0.0, x[0] or 0.0
+        opened = not (used + t <= capacity or used == 0)
+        return ((0.0 if opened else used) + t,), (int(opened),)
 
-    return rows.select(group, F.explode(F.aggregate("_all", start, step)["out"]).alias("_u")).select(group, "_u.u.*", "_u.period")
+    done = folded(units, [group], order, [F.col(tonnes).cast("double")], step, {"period": "int"}, counted="period")
+    return done.withColumn("period", F.col("period") + 1)
 
 
 def blended(records: DataFrame, by: list[str], tonnes: str = "tonnes", grades: str = "grades") -> DataFrame:
@@ -125,8 +121,9 @@ def ore_waste(blocks: DataFrame, rules: list[tuple[str, float]]) -> DataFrame:
 
 def allocated_trucks(routes: DataFrame, total_hours: float) -> DataFrame:
     """Truck hours by need, the largest first, until the fleet's hours are used up."""
-    before = F.coalesce(F.sum("required").over(Window.orderBy(F.desc("required"), "route").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return routes.withColumn("allocated", F.greatest(F.least(F.col("required"), F.lit(float(total_hours)) - before), F.lit(0.0)))
+    rows = running(routes, [F.desc("required"), "route"], F.col("required").cast("double"), "_before")
+    left = F.lit(float(total_hours)) - F.coalesce("_before", F.lit(0.0))
+    return rows.withColumn("allocated", F.greatest(F.least(F.col("required"), left), F.lit(0.0))).drop("_before")
 
 
 def emissions(activity: DataFrame, factors: DataFrame) -> DataFrame:

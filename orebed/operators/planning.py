@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import ranked, running
+from .running import folded, ranked, running
 from .stored import written
 
 
@@ -71,20 +71,27 @@ def pushbacks_by_value(shells: DataFrame, count: int) -> DataFrame:
 
 
 def shells_in_periods(shells: DataFrame, capacity: float, periods: int) -> DataFrame:
-    """Shells in order, a period of ``capacity`` tonnes at a time: a shell that does not fit opens the next period and is cut to its capacity; shells after the last period are left out. Shells are few."""
-    rows = shells.where("tonnes > 0").agg(F.array_sort(F.collect_list(F.struct("shell", F.col("tonnes").cast("double").alias("t")))).alias("_all"))
-    start = F.struct(F.lit(1).alias("p"), F.lit(float(capacity)).alias("left"), F.array().cast("array<struct<shell:bigint,period:int,tonnes:double>>").alias("out"))
-
-    def step(s, x):
-        fits, more = s["left"] >= x["t"], s["p"] < periods
-        p = F.when(fits | ~more, s["p"]).otherwise(s["p"] + 1)
-        left = F.when(fits | ~more, s["left"]).otherwise(F.lit(float(capacity)))
-        taken = F.least(x["t"], left)
-        row = F.array(F.struct(x["shell"].cast("bigint").alias("shell"), p.alias("period"), taken.alias("tonnes")))
-        used = fits | more
-        return F.struct(p.alias("p"), F.when(used, left - taken).otherwise(left).alias("left"), F.when(used, F.concat(s["out"], row)).otherwise(s["out"]).alias("out"))
-
-    return rows.select(F.inline(F.aggregate("_all", start, step)["out"]))
+    """Shells in order, a period of ``capacity`` tonnes at a time: a shell that does not fit opens the next period and is cut to its capacity; in the last period shells that do not fit are left out."""
+    capacity = float(capacity)
+
+    def opening(state, x):
+        room, opened = state[0] if state else capacity, 0
+        if x[0] > room:
+            room, opened = capacity, 1
+        taken = min(x[0], room)
+        return (room - taken,), (opened, taken)
+
+    def last(state, x):  # the shell that opens the last period is cut, but a first period is opened by none
+        room = state[0] if state else capacity
+        taken = min(x[0], room) if x[0] <= room or (state is None and periods > 1) else None
+        return (room - (taken or 0.0),), (taken,)
+
+    rows = shells.where("tonnes > 0").select(F.col("shell").cast("bigint").alias("shell"), F.col("tonnes").cast("double").alias("_t"))
+    rows = folded(rows, [], ["shell"], [F.col("_t")], opening, {"period": "int", "tonnes": "double"}, counted="period").withColumn("period", F.col("period") + 1)
+    rows = written(rows, "shells")
+    end = folded(rows.where(F.col("period") >= periods).select("shell", "_t"), [], ["shell"], [F.col("_t")], last, {"tonnes": "double"})
+    end = end.where("tonnes is not null").select("shell", F.lit(periods).alias("period"), "tonnes")
+    return rows.where(F.col("period") < periods).select("shell", "period", "tonnes").unionByName(end)
 
 
 def split_over(schedule: DataFrame, name: str, parts: list[str], out_of: int | None = None) -> DataFrame:

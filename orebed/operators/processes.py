@@ -1,22 +1,25 @@
-"""Recurrences over periods, each a fold over one unit's ordered array: ponds, caves, backfill, disturbance."""
+"""Recurrences over periods: ponds, caves, backfill, disturbance."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import folded, running
+
 
 def water_balance(flows: DataFrame, start: float, capacity: float) -> DataFrame:
-    """Per node: period, stored, spill; of inflow and outflow a period, the store kept between 0 and ``capacity``."""
-    rows = flows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("period", F.col("inflow").cast("double").alias("inflow"), F.col("outflow").cast("double").alias("outflow")))).alias("_f"))
-    kind = f"array<struct<period:{flows.schema['period'].dataType.simpleString()},stored:double,spill:double>>"
+    """Per node: period, stored, spill; of inflow and outflow a period, the store kept between 0 and ``capacity``. An unknown flow empties the store."""
 
-    def step(done, x):
-        before = F.coalesce(F.try_element_at(done, F.lit(-1))["stored"], F.lit(float(start)))
-        wanted = F.greatest(before + x["inflow"] - x["outflow"], F.lit(0.0))
-        return F.concat(done, F.array(F.struct(x["period"].alias("period"), F.least(wanted, F.lit(float(capacity))).alias("stored"), F.greatest(wanted - capacity, F.lit(0.0)).alias("spill"))))
+    def step(state, x):
+        change = None if x[0] is None or x[1] is None else (state[0] if state else start) + x[0] - x[1]
+        wanted = max(change, 0.0) if change is not None else 0.0
+        return (min(wanted, capacity),), (min(wanted, capacity), max(wanted - capacity, 0.0))
 
-    return rows.select("node", F.explode(F.aggregate("_f", F.array().cast(kind), step)).alias("_s")).select("node", "_s.*")
+    start, capacity = float(start), float(capacity)
+    rows = flows.select("node", "period", F.col("inflow").cast("double").alias("inflow"), F.col("outflow").cast("double").alias("outflow"))
+    done = folded(rows, ["node"], ["period"], [F.col("inflow"), F.col("outflow")], step, {"stored": "double", "spill": "double"})
+    return done.select("node", "period", "stored", "spill")
 
 
 def cave_draw(points: DataFrame, periods: int, rate: float) -> DataFrame:
@@ -28,7 +31,7 @@ def cave_draw(points: DataFrame, periods: int, rate: float) -> DataFrame:
 def void_series(mined: DataFrame, filled: DataFrame) -> DataFrame:
     """Open void by period: running mined less filled volume."""
     both = mined.select("period", F.col("volume").alias("v")).unionByName(filled.select("period", (-F.col("volume")).alias("v"))).groupBy("period").agg(F.sum("v").alias("change"))
-    return both.withColumn("void", F.sum("change").over(Window.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(both, ["period"], "change", "_void").withColumn("void", F.coalesce("_void", F.lit(0.0)) + F.coalesce("change", F.lit(0.0))).drop("_void")
 
 
 def waste_rock(schedule: DataFrame, strip_ratio: float, density: float, acid_share: float) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import folded
+
 HOLE = "hole_id"
 
 
@@ -96,23 +98,25 @@ def duplicates_check(assays: DataFrame, grade: str, tolerance: float) -> DataFra
 
 
 def fixed_intervals(rows: DataFrame, collar_rows: DataFrame, snap: float = 0.10, least: float = 0.01) -> DataFrame:
-    """Intervals repaired in order down each hole: empty ones get ``least`` length, starts within ``snap`` of (or above) the repaired end before move onto it, ends stop at the hole's depth.
-
-    A start depends on the repaired end before it, so this is a fold over the hole's ordered array.
-    """
-    item = F.struct("depth_from", "depth_to", *(c for c in rows.columns if c not in (HOLE, "depth_from", "depth_to")))
-    holes = rows.groupBy(HOLE).agg(F.array_sort(F.collect_list(item)).alias("_all")).join(collar_rows.select(HOLE, F.col("length").alias("_td")), HOLE, "left")
-    kind = holes.schema["_all"].dataType.simpleString()
-
-    def step(done: Column, x: Column) -> Column:
-        prev = F.when(F.size(done) > 0, F.element_at(done, -1)["depth_to"])
-        start = F.when(prev.isNotNull() & (x["depth_from"] - prev <= snap), prev).otherwise(x["depth_from"])
-        stop = F.when(x["depth_to"] <= start, start + least).otherwise(x["depth_to"])
-        stop = F.when(F.col("_td").isNotNull(), F.least(stop, F.greatest(F.col("_td"), start))).otherwise(stop)
-        return F.concat(done, F.array(x.withField("depth_from", start).withField("depth_to", stop)))
-
-    folded = holes.withColumn("_fixed", F.explode(F.aggregate("_all", F.array().cast(kind), step)))
-    return folded.select(HOLE, "_fixed.*")
+    """Intervals repaired in order down each hole: empty ones get ``least`` length, starts within ``snap`` of (or above) the repaired end before move onto it, ends stop at the hole's depth (the greatest of its collars)."""
+
+    def step(state, x):
+        start, stop, depth = x
+        before = state[0] if state else None
+        if before is not None and start is not None and start - before <= snap:
+            start = before
+        if stop is not None and start is not None and stop <= start:
+            stop = start + least
+        if depth is not None:
+            most = depth if start is None else max(depth, start)
+            stop = most if stop is None else min(stop, most)
+        return (stop,), (start, stop)
+
+    depths = collar_rows.groupBy(HOLE).agg(F.max("length").alias("_td"))
+    others = [c for c in rows.columns if c not in (HOLE, "depth_from", "depth_to")]
+    values = [F.col(c).cast("double") for c in ("depth_from", "depth_to", "_td")]
+    done = folded(rows.join(depths, HOLE, "left"), [HOLE], ["depth_from", "depth_to", *others], values, step, {"_start": "double", "_stop": "double"})
+    return done.select(HOLE, F.col("_start").cast(rows.schema["depth_from"].dataType).alias("depth_from"), F.col("_stop").cast(rows.schema["depth_to"].dataType).alias("depth_to"), *others)
 
 
 def fixed_surveys(rows: DataFrame, spacing: float = 30.0, low: float = -90.0, high: float = 90.0) -> DataFrame:
