@@ -49,6 +49,32 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p < 0.02425, edge).when(p > 1 - 0.02425, -edge).otherwise(q * poly(q * q, a) / poly(q * q, b))
 
 
+#: The published coefficients of the rational approximation of the normal distribution function, above and below.
+PROBABILITY = (
+    (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376),
+    (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752),
+)
+
+
+def normal_probability(z: Column) -> Column:
+    """Normal distribution function, rational approximation with an error below 1e-14; a continued fraction beyond 7 deviations."""
+    a, b = PROBABILITY
+    x = F.abs(z)
+
+    def poly(k) -> Column:
+        out = F.lit(k[0])
+        for v in k[1:]:
+            out = out * x + v
+        return out
+
+    density = F.exp(-x * x / 2)
+    far = x + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        far = x + F.lit(k) / far
+    tail = F.when(x < 7.07106781186547, density * poly(a) / poly(b)).otherwise(density / far / 2.506628274631)
+    return F.when(z > 0, 1 - tail).otherwise(tail)
+
+
 def normal_scores(df: DataFrame, value: str, weight: str | None = None, tie: str = "sample_id") -> DataFrame:
     """Normal scores by the middle of each value's step of the weighted distribution, ties by id; the running weight is two-level."""
     rows = df.where(F.col(value).isNotNull()).withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
