@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import around, quantiles, ranked, running
+from .spatial import AXES, within
 from .stored import written
 
 
@@ -260,3 +261,42 @@ def value_scenarios(grades: DataFrame, blocks: DataFrame, draws: DataFrame, rate
     per = grades.join(blocks.select("block_id", "tonnes", "period"), "block_id").groupBy("scenario", "period").agg(F.sum(F.col("tonnes") * F.col("grade")).alias("_m"), F.sum("tonnes").alias("_t"))
     flow = (F.col("_m") * F.col("recovery") * F.col("price") / 100 - F.col("_t") * (F.col("mining") + F.col("processing"))) * F.pow(F.lit(1.0 + rate), -F.col("period"))
     return per.crossJoin(draws).groupBy("scenario", "draw").agg(F.sum(flow).alias("npv"))
+
+
+def hazard_realisations(events: DataFrame, grid: DataFrame, radius: float, realisations: int, magnitude: str = "magnitude", place: float = 10.0, error: float = 0.2, power: float = 2.0, event_id: str = "event_id", grid_id: str = "block_id", seed: int = 1) -> DataFrame:
+    """grid_id, realisation, hazard: hazard volumes of catalogues whose places and magnitudes are drawn anew.
+
+    An event moves by normal draws of deviation ``place`` along each axis, its
+    magnitude by one of ``error`` (not below 0); draws are hashed from its id
+    and the realisation.  The hazard is the sum over events in reach of
+    10 ** magnitude / (distance + 1e-6) ** power, over the greatest of its
+    realisation.  Events without a magnitude or place are left out.
+    """
+    known = events.where(" and ".join(f"{c} is not null" for c in (*AXES, magnitude))).select(event_id, *AXES, F.col(magnitude).cast("double").alias("_m"))
+    rows = known.withColumn("realisation", F.explode(F.sequence(F.lit(0), F.lit(realisations - 1))))
+    draw = lambda k: standard_normal(seed + k, F.col("realisation"), F.col(event_id))
+    moved = {a: F.col(a) + place * draw(k) for k, a in enumerate(AXES)}
+    rows = rows.withColumns(moved).withColumn("_m", F.greatest(F.col("_m") + error * draw(3), F.lit(0.0)))
+    top = rows.agg(F.max("_m").alias("_top"))  # one row; a factor common to all does not change a hazard
+    rows = rows.crossJoin(F.broadcast(top)).withColumn("_w", F.pow(F.lit(10.0), F.col("_m") - F.col("_top")))
+    near = within(grid, rows, radius, grid_id, event_id, ["realisation", "_w"])
+    sums = near.groupBy("target", "realisation").agg(F.sum(F.col("_w") / F.pow(F.col("distance") + 1e-6, F.lit(float(power)))).alias("_v"))
+    sums = written(sums, "hazards")
+    greatest = sums.groupBy("realisation").agg(F.max("_v").alias("_greatest"))
+    sums = sums.join(F.broadcast(greatest) if realisations <= 10_000 else greatest, "realisation")
+    frame = grid.select(F.col(grid_id).alias("target"), F.explode(F.sequence(F.lit(0), F.lit(realisations - 1))).alias("realisation"))
+    out = frame.join(sums, ["target", "realisation"], "left")
+    return out.select(F.col("target").alias(grid_id), "realisation", F.coalesce(F.col("_v") / F.col("_greatest"), F.lit(0.0)).alias("hazard"))
+
+
+def hazard_by_node(volumes: DataFrame, threshold: float, grid_id: str = "block_id") -> DataFrame:
+    """Of each node mean, deviation (of the population) and greatest hazard, and the share of realisations at or above a threshold."""
+    h = F.col("hazard")
+    return volumes.groupBy(grid_id).agg(F.avg(h).alias("mean"), F.stddev_pop(h).alias("deviation"), F.max(h).alias("greatest"), F.avg((h >= threshold).cast("double")).alias("exceedance"))
+
+
+def hazard_summary(volumes: DataFrame) -> DataFrame:
+    """One row over all nodes and realisations: mean, deviation, least, greatest, p10, p50, p90."""
+    spread = quantiles(volumes, "hazard", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    whole = volumes.agg(F.avg("hazard").alias("mean"), F.stddev_pop("hazard").alias("deviation"), F.min("hazard").alias("least"), F.max("hazard").alias("greatest"))
+    return whole.crossJoin(F.broadcast(spread))

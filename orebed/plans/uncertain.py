@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import kriging, simulation, soft
+from ..operators import checks, kriging, simulation, soft
 from ..operators.stored import shared_folder
 from . import tables as V
 from .exchange import _NEAREST
 from .queries import _DIST, _MODEL, query, r, rounded
-from .workflows import _NEAR, _TWO, _cov
+from .workflows import _NEAR, _TWO, _between, _cov, _normal, _u
 
 
 def _soft(spark, sf_dir):
@@ -86,3 +86,99 @@ def soft_points_of_files(spark, sf_dir):
     path = f"{shared_folder(spark)}/soft-{uuid.uuid4().hex}"
     _soft(spark, sf_dir).select("soft_id", F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"), F.col("mean").alias("Grade"), F.sqrt("variance").alias("StdDev")).write.csv(path, header=True)
     return rounded(soft.read(spark, path, "soft_id"))
+
+
+# --- assembled tables ---------------------------------------------------------------
+
+_ASSAYS = V.LOGGED + ", assays AS (SELECT hole_id, CASE WHEN grade = 4 THEN NULL ELSE depth_from - CASE WHEN hole_id % 9 = 0 THEN 20 ELSE 0 END END AS depth_from, CASE WHEN grade = 6 AND density > 2.5 THEN NULL ELSE depth_to END AS depth_to, grade, density, CASE WHEN grade IN (2, 7) THEN lith_code END AS lith_code FROM logged), wrong AS (SELECT DISTINCT hole_id FROM assays WHERE hole_id % 17 = 5)"
+_REASON = "CASE WHEN hole_id IN (FROM wrong) THEN 'validation_error' WHEN depth_from IS NULL THEN 'missing_from_depth' WHEN depth_to IS NULL THEN 'missing_to_depth' WHEN depth_to <= depth_from THEN 'zero_or_negative_length' WHEN depth_from < 0 OR depth_to < 0 THEN 'negative_depth' END"
+
+
+def _assembled(spark, sf_dir):
+    """Field assays, some without depths and most without a code, beside whole logs."""
+    g, hole = F.col("grade"), F.col("hole_id")
+    moved = F.when(g != 4, F.col("depth_from") - F.when(hole % 9 == 0, 20).otherwise(0))
+    rows = V.logged(spark, sf_dir).withColumns({"depth_from": moved, "depth_to": F.when(~((g == 6) & (F.col("density") > 2.5)), F.col("depth_to")), "lith_code": F.when(g.isin(2, 7), F.col("lith_code"))})
+    return checks.assembled(rows, V.intervals(spark, sf_dir), bad=rows.where(hole % 17 == 5), key=["hole_id"])
+
+
+@query(f"""WITH {_ASSAYS}, fine AS (SELECT *, row_number() OVER () AS id FROM assays WHERE ({_REASON}) IS NULL), near AS (SELECT f.id, m.lith_code AS code, row_number() OVER (PARTITION BY f.id ORDER BY abs((f.depth_from + f.depth_to) / 2 - (m.depth_from + m.depth_to) / 2), m.depth_from + m.depth_to) AS k FROM fine f JOIN intervals m USING (hole_id))
+ SELECT hole_id, {r('depth_from', 'depth_from')}, {r('depth_to', 'depth_to')}, grade, coalesce(lith_code, code) AS lith_code FROM fine JOIN near USING (id) WHERE k = 1""")
+def assembled_intervals(spark, sf_dir):
+    return rounded(_assembled(spark, sf_dir)[0].select("hole_id", "depth_from", "depth_to", "grade", "lith_code"))
+
+
+@query(f"WITH {_ASSAYS} SELECT {_REASON} AS reason, count(*) AS n FROM assays WHERE ({_REASON}) IS NOT NULL GROUP BY 1")
+def excluded_assays(spark, sf_dir):
+    return _assembled(spark, sf_dir)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {V.LOGGED}, d AS (SELECT hole_id, depth_from - lag(depth_to) OVER (PARTITION BY hole_id ORDER BY depth_from, depth_to) AS d FROM logged) SELECT hole_id, count(*) FILTER (d > 0.001) AS gaps, count(*) FILTER (d < -0.001) AS overlaps FROM d GROUP BY 1 HAVING count(*) FILTER (abs(d) > 0.001) > 0")
+def interval_breaks(spark, sf_dir):
+    return checks.breaks(V.logged(spark, sf_dir))
+
+
+# --- places, series, slopes, held-out samples -----------------------------------------
+
+_APART = "(t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y)"
+
+
+@query(f"""WITH {V.TARGETS}, {V.SAMPLES}, t AS (SELECT * FROM samples WHERE value > 30 ORDER BY {_u(42, 'sample_id')}, sample_id LIMIT 12), n AS (SELECT t.sample_id, s.block_id, t.x, t.y, t.z, s.x AS surface_x, s.y AS surface_y, s.z AS surface_z, {_DIST} AS distance, abs(t.z - s.z) AS vertical, sqrt({_APART}) AS horizontal, row_number() OVER (PARTITION BY t.sample_id ORDER BY {_DIST}, s.block_id) AS k FROM t, targets s)
+ SELECT sample_id, block_id, x, y, z, surface_x, surface_y, surface_z, {r('distance', 'distance')}, vertical, {r('horizontal', 'horizontal')} FROM n WHERE k = 1""")
+def surface_spot_checks(spark, sf_dir):
+    """Twelve samples beside the nearest of the surface's vertices."""
+    return rounded(checks.spot_checks(V.samples(spark, sf_dir), V.targets(spark, sf_dir), 12, "sample_id", "block_id", F.col("value") > 30))
+
+
+_DIGS = [("d1", True, (110.0, 60.0, 410.0, 310.0)), ("d2", False, (360.0, 210.0, 660.0, 440.0))]
+
+
+@query(f"""WITH {V.BLOCKS}, digs AS (SELECT 'd1' AS id, 'ore' AS material, 110 AS x0, 60 AS y0, 410 AS x1, 310 AS y1 UNION ALL SELECT 'd2', 'waste', 360, 210, 660, 440)
+ SELECT 'long_model' AS source, period::VARCHAR AS period, 'ore' AS material, {r('sum(density * 6250)', 'tonnes', 2)}, {r('avg(grade)', 'grade')}, {r('avg(grade2)', 'grade2')} FROM blocks GROUP BY period
+ UNION ALL SELECT 'gc_model', id, material, {r('sum(density * 6250)', 'tonnes', 2)}, {r('avg(grade)', 'grade')}, {r('avg(grade2)', 'grade2')} FROM blocks JOIN digs ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY id, material
+ UNION ALL SELECT 'mined', period::VARCHAR, domain, {r('sum(tonnes)', 'tonnes', 2)}, {r('max(grade)', 'grade')}, {r('min(grade2)', 'grade2')} FROM blocks GROUP BY period, domain""")
+def mine_series(spark, sf_dir):
+    blocks = V.blocks(spark, sf_dir)
+    sized = blocks.withColumn("volume", F.lit(6250.0))
+    mined = blocks.groupBy("period", F.col("domain").alias("material")).agg(F.sum("tonnes").alias("tonnes"), F.max("grade").alias("grade"), F.min("grade2").alias("grade2"))
+    rings = [(i, ore, [(a, b), (c, b), (c, d), (a, d)]) for i, ore, (a, b, c, d) in _DIGS]
+    return rounded(checks.mine_series(["grade", "grade2"], sized, mined, sized, rings)).withColumn("tonnes", F.round("tonnes", 2))
+
+
+_SLOPES = "slopes AS (SELECT ['A', 'N', 'R'][sample_id % 3 + 1] AS domain, value / 40 AS fos, CASE WHEN sample_id % 4 = 0 AND sample_id % 3 < 2 THEN value / 100 END AS probability FROM samples)"
+
+
+@query(f"WITH {V.BLOCKS}, {V.SAMPLES}, {_SLOPES}, p AS (SELECT DISTINCT period, domain FROM blocks) SELECT period, {r('min(fos)', 'min_fos')}, {r('coalesce(avg(probability), avg((fos < 1)::INT))', 'failure_probability')} FROM p LEFT JOIN slopes USING (domain) GROUP BY period")
+def slope_periods(spark, sf_dir):
+    key = F.col("sample_id")
+    domain = F.when(key % 3 == 0, "A").when(key % 3 == 1, "N").otherwise("R")
+    results = V.samples(spark, sf_dir).select(domain.alias("domain"), (F.col("value") / 40).alias("fos"), F.when((key % 4 == 0) & (key % 3 < 2), F.col("value") / 100).alias("probability"))
+    return rounded(checks.slope_periods(V.blocks(spark, sf_dir), results, ["domain"]))
+
+
+@query(f"""WITH {V.SAMPLES}, k AS (SELECT *, {_u(1, 'sample_id')} < 0.2 AS test FROM samples), n AS (SELECT t.sample_id AS id, t.value AS actual, s.x, s.y, s.z, s.value, {_DIST} AS d, row_number() OVER (PARTITION BY t.sample_id ORDER BY {_DIST}, s.sample_id) AS k FROM k t JOIN k s ON t.test AND NOT s.test),
+ e AS (SELECT a.id, a.actual, CASE WHEN {_between('a', 'b')} = 0 THEN 0 ELSE (b.value * a.d + a.value * b.d) / {_between('a', 'b')} END AS e FROM n a JOIN n b ON a.id = b.id AND a.k = 1 AND b.k = 2) SELECT count(*) AS n, {r('avg(abs(actual - e))', 'mae')}, {r('sqrt(avg((actual - e) ** 2))', 'rmse')}, {r('1 - sum((actual - e) ** 2) / (var_pop(actual) * count(*))', 'r2')} FROM e""")
+def held_out_radial(spark, sf_dir):
+    return rounded(checks.held_out(V.samples(spark, sf_dir), "value", k=2)[1])
+
+
+# --- hazard under uncertain catalogues ------------------------------------------------
+
+_HAZARDS = f"""moved AS (SELECT sample_id, i AS realisation, x + 10::DOUBLE * {_normal(1, 'i', 'sample_id')} AS x, y + 10::DOUBLE * {_normal(2, 'i', 'sample_id')} AS y, z + 10::DOUBLE * {_normal(3, 'i', 'sample_id')} AS z, greatest(value / 20 + 0.2::DOUBLE * {_normal(4, 'i', 'sample_id')}, 0) AS m FROM samples, (SELECT unnest(range(6)) AS i)),
+ sums AS (SELECT block_id, realisation, sum(pow(10::DOUBLE, m) / ({_DIST} + 1e-6) ** 2) AS v FROM targets t JOIN moved s ON {_DIST} <= 90 GROUP BY 1, 2), tops AS (SELECT realisation, max(v) AS top FROM sums GROUP BY 1),
+ volumes AS (SELECT f.block_id, f.realisation, coalesce(v / top, 0) AS h FROM (SELECT block_id, unnest(range(6)) AS realisation FROM targets) f LEFT JOIN sums s ON s.block_id = f.block_id AND s.realisation = f.realisation LEFT JOIN tops p ON p.realisation = f.realisation)"""
+
+
+def _volumes(spark, sf_dir):
+    events = V.samples(spark, sf_dir).withColumn("magnitude", F.col("value") / 20)
+    return simulation.hazard_realisations(events, V.targets(spark, sf_dir), 90.0, 6, event_id="sample_id")
+
+
+@query(f"WITH {V.TARGETS}, {V.SAMPLES}, {_HAZARDS} SELECT block_id, {r('avg(h)', 'mean', 6)}, {r('stddev_pop(h)', 'deviation', 6)}, {r('max(h)', 'greatest', 6)}, {r('avg((h >= 0.05)::INT)', 'exceedance', 6)} FROM volumes GROUP BY 1")
+def hazard_realisations(spark, sf_dir):
+    return rounded(simulation.hazard_by_node(_volumes(spark, sf_dir), 0.05), 6)
+
+
+@query(f"WITH {V.TARGETS}, {V.SAMPLES}, {_HAZARDS} SELECT {r('avg(h)', 'mean', 6)}, {r('stddev_pop(h)', 'deviation', 6)}, {r('min(h)', 'least', 6)}, {r('max(h)', 'greatest', 6)}, {r('quantile_cont(h, 0.1)', 'p10', 6)}, {r('quantile_cont(h, 0.5)', 'p50', 6)}, {r('quantile_cont(h, 0.9)', 'p90', 6)} FROM volumes")
+def hazard_uncertainty(spark, sf_dir):
+    return rounded(simulation.hazard_summary(_volumes(spark, sf_dir)), 6)
