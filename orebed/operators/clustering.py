@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stored import written
 from .components import components
-from .spatial import cluster_cells, pairs
+from .spatial import AXES
+from .stored import written
+
+_CELL, _PART = ["_cx", "_cy", "_cz"], ["_px", "_py", "_pz"]
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 1) -> DataFrame:
@@ -36,18 +41,64 @@ def connected(edges: DataFrame) -> DataFrame:
     return nodes.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _near(rows: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """Rows beside the others (columns prefixed o_) of the cells up to two away that lie within the radius."""
+    steps = F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip(_CELL, o))) for o in product(range(-2, 3), repeat=3)))
+    spread = rows.withColumn("_o", F.explode(steps)).withColumns({c: F.col(c) + F.col(f"_o.{c}") for c in _CELL}).drop("_o")
+    both = spread.join(others.withColumnsRenamed({c: f"o_{c}" for c in others.columns if c not in _CELL}), _CELL).drop(*_CELL)
+    return both.where(F.sqrt(sum(((F.col(a) - F.col(f"o_{a}")) * (F.col(a) - F.col(f"o_{a}")) for a in AXES), F.lit(0.0))) <= radius)
+
+
+def _linked_cells(core: DataFrame, radius: float) -> DataFrame:
+    """u, v: least ids of the cells that have core points within the radius of each other.
+
+    The bounds of the points in the sixty-four parts of a cell decide most pairs
+    of cells; only parts that may or may not reach each other, of cells that no
+    other parts link, are compared point by point, equal places once.
+    """
+    own = core.groupBy(*_CELL).agg(F.min("id").alias("least"))
+    bounds = [f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    parts = core.groupBy(*_CELL, *_PART).agg(*bounds).join(own, _CELL)
+    ahead = [o for o in product(range(-2, 3), repeat=3) if o > (0, 0, 0)]
+    steps = F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip(_CELL, o))) for o in ahead))
+    left = parts.withColumn("_o", F.explode(steps)).withColumns({c: F.col(c) + F.col(f"_o.{c}") for c in _CELL}).drop("_o")
+    both = left.join(parts.withColumnsRenamed({c: f"o_{c}" for c in parts.columns if c not in _CELL}), _CELL)
+    length = lambda sides: F.sqrt(sum((d * d for d in sides), F.lit(0.0)))
+    apart = [(F.col(f"o_lo_{a}") - F.col(f"hi_{a}"), F.col(f"lo_{a}") - F.col(f"o_hi_{a}")) for a in AXES]
+    across = [(F.col(f"o_hi_{a}") - F.col(f"lo_{a}"), F.col(f"hi_{a}") - F.col(f"o_lo_{a}")) for a in AXES]
+    both = both.where(length([F.greatest(F.lit(0.0), *d) for d in apart]) <= radius).withColumn("sure", length([F.greatest(*d) for d in across]) <= radius)
+    both = written(both.select(F.col("least").alias("u"), F.col("o_least").alias("v"), *_PART, *(f"o_{c}" for c in _PART), "sure"), "parts")
+    sure = both.where("sure").select("u", "v").distinct()
+    open_ = both.where("not sure").join(sure, ["u", "v"], "left_anti")
+    places = core.select(*_PART, *AXES).distinct()
+    met = open_.join(places, _PART).join(places.withColumnsRenamed({c: f"o_{c}" for c in places.columns}), [f"o_{c}" for c in _PART])
+    met = met.where(length([F.col(a) - F.col(f"o_{a}") for a in AXES]) <= radius)
+    return sure.unionByName(met.select("u", "v").distinct())
+
+
 def density_clusters(points: DataFrame, point_id: str, radius: float, least: int) -> DataFrame:
-    """Clusters of core points (``least`` points within ``radius``) that reach each other, with the border points at their least core neighbour's cluster; -1 is noise."""
-    rated = cluster_cells(points, point_id, radius, least).where("core").select(F.col(point_id).alias("c"))
-    near = pairs(points, radius, point_id).select("i", "j")
-    links = near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    from_core = links.join(rated.withColumnRenamed("c", "i"), "i")
-    core_edges = from_core.join(rated.withColumnRenamed("c", "j"), "j").select(F.col("i").alias("u"), F.col("j").alias("v"))
-    own = rated.select(F.col("c").alias("u"), F.col("c").alias("v"))
-    groups = connected(core_edges.unionByName(own))
-    border = from_core.join(groups.withColumnRenamed("node", "i"), "i").groupBy("j").agg(F.min_by("component", "i").alias("_b"))
-    out = points.select(point_id).join(groups.withColumnRenamed("node", point_id), point_id, "left").join(border.withColumnRenamed("j", point_id), point_id, "left")
-    return out.select(point_id, F.coalesce("component", "_b", F.lit(-1)).alias("cluster"))
+    """Clusters of core points (``least`` points within ``radius``, themselves included) that reach each other, with the border points at their least core neighbour's cluster; -1 is noise, and points without a place are noise.
+
+    Points are put in cells in which all are within reach of each other, so the
+    points of a cell with ``least`` are core, the core points of a cell are one
+    cluster, and links are between cells.  Only points of emptier cells, less
+    than ``least`` a cell, are compared with those around them one by one.
+    """
+    side = radius / math.sqrt(3) * (1 - 1e-9)
+    rows = points.select(F.col(point_id).alias("id"), *(F.col(a).cast("double").alias(a) for a in AXES)).where(" and ".join(f"{a} is not null and not isnan({a})" for a in AXES))
+    rows = rows.withColumns({p: F.floor(F.col(a) / side * 4).cast("long") for p, a in zip(_PART, AXES)})
+    rows = rows.withColumns({c: F.floor(F.col(p) / 4).cast("long") for c, p in zip(_CELL, _PART)})
+    rows = written(rows.join(rows.groupBy(*_CELL).agg((F.count(F.lit(1)) >= least).alias("full")), _CELL), "cells")
+    thin = rows.where("not full").drop("full", *_PART)
+    counted = _near(thin, rows.select("id", *AXES, *_CELL), radius).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    core = rows.where("full").drop("full").unionByName(rows.where("not full").drop("full").join(counted.where(F.col("_n") >= least), "id", "left_semi"))
+    core = written(core, "core")
+    own = core.groupBy(*_CELL).agg(F.min("id").alias("node"))
+    groups = connected(_linked_cells(core, radius).unionByName(own.select(F.col("node").alias("u"), F.col("node").alias("v"))))
+    core = written(core.join(own, _CELL).join(groups, "node").drop("node", *_PART), "grouped")
+    border = _near(thin.join(core.select("id"), "id", "left_anti"), core, radius).groupBy("id").agg(F.min_by("o_component", "o_id").alias("component"))
+    found = core.select("id", "component").unionByName(border).withColumnRenamed("id", point_id)
+    return points.select(point_id).join(found, point_id, "left").select(point_id, F.coalesce("component", F.lit(-1)).alias("cluster"))
 
 
 def outlying_points(points: DataFrame, point_id: str, k: int, sigmas: float = 2.0) -> DataFrame:

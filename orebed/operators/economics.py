@@ -37,11 +37,20 @@ def best_cutoff(economics: DataFrame, target: str = "npv") -> DataFrame:
     return economics.agg(F.max_by("cutoff", target).alias("cutoff"), F.max(target).alias(target))
 
 
-def best_route(blocks: DataFrame, routes: DataFrame, block_id: str) -> DataFrame:
-    """The route of highest value of every block; routes are a table with recovery, price, cost, factor. Spark broadcasts the smaller side where it is small."""
-    worth = (F.col("grade") * F.col("recovery") * F.col("price") - F.col("cost")) * F.col("factor")
-    pairs = blocks.crossJoin(routes).withColumn("worth", worth * F.col("tonnes"))
-    return pairs.groupBy(block_id).agg(F.max_by("route", F.struct("worth", "route")).alias("route"), F.max("worth").alias("worth"))
+def best_route(blocks: DataFrame, routes: DataFrame, block_id: str, most: int = 10_000) -> DataFrame:
+    """The route of highest value of every block (of equals the greatest name); routes are a table with recovery, price, cost, factor, of ``most`` rows at most.
+
+    The routes are one row, an array, that every block looks through where it
+    is: nothing is shuffled and no block is repeated.  Without routes a block
+    has none.
+    """
+    known = routes.select("route", *(F.col(c).cast("double").alias(c) for c in ("recovery", "price", "cost", "factor")))
+    if known.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} routes")
+    listed = known.agg(F.collect_list(F.struct(*known.columns)).alias("_routes"))
+    worth = lambda r: (F.col("grade") * r["recovery"] * r["price"] - r["cost"]) * r["factor"] * F.col("tonnes")
+    best = F.array_max(F.transform("_routes", lambda r: F.struct(worth(r).alias("worth"), r["route"].alias("route"))))
+    return blocks.crossJoin(F.broadcast(listed)).withColumn("_best", best).select(block_id, "_best.route", "_best.worth")
 
 
 def stripping_ratio(schedule: DataFrame, blocks: DataFrame) -> DataFrame:
