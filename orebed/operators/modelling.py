@@ -166,3 +166,18 @@ def unpivoted(blocks: DataFrame, block_id: str, pattern: str) -> DataFrame:
     found = [(int(m.group(1)), c) for c in blocks.columns if (m := re.fullmatch(pattern, c))]
     table = F.array(*(F.struct(F.lit(n).alias("realisation"), F.col(c).cast("double").alias("value")) for n, c in sorted(found)))
     return blocks.select(block_id, F.inline(table))
+
+
+def domain_rules(domains: DataFrame, least: float = 10.0, most: float = 500.0, factors: tuple[float, float, float] = (0.75, 1.5, 2.5)) -> DataFrame:
+    """domain, class, distance, holes: the classification rules of domains with the longest range of their variogram and, if known, their hole spacing.
+
+    Distances are 0.25, 0.67 and 1 of the range, not below ``factors`` times
+    the spacing, kept between ``least`` and ``most``, and a class stays below
+    0.8 of the next one's distance unless that is under ``least``.
+    """
+    low, high = F.lit(float(least)), F.lit(float(most))
+    spacing = F.when(F.col("spacing") > 0, F.col("spacing").cast("double"))
+    raw = [F.least(F.greatest(F.greatest(F.col("range").cast("double") * share, spacing * k), low), high) for share, k in zip((0.25, 0.67, 1.0), factors)]
+    rows = domains.select("domain", *(d.alias(c) for c, d in zip(("_m", "_i", "_f"), raw)))
+    rules = [("Measured", F.greatest(F.least(F.col("_m"), F.col("_i") * 0.8), low), 3), ("Indicated", F.greatest(F.least(F.col("_i"), F.col("_f") * 0.8), low), 2), ("Inferred", F.col("_f"), 1)]
+    return rows.select("domain", F.inline(F.array(*(F.struct(F.lit(n).alias("class"), d.alias("distance"), F.lit(h).alias("holes")) for n, d, h in rules))))

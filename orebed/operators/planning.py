@@ -275,3 +275,12 @@ def development_schedule(tasks: DataFrame, links: DataFrame, rate: float, period
         starts.append(turn)
     period = F.lit(1) + sum((F.when(F.col("turn") >= s, 1).otherwise(0) for s in starts), F.lit(0))
     return rows.withColumn("period", F.when(period <= periods, period)).drop("_wave", "_metres", "_to")
+
+
+def reordered(pushbacks: DataFrame, order: DataFrame) -> DataFrame:
+    """Pushbacks (pushback, place) with the places, from 0, that a table of pushback and place gives them; those it does not name follow in their old order, from the number of those it does."""
+    known = pushbacks.drop("place").join(order.select("pushback", F.col("place").cast("long").alias("place")), "pushback")
+    rest = ranked(pushbacks.join(order, "pushback", "left_anti"), ["place", "pushback"], "_turn")
+    count = known.agg(F.count(F.lit(1)).alias("_listed"))
+    rest = rest.crossJoin(F.broadcast(count)).withColumn("place", F.col("_listed") + F.col("_turn") - 1).drop("_listed", "_turn")
+    return known.unionByName(rest)

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rock import rockburst_index
 from .running import around, quantiles, ranked, running
 from .spatial import AXES, within
 from .stored import written
@@ -300,3 +301,20 @@ def hazard_summary(volumes: DataFrame) -> DataFrame:
     spread = quantiles(volumes, "hazard", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     whole = volumes.agg(F.avg("hazard").alias("mean"), F.stddev_pop("hazard").alias("deviation"), F.min("hazard").alias("least"), F.max("hazard").alias("greatest"))
     return whole.crossJoin(F.broadcast(spread))
+
+
+def rockburst_realisations(volumes: DataFrame, rock: DataFrame, rating_error: float = 5.0, stress_error: float = 0.1, node_id: str = "block_id", seed: int = 11, **index) -> DataFrame:
+    """node, realisation, hazard: the rockburst index of each node in each realisation of the hazard, with its rating and stress drawn anew.
+
+    ``rock`` has rating (0 to 100) and stress by node; ratings are drawn about
+    their own with deviation ``rating_error`` and kept in 0 to 100, stresses with
+    ``stress_error`` times the greatest of all and kept from 0 on.  Each
+    realisation is drawn from the given values, not from the one before.  The
+    result has the columns of a hazard volume, so it is summed up alike.
+    """
+    top = rock.agg(F.max("stress").alias("_top"))
+    keys = (F.col("realisation"), F.col(node_id))
+    rows = volumes.join(rock.select(node_id, "rating", "stress"), node_id).crossJoin(F.broadcast(top))
+    rating = F.least(F.greatest(F.col("rating") + rating_error * standard_normal(seed, *keys), F.lit(0.0)), F.lit(100.0))
+    stress = F.greatest(F.col("stress") + stress_error * F.col("_top") * standard_normal(seed + 1, *keys), F.lit(0.0))
+    return rows.select(node_id, "realisation", rockburst_index(F.col("hazard"), rating, stress, **index).alias("hazard"))

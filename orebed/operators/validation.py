@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .running import folded
 
@@ -154,3 +155,41 @@ def fixed_collars(rows: DataFrame, key: str = HOLE) -> tuple[DataFrame, DataFram
 def fixed_directions(rows: DataFrame, key: str = HOLE) -> tuple[DataFrame, DataFrame]:
     """Surveys with azimuths from 0 to below 360, and the log."""
     return fixed(rows, "surveys", [("azimuth", F.pmod(F.col("azimuth").cast("double"), F.lit(360.0)), "AZIMUTH", "azimuth turned into 0 to 360", 0.99)], key)
+
+
+#: The columns that a block model must have, those that must not be negative, and the greatest grade of a unit.
+BLOCK_COLUMNS, POSITIVE, UNIT_LIMITS = ("block_id", "x", "y", "z", "volume", "density"), ("volume", "density", "tonnes"), {"percent": 100.0, "ppm": 1e6}
+
+
+def block_model(blocks: DataFrame, grades: dict[str, str], expected: int | None = None, tolerance: float = 1e-3) -> DataFrame:
+    """Faults of a block model: check, column, severity, n (blocks, or the number found), worst (a value); no row where nothing is wrong.
+
+    ``grades`` gives the unit of each grade column (percent, ppm or another,
+    which has no limit).  Missing columns end the check, as there is then
+    nothing to compare; all else is one aggregation: negative numbers
+    (coordinates may be), tonnes that are not volume times density, grades over
+    their unit's limit, and a number of blocks other than ``expected``.  Null
+    and NaN values have no fault.
+    """
+    spark = blocks.sparkSession
+    names = {c.lower(): c for c in blocks.columns}
+    kind = "check string, column string, severity string, n long, worst double"
+    missing = [("missing", c, "ERROR", None, None) for c in BLOCK_COLUMNS if c not in names] + [("missing", c, "ERROR", None, None) for c in grades if c not in blocks.columns]
+    if missing:
+        return spark.createDataFrame(missing, kind)
+    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    found: list[tuple[str, str, str, Column, Column]] = []
+    for f in blocks.schema.fields:
+        if isinstance(f.dataType, T.NumericType) and f.name.lower() not in ("x", "y", "z"):
+            found.append(("negative", f.name, "ERROR" if f.name.lower() in POSITIVE else "WARNING", F.count_if(value(f.name) < 0), F.min(value(f.name))))
+    if "tonnes" in names:
+        off = F.abs(value(names["tonnes"]) - value(names["volume"]) * value(names["density"]))
+        found.append(("tonnage", names["tonnes"], "WARNING", F.count_if(off > tolerance), F.max(off)))
+    for c, unit in grades.items():
+        if unit in UNIT_LIMITS:
+            found.append(("unit", c, "WARNING", F.count_if(value(c) > UNIT_LIMITS[unit]), F.max(value(c))))
+    if expected is not None:
+        found.append(("coverage", names["block_id"], "WARNING", F.when(F.count(F.lit(1)) != expected, F.count(F.lit(1))).otherwise(0), F.lit(float(expected))))
+    one = blocks.agg(*(c.cast("long").alias(f"n{i}") for i, (*_, c, _) in enumerate(found)), *(w.cast("double").alias(f"w{i}") for i, (*_, w) in enumerate(found)))
+    rows = F.array(*(F.struct(F.lit(check).alias("check"), F.lit(c).alias("column"), F.lit(level).alias("severity"), F.col(f"n{i}").alias("n"), F.col(f"w{i}").alias("worst")) for i, (check, c, level, _, _) in enumerate(found)))
+    return one.select(F.inline(rows)).where("n > 0")

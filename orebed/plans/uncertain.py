@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, kriging, simulation, soft
+from ..operators import checks, kriging, modelling, planning, simulation, soft, validation
+from ..operators.running import ranked
 from ..operators.stored import shared_folder
 from . import tables as V
 from .exchange import _NEAREST
@@ -182,3 +183,39 @@ def hazard_realisations(spark, sf_dir):
 @query(f"WITH {V.TARGETS}, {V.SAMPLES}, {_HAZARDS} SELECT {r('avg(h)', 'mean', 6)}, {r('stddev_pop(h)', 'deviation', 6)}, {r('min(h)', 'least', 6)}, {r('max(h)', 'greatest', 6)}, {r('quantile_cont(h, 0.1)', 'p10', 6)}, {r('quantile_cont(h, 0.5)', 'p50', 6)}, {r('quantile_cont(h, 0.9)', 'p90', 6)} FROM volumes")
 def hazard_uncertainty(spark, sf_dir):
     return rounded(simulation.hazard_summary(_volumes(spark, sf_dir)), 6)
+
+
+@query(f"""WITH {V.TARGETS}, {V.SAMPLES}, {_HAZARDS}, rock AS (SELECT block_id, (block_id * 7 % 90 + 10)::DOUBLE AS rating, (block_id % 11)::DOUBLE / 10 AS stress FROM targets),
+ d AS (SELECT block_id, h, least(greatest(rating + 5::DOUBLE * {_normal(11, 'realisation', 'block_id')}, 0), 100) AS rating, greatest(stress + 0.1::DOUBLE * (SELECT max(stress) FROM rock) * {_normal(12, 'realisation', 'block_id')}, 0) AS stress FROM volumes JOIN rock USING (block_id)),
+ b AS (SELECT block_id, greatest(least(h * 0.6 + CASE WHEN rating < 60 THEN rating / 60 ELSE 0.5 END * 0.3 + stress * 0.1, 1), 0) AS h FROM d) SELECT block_id, {r('avg(h)', 'mean', 6)}, {r('stddev_pop(h)', 'deviation', 6)}, {r('max(h)', 'greatest', 6)}, {r('avg((h >= 0.3)::INT)', 'exceedance', 6)} FROM b GROUP BY 1""")
+def rockburst_realisations(spark, sf_dir):
+    key = F.col("block_id")
+    rock = V.targets(spark, sf_dir).select("block_id", (key * 7 % 90 + 10).cast("double").alias("rating"), ((key % 11).cast("double") / 10).alias("stress"))
+    return rounded(simulation.hazard_by_node(simulation.rockburst_realisations(_volumes(spark, sf_dir), rock), 0.3), 6)
+
+
+# --- models and rules ------------------------------------------------------------------
+
+
+@query(f"""WITH {V.BLOCKS}, b AS (SELECT block_id, x, y, z, CASE WHEN grade = 3 THEN -tonnes ELSE tonnes / density END AS volume, density, CASE WHEN grade = 7 THEN tonnes + 2 ELSE tonnes END AS tonnes, grade * 11 - 5 AS grade, grade2 * 2e5 AS au FROM blocks),
+ f AS (SELECT 'negative' AS "check", 'volume' AS "column", 'ERROR' AS severity, count(*) FILTER (volume < 0) AS n, min(volume) AS worst FROM b UNION ALL SELECT 'negative', 'grade', 'WARNING', count(*) FILTER (grade < 0), min(grade) FROM b
+ UNION ALL SELECT 'tonnage', 'tonnes', 'WARNING', count(*) FILTER (abs(tonnes - volume * density) > 0.001), max(abs(tonnes - volume * density)) FROM b UNION ALL SELECT 'unit', 'grade', 'WARNING', count(*) FILTER (grade > 100), max(grade) FROM b
+ UNION ALL SELECT 'unit', 'au', 'WARNING', count(*) FILTER (au > 1e6), max(au) FROM b UNION ALL SELECT 'coverage', 'block_id', 'WARNING', count(*), 800 FROM b) SELECT "check", "column", severity, n, {r('worst', 'worst')} FROM f WHERE n > 0""")
+def block_model_faults(spark, sf_dir):
+    g = F.col("grade")
+    blocks = V.blocks(spark, sf_dir).select("block_id", "x", "y", "z", F.when(g == 3, -F.col("tonnes")).otherwise(F.col("tonnes") / F.col("density")).alias("volume"), "density", F.when(g == 7, F.col("tonnes") + 2).otherwise(F.col("tonnes")).alias("tonnes"), (g * 11 - 5).alias("grade"), (F.col("grade2") * 2e5).alias("au"))
+    return rounded(validation.block_model(blocks, {"grade": "percent", "au": "ppm"}, 800))
+
+
+@query(f"""WITH {V.TARGETS}, d AS (SELECT block_id AS domain, x AS a, CASE WHEN block_id % 3 > 0 THEN y / 4 END AS s FROM targets), c AS (SELECT domain, least(greatest(a * 0.25, coalesce(s * 0.75, 0), 10), 500) AS m, least(greatest(a * 0.67, coalesce(s * 1.5, 0), 10), 500) AS i, least(greatest(a, coalesce(s * 2.5, 0), 10), 500) AS f FROM d)
+ SELECT domain, 'Measured' AS class, {r('greatest(least(m, i * 0.8), 10)', 'distance')}, 3 AS holes FROM c UNION ALL SELECT domain, 'Indicated', {r('greatest(least(i, f * 0.8), 10)', 'distance')}, 2 FROM c UNION ALL SELECT domain, 'Inferred', {r('f', 'distance')}, 1 FROM c""")
+def domain_rules(spark, sf_dir):
+    domains = V.targets(spark, sf_dir).select(F.col("block_id").alias("domain"), F.col("x").alias("range"), F.when(F.col("block_id") % 3 > 0, F.col("y") / 4).alias("spacing"))
+    return rounded(modelling.domain_rules(domains))
+
+
+@query(f"WITH {V.TARGETS}, o AS (SELECT block_id AS pushback, row_number() OVER (ORDER BY y DESC, block_id) - 1 AS place FROM targets WHERE block_id % 4 = 1) SELECT pushback, place FROM o UNION ALL SELECT block_id, (SELECT count(*) FROM o) + row_number() OVER (ORDER BY x, block_id) - 1 FROM targets WHERE block_id % 4 <> 1")
+def reordered_pushbacks(spark, sf_dir):
+    plan = V.targets(spark, sf_dir).select(F.col("block_id").alias("pushback"), F.col("x").alias("place"), "y")
+    order = ranked(plan.where("pushback % 4 = 1"), [F.desc("y"), "pushback"], "_turn").select("pushback", (F.col("_turn") - 1).alias("place"))
+    return planning.reordered(plan.drop("y").withColumn("place", F.col("place").cast("long")), order)

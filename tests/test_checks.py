@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from orebed.operators import checks, simulation
+from orebed.operators import checks, modelling, planning, simulation, validation
 
 
 def test_assembled(spark):
@@ -74,3 +74,34 @@ def test_hazards(spark):
     assert simulation.hazard_summary(drawn).first()["greatest"] == 1.0
     assert sorted(drawn.repartition(7).collect()) == sorted(drawn.collect())
     assert simulation.hazard_realisations(events.where("event_id < 0"), grid, 10.0, 2).where(F.col("hazard") == 0).count() == 6
+
+
+def test_block_model_faults(spark):
+    names = "block_id int, x double, y double, z double, Volume double, density double, tonnes double, fe double"
+    blocks = spark.createDataFrame([(1, -5.0, 0.0, 0.0, 10.0, 2.0, 20.0, 60.0), (2, 0.0, 0.0, 0.0, -1.0, 2.0, 5.0, 120.0), (3, 0.0, 0.0, 0.0, None, float("nan"), 5.0, None)], names)
+    found = {(r["check"], r["column"]): (r["severity"], r["n"], r["worst"]) for r in validation.block_model(blocks, {"fe": "percent"}, 4).collect()}
+    assert found == {("negative", "Volume"): ("ERROR", 1, -1.0), ("tonnage", "tonnes"): ("WARNING", 1, 7.0), ("unit", "fe"): ("WARNING", 1, 120.0), ("coverage", "block_id"): ("WARNING", 3, 4.0)}
+    assert validation.block_model(blocks.where("block_id = 1"), {"fe": "percent"}, 1).count() == 0
+    assert {r["column"] for r in validation.block_model(blocks.drop("density"), {"cu": "ppm"}).collect()} == {"density", "cu"}
+
+
+def test_rules_of_domains(spark):
+    rows = spark.createDataFrame([("a", 100.0, None), ("b", 100.0, 60.0), ("c", 4.0, 0.0)], "domain string, range double, spacing double")
+    found = {(r["domain"], r["class"]): r["distance"] for r in modelling.domain_rules(rows).collect()}
+    assert [found["a", c] for c in ("Measured", "Indicated", "Inferred")] == pytest.approx([25.0, 67.0, 100.0])
+    assert [found["b", c] for c in ("Measured", "Indicated", "Inferred")] == pytest.approx([45.0, 90.0, 150.0])
+    assert {found["c", c] for c in ("Measured", "Indicated", "Inferred")} == {10.0}
+
+
+def test_reordered(spark):
+    plan = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "pushback string, place int")
+    order = spark.createDataFrame([("d", 0), ("gone", 1), ("b", 2)], "pushback string, place int")
+    assert {r["pushback"]: r["place"] for r in planning.reordered(plan, order).collect()} == {"d": 0, "b": 2, "a": 2, "c": 3}
+    assert {r["pushback"]: r["place"] for r in planning.reordered(plan, order.where("place < 0")).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_rockbursts(spark):
+    volumes = spark.createDataFrame([(1, 0, 0.5), (1, 1, 1.0), (2, 0, 0.0)], "block_id int, realisation int, hazard double")
+    rock = spark.createDataFrame([(1, 30.0, 0.5), (2, 80.0, 1.0)], "block_id int, rating double, stress double")
+    still = {(r["block_id"], r["realisation"]): r["hazard"] for r in simulation.rockburst_realisations(volumes, rock, 0.0, 0.0).collect()}
+    assert still == pytest.approx({(1, 0): 0.3 + 0.15 + 0.05, (1, 1): 0.6 + 0.15 + 0.05, (2, 0): 0.15 + 0.1})
