@@ -8,9 +8,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import table_hash
 from .spatial import AXES, pairs
 
 
@@ -173,3 +174,37 @@ def fitted_nested(curve: DataFrame, models: tuple[str, ...] = ("spherical", "sph
             best = (error, found, chosen)
     sills = [float(v) for v in best[1]] if nugget is None else [float(nugget), *map(float, best[1])]
     return [{"structure": 0, "model": "nugget", "range": 0.0, "sill": sills[0]}, *({"structure": k + 1, "model": m, "range": ranges[a], "sill": s} for k, (m, a, s) in enumerate(zip(models, best[2], sills[1:])))]
+
+
+def short_nuggets(intervals: DataFrame, value: str, by: list[str], hole: str = "hole_id") -> DataFrame:
+    """by, nugget, pairs: half the mean squared difference of a hole's neighbouring intervals of one group, the shortest lag there is."""
+    order = Window.partitionBy(hole, *by).orderBy("depth_from", "depth_to")
+    step = F.col(value) - F.lag(value).over(order)
+    rows = intervals.where(F.col(value).isNotNull()).select(*by, step.cast("double").alias("_d")).where("_d is not null")
+    return rows.groupBy(*by).agg((F.avg(F.col("_d") * F.col("_d")) / 2).alias("nugget"), F.count(F.lit(1)).alias("pairs"))
+
+
+def gates(fits: DataFrame, data: DataFrame, columns: list[str], source: DataFrame | None = None, nugget: float | None = None, tolerance: float = 3.0) -> DataFrame:
+    """One row that tells whether a variogram may be used on data.
+
+    ``fits`` has the nugget of each direction or domain.  nuggets, least,
+    greatest, median and ratio are over those known (0, and a ratio of 1, where
+    there are none); ``consistent`` asks that the greatest be at most
+    ``tolerance`` times the least, and is false where the least is 0.  ``lineage``
+    compares the rows that have all ``columns`` with ``source``, the
+    :func:`selection.table_hash` of those of which the variogram was made, in any
+    order of rows; without it there is nothing to compare, which passes.
+    ``nugget`` is the given one, else the median.
+    """
+    known = F.when(~F.isnan("nugget"), F.col("nugget").cast("double"))
+    found = fits.agg(F.count(known).alias("nuggets"), F.coalesce(F.min(known), F.lit(0.0)).alias("least"), F.coalesce(F.max(known), F.lit(0.0)).alias("greatest"), F.coalesce(F.median(known), F.lit(0.0)).alias("median"))
+    ratio = F.when(F.col("nuggets") == 0, 1.0).when(F.col("least") > 1e-9, F.col("greatest") / F.col("least")).otherwise(float("inf"))
+    found = found.withColumn("ratio", ratio).withColumn("consistent", F.col("ratio") <= tolerance)
+    if source is None:
+        found = found.withColumn("lineage", F.lit(True))
+    else:
+        own = table_hash(data.dropna(subset=columns), columns).select(F.struct("n", "hash").alias("_own"))
+        made = source.select(F.struct("n", "hash").alias("_made"))
+        found = found.crossJoin(F.broadcast(own)).crossJoin(F.broadcast(made)).withColumn("lineage", F.col("_own").eqNullSafe(F.col("_made"))).drop("_own", "_made")
+    chosen = F.col("median") if nugget is None else F.lit(float(nugget))
+    return found.withColumns({"nugget": chosen, "passed": F.col("consistent") & F.col("lineage")})

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, kriging, modelling, planning, simulation, soft, validation
+from ..operators import checks, kriging, modelling, planning, selection, simulation, soft, validation, variograms
 from ..operators.running import ranked
 from ..operators.stored import shared_folder
 from . import tables as V
@@ -219,3 +219,15 @@ def reordered_pushbacks(spark, sf_dir):
     plan = V.targets(spark, sf_dir).select(F.col("block_id").alias("pushback"), F.col("x").alias("place"), "y")
     order = ranked(plan.where("pushback % 4 = 1"), [F.desc("y"), "pushback"], "_turn").select("pushback", (F.col("_turn") - 1).alias("place"))
     return planning.reordered(plan.drop("y").withColumn("place", F.col("place").cast("long")), order)
+
+
+@query(f"""WITH {V.INTERVALS}, d AS (SELECT lith_code, grade - lag(grade) OVER (PARTITION BY hole_id, lith_code ORDER BY depth_from, depth_to) AS d FROM intervals), n AS (SELECT lith_code, avg(d * d) / 2 AS nugget FROM d WHERE d IS NOT NULL GROUP BY 1), g AS (SELECT count(*) AS nuggets, min(nugget) AS least, max(nugget) AS greatest, median(nugget) AS median FROM n)
+ SELECT data, nuggets, {r('least', 'least')}, {r('greatest', 'greatest')}, {r('median', 'median')}, {r('greatest / least', 'ratio')}, greatest / least <= 3 AS consistent, data = 'same' AS lineage, {r('median', 'nugget')}, greatest / least <= 3 AND data = 'same' AS passed FROM g, (SELECT unnest(['same', 'changed']) AS data)""")
+def variogram_gates(spark, sf_dir):
+    """Nuggets of the codes, for the data they came from in another order, and for data with one value changed."""
+    rows = V.intervals(spark, sf_dir)
+    columns = ["hole_id", "depth_from", "depth_to", "grade"]
+    fits, source = variograms.short_nuggets(rows, "grade", ["lith_code"]), selection.table_hash(rows, columns)
+    other = rows.withColumn("grade", F.when((F.col("depth_from") == 0) & (F.col("hole_id") == 1), F.col("grade") + 1).otherwise(F.col("grade")))
+    same = variograms.gates(fits, rows.repartition(3), columns, source).withColumn("data", F.lit("same"))
+    return rounded(same.unionByName(variograms.gates(fits, other, columns, source).withColumn("data", F.lit("changed"))))

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from orebed.operators import checks, modelling, planning, simulation, validation
+from orebed.operators import checks, modelling, planning, selection, simulation, validation, variograms
 
 
 def test_assembled(spark):
@@ -105,3 +105,21 @@ def test_rockbursts(spark):
     rock = spark.createDataFrame([(1, 30.0, 0.5), (2, 80.0, 1.0)], "block_id int, rating double, stress double")
     still = {(r["block_id"], r["realisation"]): r["hazard"] for r in simulation.rockburst_realisations(volumes, rock, 0.0, 0.0).collect()}
     assert still == pytest.approx({(1, 0): 0.3 + 0.15 + 0.05, (1, 1): 0.6 + 0.15 + 0.05, (2, 0): 0.15 + 0.1})
+
+
+def test_gates(spark):
+    data = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0), (2.0, None)], "x double, v double")
+    fits = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 4.0), ("d", None)], "direction string, nugget double")
+    source = selection.table_hash(data.dropna(), ["x", "v"])
+    found = variograms.gates(fits, data, ["x", "v"], source).first()
+    assert (found["nuggets"], found["ratio"], found["nugget"], found["consistent"], found["lineage"], found["passed"]) == (3, 4.0, 2.0, False, True, False)
+    assert variograms.gates(fits, data, ["x", "v"], source, 0.5, 4.0).first()["passed"]
+    assert not variograms.gates(fits, data.where("x > 0"), ["x", "v"], source, tolerance=9.0).first()["passed"]
+    none = variograms.gates(fits.where("nugget < 0"), data, ["x", "v"]).first()
+    assert (none["nuggets"], none["ratio"], none["nugget"], none["passed"]) == (0, 1.0, 0.0, True)
+    assert variograms.gates(spark.createDataFrame([(0.0,), (1.0,)], "nugget double"), data, ["v"]).first()["ratio"] == float("inf")
+
+
+def test_short_nuggets(spark):
+    rows = spark.createDataFrame([("h", 0.0, 1.0, 1.0), ("h", 1.0, 2.0, None), ("h", 2.0, 3.0, 4.0), ("g", 0.0, 1.0, 9.0)], "hole_id string, depth_from double, depth_to double, v double")
+    assert [tuple(r) for r in variograms.short_nuggets(rows.withColumn("d", F.lit(1)), "v", ["d"]).collect()] == [(1, 4.5, 1)]
