@@ -47,3 +47,14 @@ def test_routes(spark):
     assert {r["route"] for r in economics.best_route(blocks, routes.where("price < 0"), "block_id").collect()} == {None}
     with pytest.raises(ValueError, match="more than 2"):
         economics.best_route(blocks, routes, "block_id", 2)
+
+
+def test_kmeans_puts_rows_at_their_nearest_centre(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 3, 100.0 * (i % 3) + rng.gauss(0, 3), rng.gauss(0, 1) + 9 * (i % 3 == 1)) for i in range(150)]
+    found = clustering.kmeans(spark.createDataFrame(rows, "id int, kind int, a double, b double"), ["a", "b"], 3).toPandas()
+    assert found.groupby("kind")["cluster"].nunique().max() == 1 and found["cluster"].nunique() == 3
+    scaled = found[["a", "b"]] / found[["a", "b"]].std()
+    centres = scaled.groupby(found["cluster"]).mean()
+    away = {c: ((scaled - centres.loc[c]) ** 2).sum(axis=1) for c in centres.index}
+    assert all(away[c][i] <= min(d[i] for d in away.values()) for i, c in enumerate(found["cluster"]))
