@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rock import rockburst_index
 from .running import around, quantiles, ranked, running
-from .spatial import AXES, within
-from .stored import written
+from .spatial import AXES, kernel
+from .stored import shards, written
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -274,20 +274,20 @@ def hazard_realisations(events: DataFrame, grid: DataFrame, radius: float, reali
     realisation.  Events without a magnitude or place are left out.
     """
     known = events.where(" and ".join(f"{c} is not null" for c in (*AXES, magnitude))).select(event_id, *AXES, F.col(magnitude).cast("double").alias("_m"))
+    known = known.repartition(max(2, shards(events.sparkSession)), event_id)  # a small file is one task, whatever is drawn for its rows
     rows = known.withColumn("realisation", F.explode(F.sequence(F.lit(0), F.lit(realisations - 1))))
     draw = lambda k: standard_normal(seed + k, F.col("realisation"), F.col(event_id))
     moved = {a: F.col(a) + place * draw(k) for k, a in enumerate(AXES)}
     rows = rows.withColumns(moved).withColumn("_m", F.greatest(F.col("_m") + error * draw(3), F.lit(0.0)))
+    rows = written(rows.select(*AXES, "realisation", "_m"), "catalogues")
     top = rows.agg(F.max("_m").alias("_top"))  # one row; a factor common to all does not change a hazard
-    rows = rows.crossJoin(F.broadcast(top)).withColumn("_w", F.pow(F.lit(10.0), F.col("_m") - F.col("_top")))
-    near = within(grid, rows, radius, grid_id, event_id, ["realisation", "_w"])
-    sums = near.groupBy("target", "realisation").agg(F.sum(F.col("_w") / F.pow(F.col("distance") + 1e-6, F.lit(float(power)))).alias("_v"))
-    sums = written(sums, "hazards")
+    rows = rows.crossJoin(F.broadcast(top)).withColumn("_weight", F.pow(F.lit(10.0), F.col("_m") - F.col("_top")))
+    sums = written(kernel(grid, rows, radius, "_weight", float(power), "realisation"), "hazards")
     greatest = sums.groupBy("realisation").agg(F.max("_v").alias("_greatest"))
-    sums = sums.join(F.broadcast(greatest) if realisations <= 10_000 else greatest, "realisation")
-    frame = grid.select(F.col(grid_id).alias("target"), F.explode(F.sequence(F.lit(0), F.lit(realisations - 1))).alias("realisation"))
-    out = frame.join(sums, ["target", "realisation"], "left")
-    return out.select(F.col("target").alias(grid_id), "realisation", F.coalesce(F.col("_v") / F.col("_greatest"), F.lit(0.0)).alias("hazard"))
+    sums = sums.join(F.broadcast(greatest) if realisations <= 10_000 else greatest, "realisation").withColumnsRenamed({"realisation": "_of", **{a: f"_p{a}" for a in AXES}})
+    frame = grid.select(grid_id, *AXES, F.explode(F.sequence(F.lit(0), F.lit(realisations - 1))).alias("realisation"))
+    out = frame.join(sums, [*(F.col(a).cast("double") == F.col(f"_p{a}") for a in AXES), F.col("realisation") == F.col("_of")], "left")
+    return out.select(grid_id, "realisation", F.coalesce(F.col("_v") / F.col("_greatest"), F.lit(0.0)).alias("hazard"))
 
 
 def hazard_by_node(volumes: DataFrame, threshold: float, grid_id: str = "block_id") -> DataFrame:
