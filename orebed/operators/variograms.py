@@ -1,18 +1,22 @@
-"""Experimental variograms from bucketed pairs, and model fits."""
+"""Experimental variograms from bucketed pairs, and model fits.
+
+Pairs of points are compared as matrices of bounded size, and only sums by lag
+leave a group (:func:`spatial.tallied`).
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .selection import table_hash
-from .spatial import AXES, pairs
+from .spatial import AXES, tallied
 
 
 def _lagged(near: DataFrame, lags: int, width: float, tolerance: float | None) -> DataFrame:
@@ -24,44 +28,80 @@ def _lagged(near: DataFrame, lags: int, width: float, tolerance: float | None) -
     return near.where(high >= low).withColumn("lag", F.explode(F.sequence(low, high)))
 
 
-def experimental(points: DataFrame, point_id: str, value: str, lags: int, width: float, tolerance: float | None = None, within: Column | None = None, axes=AXES) -> DataFrame:
-    """lag, distance (mean), gamma (half the mean squared difference), pairs."""
+def _in_lags(distance: np.ndarray, lags: int, width: float, tolerance: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As :func:`_lagged`, of an array: places of pairs and their lags, in several parts where a pair may belong to several lags."""
+    if tolerance is None:
+        lag = np.ceil(distance / width)
+        some = np.flatnonzero((distance > 0) & (lag <= lags))
+        yield some, lag[some].astype(np.int64)
+        return
+    low = np.maximum(np.ceil(distance / width - tolerance), 1).astype(np.int64)
+    high = np.minimum(np.floor(distance / width + tolerance), lags).astype(np.int64)
+    for more in range(int((high - low).max(initial=-1)) + 1):
+        some = np.flatnonzero(low + more <= high)
+        yield some, low[some] + more
+
+
+def _curve(points: DataFrame, point_id: str, values: list[str], lags: int, width: float, tolerance: float | None, gammas: Callable, names: list[str], inside: Callable | None = None, axes=AXES) -> DataFrame:
+    """lag, pairs, distance (mean) and the means ``names`` of what ``gammas(first, second)`` gives for the two ends of pairs (arrays of each value)."""
     reach = lags * width if tolerance is None else (lags + tolerance) * width
-    near = pairs(points.where(F.col(value).isNotNull()), reach, point_id, [value], axes)
-    if within is not None:
-        near = near.where(within)
-    half = F.pow(F.col(f"{value}_i") - F.col(f"{value}_j"), F.lit(2.0)) / 2
-    return _lagged(near, lags, width, tolerance).groupBy("lag").agg(F.avg("distance").alias("distance"), F.avg(half).alias("gamma"), F.count(F.lit(1)).alias("pairs"))
 
+    def tally(first: list, second: list, off: list, distance: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        if inside is not None:
+            copies = np.where(inside(off, distance), copies, 0.0)
+        rows = np.stack([np.ones(len(distance)), distance, *gammas(first, second)])
+        sums = np.zeros((len(rows), lags + 1))
+        for some, lag in _in_lags(distance, lags, width, tolerance):
+            some, lag = (x[copies[some] > 0] for x in (some, lag))
+            sums += [np.bincount(lag, row[some] * copies[some], lags + 1) for row in rows]
+        return sums
+
+    known = points.where(" and ".join(f"`{v}` is not null" for v in values))
+    sums = tallied(known, reach, point_id, values, tally, ["_n", "_d", *names], axes)
+    return sums.select("lag", F.col("_n").cast("long").alias("pairs"), (F.col("_d") / F.col("_n")).alias("distance"), *((F.col(n) / F.col("_n")).alias(n) for n in names))
+
+
+def experimental(points: DataFrame, point_id: str, value: str, lags: int, width: float, tolerance: float | None = None, inside: Callable | None = None, axes=AXES) -> DataFrame:
+    """lag, distance (mean), gamma (half the mean squared difference), pairs.
 
-def cone(azimuth: float, dip: float, tolerance: float, bandwidth: float | None = None) -> Column:
-    """Pairs along a direction, either way: within an angle and, if given, a distance of the axis."""
+    ``inside(off, distance)`` may tell which pairs count, from arrays of their
+    components along the axes and of their distances.
+    """
+    half = lambda first, second: [(first[0] - second[0]) ** 2 / 2]
+    return _curve(points, point_id, [value], lags, width, tolerance, half, ["gamma"], inside, axes).select("lag", "distance", "gamma", "pairs")
+
+
+def cone(azimuth: float, dip: float, tolerance: float, bandwidth: float | None = None) -> Callable:
+    """Which pairs lie along a direction, either way: within an angle and, if given, a distance of the axis."""
     a, d = math.radians(azimuth), math.radians(dip)
     axis = (math.sin(a) * math.cos(d), math.cos(a) * math.cos(d), math.sin(d))
-    along = F.abs(sum((F.col(f"d_{c}") * v for c, v in zip(AXES, axis)), F.lit(0.0)))
-    out = along >= F.col("distance") * math.cos(math.radians(tolerance))
-    if bandwidth is not None:
-        out = out & (F.sqrt(F.greatest(F.col("distance") * F.col("distance") - along * along, F.lit(0.0))) <= bandwidth)
-    return out
+
+    def inside(off: list, distance: np.ndarray) -> np.ndarray:
+        along = np.abs(sum(c * v for c, v in zip(off, axis)))
+        out = along >= distance * math.cos(math.radians(tolerance))
+        if bandwidth is not None:
+            out &= np.sqrt(np.maximum(distance * distance - along * along, 0.0)) <= bandwidth
+        return out
+
+    return inside
 
 
 def directional(points: DataFrame, point_id: str, value: str, lags: int, width: float, azimuth: float, dip: float = 0.0, angle: float = 22.5, bandwidth: float | None = None) -> DataFrame:
-    return experimental(points, point_id, value, lags, width, within=cone(azimuth, dip, angle, bandwidth))
+    return experimental(points, point_id, value, lags, width, inside=cone(azimuth, dip, angle, bandwidth))
 
 
 def cross(points: DataFrame, point_id: str, one: str, two: str, lags: int, width: float) -> DataFrame:
     """Half the mean product of the two variables' differences."""
-    near = pairs(points.where(F.col(one).isNotNull() & F.col(two).isNotNull()), lags * width, point_id, [one, two])
-    product = (F.col(f"{one}_i") - F.col(f"{one}_j")) * (F.col(f"{two}_i") - F.col(f"{two}_j")) / 2
-    return _lagged(near, lags, width, None).groupBy("lag").agg(F.avg("distance").alias("distance"), F.avg(product).alias("gamma"), F.count(F.lit(1)).alias("pairs"))
+    product = lambda first, second: [(first[0] - second[0]) * (first[1] - second[1]) / 2]
+    return _curve(points, point_id, [one, two], lags, width, None, product, ["gamma"]).select("lag", "distance", "gamma", "pairs")
 
 
 def indicator(points: DataFrame, point_id: str, value: str, cutoffs: list[float], lags: int, width: float) -> DataFrame:
     """A variogram of value <= cutoff for each cutoff, from one pass over the pairs."""
-    near = _lagged(pairs(points.where(F.col(value).isNotNull()), lags * width, point_id, [value]), lags, width, None)
-    half = lambda c: F.avg(F.when((F.col(f"{value}_i") <= c) != (F.col(f"{value}_j") <= c), 0.5).otherwise(0.0))
+    half = lambda first, second: [((first[0] <= c) != (second[0] <= c)) * 0.5 for c in cutoffs]
+    near = _curve(points, point_id, [value], lags, width, None, half, [f"_g{k}" for k in range(len(cutoffs))])
     table = F.array(*(F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"_g{k}").alias("gamma")) for k, c in enumerate(cutoffs)))
-    return near.groupBy("lag").agg(F.count(F.lit(1)).alias("pairs"), *(half(c).alias(f"_g{k}") for k, c in enumerate(cutoffs))).select("lag", "pairs", F.inline(table))
+    return near.select("lag", "pairs", F.inline(table))
 
 
 def downhole(intervals: DataFrame, value: str, lags: int, width: float) -> DataFrame:
