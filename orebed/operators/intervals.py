@@ -90,13 +90,13 @@ def rolling(intervals: DataFrame, grades: list[str], length: float, step: float)
     return rows.groupBy(HOLE, "bin").agg(F.first("_a").alias("depth_from"), (F.first("_a") + length).alias("depth_to"), F.sum("_l").alias("covered"), *_weighted(grades, F.col("_l"), False))
 
 
-def islands(intervals: DataFrame, code: str, grades: list[str], gap: float = 1e-3, min_length: float = 0.0) -> DataFrame:
-    """Adjacent intervals of equal code and no gap merged (gaps and islands)."""
+def islands(intervals: DataFrame, code: str, grades: list[str], gap: float = 1e-3, min_length: float = 0.0, sums: list[str] = ()) -> DataFrame:
+    """Adjacent intervals of equal code and no gap merged (gaps and islands); ``sums`` are added up."""
     order = Window.partitionBy(HOLE).orderBy("depth_from", "depth_to")
     starts = (F.lag(code).over(order).isNull()) | (F.lag(code).over(order) != F.col(code)) | (F.col("depth_from") - F.lag("depth_to").over(order) >= gap)
     rows = intervals.where(F.col(code).isNotNull()).withColumn("_s", F.when(starts, 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_l", F.col("depth_to") - F.col("depth_from"))
-    out = rows.groupBy(HOLE, "island").agg(F.first(code).alias(code), F.min("depth_from").alias("depth_from"), F.max("depth_to").alias("depth_to"), F.sum("_l").alias("length"), F.count(F.lit(1)).alias("sample_count"), *_weighted(grades, F.col("_l"), False))
+    out = rows.groupBy(HOLE, "island").agg(F.first(code).alias(code), F.min("depth_from").alias("depth_from"), F.max("depth_to").alias("depth_to"), F.sum("_l").alias("length"), F.count(F.lit(1)).alias("sample_count"), *_weighted(grades, F.col("_l"), False), *(F.sum(c).alias(c) for c in sums))
     return out.where(F.col("length") >= min_length)
 
 
@@ -105,9 +105,10 @@ def economic(intervals: DataFrame, grade: str, cutoff: float, min_ore: float = 0
 
     Runs are found per hole by windows; joined runs of less than ``min_ore`` are left out.
     """
-    rows = islands(intervals.withColumn("ore", (F.col(grade) >= cutoff).cast("int")), "ore", [grade])
+    coded = intervals.withColumns({"ore": (F.col(grade) >= cutoff).cast("int"), "_metal": F.col(grade) * (F.col("depth_to") - F.col("depth_from"))})
+    rows = islands(coded, "ore", [grade], sums=["_metal"])
     order = Window.partitionBy(HOLE).orderBy("depth_from")
-    metal, size = (F.col(grade) * F.col("length")), F.col("length")
+    metal, size = F.col("_metal"), F.col("length")  # summed, as a mean times its length is not what it was made of
     around = (F.lag(metal).over(order) + metal + F.lead(metal).over(order)) / (F.lag(size).over(order) + size + F.lead(size).over(order))
     bridged = (F.col("ore") == 0) & (size <= max_waste) & (around >= cutoff)
     rows = rows.withColumn("_in", F.coalesce((F.col("ore") == 1) | bridged, F.lit(False)))
