@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from . import kriging
 from .simulation import standard_normal, uniform
-from .spatial import AXES, searched
-from .stored import written
+from .spatial import AXES, least_at_places, searched
+from .stored import shards, written
 
 GOLDEN = math.pi * (3 - math.sqrt(5))
 
@@ -108,12 +108,18 @@ def conditioned(fields: DataFrame, nodes: DataFrame, at_samples: DataFrame, samp
 def conditioned_turning_bands(nodes: DataFrame, samples: DataFrame, value: str, model: dict, mean: float, realisations: int, bands: int = 64, ranges: tuple[float, float, float] | None = None, azimuth: float = 0.0, dip: float = 0.0, seed: int = 1, k: int = 12, node_id: str = "block_id", sample_id: str = "sample_id", **search) -> DataFrame:
     """realisation, node_id, value: turning bands that meet the samples (but for their nugget, which the kriging takes as part of the field, a node at a sample gets its value)."""
     smooth = {**model, "nugget": 0.0}
-    at_nodes = turning_bands(nodes, node_id, smooth, realisations, bands, ranges, azimuth, dip, seed)
-    at_samples = turning_bands(samples, sample_id, smooth, realisations, bands, ranges, azimuth, dip, seed)
-    if model["nugget"]:  # the same place has the same nugget, whether it is asked for as a node or as a sample
-        rough = lambda rows, ids: rows.join(ids[0].withColumnsRenamed({c: f"_{c}" for c in AXES}), ids[1]).withColumn("value", F.col("value") + math.sqrt(model["nugget"]) * standard_normal(seed + 20, F.col("realisation"), F.col("_x"), F.col("_y"), F.col("_z"))).drop(*(f"_{c}" for c in AXES))
-        plain = lambda d, i: d.select(i, *(F.col(c).cast("double").alias(c) for c in AXES))
-        at_nodes, at_samples = rough(at_nodes, (plain(nodes, node_id), node_id)), rough(at_samples, (plain(samples, sample_id), sample_id))
+    samples = least_at_places(samples.where(F.col(value).isNotNull()), k, sample_id)
+
+    def at_places(rows: DataFrame, row_id: str) -> DataFrame:
+        """The field of every row; it is a function of the place (the nugget too: a place has the same one as a node and as a sample), so each place is worked out once."""
+        own = rows.select(row_id, F.struct(*(F.col(c).cast("double").alias(c) for c in AXES)).alias("_place"))
+        places = own.select("_place").distinct().repartition(shards(own.sparkSession), "_place").select("_place", "_place.*")
+        field = turning_bands(places, "_place", smooth, realisations, bands, ranges, azimuth, dip, seed)
+        if model["nugget"]:
+            field = field.withColumn("value", F.col("value") + math.sqrt(model["nugget"]) * standard_normal(seed + 20, F.col("realisation"), *(F.col(f"_place.{c}") for c in AXES)))
+        return own.join(field.withColumnRenamed("_place", "_of"), F.col("_place").eqNullSafe(F.col("_of"))).select("realisation", row_id, "value")
+
+    at_nodes, at_samples = at_places(nodes, node_id), at_places(samples, sample_id)
     scale = ranges or (model["range"],) * 3
     near = lambda d, *more: reduced(d, scale, azimuth, dip).select(*more, *AXES)
     return conditioned(at_nodes, near(nodes, node_id), at_samples, near(samples, sample_id, value), value, {**model, "range": 1.0}, mean, realisations, k, node_id, sample_id, **search)
