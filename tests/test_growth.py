@@ -19,3 +19,14 @@ def test_a_field_is_worked_out_once_a_place(spark, monkeypatch):
     found = {r["block_id"]: r["value"] for r in fields.conditioned_turning_bands(nodes, samples, "v", model, 0.0, 1, 4, k=2).collect()}
     assert seen == [5, 4] and len(found) == 30
     assert all(abs(found[i] - found[i % 5]) < 1e-12 for i in range(30))
+
+
+def test_copies_of_a_place_make_no_dense_group(spark, monkeypatch):
+    points, targets = _copies(spark, 3, 60), _copies(spark, 3, 1).withColumnRenamed("id", "t")
+    wanted = {t: [t, t + 3] for t in range(3)}
+    monkeypatch.setattr(spatial, "DENSE", 50)
+    monkeypatch.setattr(spatial, "within", None)  # the way row by row
+    found = {}
+    for r in spatial.nearest(targets, points, 2, None, "t", "id").orderBy("target", "rank").collect():
+        found.setdefault(r["target"], []).append(r["point"])
+    assert found == wanted
