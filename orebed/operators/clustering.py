@@ -37,8 +37,12 @@ def cluster_quality(df: DataFrame, columns: list[str], cluster: str = "cluster")
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (least node) of undirected edges u, v (an edge of a node with itself names a node), by star rounds until nothing changes."""
     edges = written(edges.select("u", "v"), "edges")
-    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    return nodes.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    groups = components(edges)
+    alone = edges.where(~F.coalesce(F.col("u") != F.col("v"), F.lit(False)))
+    if alone.isEmpty():
+        return groups
+    alone = alone.select("u").unionByName(alone.select(F.col("v").alias("u"))).distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
+    return groups.unionByName(alone.join(groups, "node", "left_anti"))
 
 
 def _near(rows: DataFrame, others: DataFrame, radius: float) -> DataFrame:
@@ -142,7 +146,8 @@ def first_of_cell(points: DataFrame, point_id: str, size: float) -> DataFrame:
 def mesh_parts(faces: DataFrame, face_id: str, vertices: tuple[str, str, str] = ("a", "b", "c")) -> DataFrame:
     """Connected parts of a mesh, named by their least vertex: each face's part, from links along its edges."""
     a, b, c = vertices
-    edges = faces.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(faces.select(F.col(b).alias("u"), F.col(c).alias("v")))
+    sides = F.array(*(F.struct(F.col(p).alias("u"), F.col(q).alias("v")) for p, q in ((a, b), (b, c))))
+    edges = faces.select(F.inline(sides))  # a face's edges stay together, so that pieces of the table hold pieces of the mesh
     groups = connected(edges)
     return faces.join(groups.select(F.col("node").alias(a), F.col("component").alias("part")), a).select(face_id, "part")
 

@@ -30,3 +30,20 @@ def test_copies_of_a_place_make_no_dense_group(spark, monkeypatch):
     for r in spatial.nearest(targets, points, 2, None, "t", "id").orderBy("target", "rank").collect():
         found.setdefault(r["target"], []).append(r["point"])
     assert found == wanted
+
+
+def test_a_mesh_in_order_takes_one_round(spark, monkeypatch):
+    stars, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda *args, **more: (stars.append(1), star(*args, **more))[1])
+    faces = spark.range(0, 300, 1, 1).select("id", (F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"), F.when(F.col("id") % 100 == 99, -1 - F.col("id")).otherwise(F.col("id") * 2 + 2).alias("c"))
+    found = {r["id"]: r["part"] for r in clustering.mesh_parts(faces, "id").collect()}
+    assert found == {i: -1 - (i // 100 * 100 + 99) for i in range(300)}
+    assert len(stars) == 2
+
+
+def test_hubs_and_lone_nodes(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 3)
+    monkeypatch.setattr(components, "PIECE", 4)
+    edges = [(50, i) for i in range(30, 60)] + [(i, i + 100) for i in range(40, 45)] + [(7, 7), (5, None)]
+    found = {r["node"]: r["component"] for r in clustering.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**{i: 30 for i in [*range(30, 60), *range(140, 145)]}, 7: 7, 5: 5, None: None}
