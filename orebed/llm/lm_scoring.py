@@ -239,8 +239,8 @@ def _token_levels(chunk: int, docs: bytes, own: np.ndarray, pair: np.ndarray) ->
     return _batch([{"chunk": chunk, "docs": docs, "own": pa.compress(own.tobytes(), "zstd", asbytes=True), "pair": pa.compress(pair.tobytes(), "zstd", asbytes=True)}], _LEVELS)
 
 
-def counted(rows: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: chunks of documents and their tokens; the chunks' documents with the exact counts of their words, and the filter's segments with their training tokens, distinct words and mass.  Rows are doc_id, text, scored, learnt.
+def counted(rows: DataFrame, n_buckets: int, words_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: chunks of documents and their tokens; the chunks' documents with the exact counts of their words, and the filter's segments with their training tokens, distinct words and mass.  Rows are doc_id, text, scored, learnt.  With ``words_only`` no pair is counted and the segments are empty.
 
     The chunks are written before they ask, so that a task that runs again, with its rows
     in another order perhaps, changes no chunk that others have seen.
@@ -266,8 +266,8 @@ def counted(rows: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
             names, tokens = _tokens(row["state"])
             docs = np.frombuffer(row["docs"], _DOC)
             learnt = np.repeat(docs["learnt"], docs["tokens"])
-            pairs, pair = _pairs(names, tokens)
-            word_n, pair_n = np.bincount(tokens[learnt], minlength=len(names)), np.bincount(pair[learnt], minlength=len(pairs))
+            pairs, pair = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if words_only else _pairs(names, tokens)
+            word_n, pair_n = np.bincount(tokens[learnt], minlength=len(names)), np.zeros(0, np.int64) if words_only else np.bincount(pair[learnt], minlength=len(pairs))
             pairs, pair_n = pairs[pair_n > 0], pair_n[pair_n > 0]
             yield _batch([_message(b, row["chunk"], names[w], pairs[p]) | {"counts": _planes(np.concatenate([word_n[w], pair_n[p]]), "<u4")} for b, w, p in _asked(names, pairs, n_buckets)], _REQUEST)
 
@@ -287,7 +287,7 @@ def counted(rows: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
             pair_key, pair_total, _ = totals(np.concatenate(pairs), np.concatenate(pair_n))
             some = word_total > 0
             stats = np.array([word_total.sum(), some.sum(), count_at(level(word_total[some])).sum() if some.any() else 0.0], "<f8")
-            held = made_filter((word_key, word_total), (pair_key, pair_total)).data.tobytes()
+            held = b"" if words_only else made_filter((word_key, word_total), (pair_key, pair_total)).data.tobytes()
             yield _batch([{"bucket": -1 - bucket, "source": bucket, "part": held, "counts": stats.tobytes()}], _REPLY)
             a = 0
             for chunk, w in zip(chunks, words):
@@ -416,13 +416,26 @@ def fit(levels: DataFrame, mass: float, kinds: int) -> list[float]:
     return mixture(_shares(found["code"].to_numpy(np.int64), mass, kinds, 1), found["n"].to_numpy(float))
 
 
+_BASE = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score")
+
+
+def _sums(segments: DataFrame):
+    """Training tokens, distinct words, bytes of the filter and mass."""
+    sums = (F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", F.length("segment")))
+    return segments.agg(*sums, F.coalesce(F.sum(F.col("mass").cast("decimal(38,1)")).cast("double"), F.lit(0.0))).first()
+
+
+def _base_columns(docs: np.ndarray, total: int, kinds: int) -> list[pa.Array]:
+    base = docs["base"] - docs["tokens"] * np.log10(float(total + kinds + 1))
+    return [pa.array(docs["id"], mask=docs["none"]), pa.array(docs["tokens"]), pa.array(docs["known"]), pa.array(np.full(len(docs), total, np.int64)), pa.array(base)]
+
+
 def scored(rows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row that is scored: doc_id, n_tokens, n_known, train_tokens, base_score, score; rows are doc_id, text, scored, learnt."""
     n_buckets = shards(rows.sparkSession)
     chunks, table = counted(rows.withColumn("doc_id", F.col("doc_id").cast("long")), n_buckets)
     segments = table.where("segment is not null")
-    sums = (F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", F.length("segment")))
-    total, kinds, held, mass = segments.agg(*sums, F.coalesce(F.sum(F.col("mass").cast("decimal(38,1)")).cast("double"), F.lit(0.0))).first()
+    total, kinds, held, mass = _sums(segments)
     levels = written((_probed if held <= broadcast_bytes else _probed_by_segment)(chunks, segments, n_buckets), "levels")
     removed(chunks)
     weights = fit(levels, mass, kinds)
@@ -439,11 +452,7 @@ def scored(rows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame
             docs = np.frombuffer(row["docs"], _DOC)
             out = docs["scored"]
             found, docs = np.frombuffer(row["likely"], "<f8")[out], docs[out]
-            base = docs["base"] - docs["tokens"] * np.log10(float(total + kinds + 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs["id"], mask=docs["none"]), pa.array(docs["tokens"]), pa.array(docs["known"]), pa.array(np.full(len(docs), total, np.int64)), pa.array(base), pa.array(found)],
-                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            yield pa.RecordBatch.from_arrays([*_base_columns(docs, total, kinds), pa.array(found)], [*_BASE, "score"])
 
     return table.where("docs is not null").select("chunk", "docs").join(levels.mapInArrow(likely, "chunk long, likely binary"), "chunk").select("docs", "likely").mapInArrow(run, _ROW)
 
@@ -461,6 +470,22 @@ def lm_scoring(documents: DataFrame, parts: int = 7, held: int = 2, broadcast_by
     return rows.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def base_scoring(documents: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
+    """As :func:`lm_scoring` without the model's score: words are counted there in the same way, but no pairs, and no filter is made or probed."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("scored"), (~held_out).alias("learnt"))
+    chunks, table = counted(rows, shards(rows.sparkSession), words_only=True)
+    removed(chunks)
+    total, kinds, _, _ = _sums(table.where("segment is not null"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            yield pa.RecordBatch.from_arrays(_base_columns(np.frombuffer(row["docs"], _DOC), total, kinds), list(_BASE))
+
+    found = table.where("docs is not null").select("docs").mapInArrow(run, _ROW.removesuffix(", score double"))
+    return found.select("doc_id", held_out.alias("held_out"), *_BASE[1:])
+
+
 #: The exact columns: tokens, known ones and the add-one score of single words.
 SQL = rf"""
 WITH docs AS (

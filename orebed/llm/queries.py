@@ -73,7 +73,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3 that do not depend on the filter."""
-    rows = op3_lm_scoring(spark, sf_dir).drop("score")
+    rows = lm_scoring.base_scoring(_table(spark, sf_dir, "documents"))
     return rows.withColumn("base_score", F.round("base_score", 4))
 
 

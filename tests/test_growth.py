@@ -47,3 +47,11 @@ def test_hubs_and_lone_nodes(spark, monkeypatch):
     edges = [(50, i) for i in range(30, 60)] + [(i, i + 100) for i in range(40, 45)] + [(7, 7), (5, None)]
     found = {r["node"]: r["component"] for r in clustering.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{i: 30 for i in [*range(30, 60), *range(140, 145)]}, 7: 7, 5: 5, None: None}
+
+
+def test_base_scores_need_no_filter(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, None if i == 3 else "a B c " * (i % 4) + f"w{i}") for i in range(30)], "doc_id long, text string")
+    whole = lm_scoring.lm_scoring(docs).drop("score").orderBy("doc_id").collect()
+    for name in ("made_filter", "_probed", "_probed_by_segment"):
+        monkeypatch.setattr(lm_scoring, name, None)
+    assert lm_scoring.base_scoring(docs).orderBy("doc_id").collect() == whole
