@@ -94,9 +94,13 @@ def wedges(sets: DataFrame, key: str, slope_dip: float, slope_direction: float,
 
 
 def stratigraphy(contacts: DataFrame, ranks: DataFrame, allowed: int = 0) -> DataFrame:
-    """Holes whose units, going down, turn back up the sequence: inversions and their severity."""
+    """Holes whose units, going down, turn back up the sequence: inversions and their severity.
+
+    The ranks, a row a unit, go to each task: joined by the unit, all contacts of
+    a unit would meet in one.
+    """
     order = Window.partitionBy("hole_id").orderBy("depth")
-    rows = contacts.join(ranks, "unit").withColumn("_next", F.lead("rank").over(order))
+    rows = contacts.join(F.broadcast(ranks), "unit").withColumn("_next", F.lead("rank").over(order))
     out = rows.groupBy("hole_id").agg(F.count(F.when(F.col("_next") < F.col("rank"), 1)).alias("inversions"))
     return out.withColumn("severity", F.when(F.col("inversions") > allowed, "ERROR").when(F.col("inversions") > 0, "WARNING").otherwise("OK"))
 

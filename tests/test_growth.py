@@ -55,3 +55,9 @@ def test_base_scores_need_no_filter(spark, monkeypatch):
     for name in ("made_filter", "_probed", "_probed_by_segment"):
         monkeypatch.setattr(lm_scoring, name, None)
     assert lm_scoring.base_scoring(docs).orderBy("doc_id").collect() == whole
+
+
+def test_contacts_do_not_meet_by_unit(spark):
+    contacts = spark.range(60).select((F.col("id") % 5).alias("hole_id"), F.col("id").cast("double").alias("depth"), F.when(F.col("id") % 7 < 3, "A").otherwise("N").alias("unit"))
+    out = structural.stratigraphy(contacts, spark.createDataFrame([("A", 1), ("N", 2)], "unit string, rank int"), 1)
+    assert "hashpartitioning(unit" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 5
