@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,14 +61,21 @@ def located(intervals: DataFrame, stations: DataFrame, collars: DataFrame) -> Da
 
 
 def lineages(edges: DataFrame) -> DataFrame:
-    """Ancestors of every node of child, parent edges, with their least distance; steps double the reach until no ancestor is new, so cycles end too."""
-    reach = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    reach, before = written(reach.distinct(), "reach"), None
+    """Ancestors of every node of child, parent edges, with their least distance.
+
+    A round knows all pairs up to a distance and doubles it: a pair further apart
+    has on a shortest way an ancestor just at that distance, so only such pairs are
+    joined with what is known, and nothing found before is found again.  It ends
+    when no pair is at the new distance; cycles end too.
+    """
+    known, step = [written(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct(), "reach")], 1
     while True:
-        further = reach.join(reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("distance").alias("_more")), "ancestor")
-        both = reach.unionByName(further.select("node", F.col("_next").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance")))
-        reach = written(both.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "reach")
-        now = reach.agg(F.count(F.lit(1)), F.sum("distance")).first()
-        if now == before:
-            return reach
-        before = now
+        reach = reduce(DataFrame.unionByName, known)
+        ends = known[-1].where(F.col("distance") == step).select("node", F.col("ancestor").alias("_middle"))
+        beyond = reach.select(F.col("node").alias("_middle"), "ancestor", (F.col("distance") + step).alias("distance"))
+        further = ends.join(beyond, "_middle").groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+        old = reach.select(F.col("node").alias("_node"), F.col("ancestor").alias("_ancestor"))
+        known.append(written(further.join(old, F.col("node").eqNullSafe(F.col("_node")) & F.col("ancestor").eqNullSafe(F.col("_ancestor")), "left_anti"), "reach"))
+        step *= 2
+        if known[-1].where(F.col("distance") == step).isEmpty():
+            return reduce(DataFrame.unionByName, known)

@@ -61,3 +61,13 @@ def test_contacts_do_not_meet_by_unit(spark):
     contacts = spark.range(60).select((F.col("id") % 5).alias("hole_id"), F.col("id").cast("double").alias("depth"), F.when(F.col("id") % 7 < 3, "A").otherwise("N").alias("unit"))
     out = structural.stratigraphy(contacts, spark.createDataFrame([("A", 1), ("N", 2)], "unit string, rank int"), 1)
     assert "hashpartitioning(unit" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 5
+
+
+def test_no_ancestor_is_found_twice(spark, monkeypatch):
+    rows, written = [], survey.written
+    monkeypatch.setattr(survey, "written", lambda df, name: (t := written(df, name), rows.append(t.count()))[0])
+    edges = [(i, i - 1) for i in range(1, 21)] + [(30, 31), (31, 32), (32, 30), (20, 10)]
+    found = {(r["node"], r["ancestor"]): r["distance"] for r in survey.lineages(spark.createDataFrame(edges, "child long, parent long")).collect()}
+    want = {(i, j): i - j if i < 20 or j > 10 else min(i - j, 1 + 10 - j) for i in range(1, 21) for j in range(i)}
+    want |= {(30 + a, 30 + b): (b - a) % 3 or 3 for a in range(3) for b in range(3)}
+    assert found == want and sum(rows) == len(want)
