@@ -87,22 +87,28 @@ def density_clusters(points: DataFrame, point_id: str, radius: float, least: int
     points of a cell with ``least`` are core, the core points of a cell are one
     cluster, and links are between cells.  Only points of emptier cells, less
     than ``least`` a cell, are compared with those around them one by one.
+    Points at one place fare alike: from here on they are one row, of their least
+    id and with their number.
     """
     side = radius / math.sqrt(3) * (1 - 1e-9)
-    rows = points.select(F.col(point_id).alias("id"), *(F.col(a).cast("double").alias(a) for a in AXES)).where(" and ".join(f"{a} is not null and not isnan({a})" for a in AXES))
+    own = points.select(F.col(point_id).alias("id"), *(F.col(a).cast("double").alias(a) for a in AXES))
+    rows = own.where(" and ".join(f"{a} is not null and not isnan({a})" for a in AXES)).groupBy(*AXES).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("_c"))
+    rows = written(rows, "places")
     rows = rows.withColumns({p: F.floor(F.col(a) / side * 4).cast("long") for p, a in zip(_PART, AXES)})
     rows = rows.withColumns({c: F.floor(F.col(p) / 4).cast("long") for c, p in zip(_CELL, _PART)})
-    rows = written(rows.join(rows.groupBy(*_CELL).agg((F.count(F.lit(1)) >= least).alias("full")), _CELL), "cells")
+    rows = written(rows.join(rows.groupBy(*_CELL).agg((F.sum("_c") >= least).alias("full")), _CELL), "cells")
     thin = rows.where("not full").drop("full", *_PART)
-    counted = _near(thin, rows.select("id", *AXES, *_CELL), radius).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    counted = _near(thin, rows.select("id", *AXES, "_c", *_CELL), radius).groupBy("id").agg(F.sum("o__c").alias("_n"))
     core = rows.where("full").drop("full").unionByName(rows.where("not full").drop("full").join(counted.where(F.col("_n") >= least), "id", "left_semi"))
     core = written(core, "core")
-    own = core.groupBy(*_CELL).agg(F.min("id").alias("node"))
-    groups = connected(_linked_cells(core, radius).unionByName(own.select(F.col("node").alias("u"), F.col("node").alias("v"))))
-    core = written(core.join(own, _CELL).join(groups, "node").drop("node", *_PART), "grouped")
+    cells = core.groupBy(*_CELL).agg(F.min("id").alias("node"))
+    groups = connected(_linked_cells(core, radius).unionByName(cells.select(F.col("node").alias("u"), F.col("node").alias("v"))))
+    core = written(core.join(cells, _CELL).join(groups, "node").drop("node", *_PART), "grouped")
     border = _near(thin.join(core.select("id"), "id", "left_anti"), core, radius).groupBy("id").agg(F.min_by("o_component", "o_id").alias("component"))
-    found = core.select("id", "component").unionByName(border).withColumnRenamed("id", point_id)
-    return points.select(point_id).join(found, point_id, "left").select(point_id, F.coalesce("component", F.lit(-1)).alias("cluster"))
+    found = core.select("id", "component").unionByName(border).join(rows.select("id", *AXES), "id")
+    found = found.select(F.col("component").alias("_component"), *(F.col(a).alias(f"_{a}") for a in AXES))
+    own = own.join(found, [F.col(a) == F.col(f"_{a}") for a in AXES], "left")
+    return own.select(F.col("id").alias(point_id), F.coalesce("_component", F.lit(-1)).alias("cluster"))
 
 
 def outlying_points(points: DataFrame, point_id: str, k: int, sigmas: float = 2.0) -> DataFrame:

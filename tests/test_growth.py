@@ -71,3 +71,11 @@ def test_no_ancestor_is_found_twice(spark, monkeypatch):
     want = {(i, j): i - j if i < 20 or j > 10 else min(i - j, 1 + 10 - j) for i in range(1, 21) for j in range(i)}
     want |= {(30 + a, 30 + b): (b - a) % 3 or 3 for a in range(3) for b in range(3)}
     assert found == want and sum(rows) == len(want)
+
+
+def test_density_clusters_of_places(spark, monkeypatch):
+    rows, written = {}, clustering.written
+    monkeypatch.setattr(clustering, "written", lambda df, name: (t := written(df, name), rows.setdefault(name, t.count()))[0])
+    points = spark.range(600).select("id", (F.col("id") % 3 * 10).cast("double").alias("x"), F.lit(0.0).alias("y"), F.when(F.col("id") != 599, 0.0).alias("z"))
+    found = {r["id"]: r["cluster"] for r in clustering.density_clusters(points, "id", 1.0, 4).collect()}
+    assert found == {**{i: i % 3 for i in range(599)}, 599: -1} and rows["cells"] == 3
