@@ -18,10 +18,11 @@ def desurvey(collars: DataFrame, surveys: DataFrame) -> DataFrame:
     Dips are from the horizontal, down negative: the angle between two
     directions comes from their vectors.
     """
-    rows = surveys.groupBy(HOLE, "depth").agg(F.min(F.struct("azimuth", "dip")).alias("s")).select(HOLE, "depth", "s.*")
-    top = rows.groupBy(HOLE).agg(F.min_by(F.struct("azimuth", "dip"), "depth").alias("s"), F.min("depth").alias("d")).where("d > 0")
-    rows = rows.unionByName(top.select(HOLE, F.lit(0.0).alias("depth"), "s.azimuth", "s.dip"))
     order = Window.partitionBy(HOLE).orderBy("depth")
+    rows = surveys.groupBy(HOLE, "depth").agg(F.min(F.struct("azimuth", "dip")).alias("s")).select(HOLE, F.col("depth").cast("double").alias("depth"), "s.*")
+    least = F.min("depth").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    top = (F.col("depth") > 0) & (F.col("depth") == least)  # becomes two rows, so that rows stay with their hole and nothing is read twice
+    rows = rows.withColumn("_top", top).withColumn("depth", F.explode(F.when(F.col("_top"), F.array(F.lit(0.0), "depth")).otherwise(F.array("depth")))).drop("_top")
     d, a = F.radians("dip"), F.radians("azimuth")
     rows = rows.withColumns({"_x": F.cos(d) * F.sin(a), "_y": F.cos(d) * F.cos(a), "_z": F.sin(d)})
     prev = lambda c: F.lag(c).over(order)

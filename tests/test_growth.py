@@ -79,3 +79,11 @@ def test_density_clusters_of_places(spark, monkeypatch):
     points = spark.range(600).select("id", (F.col("id") % 3 * 10).cast("double").alias("x"), F.lit(0.0).alias("y"), F.when(F.col("id") != 599, 0.0).alias("z"))
     found = {r["id"]: r["cluster"] for r in clustering.density_clusters(points, "id", 1.0, 4).collect()}
     assert found == {**{i: i % 3 for i in range(599)}, 599: -1} and rows["cells"] == 3
+
+
+def test_stations_are_read_once(spark):
+    stations = spark.createDataFrame([(1, 5.0, 10.0, -60.0), (1, 9.0, 20.0, -70.0), (2, 0.0, 0.0, -90.0)], "hole_id long, depth double, azimuth double, dip double")
+    collars = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0)], "hole_id long, x double, y double, z double")
+    out = survey.desurvey(collars, stations)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    assert [(r["hole_id"], r["depth"], r["azimuth"]) for r in out.orderBy("hole_id", "depth").collect()] == [(1, 0.0, 10.0), (1, 5.0, 10.0), (1, 9.0, 20.0), (2, 0.0, 0.0)]
