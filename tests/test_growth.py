@@ -87,3 +87,11 @@ def test_stations_are_read_once(spark):
     out = survey.desurvey(collars, stations)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
     assert [(r["hole_id"], r["depth"], r["azimuth"]) for r in out.orderBy("hole_id", "depth").collect()] == [(1, 0.0, 10.0), (1, 5.0, 10.0), (1, 9.0, 20.0), (2, 0.0, 0.0)]
+
+
+def test_holes_are_counted_where_they_are(spark):
+    found = spark.range(90).select(F.lit("s").alias("table_name"), F.lit("R").alias("rule_code"), F.lit("ERROR").alias("severity"), F.when(F.col("id") < 80, F.col("id") % 8).alias("hole_id")).repartition(4, "hole_id")
+    out = validation.summary(found)
+    assert [tuple(r) for r in out.collect()] == [("s", "R", "ERROR", 90, 8)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("hole_id" in line and "ENSURE_REQUIREMENTS" in line for line in plan.splitlines())
