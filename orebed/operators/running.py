@@ -7,7 +7,7 @@ if tasks are run again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -96,6 +96,14 @@ def around(rows: DataFrame, knots: DataFrame, at: str) -> DataFrame:
 _RESULTS = {"double": (T.DoubleType(), pa.float64()), "int": (T.IntegerType(), pa.int32()), "long": (T.LongType(), pa.int64()), "boolean": (T.BooleanType(), pa.bool_())}
 
 
+#: Rows of a range that are folded as Python values at once.
+SLICE = 1 << 16
+
+
+def _listed(column: pa.ChunkedArray) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
+
+
 def folded(df: DataFrame, by: list[str], order: list, values: list[Column], step: Callable, out: dict[str, str], counted: str | None = None) -> DataFrame:
     """The rows with the results of a recurrence down the order of each group.
 
@@ -107,8 +115,9 @@ def folded(df: DataFrame, by: list[str], order: list, values: list[Column], step
 
     A group may be of any size: rows are cut into ranges of (group, order), and
     each range is folded for itself.  A range that begins inside a group starts
-    from the state at the end of the range before.  The ends of all ranges are
-    worked out at once; those ranges that lie wholly inside one group are done
+    from the state at the end of the range before.  The ends of all ranges that
+    another goes on from are worked out at once, from the rows of the last group
+    alone; those ranges that lie wholly inside one group are done
     again as long as the state before them changes, which is never where the
     groups are smaller than a range and seldom goes far where the recurrence
     forgets its past.  A few numbers a range reach the driver.
@@ -121,34 +130,41 @@ def folded(df: DataFrame, by: list[str], order: list, values: list[Column], step
     line = Window.partitionBy("_fd_range").orderBy(*by, *order, *inputs)
     rows = rows.withColumns({"_fd_at": F.row_number().over(line), "_fd_new": ~key.eqNullSafe(F.lag(key).over(line))})
     edges = rows.groupBy("_fd_range").agg(F.min_by(key, "_fd_at").alias("first"), F.max_by(key, "_fd_at").alias("last"), (F.count_if("_fd_new") == 1).alias("whole"))
-    edges = edges.select("_fd_range", "whole", F.col("first").eqNullSafe(F.lag("last").over(Window.orderBy("_fd_range"))).alias("linked")).orderBy("_fd_range").collect()
+    edges = edges.select("_fd_range", "whole", "first", "last", F.col("first").eqNullSafe(F.lag("last").over(Window.orderBy("_fd_range"))).alias("linked"))
+    edges = written(edges.withColumn("_fd_on", F.coalesce(F.lead("linked").over(Window.orderBy("_fd_range")), F.lit(False))), "edges")
+    lasts = rows.join(F.broadcast(edges.where("_fd_on").select("_fd_range", F.col("last").alias("_fd_last"))), "_fd_range").where(key.eqNullSafe(F.col("_fd_last"))).drop("_fd_last")
+    edges = edges.select("_fd_range", "whole", "linked").orderBy("_fd_range").collect()
     names, taken, place = list(out), list(inputs), list(out).index(counted) if counted else None
 
-    def fold(table: pa.Table, entries: dict) -> tuple[pa.Table, list, tuple | None, float]:
-        table = table.sort_by("_fd_at")
+    def fold(table: pa.Table, entries: dict) -> Iterator[tuple[list, tuple | None, float]]:
+        """Results of the table's rows, a slice at a time, and the state and the total after it."""
         number = table.column("_fd_range")[0].as_py()
         state, total = entries.get(number, (None, 0))
-        results, new = [], table.column("_fd_new").to_pylist()
-        for i, x in enumerate(zip(*(table.column(c).to_pylist() for c in taken))):
-            if new[i] and (i or number not in entries):
-                state, total = None, 0
-            state, made = step(state, x)
-            if place is not None:
-                total += made[place]
-                made = (*made[:place], total, *made[place + 1 :])
-            results.append(made)
-        return table, results, state, total
+        for at in range(0, len(table), SLICE):
+            part = table.slice(at, SLICE)
+            results, new = [], _listed(part.column("_fd_new"))
+            for i, x in enumerate(zip(*(_listed(part.column(c)) for c in taken))):
+                if new[i] and (i or at or number not in entries):
+                    state, total = None, 0
+                state, made = step(state, x)
+                if place is not None:
+                    total += made[place]
+                    made = (*made[:place], total, *made[place + 1 :])
+                results.append(made)
+            yield results, state, total
 
     def ends(entries: dict) -> Callable:
         def end(table: pa.Table) -> pa.Table:
-            table, _, state, total = fold(table, entries)
-            return pa.table({"number": pa.array([table.column("_fd_range")[0].as_py()], pa.int32()), "state": pa.array([list(state)], pa.list_(pa.float64())), "total": pa.array([float(total)])})
+            number = table.column("_fd_range")[0].as_py()
+            for _, state, total in fold(table.sort_by("_fd_at"), entries):
+                pass
+            return pa.table({"number": pa.array([number], pa.int32()), "state": pa.array([list(state)], pa.list_(pa.float64())), "total": pa.array([float(total)])})
 
         return end
 
     at_end, entries, todo = {}, {}, None
     while todo is None or todo:
-        some = rows if todo is None else rows.where(F.col("_fd_range").isin(todo))
+        some = lasts if todo is None else rows.where(F.col("_fd_range").isin(todo))
         before = {k: (s, 0) for k, (s, _) in entries.items()}  # totals are added up below
         for r in some.groupBy("_fd_range").applyInArrow(ends(before), "number int, state array<double>, total double").collect():
             at_end[r["number"]] = (tuple(r["state"]), r["total"])
@@ -167,10 +183,11 @@ def folded(df: DataFrame, by: list[str], order: list, values: list[Column], step
         schema = schema.add(c, _RESULTS[kind][0])
 
     def give(table: pa.Table) -> pa.Table:
-        table, results, _, _ = fold(table, entries)
+        table = table.sort_by("_fd_at")
+        made = [[pa.array(c, _RESULTS[out[name]][1]) for name, c in zip(names, zip(*results))] for results, _, _ in fold(table, entries)]
         table = table.drop_columns(gone)
-        for c, made in zip(names, zip(*results)):
-            table = table.append_column(c, pa.array(made, _RESULTS[out[c]][1]))
+        for name, pieces in zip(names, zip(*made)):
+            table = table.append_column(name, pa.chunked_array(pieces, _RESULTS[out[name]][1]))
         return table
 
     return rows.groupBy("_fd_range").applyInArrow(give, schema)

@@ -95,3 +95,16 @@ def test_holes_are_counted_where_they_are(spark):
     assert [tuple(r) for r in out.collect()] == [("s", "R", "ERROR", 90, 8)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any("hole_id" in line and "ENSURE_REQUIREMENTS" in line for line in plan.splitlines())
+
+
+def test_a_recurrence_of_short_groups_is_folded_once(spark):
+    steps = spark.sparkContext.accumulator(0)
+
+    def step(state, x):
+        steps.add(1)
+        total = (state[0] if state else 0.0) + x[0]
+        return (total,), (total,)
+
+    rows = spark.range(2000).select((F.col("id") % 400).alias("g"), "id", F.lit(1.0).alias("v"))
+    found = running.folded(rows, ["g"], ["id"], [F.col("v")], step, {"sum": "double"}).collect()
+    assert all(r["sum"] == r["id"] // 400 + 1 for r in found) and steps.value < 2100
