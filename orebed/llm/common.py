@@ -11,6 +11,12 @@ def fold(column: str = "doc_id", parts: int = 5):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(0))
 
 
+def label_ids(labels: DataFrame, label: str, parts: int = 5) -> DataFrame:
+    """(doc_id, label, turn) of all labelled ids outside fold 0; null labels are unlabelled, an id with both labels counts as 0, ``turn`` is a hash of the id."""
+    ids = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", parts) != 0))
+    return ids.groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("turn", F.xxhash64(F.col("doc_id").cast("long")))
+
+
 def labelled(documents: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 5) -> DataFrame:
     """(doc_id, text, label, turn) of a bounded sample of labelled rows outside fold 0.
 
@@ -21,8 +27,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, per_class: int
     share an id the one of the smallest text hash counts, one without a text last,
     so the rows are as many as the ids.
     """
-    ids = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", parts) != 0))
-    ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("turn", F.xxhash64(F.col("doc_id").cast("long")))
+    ids = label_ids(labels, label, parts)
     sample = None
     for y in (0, 1):
         part = ids.where(F.col("label") == y).orderBy("turn", "doc_id").limit(per_class)

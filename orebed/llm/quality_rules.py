@@ -2,10 +2,10 @@
 
 Each document gets the statistics that hand-written quality rules look at
 (word counts, symbol and punctuation rates, repeated lines, words and windows,
-capitals).  An isolation forest, grown on a bounded sample of labelled
-documents, gives its mean path length over random splits; a document that is
+capitals).  An isolation forest, whose trees each draw their rows from all
+labelled documents, gives its mean path length over random splits; a document that is
 isolated after few splits is an anomaly.  The score above which a document is
-rejected is calibrated on labelled rows.  Two plain rules hold besides.
+rejected is calibrated on all labelled rows, by exact quantiles.  Two plain rules hold besides.
 
 Defined results: a null or empty text has no words and fails the base rules;
 one word or line repeats nothing; repeated rows get equal rows; an empty table
@@ -16,15 +16,19 @@ classes there is nothing to calibrate, and the base rules decide alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import running
+from ..operators.stored import written
 from . import textarrays as T
-from .common import labelled
+from .common import fold, label_ids
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbol_rate", "punctuation_rate", "capital_rate", "word_length", "repeat_rate", "duplicate_line_rate", "echo_rate", "variety")
@@ -112,6 +116,14 @@ class IsolationForest:
             self._grow(t, 0, rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)], 0, rng)
         self.usual = self._expected(min(sample, len(rows)))
 
+    @classmethod
+    def joined(cls, trees: list, sample: int) -> "IsolationForest":
+        """The forest of trees (feature, split, path) that were each grown on ``sample`` rows."""
+        forest = cls.__new__(cls)
+        forest.depth, forest.usual = max(1, int(np.ceil(np.log2(max(2, sample))))), cls._expected(sample)
+        forest.feature, forest.split, forest.path = np.array([t[0] for t in trees], np.int8), np.array([t[1] for t in trees], float), np.array([t[2] for t in trees], float)
+        return forest
+
     @staticmethod
     def _expected(n: int) -> float:
         """Mean path length of an unsuccessful search among n rows."""
@@ -150,43 +162,86 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
 
 
-def threshold(good: np.ndarray, bad: np.ndarray, good_lost: float) -> float:
-    """The lowest score cut that rejects at most ``good_lost`` of the good rows, moved to the middle of the gap above it when the bad rows leave one."""
-    cut = float(np.quantile(good, 1 - good_lost, method="higher"))
-    above = bad[bad > cut]
-    return (cut + float(np.quantile(above, 0.02))) / 2 if len(above) else cut
+def threshold(scores: DataFrame, n_good: int, good_lost: float) -> float:
+    """The lowest score cut that rejects at most ``good_lost`` of the good rows (label 1), moved to the middle of the gap above it when the bad rows leave one; both by exact ranks over all rows."""
+    rank = math.ceil((n_good - 1) * (1 - good_lost)) + 1
+    cut = running.ranked(scores.where("label = 1"), ["score"]).where(F.col("rank") == rank).first()["score"]
+    above = running.quantiles(scores.where((F.col("label") == 0) & (F.col("score") > cut)), "score", {"low": 0.02}).first()
+    return cut if above is None or above["low"] is None else (cut + above["low"]) / 2
+
+
+def measured(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label, turn, n_words and features of all labelled ids outside fold 0, written.
+
+    Texts are measured where they are and only the numbers are shuffled.  Of rows
+    that share an id the one of the smallest text hash counts, one without a text last.
+    """
+    texts = documents.where(F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", F.isnull("text").alias("none"), F.xxhash64("text").alias("hash"), "text")
+    rows = _measured(texts, ("doc_id", "none", "hash")).join(label_ids(labels, label), "doc_id")
+    one = F.min_by(F.struct("n_words", "features"), F.struct("none", "hash")).alias("_one")
+    return written(rows.groupBy("doc_id", "label", "turn").agg(one).select("doc_id", "label", "turn", "_one.*"), "measured")
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, trees: int = 300, sample: int = 256, good_lost: float = 0.002, seed: int = 8):
-    """(forest, cut) or None.  Only FEATURES of at most 2 * ``per_class`` labelled documents reach the driver.
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", trees: int = 300, sample: int = 256, good_lost: float = 0.002, seed: int = 8):
+    """(forest, cut) or None, from all labelled documents; the trees and a few numbers reach the driver.
 
     Even turns grow the forest, odd ones set the cut.  The forest is grown on
     rows labelled 1, so that a frequent kind of junk cannot pass for usual.
+    Each tree draws ``sample`` of all these rows, as an isolation forest does,
+    and is grown in a task of its own.
     """
-    rows = _measured(labelled(documents, labels, label, per_class), ("label", "turn")).toPandas()
-    rows["features"] = rows["features"].map(tuple)
-    rows = rows.sort_values(["turn", "label", "features"], ignore_index=True)  # the forest must not depend on how rows arrive
-    x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
-    y, even = rows["label"].to_numpy(), rows["turn"].to_numpy() % 2 == 0
-    whole = rows["n_words"].to_numpy() >= MIN_WORDS
-    grow, good, bad = x[even & (y == 1) & whole], ~even & (y == 1) & whole, (y == 0) & whole
-    if len(grow) < 2 or not good.any() or not bad.any():
+    rows = measured(documents, labels, label).where(F.col("n_words") >= MIN_WORDS)
+    even = F.pmod("turn", F.lit(2)) == 0
+    grow, good, bad = (F.col("label") == 1) & even, (F.col("label") == 1) & ~even, F.col("label") == 0
+    size = len(FEATURES)
+    ends = [f(F.col("features")[i]).alias(f"{n}{i}") for i in range(size) for n, f in (("low", F.min), ("high", F.max))]
+    box = rows.agg(*(F.count_if(c).alias(n) for n, c in (("grow", grow), ("good", good), ("bad", bad))), *ends).first()
+    if box["grow"] < 2 or not box["good"] or not box["bad"]:
         return None
-    forest = IsolationForest(np.concatenate([grow, _frame(grow, x[whole])]), trees, sample, seed)
-    score = forest.score(x)
-    return forest, threshold(score[good], score[bad], good_lost)
-
-
-def _frame(usual: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For each feature a few rows of the usual median with that feature spread over its whole range, so that splits also fall outside the usual range."""
-    middle, low, high = np.median(usual, 0), rows.min(0), rows.max(0)
-    out = []
-    for f in range(rows.shape[1]):
-        for at in np.linspace(low[f], high[f], max(2, len(usual) // 100)):
-            row = middle.copy()
-            row[f] = at
-            out.append(row)
-    return np.array(out)
+    values = rows.where(grow).select(F.posexplode("features").alias("f", "value"))
+    middle = np.zeros(size)
+    for r in running.quantiles(values, "value", {"middle": 0.5}, ["f"]).collect():
+        middle[r["f"]] = r["middle"]
+    low, high = (np.array([box[f"{n}{i}"] for i in range(size)], float) for n in ("low", "high"))
+    n_grow, steps = box["grow"], max(2, box["grow"] // 100)
+    total = n_grow + size * steps
+    drawn = min(sample, total)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t in batch["tree"]:
+                yield pd.DataFrame({"tree": t, "number": np.random.default_rng([seed, int(t)]).choice(total, drawn, replace=False)})
+
+    def tree(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("number")
+        held = part[part["number"] < n_grow]
+        own = np.array(held["features"].tolist(), float).reshape(-1, size)
+        frame = _frame(part["number"].to_numpy()[len(held) :] - n_grow, steps, middle, low, high)
+        one = IsolationForest(np.concatenate([own, frame]), 1, drawn, [seed, int(key[0]), 1])
+        return pd.DataFrame({"tree": [key[0]], "feature": [one.feature[0].astype(int)], "split": [one.split[0]], "path": [one.path[0]]})
+
+    draws = documents.sparkSession.range(trees).withColumnRenamed("id", "tree").mapInPandas(draw, "tree long, number long")  # trees times sample rows, however many are labelled
+    numbered = running.ranked(rows.where(grow), ["turn", "doc_id"], "number").select((F.col("number") - 1).alias("number"), "features")
+    found = numbered.join(F.broadcast(draws), "number").select("tree", "number", "features")
+    found = found.unionByName(draws.where(F.col("number") >= n_grow).withColumn("features", F.lit(None).cast("array<double>")))
+    made = found.groupBy("tree").applyInPandas(tree, "tree long, feature array<int>, split array<double>, path array<double>").orderBy("tree").collect()
+    forest = IsolationForest.joined([(r["feature"], r["split"], r["path"]) for r in made], drawn)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.array(batch["features"].tolist(), float).reshape(-1, size)
+            yield pd.DataFrame({"label": batch["label"], "score": forest.score(x)})
+
+    scores = written(rows.where(good | bad).select("label", "features").mapInPandas(scored, "label int, score double"), "scores")
+    return forest, threshold(scores, box["good"], good_lost)
+
+
+def _frame(numbers: np.ndarray, steps: int, middle: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows of the usual median with one feature spread over its whole range in ``steps`` steps, so that splits also fall outside the usual range; a number for each feature and step."""
+    out = np.tile(middle, (len(numbers), 1))
+    f, step = np.divmod(numbers, steps)
+    out[np.arange(len(numbers)), f] = low[f] + (high[f] - low[f]) * (step / (steps - 1))
+    return out
 
 
 def _measured(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from orebed.llm import lm_scoring
+from orebed.llm import lm_scoring, quality_rules
+from orebed.llm.common import label_ids
 from orebed.operators import clustering, components, fields, running, spatial, structural, survey, validation
 
 
@@ -108,3 +109,15 @@ def test_a_recurrence_of_short_groups_is_folded_once(spark):
     rows = spark.range(2000).select((F.col("id") % 400).alias("g"), "id", F.lit(1.0).alias("v"))
     found = running.folded(rows, ["g"], ["id"], [F.col("v")], step, {"sum": "double"}).collect()
     assert all(r["sum"] == r["id"] // 400 + 1 for r in found) and steps.value < 2100
+
+
+def test_the_forest_and_its_cut_come_from_all_labelled_rows(spark, monkeypatch):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), (i * (F.col("id") % 97 + 1) % 89).cast("string")))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 50 != 0).cast("int").alias("quality"))
+    seen, cut = [], quality_rules.threshold
+    monkeypatch.setattr(quality_rules, "threshold", lambda scores, n, lost: (seen.append((scores.where("label = 1").count(), n)), cut(scores, n, lost))[1])
+    forest, at = quality_rules.fit(docs, labels, trees=8)
+    ids = label_ids(labels, "quality").where("label = 1 and pmod(turn, 2) = 1").count()
+    assert seen == [(ids, ids)] and ids > 2000 and 0 < at < 1
+    other = quality_rules.fit(docs.repartition(7), labels.repartition(3), trees=8)
+    assert other[1] == at and (other[0].split == forest.split).all()
