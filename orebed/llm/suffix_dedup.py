@@ -16,12 +16,16 @@ would move several times the corpus; so only suffixes that can matter are:
    is verified byte by byte against the document of least id.
 3. The matched spans of a document are removed together.
 
-A minimiser that ``HOT_LEAST`` documents hold is split: each string around it is
-keyed by its own hash; a mark on the minimiser tells its documents so.  Equal
-suffixes of one chunk of documents are settled there, and only the one of least
-id moves on.  So a whole copy is settled by its digest, a passage repeated in
-one chunk by its hash and bytes, and everything else by the suffix sort.  Hashes
-only propose: where the bytes differ, the other candidates are compared.
+A minimiser that very many documents hold, for the load of its task
+(:func:`_hot_from`), is split: each string around it is keyed by its own hash; a
+mark on the minimiser tells its documents so.  Equal suffixes of the chunks that a
+task holds at once are settled there, and only the one of least id moves on.  So a
+whole copy is settled by its digest, a passage repeated in those chunks by its hash
+and bytes, and everything else by the suffix sort.  Hashes only propose: where the
+bytes differ, the other candidates are compared.
+
+A task sends its chunks together, so that the rows of a shuffle follow tasks times
+buckets and not chunks times buckets, and what is sent stays worth compressing.
 
 Defined results: a null or empty text has nothing removed; documents of equal
 id do not remove from each other, and rows that are equal in id and text get the
@@ -41,14 +45,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stored import shards, written
+from ..operators.stored import removed, shards, written
 from . import textarrays as T
 
 LENGTH, GRAM = 50, 25
-HOT_LEAST = 1000
+#: Documents from which on a minimiser is split, in a bucket of up to HOT_OF minimisers; more in a larger one.
+HOT_LEAST, HOT_OF = 1000, 1 << 16
 UNITS, SALTS = 1 << 15, 8
-#: Bytes of text of a chunk: the more, the more copies are settled before the shuffle.
+#: Bytes of text of a chunk.
 CHUNK_BYTES = 2 << 20
+#: What a task holds before it sends: bytes of text (the more, the more copies are settled before the shuffle), minimisers or suffixes.
+HELD_BYTES, HELD = 16 << 20, 1 << 19
 _LOW = np.uint64((1 << 40) - 1)
 #: Marks a minimiser that very many documents hold.
 _HOT = np.uint64(1 << 63)
@@ -138,6 +145,15 @@ def _long(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Eight-byte integers, all their lowest bytes first: the high bytes, mostly alike, are worth compressing."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view("<i8")
+
+
 def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(key, places) of each key of an integer array."""
     order = np.argsort(keys, kind="stable")
@@ -146,13 +162,15 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(keys[part[0]]), part
 
 
-_CANDIDATES = "bucket int, direct boolean, hashes binary, of binary, counts binary, doc_ids binary, texts binary"
+# A bit of ``new`` says that a hash is the first of the next document of doc_ids and texts.
+_CANDIDATES = "bucket int, direct boolean, hashes binary, new binary, counts binary, doc_ids binary, texts binary"
 
 
 def _candidates(documents: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
     """Minimisers by bucket, packed: those of a chunk that stand alone in it, and of the others one each with its count; the others themselves pass (direct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, documents = [], 0, 0
         for rows, buffer, offsets in T.chunks(batches, limit=CHUNK_BYTES):
             ids, texts = (np.asarray(rows.column(rows.schema.get_field_index(c))) for c in ("doc_id", "th"))
             position, hashes, _, _ = minimisers(buffer, offsets, length, gram)
@@ -169,21 +187,34 @@ def _candidates(documents: DataFrame, n_buckets: int, length: int, gram: int) ->
             apart = np.zeros(group[-1] + 1 if len(group) else 0, bool)  # several texts hold it
             apart[group[texts_of != texts_of[np.flatnonzero(first)][group]]] = True
             count = np.bincount(group, minlength=len(apart))
-            sent = first | ~apart[group]
-            out = []
-            for direct, some in ((False, np.flatnonzero(sent)), (True, np.flatnonzero(apart[group]))):
-                for b, part in _groups(_bucket(hashes[some], n_buckets)):
-                    part = some[part]
-                    part = part[np.argsort(doc[part], kind="stable")]
-                    names, of = np.unique(doc[part], return_inverse=True)
-                    counts = np.where(apart[group[part]], count[group[part]], 0)
-                    out.append({"bucket": b, "direct": direct, "hashes": _short(hashes[part]).tobytes(), "of": of.astype("<u4").tobytes(), "counts": b"" if direct else counts.astype("<u4").tobytes(), "doc_ids": ids[names].astype("<i8").tobytes(), "texts": texts[names].astype("<i8").tobytes()})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _schema(_CANDIDATES))
+            sent, passed = np.flatnonzero(first | ~apart[group]), np.flatnonzero(apart[group])
+            some = np.concatenate([sent, passed])
+            direct = np.arange(len(some)) >= len(sent)
+            counts = np.where(apart[group[some]] & ~direct, count[group[some]], 0).astype("<u4")
+            held.append((hashes[some], doc[some] + documents, counts, direct, ids, texts.astype("<i8")))
+            size, documents = size + len(some), documents + len(ids)
+            if size >= HELD:
+                yield _packed(held, n_buckets)
+                held, size, documents = [], 0, 0
+        if size:
+            yield _packed(held, n_buckets)
 
     return documents.mapInArrow(run, _CANDIDATES)
 
 
+def _packed(held: list[tuple], n_buckets: int) -> pa.RecordBatch:
+    """A row a bucket, and one of those that pass: what the chunks hold of it."""
+    hashes, doc, counts, direct, ids, texts = map(np.concatenate, zip(*held))
+    out = []
+    for key, part in _groups(2 * _bucket(hashes, n_buckets) + direct):
+        part = part[np.argsort(doc[part], kind="stable")]
+        new = np.ones(len(part), bool)
+        new[1:] = doc[part][1:] != doc[part][:-1]
+        names = doc[part][new]
+        out.append({"bucket": key // 2, "direct": bool(key % 2), "hashes": _short(hashes[part]).tobytes(), "new": np.packbits(new).tobytes(), "counts": b"" if key % 2 else counts[part].tobytes(), "doc_ids": _planes(ids[names]), "texts": texts[names].tobytes()})
+    return pa.RecordBatch.from_pylist(out, _schema(_CANDIDATES))
+
+
 def _schema(text: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in text.split(", "))])
@@ -233,6 +264,11 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _hot_from(minimisers: int, least: int, of: int) -> float:
+    """Documents from which on a minimiser is too many for the task of a bucket of so many minimisers: a small part of it, and never more than are sorted at once."""
+    return min(least * max(1, minimisers / of), UNITS)
+
+
 def _shared(candidates: DataFrame, n_buckets: int) -> DataFrame:
     """Records (id, th, bucket and low bits) of documents' shared minimisers, packed by document; those that many documents hold are marked."""
 
@@ -242,9 +278,9 @@ def _shared(candidates: DataFrame, n_buckets: int) -> DataFrame:
             direct = table.column("direct").to_numpy()
             ids, texts, keys, counts, straight = [], [], [], [], []
             for row, passes in zip(table.to_pylist(), direct):
-                of = np.frombuffer(row["of"], "<u4")
                 keys.append(_long(row["hashes"]) | bucket)
-                ids.append(np.frombuffer(row["doc_ids"], "<i8")[of])
+                of = np.cumsum(np.unpackbits(np.frombuffer(row["new"], np.uint8), count=len(keys[-1]))) - 1
+                ids.append(_unplaned(row["doc_ids"])[of])
                 texts.append(np.frombuffer(row["texts"], "<i8")[of])
                 counts.append(np.zeros(len(of), np.int64) if passes else np.frombuffer(row["counts"], "<u4").astype(np.int64))
                 straight.append(np.full(len(of), passes))
@@ -258,7 +294,7 @@ def _shared(candidates: DataFrame, n_buckets: int) -> DataFrame:
             shared[group[(counts[order] > 0) | (texts[order] != texts[order][begin][group])]] = True
             held = np.bincount(group, np.maximum(counts[order], 1), len(begin)).astype(np.int64) if len(order) else np.zeros(0, np.int64)
             report = np.concatenate([order[shared[group] & (counts[order] == 0)], np.flatnonzero(straight)]) if len(order) else np.flatnonzero(straight)
-            often = np.isin(keys[report], keys[order[begin[held >= HOT_LEAST]]])
+            often = np.isin(keys[report], keys[order[begin[held >= _hot_from(len(order), HOT_LEAST, HOT_OF)]]])
             marked = np.where(often, keys[report] | _HOT, keys[report])
             out = _by_bucket(np.column_stack([ids[report], texts[report], marked.view(np.int64)]), n_buckets)
             if out:
@@ -416,10 +452,10 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _units(rows: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
-    """The suffixes around shared minimisers, by bucket of their key; equal ones of a chunk are settled here but for that of least id."""
+    """The suffixes around shared minimisers, by bucket of their key; equal ones of the chunks held are settled here but for that of least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        held, size, count = [], 0, 0
         for part, buffer, offsets in T.chunks(_with_text(batches), limit=CHUNK_BYTES):
             ids, texts = (np.asarray(part.column(part.schema.get_field_index(c))) for c in ("id", "th"))
             prefix = T.prefix_hashes(buffer)
@@ -435,47 +471,56 @@ def _units(rows: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame
             position, hashes, begin, end, doc, short = (x[some] for x in (position, hashes, begin, end, doc, short))
             often = np.isin(short, hot)
             if often.any():  # each string around it for itself
-                first, count = begin[often], end[often] - length - begin[often] + 1
-                start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                of = np.repeat(doc[often], count)
+                first, strings_of = begin[often], end[often] - length - begin[often] + 1
+                start = np.repeat(first, strings_of) + np.arange(strings_of.sum()) - np.repeat(np.cumsum(strings_of) - strings_of, strings_of)
+                of = np.repeat(doc[often], strings_of)
                 strings = T.mix(T.span_hashes(prefix, start, start + length) + np.uint64(1))
                 position, begin, end = (np.concatenate([x[~often], y]) for x, y in ((position, start), (begin, start), (end, start + length)))
                 hashes, doc = np.concatenate([hashes[~often], strings]), np.concatenate([doc[~often], of])
             whole = T.pair_hashes(T.span_hashes(prefix, begin, end), T.pair_hashes(hashes, (position - begin).astype(np.uint64)))
-            order = np.lexsort((ids[doc], whole))
-            first = np.ones(len(order), bool)
-            first[1:] = whole[order][1:] != whole[order][:-1]
-            owner = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-            settled = np.zeros(len(order), bool)
-            settled[order] = ids[doc[order]] > ids[doc[owner]]
-            owners = np.zeros(len(order), np.int64)
-            owners[order] = owner
-            reach = np.arange(2 * length - gram)
-            at = np.flatnonzero(settled)
-            for k in range(0, len(at), UNITS):  # verify the bytes
-                x = at[k : k + UNITS]
-                y = owners[x]
-                inside = (reach < (end - begin)[x][:, None]) & ((end - begin)[x] == (end - begin)[y])[:, None]
-                last = len(buffer) - 1
-                same = (buffer[np.minimum(begin[x][:, None] + reach, last)] == buffer[np.minimum(begin[y][:, None] + reach, last)]) | ~inside
-                settled[x[~same.all(1) | ((end - begin)[x] != (end - begin)[y])]] = False  # equal hashes, other bytes: it moves on
-            at = np.flatnonzero(settled)
-            out = []
-            empty = {c: b"" for c in ("key", "place", "left", "size", "data")}
-            for d, t, spans in _packed_spans(ids[doc[at]], texts[doc[at]], begin[at] - offsets[doc[at]], end[at] - offsets[doc[at]]):
-                out.append({"bucket": int(d % n_buckets), "direct": True, **empty, "doc_id": np.int64(d).tobytes(), "th": np.int64(t).tobytes(), "data": spans})
-            rest = np.flatnonzero(~settled)
-            for b, some in _groups(_bucket(hashes[rest], n_buckets)):
-                some = np.sort(rest[some])
-                size = end[some] - begin[some]
-                where = np.repeat(begin[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                out.append({"bucket": b, "direct": False, "key": hashes[some].tobytes(), "doc_id": ids[doc[some]].astype("<i8").tobytes(), "th": texts[doc[some]].astype("<i8").tobytes(), "place": (position[some] - offsets[doc[some]]).astype("<u4" if len(buffer) < 1 << 32 else "<u8").tobytes(), "left": (position[some] - begin[some]).astype(np.uint8).tobytes(), "size": size.astype(np.uint8).tobytes(), "data": squeeze.compress(buffer[where].tobytes())})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _schema(_UNITS))
+            held.append((buffer.copy(), begin + size, end + size, hashes, whole, ids[doc], texts[doc], position - offsets[doc], position - begin))
+            size, count = size + len(buffer), count + len(begin)
+            if size >= HELD_BYTES or count >= HELD:
+                yield from _settled(held, n_buckets, length, gram)
+                held, size, count = [], 0, 0
+        if held:
+            yield from _settled(held, n_buckets, length, gram)
 
     return rows.select("id", "th", "row", "keys").mapInArrow(run, _UNITS)
 
 
+def _settled(held: list[tuple], n_buckets: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The suffixes of the chunks held: a row of spans for each document of which some are settled, and a row a bucket of those that move on."""
+    buffer, begin, end, hashes, whole, ids, texts, place, left = map(np.concatenate, zip(*held))
+    order = np.lexsort((ids, whole))
+    first = np.ones(len(order), bool)
+    first[1:] = whole[order][1:] != whole[order][:-1]
+    owner = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+    settled = np.zeros(len(order), bool)
+    settled[order] = ids[order] > ids[owner]
+    owners = np.zeros(len(order), np.int64)
+    owners[order] = owner
+    size, reach, last = end - begin, np.arange(2 * length - gram), len(buffer) - 1
+    at = np.flatnonzero(settled)
+    for k in range(0, len(at), UNITS):  # verify the bytes
+        x = at[k : k + UNITS]
+        y = owners[x]
+        same = (buffer[np.minimum(begin[x][:, None] + reach, last)] == buffer[np.minimum(begin[y][:, None] + reach, last)]) | (reach >= size[x][:, None])
+        settled[x[~same.all(1) | (size[x] != size[y])]] = False  # equal hashes, other bytes: it moves on
+    at, rest, out = np.flatnonzero(settled), np.flatnonzero(~settled), []
+    empty = {c: b"" for c in ("key", "place", "left", "size", "data")}
+    from_ = place - left
+    for d, t, spans in _packed_spans(ids[at], texts[at], from_[at], (from_ + size)[at]):
+        out.append({"bucket": int(d % n_buckets), "direct": True, **empty, "doc_id": np.int64(d).tobytes(), "th": np.int64(t).tobytes(), "data": spans})
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for b, some in _groups(_bucket(hashes[rest], n_buckets)):
+        some = rest[some]
+        where = np.repeat(begin[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())
+        out.append({"bucket": b, "direct": False, "key": _short(hashes[some]).tobytes(), "doc_id": _planes(ids[some]), "th": texts[some].astype("<i8").tobytes(), "place": _planes(place[some]), "left": left[some].astype(np.uint8).tobytes(), "size": size[some].astype(np.uint8).tobytes(), "data": squeeze.compress(buffer[where].tobytes())})
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _schema(_UNITS))
+
+
 def _spans(units: DataFrame, n_buckets: int, length: int, gram: int) -> DataFrame:
     """Records (id, th, from, to) of spans that also start in a document of smaller id, packed by document."""
 
@@ -489,8 +534,9 @@ def _spans(units: DataFrame, n_buckets: int, length: int, gram: int) -> DataFram
                 who = np.column_stack([_joined(passed.column("doc_id"), "<i8"), _joined(passed.column("th"), "<i8")])
                 out.append(np.column_stack([np.repeat(who, list(map(len, own)), axis=0), np.concatenate(own)]))
             if len(rest):
-                keys, docs, texts, left, size = (_joined(rest.column(c), k) for c, k in (("key", "<u8"), ("doc_id", "<i8"), ("th", "<i8"), ("left", "u1"), ("size", "u1")))
-                place = np.concatenate([np.frombuffer(p, "<u4" if 8 * len(p) == 4 * len(k) else "<u8").astype(np.int64) for p, k in zip(rest.column("place").to_pylist(), rest.column("key").to_pylist())])
+                texts, left, size = (_joined(rest.column(c), k) for c, k in (("th", "<i8"), ("left", "u1"), ("size", "u1")))
+                docs, place = (np.concatenate(list(map(_unplaned, rest.column(c).to_pylist()))) for c in ("doc_id", "place"))
+                keys = _long(b"".join(rest.column("key").to_pylist()))  # grams that only share these bits are told apart by the sort
                 data = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, rest.column("data").to_pylist())), np.uint8)
                 end = np.cumsum(size.astype(np.int64))
                 begin = end - size
@@ -523,10 +569,12 @@ def marked(documents: DataFrame, columns: tuple[str, ...] = (), length: int = LE
     # Copies of one text are dealt to several tasks; its least id goes to each.
     salted = digests.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = written(salted.join(firsts, ["digest", "salt"]).where("doc_id > least").select("doc_id", "th").distinct(), "copies")
+    copies = written(salted.join(firsts, ["digest", "salt"]).where("doc_id > least").select("doc_id", "th").distinct(), "copies", tidy=True)
 
-    shared = written(_shared(_candidates(slim, n, length, gram), n), "shared")
-    replies = _by_document(shared, 3, "keys").join(copies, ["doc_id", "th"], "left_anti")
+    # Each step is written, and what it shuffled goes before the texts are shuffled.
+    shared = written(_shared(_candidates(slim, n, length, gram), n), "shared", tidy=True)
+    replies = written(_by_document(shared, 3, "keys").join(copies, ["doc_id", "th"], "left_anti"), "replies", tidy=True)
+    removed(shared)
 
     # Both joins read the same columns of the same partitioning, so that the texts are shuffled once.
     whole = named.select("id", "th", "row").repartition(n, "id", "th")
